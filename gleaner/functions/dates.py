@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
-from .text import contains_any, strip, text
+from .text import contains_any, let, strip, text
 
 MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 RANGE = r"[\s\p{Z}]+[-–—][\s\p{Z}]+|[\s\p{Z}]+to[\s\p{Z}]+|[–—]"
@@ -38,11 +38,6 @@ def as_date(as_of: str | date) -> date:
     return as_of if isinstance(as_of, date) else date.fromisoformat(as_of)
 
 
-def _month_number(m: Column) -> Column:
-    named = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(m, 1, 3)) + 2) / 3
-    return F.when(m.rlike("^[a-z]"), named.cast("int").cast("string")).otherwise(m)
-
-
 def build_date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
@@ -50,14 +45,21 @@ def build_date(y: Column, m: Column, d: Column) -> Column:
 def lenient_date(c: Column, as_of: str | date) -> Column:
     """A date somewhere in the text; the first format that matches decides."""
     now = as_date(as_of)
-    low = F.lower(c)
-    out = F.lit(None).cast("date")
-    for pattern, gy, gm, gd in reversed(FORMATS):
-        y = F.regexp_extract(low, pattern, gy) if gy else F.lit(str(now.year))
-        m = _month_number(F.regexp_extract(low, pattern, gm))
-        d = F.regexp_extract(low, pattern, gd) if gd else F.lit(str(now.day))
-        out = F.when(low.rlike(pattern), build_date(y, m, d)).otherwise(out)
-    return out
+
+    def spell(low: Column) -> Column:
+        found = []
+        for pattern, gy, gm, gd in FORMATS:
+            to = f"{f'${gy}' if gy else now.year}-${gm}-{f'${gd}' if gd else now.day}"
+            found.append(F.nullif(F.regexp_replace(F.regexp_extract(low, pattern, 0), pattern, to), F.lit("")))
+        return F.split(F.regexp_replace(F.coalesce(*found), r"\A[^\da-z]+", ""), "-")
+
+    def read(parts: Column) -> Column:
+        month = F.get(parts, F.lit(1))
+        named = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), month) + 2) / 3
+        number = F.when(month.rlike("^[a-z]"), named.cast("int").cast("string")).otherwise(month)
+        return build_date(F.get(parts, F.lit(0)), number, F.get(parts, F.lit(2)))
+
+    return let(let(F.lower(c), spell), read)
 
 
 def range_end(c: Column) -> Column:
@@ -72,18 +74,20 @@ def iso_date(c: Column) -> Column:
 
 def parse_claimed_date(c: Column | str, as_of: str | date) -> Column:
     """Date claimed by a source; null for words such as 'rolling'."""
-    s = strip(text(c))
-    free = F.coalesce(lenient_date(range_end(s), as_of), lenient_date(s, as_of))
-    return (F.when((s == "") | contains_any(F.lower(s), V.CLAIM_NON_DATE), F.lit(None).cast("date"))
-            .when(s.rlike(r"\A\d{4}-\d{1,2}-\d{1,2}\z"), iso_date(s))
-            .otherwise(free))
+    def read(s: Column) -> Column:
+        free = F.coalesce(lenient_date(range_end(s), as_of), lenient_date(s, as_of))
+        return (F.when((s == "") | contains_any(F.lower(s), V.CLAIM_NON_DATE), F.lit(None).cast("date"))
+                .when(s.rlike(r"\A\d{4}-\d{1,2}-\d{1,2}\z"), iso_date(s))
+                .otherwise(free))
+
+    return let(strip(text(c)), read)
 
 
 def parse_published_date(c: Column | str, as_of: str | date) -> Column:
     """Date given by a publisher: ISO prefix, else a whole date text."""
-    s = strip(text(c))
-    iso = F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")
-    return F.when(s.rlike(r"\A\d{4}-\d{2}-\d{2}"), iso).when(s.rlike(WHOLE_DATE), lenient_date(s, as_of))
+    return let(strip(text(c)), lambda s: (
+        F.when(s.rlike(r"\A\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+        .when(s.rlike(WHOLE_DATE), lenient_date(s, as_of))))
 
 
 def latest_year(c: Column, pattern: str) -> Column:
@@ -93,14 +97,16 @@ def latest_year(c: Column, pattern: str) -> Column:
 def is_past(c: Column | str, as_of: str | date) -> Column:
     """Whether a deadline text says that the thing is over."""
     now = as_date(as_of)
-    raw = text(c)
-    s = strip(F.lower(raw))
-    trimmed = strip(raw)
-    before = F.when(trimmed.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), iso_date(trimmed)).otherwise(lenient_date(range_end(raw), as_of)) < F.lit(now)
-    return (F.when((raw == "") | contains_any(s, V.NEVER_PAST), F.lit(False))
-            .when(latest_year(s, r"\b(202[0-9])\b") < now.year, F.lit(True))
-            .when(contains_any(s, V.PAST_WORDS), F.lit(True))
-            .otherwise(F.coalesce(before, F.lit(False))))
+
+    def read(raw: Column) -> Column:
+        s, trimmed = F.lower(raw), strip(raw)
+        when = F.when(trimmed.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), iso_date(trimmed)).otherwise(lenient_date(range_end(raw), as_of))
+        return (F.when((raw == "") | contains_any(s, V.NEVER_PAST), F.lit(False))
+                .when(latest_year(s, r"\b(202[0-9])\b") < now.year, F.lit(True))
+                .when(contains_any(s, V.PAST_WORDS), F.lit(True))
+                .otherwise(F.coalesce(when < F.lit(now), F.lit(False))))
+
+    return let(text(c), read)
 
 
 def day(c: Column) -> Column:

@@ -118,10 +118,10 @@ def _(t):
 @query("json_ld_nodes", r"""
 with blocks as (select page_id, unnest(regexp_extract_all(body, '(?is)<script[^>]+type\s*=\s*["'']application/ld\+json["''][^>]*>(.*?)</script>', 1)) as b from captures),
 roots as (select page_id, b::json as j from blocks where json_valid(b)),
-kids as (select page_id, unnest(json_extract(j, '$."@graph"[*]')) as j from roots where j->'$."@graph"' is not null),
+kids as (select page_id, unnest(json_extract(j, '$."@graph"[*]')) as j from roots where (j->'$."@graph"') is not null),
 nodes as (select * from roots union all select * from kids)
-select page_id, coalesce(lower(case when json_type(j, '$."@type"') = 'ARRAY' then j->>'$."@type"[0]' else j->>'$."@type"' end), '') as types,
-  coalesce(j->>'$.name', '') as name from nodes""")
+select page_id, coalesce(lower(case when json_type(j, '$."@type"') = 'ARRAY' then (j->>'$."@type"[0]') else (j->>'$."@type"') end), '') as types,
+  coalesce((j->>'$.name'), '') as name from nodes""")
 def _(t):
     nodes = evidence.json_ld_nodes(t.captures, "page_id")
     return nodes.select("page_id", F.array_join("types", ",").alias("types"),
