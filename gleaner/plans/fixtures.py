@@ -70,6 +70,11 @@ select doc_id as seq,
 from (select *, regexp_extract(replace(text, chr(10), ' '), '^([^ ]+ ){0,5}[^ ]+', 0) as words from documents) d
 """
 
+VIEWS["titles"] = """
+select doc_id as seq, lang as category, regexp_extract(replace(text, chr(10), ' '), '^([^ ]+ ){0,15}[^ ]+', 0) as name,
+  doc_id % 3 = 0 as known from documents
+"""
+
 VIEWS["opp_pages"] = """
 select page_id as seq,
   case when page_id % 5 = 0 then 'Unrelated distinctive listing ' || cast(page_id as string)
@@ -80,7 +85,10 @@ select page_id as seq,
   case page_id % 3 when 0 then 'https://mirror.example.net/' when 1 then url else '' end as website, '' as url, '' as link,
   case page_id % 4 when 0 then '' when 1 then 'Rolling' else cast(date '2026-07-01' + cast(page_id % 120 as int) as string) end as deadline,
   case page_id % 3 when 0 then '' else cast(date '2026-08-01' + cast(page_id % 90 as int) as string) end as event_date,
-  case page_id % 6 when 0 then 'closed' else 'open' end as status
+  case page_id % 6 when 0 then 'closed' else 'open' end as status,
+  case page_id % 3 when 0 then '' else 'Org ' || cast(page_id % 9 as string) end as organizer, case page_id % 4 when 0 then '$100' else '' end as prize,
+  case page_id % 13 when 0 then 'Free bitcoin for all' when 1 then 'Refer and earn, too good to be true!!!!' else 'A listing' end as description,
+  split(case page_id % 2 when 0 then 'a,b' else 'c' end, ',') as tags
 from pages
 """
 
