@@ -98,7 +98,7 @@ capped as (select p.*, r.probe_rank from picked p left join ranked r on p.seq =
 
 
 _CONTENT_WORDS = f"list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(name), '[^a-z]*[^{D.W}]+[^a-z]*|^[^a-z]+|[^a-z]+$', ' ', 'g'), '[a-z]+')), lambda w: true)"
-L1 = _best("opp_pages") + f""",
+_L1_REST = f""",
 landed as (select {D.canonical('url')} as key, arg_min(status, tier) as st, arg_min(body, (tier, status)) as body from captures_all group by 1),
 probed as (select c.*, l.st, l.body from capped c left join landed l on c.probe_rank is not null and l.key = {D.canonical('c.purl')}),
 urled as (select *, case when purl not like 'http%' then 0.3 when probe_rank is null then 0.7 when st < 400 then 1.0 when st in (401, 403) then 0.7 else 0.2 end::double as s_url,
@@ -106,6 +106,8 @@ urled as (select *, case when purl not like 'http%' then 0.3 when probe_rank is
 scored as (select *, {_SCHEMA} as s_schema, {_DATE} as s_date, {_SPAM} as s_spam,
   case when s_url < 0.5 or application_link not like 'http%' or name = '' then 0.5 when probe_rank is null or probe_rank >= 20 then 0.7 when len(cw) < 2 then 0.6
     when st is null or st >= 400 then 0.5 when len(list_filter(cw, lambda w: contains(lower(body), w))) > 0 then 1.0 else 0.3 end::double as s_content from urled)"""
+L1 = _best("opp_pages") + _L1_REST
+L1_BATCH = "batch as (select * from opp_pages where seq % 7 <> 0),\n" + _best("batch") + _L1_REST
 
 
 @query("l1_schema", f"select seq, round({_SCHEMA}, 6) as score from opp")
@@ -147,11 +149,12 @@ def _total(f):
     return f"case when s_date = 0 then least({base}, 0.2::double) else {base} end"
 
 
-VERIFY = f"""recursive {L1},
-toks as (select *, list_sort({D.sim_tokens('name')}) as ws, length({D.norm_title('name')}) as len, seq % 7 = 0 as known from scored),
+VERIFY = f"""recursive {L1_BATCH},
+old as (select category, list_sort({D.sim_tokens('name')}) as ws from opp_pages where seq % 7 = 0),
+toks as (select *, list_sort({D.sim_tokens('name')}) as ws, length({D.norm_title('name')}) as len from scored),
 alone as (select *, case when len < 5 then 0.5::double else 1.0::double end as f1 from toks),
-inc as (select *, {_total('f1')} >= 0.3 as eligible, row_number() over (order by seq) as rn from alone where not known),
-start as (select list({{'c': category, 'w': ws}}) as kept from toks where known and len(ws) > 0),
+inc as (select *, {_total('f1')} >= 0.3 as eligible, row_number() over (order by seq) as rn from alone),
+start as (select list({{'c': category, 'w': ws}}) as kept from old where len(ws) > 0),
 walk(rn, kept, seq, dup) as (
   select 0::bigint, kept, -1::bigint, false from start
   union all
