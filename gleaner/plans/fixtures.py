@@ -121,7 +121,7 @@ select event_id as seq, substring(sha1(cast(user_id as string)), 1, 20) as fp,
   'User ' || cast(user_id as string) as name, 'src-' || cast(user_id % 4 as string) as source, 'https://u.example.org/' || cast(user_id as string) as link,
   case event_type when 'error' then 'reject' when 'view' then 'quarantine' else 'accept' end as decision,
   case when event_type = 'error' and value > 50 then 'L1' when event_type = 'error' and value > 40 then 'quarantine-expiry' else 'L2' end as layer,
-  ts as checked_at, round(value / 100, 4) as trust, event_type || ':' || cast(event_id % 7 as string) as reason
+  ts as checked_at, cast(event_id % 100 as double) / 100 as trust, event_type || ':' || cast(event_id % 7 as string) as reason
 from events
 """
 
