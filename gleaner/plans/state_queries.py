@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -21,6 +23,11 @@ def _fold(src):
             f"arg_max(checked_at, seq) as last_checked, count(*) as attempts, arg_max(decision, seq) as decision, arg_max(layer, seq) as layer, arg_max(reason, seq) as reason, arg_max(trust, seq) as trust, {perm} as permanent from {src} group by fp")
 
 
+def _scratch(t, label):
+    """A fresh folder below the shared one."""
+    return f"{shared_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
 SEED = f"seed as ({_fold(f'(select * from decisions where {_CUT})')})"
 ALL = f"whole as ({_fold('decisions')})"
 _TS = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -55,7 +62,7 @@ def _(t):
 def _(t):
     from ..schema import LEDGER
     from ..sources.tables import publish, read_state
-    root = f"{shared_dir(t.spark)}/ledger-{t.folder.strip('/').replace('/', '-')}"
+    root = _scratch(t, "ledger")
     publish(_ledger(t), root, "seed")
     return _text(read_state(t.spark, root, LEDGER))
 
@@ -168,7 +175,7 @@ def _(t):
 @query("scan_quarantine", f"with {HELD} select category, fp, attempts, name from queue where attempts > 0")
 def _(t):
     from ..sources.tables import publish, read_state
-    root = f"{shared_dir(t.spark)}/quarantine-{t.folder.strip('/').replace('/', '-')}"
+    root = _scratch(t, "quarantine")
     publish(_queue(t)[0], root, "1")
     return read_state(t.spark, root, _empty_queue(t).schema).select("category", "fp", "attempts", F.col("item.name").alias("name"))
 
@@ -303,7 +310,7 @@ def _(t):
 def _(t):
     from ..schema import OPPORTUNITY
     from ..sources.tables import publish, read_state
-    root = f"{shared_dir(t.spark)}/published-{t.folder.strip('/').replace('/', '-')}"
+    root = _scratch(t, "published")
     publish(t.opp, root, "1")
     return read_state(t.spark, root, OPPORTUNITY).select("seq", "name", "category", "deadline")
 
@@ -311,7 +318,7 @@ def _(t):
 @query("sink_category", "select category, count(*) as n, max(name) as last_name from opp group by category")
 def _(t):
     from ..sources.tables import write_category
-    path = f"{shared_dir(t.spark)}/categories-{t.folder.strip('/').replace('/', '-')}"
+    path = _scratch(t, "categories")
     write_category(t.opp, path)
     return t.spark.read.parquet(path).groupBy("category").agg(F.count("*").alias("n"), F.max("name").alias("last_name"))
 
@@ -320,6 +327,6 @@ def _(t):
 def _(t):
     from ..schema import JSON_NAMES
     from ..sources.tables import read_category
-    path = f"{shared_dir(t.spark)}/json-{t.folder.strip('/').replace('/', '-')}"
+    path = _scratch(t, "json")
     t.opp.withColumnsRenamed(JSON_NAMES).write.mode("overwrite").json(path)
     return read_category(t.spark, path).select("seq", "name", "deadline", "event_date", F.array_join("tags", ",").alias("tags"))
