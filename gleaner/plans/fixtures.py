@@ -153,6 +153,74 @@ select p_partkey as doc_id,
 from part
 """
 
+VIEWS["contest_docs"] = """
+select c_custkey as doc_id, c_custkey % 4 as kind, case c_custkey % 4
+  when 0 then '{"status":"' || case when c_custkey % 20 = 0 then 'FAILED' else 'OK' end || '","result":[{"id":' || cast(c_custkey as string) || ',"name":"Round ' || cast(c_custkey as string) || '","type":"ICPC_LIKE","phase":"BEFORE","startTimeSeconds":'
+    || cast(1704067200 + c_custkey * 977 as string) || ',"durationSeconds":9000},{"id":7,"name":"Old","type":"CF","phase":"FINISHED","startTimeSeconds":1,"durationSeconds":7200},{"id":8,"type":"CF","phase":"BEFORE"}]}'
+  when 1 then '{"data":{"allContests":[{"title":"Weekly ' || cast(c_custkey as string) || '","titleSlug":"weekly-' || cast(c_custkey as string) || '","startTime":' || cast(1704067200 + c_custkey * 9770 as string) || ',"duration":5400},{"title":"Later","titleSlug":"","startTime":1900000000,"duration":0},{"title":"Sooner","titleSlug":"s","startTime":1800000000,"duration":60}]}}'
+  when 2 then '{"future_contests":[{"contest_name":"Starters ' || cast(c_custkey as string) || '","contest_code":"S' || cast(c_custkey as string) || '","contest_start_date":"2026-09-10","contest_end_date":"' || case when c_custkey % 8 = 2 then '' else '2026-09-12' end || '"}],"present_contests":[{"contest_name":"Now","contest_code":"N"}]}'
+  else '[{"id":"abc' || cast(c_custkey as string) || '","title":"Beginner ' || cast(c_custkey as string) || '","start_epoch_second":' || cast(1704067200 + c_custkey * 9770 as string) || '},{"id":"z","title":"Old","start_epoch_second":5}]' end as body
+from customer
+"""
+
+VIEWS["hack_docs"] = """
+select p_partkey as doc_id, '{"hackathons":[{"title":" ' || p_name || ' Hack ' || cast(p_partkey as string) || ' ","url":"' || case when p_size % 5 = 0 then '' else 'https://h' || cast(p_partkey as string) || '.example.com/' end || '","submission_period_dates":"' || case when p_size % 4 = 0 then '' else 'Aug 01 - Sep 30, 2026' end
+  || '","prize_amount":"$<span data-currency-value>' || cast(p_size as string) || ',000</span>","themes":[{"name":"' || p_type || '"},{"name":""},{"name":"AI"},{"name":"Health"},{"name":"Fun"}],"displayed_location":'
+  || case p_size % 3 when 0 then '{"location":"In-person only"}' when 1 then '{"location":"Online"}' else '{"location":"Berlin"}' end || ',"open_state":"' || case p_size % 3 when 0 then 'open' when 1 then 'upcoming' else 'ended' end || '"},{"title":"","url":"x"}]}' as body
+from part
+"""
+
+VIEWS["job_docs"] = """
+select s_suppkey as doc_id, '{"jobs":[{"title":"Software Engineer Intern ' || cast(s_suppkey as string) || '","companyName":"' || s_name || '","applicationLink":"https://j.example.com/' || cast(s_suppkey as string) || '","minSalary":"' || case when s_suppkey % 2 = 0 then '1000' else '' end || '","maxSalary":"2000","location":"Remote"},{"title":"Gardener","companyName":"G"},{"title":"Data Scientist","url":"https://u.example.com/' || cast(s_suppkey as string) || '"}]}' as body
+from supplier
+"""
+
+VIEWS["html_docs"] = """
+select c_custkey as doc_id, '<h2>Jobs</h2><table><thead><tr><th>Company</th><th>Role</th><th>Location</th><th>Apply</th></tr></thead><tbody><tr><td><a href="https://co.example.com/' || cast(c_custkey as string) || '">' || c_name || '</a></td><TD>Engineer &amp; Builder</TD><td>'
+  || case c_nationkey % 4 when 0 then 'Bengaluru, IN' when 1 then 'New York, NY' when 2 then '' else 'Remote (US)' end || '</td><td>' || case when c_custkey % 3 = 0 then '<a href="https://ap.example.com/' || cast(c_custkey as string) || '"><img src="x"></a>' else 'n/a' end
+  || '</td></tr><tr><td>Locked 🔒</td><td>Role</td><td>Pune</td></tr><tr><td>Two</td><td>cells</td></tr><tr class="x"><td>' || c_mktsegment || '</td><td><a href="/rel">Analyst</a></td><td>Toronto</td><td></td></tr></tbody></table>' as body
+from customer
+"""
+
+VIEWS["feed_docs"] = """
+select p_partkey as doc_id, 'reach:news:' || p_brand as source, case when p_size % 2 = 0 then 'keywords' else '' end as filter, case when p_partkey % 2 = 0 then
+  '<?xml version="1.0"?><rss><channel><title>Feed</title><item><title>' || p_name || ' hackathon is open</title><link>https://f.example.com/' || cast(p_partkey as string) || '</link><pubDate>Tue, 01 Sep 2026</pubDate><description><![CDATA[<p>Apply &amp; win</p>]]></description></item><item><title>Take our ' || p_type || ' quiz</title><link>https://f.example.com/q</link></item><item><link>https://no.title/</link></item></channel></rss>'
+  else '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">The challenge of ' || p_type || '</title><link rel="self" href="https://self.example.com/"/><link rel="alternate" href="https://a.example.com/' || cast(p_partkey as string) || '"/><updated>2026-09-01</updated><summary>apply now &lt;b&gt;soon&lt;/b&gt;</summary></entry></feed>' end as body
+from part
+"""
+
+VIEWS["listing_docs"] = """
+select c_custkey as doc_id, 'https://list.example.com/hackathons' as url, 'reach:web:list' as source, '# All' || chr(10) || '[1. ' || c_mktsegment || ' Hackathon ' || cast(c_custkey as string) || '](/hackathons/' || cast(c_custkey as string) || '/) [Home](/)' || chr(10)
+  || '[Again the same hackathon](https://list.example.com/hackathons/' || cast(c_custkey as string) || ') [Login](/login/now) [Other site challenge](https://other.example.com/a/b) [Short jam](/jam) [Spring coding challenge](deep/challenge?x=1)' as body
+from customer
+"""
+
+VIEWS["block_docs"] = """
+select c_custkey as doc_id, case c_custkey % 3 when 0 then 'csMajors' else 'hackathons' end as channel, 'URL: https://lone.example.com/' || cast(c_custkey as string) || chr(10) || chr(10) || 'Title: Post ' || c_name || chr(10) || 'Body: first line' || chr(10) || 'more of ' || c_mktsegment || chr(10) || chr(10) || chr(10)
+  || '  Title: Second' || chr(10) || 'Link: https://b.example.com/' || cast(c_nationkey as string) || chr(10) || 'free text' || chr(10) || chr(10) || 'Tweet: Big hackathon number ' || cast(c_custkey as string) || ' starts' || chr(10) || 'User: @u' || cast(c_nationkey as string) || chr(10) || 'URL: https://t.example.com/' as body
+from customer
+"""
+
+VIEWS["post_answers"] = """
+select s_suppkey as doc_id, case when s_suppkey % 2 = 0 then '{"data":[{"title":"Flat ' || s_name || '","selftext":"x","url":"https://e.example.com/","permalink":"/r/a/1","score":3}]}'
+  else '{"data":{"children":[{"data":{"title":"Deep ' || s_name || '","permalink":"/r/b/2"}},{"data":{"title":"Two"}}]}}' end as body from supplier
+"""
+
+VIEWS["landed_cards"] = """
+select c_custkey as card_id, case c_custkey % 6 when 0 then 'devfolio' when 1 then 'unstop' when 2 then 'hackerearth' when 3 then 'internshala' when 4 then 'mlh' else 'linkedin' end as site,
+  case c_nationkey % 7 when 0 then 'ab' when 1 then 'abc' when 2 then 'Events' when 3 then 'Code Hack Day' else c_name || case when c_custkey % 4 = 1 then ' Intern' else '' end end as name,
+  case c_nationkey % 3 when 0 then '' when 1 then '/x/' || cast(c_custkey as string) else 'https://abs.example.com/' || cast(c_custkey as string) end as link,
+  case c_nationkey % 5 when 0 then '' else 'Host ' || c_mktsegment end as organizer, case c_nationkey % 4 when 0 then '' when 1 then 'Work from home' else 'Pune' end as location,
+  case c_nationkey % 2 when 0 then '' else '$' || cast(c_nationkey as string) end as prize
+from customer
+"""
+
+VIEWS["sections_docs"] = """
+select p_partkey as doc_id, '# Hackathons & Competitions' || chr(10) || '| Event | Location | Event Dates |' || chr(10) || '|---|---|---|' || chr(10) || '| [' || p_name || '](https://s.example.com/' || cast(p_partkey as string) || ') | Pune | Oct 2026 |' || chr(10) || '## 2.2 Competitions' || chr(10)
+  || '| ID | Name | Status 2025 |' || chr(10) || '|---|---|---|' || chr(10) || '| 1 | **' || p_type || ' Cup** | running |' || chr(10) || '## Student Fellowship Programs' || chr(10) || '- [' || p_brand || ' Fellows](https://fel.example.com/) - paid' || chr(10) || '# End' || chr(10) || '- [Not this one](https://x.example.com/) - no' || chr(10) as body
+from part
+"""
+
 
 def closure(body: str) -> list[str]:
     """Fixture views that a SQL text needs, in definition order."""

@@ -18,15 +18,14 @@ OPPORTUNITY = T.StructType(
 CAPTURE = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "final_url", "body", "error", "source")]
                        + [T.StructField("status", T.IntegerType()), T.StructField("tier", T.IntegerType())])
 
-LEDGER = T.StructType.fromDDL(
-    "fp string, name string, category string, source string, link string, first_seen timestamp, "
-    "last_checked timestamp, attempts bigint, decision string, layer string, reasons array<string>, "
-    "evidence string, evidence_hash string, trust double, corroboration bigint, "
-    "corrections map<string,string>, permanent boolean")
-
-QUARANTINE = T.StructType.fromDDL(
-    "category string, fp string, attempts bigint, first_held timestamp, last_seen timestamp, "
-    "reasons array<string>").add("item", OPPORTUNITY)
+# State tables as DDL texts.
+LEDGER = ("fp string, name string, category string, source string, link string, first_seen timestamp_ntz, "
+          "last_checked timestamp_ntz, attempts bigint, decision string, layer string, reasons array<string>, "
+          "evidence string, evidence_hash string, trust double, corroboration bigint, "
+          "corrections map<string,string>, permanent boolean")
+
+QUARANTINE = ("category string, fp string, attempts bigint, first_held timestamp_ntz, last_seen timestamp_ntz, "
+              f"reasons array<string>, item {OPPORTUNITY.simpleString()}")
 
 # JSON files use camel case.
 JSON_NAMES = {"event_date": "eventDate", "program_dates": "programDates", "internship_dates": "internshipDates",
