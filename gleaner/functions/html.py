@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
-from .text import collapse, strip, text
+from .text import collapse, let, quoted, strip, text
 
 
 def unescape(c: Column) -> Column:
     """Decode character references: numeric ones and the listed names."""
-    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
-
     def decode(ref: Column) -> Column:
         hexed = F.when(F.lower(ref).startswith("x"), F.substring(ref, 2, 8)).otherwise(F.conv(ref, 10, 16))
         return F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
 
-    numeric = F.aggregate(refs, c, lambda acc, r: F.replace(acc, F.concat(F.lit("&#"), r, F.lit(";")), decode(r)))
-    out = F.when(c.contains("&#"), numeric).otherwise(c)
-    for name, char in V.HTML_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(c.contains("&"), out).otherwise(c)
+    def numeric(s: Column) -> Column:
+        refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+        return F.aggregate(refs, s, lambda acc, r: F.replace(acc, F.concat(F.lit("&#"), r, F.lit(";")), decode(r)))
+
+    def named(s: Column) -> Column:
+        pairs = [(f"&{n};", ch) for n, ch in [*V.HTML_ENTITIES.items(), ("amp", "&")]]
+        table = F.expr("array(" + ", ".join(f"named_struct('n', {quoted([n])}, 'c', {quoted([ch])})" for n, ch in pairs) + ")")
+        return F.aggregate(table, s, lambda acc, e: F.replace(acc, e["n"], e["c"]))
+
+    def both(s: Column) -> Column:
+        plain = F.when(F.contains(s, F.lit("&#")), numeric(s)).otherwise(s)
+        return F.when(F.contains(s, F.lit("&")), named(plain)).otherwise(s)
+
+    return let(c, both)
 
 
 def drop_hidden(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +23,16 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def quoted(terms: Iterable[str]) -> str:
+    """SQL list of string literals."""
+    return ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
+
+
+def lits(terms: Iterable[str]) -> Column:
+    """Constant array of strings, parsed in one step."""
+    return F.expr(f"array({quoted(terms)})")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
@@ -51,11 +62,11 @@ def normalize_title(c: Column | str) -> Column:
 
 
 def contains_any(c: Column, terms: Iterable[str]) -> Column:
-    """Plain substring test, short-circuited inside generated code."""
-    out = F.lit(False)
-    for t in terms:
-        out = out | c.contains(t)
-    return out
+    """Plain substring test; the text is computed once, however many terms there are."""
+    terms = list(terms)
+    if len(terms) < 3:
+        return reduce(lambda a, b: a | b, [c.contains(t) for t in terms], F.lit(False))
+    return let(c, lambda v: F.exists(lits(terms), lambda t: F.contains(v, t)))
 
 
 def has_word(c: Column, terms: Iterable[str]) -> Column:
@@ -66,7 +77,7 @@ def has_word(c: Column, terms: Iterable[str]) -> Column:
 
 def found_terms(c: Column, terms: list[str]) -> Column:
     """The listed terms that occur in the text, in listed order."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t))
+    return let(c, lambda v: F.filter(lits(terms), lambda t: F.contains(v, t)))
 
 
 def words(c: Column | str) -> Column:
@@ -75,20 +86,18 @@ def words(c: Column | str) -> Column:
 
 def distinctive_tokens(c: Column | str) -> Column:
     """Distinct words over two letters that are not filler."""
-    return F.array_distinct(F.filter(words(c), lambda w: (F.length(w) > 2) & ~w.isin(V.GENERIC_TOKENS)))
+    return F.array_except(F.filter(words(c), lambda w: F.length(w) > 2), lits(V.GENERIC_TOKENS))
 
 
 def title_key(c: Column | str) -> Column:
     """Order-free title key; short titles fall back to all their words."""
-    strong = distinctive_tokens(c)
-    every = F.array_distinct(words(c))
-    return F.array_join(F.array_sort(F.when(F.size(strong) >= 2, strong).otherwise(every)), " ")
+    best = let(distinctive_tokens(c), lambda t: F.when(F.size(t) >= 2, t).otherwise(F.array_distinct(words(c))))
+    return F.array_join(F.array_sort(best), " ")
 
 
 def similarity_tokens(c: Column | str) -> Column:
     """Distinct words of the normalised title without stop words."""
-    parts = F.split(normalize_title(c), " ")
-    return F.array_distinct(F.filter(parts, lambda w: (w != "") & ~w.isin(V.STOP_WORDS)))
+    return F.array_except(F.split(normalize_title(c), " "), lits([*V.STOP_WORDS, ""]))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -104,29 +113,36 @@ def containment(claim: Column, page: Column) -> Column:
 
 def source_family(c: Column | str) -> Column:
     """Origin of a source: text before ':', '/' or '-' when that head has four letters."""
-    s = F.lower(F.trim(first_nonblank(c, F.lit("unknown"))))
-    out = s
-    for sep in ("-", "/", ":"):
-        head = F.substring_index(s, sep, 1)
-        out = F.when(s.contains(sep) & (F.length(head) >= 4), head).otherwise(out)
-    return out
+    def head_of(s: Column) -> Column:
+        out = s
+        for sep in ("-", "/", ":"):
+            head = F.substring_index(s, sep, 1)
+            out = F.when(F.contains(s, F.lit(sep)) & (F.length(head) >= 4), head).otherwise(out)
+        return out
+
+    return let(F.lower(F.trim(first_nonblank(c, F.lit("unknown")))), head_of)
 
 
 def source_trust(c: Column | str) -> Column:
     """Trust of a source: the longest listed key that occurs in it."""
-    s = F.lower(F.trim(text(c)))
-    out = F.lit(V.DEFAULT_TRUST)
-    for key, value in sorted(V.SOURCE_TRUST.items(), key=lambda kv: len(kv[0])):
-        out = F.when(s.contains(key), F.lit(value)).otherwise(out)
-    return out
+    def look_up(s: Column) -> Column:
+        keys = sorted(V.SOURCE_TRUST, key=lambda k: -len(k))   # stable: the first listed wins a tie
+        hit = F.get(F.filter(lits(keys), lambda k: F.contains(s, k)), F.lit(0))
+        values = F.expr("array(" + ", ".join(f"{V.SOURCE_TRUST[k]}D" for k in keys) + ")")
+        return F.when(hit.isNull(), F.lit(V.DEFAULT_TRUST)).otherwise(F.get(values, (F.array_position(lits(keys), hit) - 1).cast("int")))
+
+    return let(F.lower(F.trim(text(c))), look_up)
 
 
 def cascade(c: Column, rules: dict[str, list[str]], default: str) -> Column:
     """First rule with a matching term names the class."""
-    out = F.lit(default)
-    for name, terms in reversed(rules.items()):
-        out = F.when(contains_any(c, terms), F.lit(name)).otherwise(out)
-    return out
+    def pick(v: Column) -> Column:
+        out = F.lit(default)
+        for name, terms in reversed(rules.items()):
+            out = F.when(F.exists(lits(terms), lambda t: F.contains(v, t)), F.lit(name)).otherwise(out)
+        return out
+
+    return let(c, pick)
 
 
 def first_match(c: Column, patterns: list[str], group: int = 1) -> Column:
@@ -154,16 +170,14 @@ def clean_title(c: Column | str) -> Column:
 
 def plausible_title(c: Column | str) -> Column:
     """Eight characters, three letters in a row, no navigation word, no URL."""
-    s = text(c)
-    low = F.lower(s)
-    return ((F.length(s) >= 8) & ~low.isin(V.NAV_WORDS) & s.rlike("[A-Za-z]{3}")
-            & ~low.startswith("http") & ~low.startswith("www.") & ~low.startswith("data:"))
+    return let(text(c), lambda s: (
+        (F.length(s) >= 8) & ~F.lower(s).isin(V.NAV_WORDS) & s.rlike("[A-Za-z]{3}") & ~s.rlike(r"(?i)\A(http|www\.|data:)")))
 
 
 def news_announcement(title: Column, summary: Column) -> Column:
     """A strong term alone, or a weak term together with a call to apply."""
-    hay = F.lower(F.concat_ws(" ", text(title), text(summary)))
-    return contains_any(hay, V.STRONG_NEWS) | (contains_any(hay, V.WEAK_NEWS) & contains_any(hay, V.APPLY_SIGNALS))
+    return let(F.lower(F.concat_ws(" ", text(title), text(summary))), lambda hay: (
+        contains_any(hay, V.STRONG_NEWS) | (contains_any(hay, V.WEAK_NEWS) & contains_any(hay, V.APPLY_SIGNALS))))
 
 
 def deadline_in_text(c: Column | str) -> Column:
@@ -174,7 +188,7 @@ def reward_in_text(c: Column | str) -> Column:
     """First reward pattern whose value is shorter than 40 characters."""
     s = text(c)
     vals = [F.when(s.rlike(p), strip(F.regexp_extract(s, p, 1))) for p in V.REWARD_PATTERNS]
-    return F.coalesce(*[F.when(F.length(v) < 40, v) for v in vals])
+    return F.coalesce(*[let(v, lambda x: F.when(F.length(x) < 40, x)) for v in vals])
 
 
 def url_in_post(url: Column | str, body: Column | str) -> Column:

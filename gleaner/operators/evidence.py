@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import html, urls
 from ..functions import vocab as V
 from ..functions.dates import parse_published_date
-from ..functions.text import contains_any, found_terms, strip, text
+from ..functions.text import found_terms, lits, strip, text
 
 _LD = r"""(?is)<script[^>]+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 _NODE = "array<struct<path:array<int>,depth:int,node:string>>"
@@ -35,11 +35,12 @@ def _objects(json: Column, depth: Column) -> Column:
             .when(json.startswith("["), F.transform(
                 F.filter(_elements(json), lambda e: e.startswith("{")),
                 lambda e: F.struct((depth + 2).alias("depth"), e.alias("node"))))
-            .otherwise(F.array().cast("array<struct<depth:int,node:string>>")))
+            .otherwise(F.expr("cast(array() as array<struct<depth:int,node:string>>)")))
 
 
 def _children(parent: Column) -> Column:
-    found = F.concat(*[_objects(_get(parent["node"], k), parent["depth"]) for k in V.CHILD_KEYS])
+    values = F.transform(lits([f"$['{k}']" for k in V.CHILD_KEYS]), lambda path: F.call_function("get_json_object", parent["node"], path))
+    found = F.flatten(F.transform(F.array_compact(values), lambda v: _objects(v, parent["depth"])))
     return F.transform(found, lambda c, i: F.struct(
         F.concat(parent["path"], F.array(i)).alias("path"), c["depth"].alias("depth"), c["node"].alias("node")))
 
@@ -92,8 +93,8 @@ def structured_facts(captures: DataFrame, as_of: str) -> DataFrame:
     def read(n: Column) -> Column:
         node = n["node"]
         types = node_types(node)
-        event = F.arrays_overlap(types, F.array(*[F.lit(t) for t in V.EVENT_TYPES]))
-        posting = ~event & F.arrays_overlap(types, F.array(*[F.lit(t) for t in V.POSTING_TYPES]))
+        event = F.arrays_overlap(types, lits(V.EVENT_TYPES))
+        posting = ~event & F.arrays_overlap(types, lits(V.POSTING_TYPES))
 
         def day(key: str) -> Column:
             return parse_published_date(_first_text(_get(node, key)), as_of)
@@ -145,8 +146,7 @@ def page_facts(captures: DataFrame) -> DataFrame:
 
 def challenge_signals(facts: DataFrame) -> DataFrame:
     """Add the bot-check phrases of a page; body phrases count on thin pages only."""
-    title, og = F.lower("title"), F.lower("og_title")
-    in_title = F.filter(F.array(*[F.lit(p) for p in V.CHALLENGE_TITLES]), lambda p: F.contains(title, p) | F.contains(og, p))
+    in_title = found_terms(F.lower(F.concat_ws("\n", "title", "og_title")), V.CHALLENGE_TITLES)
     thin = F.length(F.trim("visible")) < V.THIN_PAGE_CHARS
     in_body = F.when(thin, found_terms(F.lower("visible"), V.CHALLENGE_BODIES)).otherwise(F.array().cast("array<string>"))
     return facts.withColumn("challenge", F.concat(in_title, in_body))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, first_nonblank, text
+from ..functions.text import contains_any, first_nonblank, found_terms, text
 from .ranking import numbered
 
 
@@ -150,7 +150,7 @@ def match_score(df: DataFrame, resume: str) -> DataFrame:
         return df.withColumn("score", F.lit(50).cast("bigint"))
     hay = _with_tags("name", "description", "location")
     hay = F.concat_ws(" ", hay, _hay("eligibility", "organizer"))
-    df = df.withColumn("_hits", F.filter(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(hay, k)))
+    df = df.withColumn("_hits", found_terms(hay, kws))
     tech = F.size(F.filter("_hits", lambda k: k.isin(V.RESUME_TECH))) * 1.5
     hits = F.size("_hits")
     raw = F.floor(hits / min(len(kws), 15) * 65 + tech * 5 + 45 + 0.5)

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocab as V
-from ..functions.text import SPACE, WORD, collapse, contains_any, first_nonblank, has_word, strip, text
+from ..functions.text import SPACE, WORD, collapse, contains_any, first_nonblank, has_word, let, lits, quoted, strip, text
 
 _MAX_WORDS = 3
 _EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -29,32 +29,32 @@ def clean_location(c: Column | str) -> Column:
 
 def word_runs(c: Column) -> Column:
     """All runs of one to three words; punctuation marks are words of their own."""
-    w = F.filter(F.split(F.regexp_replace(c, rf"([^{WORD} ])", " $1 "), " "), lambda x: x != "")
+    def runs(w: Column) -> Column:
+        def of(n: int) -> Column:
+            starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    def runs_of(n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.concat(w, *[of(n) for n in range(2, _MAX_WORDS + 1)])
 
-    return F.concat(w, *[runs_of(n) for n in range(2, _MAX_WORDS + 1)])
+    return let(F.filter(F.split(F.regexp_replace(c, rf"([^{WORD} ])", " $1 "), " "), lambda x: x != ""), runs)
 
 
-def _longest(runs: Column, terms: list[str]) -> Column:
-    hits = F.filter(runs, lambda g: g.isin(terms))
-    return F.array_min(F.transform(hits, lambda g: F.struct((-F.length(g)).alias("n"), g.alias("g"))))["g"]
+def _longest(runs: str, terms: list[str]) -> Column:
+    return F.expr(f"array_min(transform(filter({runs}, g -> g in ({quoted(terms)})), g -> named_struct('n', -length(g), 'g', g))).g")
 
 
-def home_place(runs: Column) -> Column:
-    """Home-country name, city or region in the text, '' when none."""
-    name = F.get(F.filter(F.array(*[F.lit(n) for n in V.HOME_NAMES]), lambda n: F.array_contains(runs, n)), F.lit(0))
+def home_place(runs: str) -> Column:
+    """Home-country name, city or region among the word runs, '' when none."""
+    name = F.expr(f"get(filter(array({quoted(V.HOME_NAMES)}), n -> array_contains({runs}, n)), 0)")
     return F.coalesce(name, _longest(runs, V.HOME_CITIES), _longest(runs, V.HOME_REGIONS), F.lit(""))
 
 
-def city_state_us(raw: Column) -> Column:
+def city_state_us(raw: str) -> Column:
     """'City, ST' names a US state; IN is Indiana unless the city is a home city."""
     codes = F.regexp_extract_all(raw, F.lit(rf",\s*([A-Z]{{2}})(?![{WORD}])"), F.lit(1))
-    city = F.trim(F.substring_index(F.lower(raw), ",", 1))
-    home = city.isin(V.HOME_CITIES) | contains_any(city, V.HOME_NAMES)
-    return F.exists(codes, lambda c: c.isin(V.US_STATE_CODES) & ((c != "IN") | ~home))
+    city = F.expr(f"trim(substring_index(lower({raw}), ',', 1))")
+    home = F.array_contains(lits(V.HOME_CITIES), city) | contains_any(city, V.HOME_NAMES)
+    return F.arrays_overlap(codes, lits([c for c in V.US_STATE_CODES if c != "IN"])) | (F.array_contains(codes, "IN") & ~home)
 
 
 def bare_country_code(raw: Column) -> Column:
@@ -68,14 +68,14 @@ def bare_country_code(raw: Column) -> Column:
     return code
 
 
-def listed_country(runs: Column, geo: Column) -> Column:
+def listed_country(runs: str, geo: str) -> Column:
     """First listed country one of whose words occurs, '' when none."""
     rank = {t: i for i, terms in enumerate(V.COUNTRY_TERMS.values()) for t in terms}
-    by_word = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
+    by_word = ", ".join(f"{quoted([t])}, {i}" for t, i in rank.items())
+    best = F.expr(f"array_min(transform(filter({runs}, g -> g in ({quoted(rank)})), g -> map({by_word})[g]))")
     dotted = rf"(?<![{WORD}])u\.s\.(?=[{WORD}])|(?<![{WORD}])u\.s\.a(?![{WORD}])"
-    hits = F.transform(F.filter(runs, lambda g: g.isin(list(rank))), lambda g: by_word[g])
-    best = F.when(geo.rlike(dotted), F.lit(0)).otherwise(F.array_min(hits))
-    return F.coalesce(F.get(F.array(*[F.lit(c) for c in V.COUNTRY_TERMS]), best), F.lit(""))
+    best = F.when(F.col(geo).rlike(dotted), F.lit(0)).otherwise(best)
+    return F.coalesce(F.get(lits(V.COUNTRY_TERMS), best), F.lit(""))
 
 
 def auth_restriction(c: Column) -> Column:
@@ -100,11 +100,11 @@ def classify_text(df: DataFrame, raw: Column, extra: Column) -> DataFrame:
     """Add ``loc``: raw, mode, country, city, is_home, is_global, label, signals."""
     df = df.withColumn("_raw", raw).withColumn("_geo", F.lower("_raw"))
     df = df.withColumn("_hay", F.trim(F.lower(F.concat_ws(" ", "_raw", extra)))).withColumn("_runs", word_runs(F.col("_geo")))
-    runs, geo, hay, rawc = F.col("_runs"), F.col("_geo"), F.col("_hay"), F.col("_raw")
-    us = city_state_us(rawc) | F.exists(runs, lambda g: g.isin(V.US_STATE_NAMES)) | F.exists(runs, lambda g: g.isin(V.US_CITIES))
-    listed = listed_country(runs, geo)
+    geo, hay, rawc = F.col("_geo"), F.col("_hay"), F.col("_raw")
+    us = city_state_us("_raw") | F.expr(f"exists(_runs, g -> g in ({quoted([*V.US_STATE_NAMES, *V.US_CITIES])}))")
+    listed = listed_country("_runs", "_geo")
     hybrid, remote, onsite = _mode_terms(hay)
-    df = df.select("*", home_place(runs).alias("_city"),
+    df = df.select("*", home_place("_runs").alias("_city"),
                    F.when(us, "US").when(listed != "", listed).otherwise(bare_country_code(rawc)).alias("_other"),
                    contains_any(geo, V.GLOBAL_TERMS).alias("_global"), hybrid.alias("_hybrid"),
                    (remote & ~onsite).alias("_remote"), onsite.alias("_onsite"), auth_restriction(hay).alias("_auth"))

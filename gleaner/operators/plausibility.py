@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocab as V
 from ..functions.dates import RANGE, as_date, lenient_date, latest_year, range_end
-from ..functions.text import WORD, contains_any, first_nonblank, let, normalize_title, strip, text
+from ..functions.text import WORD, contains_any, first_nonblank, let, lits, normalize_title, strip, text
 from ..functions.urls import canonical_url
 from .dedup import title_matches
 
@@ -98,16 +98,16 @@ def date_score(c: Column | str, as_of: str) -> tuple[Column, Column]:
 
 def content_words(name: Column) -> Column:
     found = F.regexp_extract_all(F.lower(name), F.lit(rf"(?<![{WORD}])([a-z]{{4,}})(?![{WORD}])"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda w: ~w.isin(V.CONTENT_GENERIC)))
+    return F.array_except(found, lits(V.CONTENT_GENERIC))
 
 
 def content_score(df: DataFrame, url_points: Column) -> tuple[Column, Column]:
     """Whether the target page mentions a word of the title."""
     url, name = first_nonblank(_field(df, "application_link"), _field(df, "url")), _field(df, "name")
-    words, page = content_words(name), F.lower(F.col("p_body"))
+    words = content_words(name)
     capped = F.col("probe_rank").isNull() | (F.col("probe_rank") >= V.PROBE_CAP)
     read = F.col("p_status") < 400
-    hit = F.exists(words, lambda w: F.contains(page, w))
+    hit = let(F.lower(F.col("p_body")), lambda page: F.exists(words, lambda w: F.contains(page, w)))
     code = (F.when(url_points < 0.5, "neutral").when(~url.startswith("http") | (name == ""), "neutral").when(capped, "capped")
             .when(F.size(words) < 2, "thin").when(~F.coalesce(read, F.lit(False)), "neutral").when(hit, "hit").otherwise("miss"))
     score = (F.when(code == "capped", 0.7).when(code == "thin", 0.6).when(code == "hit", 1.0).when(code == "miss", 0.3).otherwise(0.5))

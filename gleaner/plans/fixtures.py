@@ -246,18 +246,21 @@ def with_views(body: str) -> str:
 class Inputs:
     """The given tables and the fixture views of one data folder."""
 
+    _opened: dict[tuple[str, str, str], DataFrame] = {}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name in VIEWS:
-            return self.sql(VIEWS[name])
-        raise AttributeError(name)
-
-    def sql(self, body: str) -> DataFrame:
-        for name in TABLES + list(VIEWS):
-            if re.search(rf"\b{name}\b", body):
-                getattr(self, name).createOrReplaceTempView(name)
-        return self.spark.sql(body)
+        if name not in TABLES and name not in VIEWS:
+            raise AttributeError(name)
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in self._opened:
+            if name in TABLES:
+                self._opened[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            else:
+                for used in re.findall(r"(?:from|join) (\w+)", VIEWS[name]):
+                    if used in TABLES or used in VIEWS:
+                        getattr(self, used).createOrReplaceTempView(used)
+                self._opened[key] = self.spark.sql(VIEWS[name])
+        return self._opened[key]

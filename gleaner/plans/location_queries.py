@@ -88,7 +88,7 @@ def _(t):
        f"or (regexp_matches(raw, ',\\s*IN\\b') and not list_contains({D.lst(V.HOME_CITIES)}, trim(split_part(lower(raw), ',', 1)))) as is_us from texts")
 def _(t):
     raw = L.clean_location(F.when(F.trim("location") != "", F.trim("location")).otherwise(F.trim("mode")))
-    return t.opp.select("seq", L.city_state_us(raw).alias("is_us"))
+    return t.opp.withColumn("raw", raw).select("seq", L.city_state_us("raw").alias("is_us"))
 
 
 @query("bare_country_code", f"select seq, {_bare(_clean('location'))} as code from opp")

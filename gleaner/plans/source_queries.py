@@ -274,4 +274,4 @@ def _(t):
     from ..sources.seed import seed_records
     both = t.opp.select("category", "status", F.lit(0).alias("s")).unionByName(seed_records(t.spark).select("category", "status", F.lit(1).alias("s")))
     return both.where("category = 'hackathons'").groupBy("category").agg(
-        F.count_if("s = 0").alias("n"), F.count_if("s = 0 and status in ('open', 'coming-soon')").alias("n_active"), F.sum("s").cast("bigint").alias("seeded"))
+        F.count_if(F.expr("s = 0")).alias("n"), F.count_if(F.expr("s = 0 and status in ('open', 'coming-soon')")).alias("n_active"), F.sum("s").cast("bigint").alias("seeded"))

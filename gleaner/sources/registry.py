@@ -91,9 +91,9 @@ def route(captures: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     def order(df: DataFrame) -> DataFrame:
         """Arrival number: capture, then section, table and row inside it."""
-        table = F.col("table") if "table" in df.columns else F.lit(0)
+        table = F.col("table").cast("bigint") if "table" in df.columns else F.lit(0).cast("bigint")
         section = F.when(F.col("category") == "competitions", 1).when(F.col("category") == "fellowships", 2).otherwise(0) if "_section" in df.columns else F.lit(0)
-        return df.withColumn("seq", F.col("capture_id") * (1 << 32) + section * (1 << 30) + table * (1 << 20) + F.col("pos"))
+        return df.withColumn("seq", F.col("capture_id").cast("bigint") * (1 << 32) + section.cast("bigint") * (1 << 30) + table * (1 << 20) + F.col("pos"))
 
     wide = [order(p) for p in parts]
     cols = ["origin", *OPPORTUNITY.names]

@@ -59,7 +59,7 @@ def connect(folder):
 def session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
