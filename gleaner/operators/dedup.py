@@ -94,9 +94,13 @@ def _drop_known(claims: DataFrame, known: DataFrame, threshold: float) -> DataFr
     return claims.join(hit.unionByName(close).distinct(), "item", "left_anti")
 
 
-def greedy_dropped(claims: DataFrame, known: DataFrame | None = None, threshold: float = V.JACCARD) -> DataFrame:
-    """Items that the sequential rule drops, one column ``item``."""
-    claims = materialize(claims.select("item", "rank", "key", "side", "tokens"), "claims")
+def greedy_dropped(claims: DataFrame, known: DataFrame | None = None, threshold: float = V.JACCARD, written: bool = False) -> DataFrame:
+    """Items that the sequential rule drops, one column ``item``.
+
+    ``written`` says that ``claims`` is read from a table already.
+    """
+    if not written:
+        claims = materialize(claims.select("item", "rank", "key", "side", "tokens"), "claims")
     live = claims if known is None else materialize(_drop_known(claims, known, threshold), "unseeded")
     lost = [claims.select("item").distinct().join(live.select("item").distinct(), "item", "left_anti")] if known is not None else []
     live = materialize(_contested(live), "contested")
@@ -181,12 +185,12 @@ def _subsets(words: Column, leave_out: Column) -> Column:
 
 def _exact_keys(scope: Column, words: Column, t: float) -> Column:
     """Array of (key, side) for sets of up to EXACT words."""
-    plans = {}
+    plans = []
     for n in range(1, EXACT + 1):
-        plans[n] = [(m, n - shared) for m, shared in _partner_sizes(n, t) if m <= EXACT]
+        rows = ", ".join(f"named_struct('m', {m}, 'd', {n - shared})" for m, shared in _partner_sizes(n, t) if m <= EXACT)
+        plans.append(f"array({rows})")
     n = F.size(words)
-    plan = F.create_map(*[x for size, rows in plans.items() for x in (
-        F.lit(size), F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in rows]))])
+    plan = F.get(F.expr(f"array({', '.join(plans)})"), n - 1)
 
     def keys(p: Column) -> Column:
         side = F.when(p["m"] > n, "a").when(p["m"] < n, "b").otherwise("s")
@@ -194,7 +198,7 @@ def _exact_keys(scope: Column, words: Column, t: float) -> Column:
         return F.transform(_subsets(words, p["d"]), lambda s: F.struct(
             F.md5(F.concat_ws("\x1f", scope, sizes, s)).alias("key"), side.alias("side")))
 
-    return F.when((n >= 1) & (n <= EXACT), F.flatten(F.transform(plan[n], keys)))
+    return F.when((n >= 1) & (n <= EXACT), F.flatten(F.transform(plan, keys)))
 
 
 def _loose_keys(scope: Column, words: Column, t: float) -> Column:
@@ -257,7 +261,7 @@ def title_matches(existing: DataFrame | None, incoming: DataFrame, threshold: fl
     claims = materialize(similarity_claims(sets.where(F.col("item").isNotNull()).select("item", "rank", "scope", "words"), threshold), "title-claims")
     known = materialize(similarity_claims(known, threshold), "known-claims")
     playing = claims.where(F.col("rank").isNotNull())
-    dropped = materialize(greedy_dropped(playing, known, threshold).distinct(), "dropped-sets")
+    dropped = materialize(greedy_dropped(playing, known, threshold, written=True).distinct(), "dropped-sets")
     kept = playing.join(dropped, "item", "left_anti").unionByName(known)
     asking = claims.where(F.col("rank").isNull()).unionByName(claims.join(dropped, "item", "left_semi"))
     partner = earliest_kept(kept, asking, threshold)

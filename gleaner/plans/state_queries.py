@@ -67,6 +67,15 @@ def _(t):
     return _text(read_state(t.spark, root, LEDGER))
 
 
+@query("sink_ledger", f"with {SEED} select count(*) as record_count, 2 as version, '{NOW}' as updated_at from seed where last_checked >= timestamp '{NOW}' - interval 180 day")
+def _(t):
+    from ..schema import LEDGER
+    from ..sources.tables import publish, read_state, state_meta
+    root = _scratch(t, "ledger")
+    publish(S.ledger_prune(_ledger(t), NOW), root, "1")
+    return state_meta(read_state(t.spark, root, LEDGER), NOW)
+
+
 @query("ledger_prune", f"with {SEED} select {_LCOLS} from seed where last_checked >= timestamp '{NOW}' - interval 20 day")
 def _(t):
     return _text(S.ledger_prune(_ledger(t), NOW, days=20))
@@ -172,6 +181,15 @@ def _(t):
     return S.quarantine_stats(_queue(t)[0])
 
 
+@query("sink_quarantine", f"""with {HELD}, r as (select *, row_number() over (partition by category order by fp) as rk from queue where attempts > 0)
+select count(*) as record_count, 2 as version, '{NOW}' as updated_at from r where rk <= 500""")
+def _(t):
+    from ..sources.tables import publish, read_state, state_meta
+    root = _scratch(t, "quarantine")
+    publish(S.quarantine_cap(_queue(t)[0]), root, "1")
+    return state_meta(read_state(t.spark, root, _empty_queue(t).schema), NOW)
+
+
 @query("scan_quarantine", f"with {HELD} select category, fp, attempts, name from queue where attempts > 0")
 def _(t):
     from ..sources.tables import publish, read_state

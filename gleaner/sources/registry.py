@@ -37,8 +37,9 @@ def union_sources(captures: DataFrame, sources: dict[str, tuple[str | None, Call
     for rank, (name, (category, fn)) in enumerate((sources or registered()).items()):
         try:
             rows = fn(captures)
-            local = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
-            rows = rows.withColumn("seq", local + rank * _STRIDE)
+            if "seq" not in rows.columns:
+                raise ValueError("a source must give its records an order (seq)")
+            rows = rows.withColumn("seq", F.col("seq").cast("bigint") + rank * _STRIDE)
             if category:
                 rows = rows.withColumn("category", F.lit(category))
             parts.append(conform(rows).withColumn("origin", F.lit(name)))
