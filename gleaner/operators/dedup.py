@@ -18,7 +18,7 @@ needs the smallest order number per key and side.  Columns of a claim:
 Similar titles become equal keys.  Sets a and b have Jaccard >= t exactly when
 they share ceil(t/(1+t) * (|a|+|b|)) words, so each set claims its subsets of
 that size (it leaves out at most two words up to EXACT words).  Longer titles
-claim triples of their prefix words (prefix filter) and are verified.
+claim parts of their prefix words (prefix filter) and are verified.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from ..functions.text import collapse, jaccard, let, normalize_name, similarity_
 from ..functions.urls import merge_link
 from ..session import materialize
 
-EXACT = 14            # longest title whose keys decide without verification
+EXACT = 17            # longest title whose keys decide without verification
+MIDDLE = 23           # longest title whose suggestive keys leave out three words at most
 HOT_ROWS = 100_000    # a key with more claims is spread over SALTS tasks
 MAX_HOT_KEYS = 10_000
 SALTS = 64
@@ -172,15 +173,20 @@ def _partner_sizes(n: int, t: float) -> list[tuple[int, int]]:
 
 
 def _subsets(words: Column, leave_out: Column) -> Column:
-    """The word set without none, one or two of its words, as joined strings."""
-    def without(i: Column, j: Column) -> Column:
-        return F.array_join(F.filter(words, lambda w, k: (k != i) & (k != j)), " ")
-
+    """The words without none, one, two or three of them, as joined strings."""
     n = F.size(words)
-    index = F.sequence(F.lit(0), n - 1)
-    two = F.flatten(F.transform(F.slice(index, 1, n - 1), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: without(i, j))))
+
+    def after(i: Column) -> Column:
+        return F.when(i + 1 < n, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def without(i: Column, j: Column, h: Column) -> Column:
+        return F.array_join(F.filter(words, lambda w, k: (k != i) & (k != j) & (k != h)), " ")
+
+    first = after(F.lit(-1))
+    two = F.flatten(F.transform(first, lambda i: F.transform(after(i), lambda j: without(i, j, j))))
+    three = F.flatten(F.transform(first, lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda h: without(i, j, h))))))
     return (F.when(leave_out == 0, F.array(F.array_join(words, " ")))
-            .when(leave_out == 1, F.transform(index, lambda i: without(i, i))).otherwise(two))
+            .when(leave_out == 1, F.transform(first, lambda i: without(i, i, i))).when(leave_out == 2, two).otherwise(three))
 
 
 def _exact_keys(scope: Column, words: Column, t: float) -> Column:
@@ -202,10 +208,21 @@ def _exact_keys(scope: Column, words: Column, t: float) -> Column:
 
 
 def _loose_keys(scope: Column, words: Column, t: float) -> Column:
-    """Triples of prefix words; long words first, as they are the rarer ones."""
+    """Suggestive keys of long titles from their prefix words, long words first.
+
+    Two similar sets share k of their first n - ceil(t n) + k words, whatever
+    the fixed word order.  Six shared words up to MIDDLE words keep unrelated
+    titles apart; longer titles use three.  Sizes near a border use both.
+    """
     n = F.size(words)
-    ordered = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s["w"])
-    prefix = F.slice(ordered, 1, F.greatest(F.least(n, n - F.ceil(n * t - 1e-9).cast("int") + 3), F.lit(1)))
+    spare = (n - F.ceil(n * t - 1e-9)).cast("int")
+
+    def prefix(k: int) -> Column:
+        ordered = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s["w"])
+        return F.slice(ordered, 1, F.greatest(F.least(n, spare + k), F.lit(1)))
+
+    def keys(kind: str, parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.struct(F.md5(F.concat_ws("\x1f", scope, F.lit(kind), p)).alias("key"), F.lit("s").alias("side")))
 
     def later(k: Column, i: Column) -> Column:
         return F.when(i + 1 < k, F.sequence(i + 1, k - 1)).otherwise(F.array().cast("array<int>"))
@@ -213,11 +230,13 @@ def _loose_keys(scope: Column, words: Column, t: float) -> Column:
     def triples(p: Column) -> Column:
         k = F.size(p)
         return F.flatten(F.transform(later(k, F.lit(-1)), lambda i: F.flatten(F.transform(later(k, i), lambda j: F.transform(
-            later(k, j), lambda h: F.struct(
-                F.md5(F.concat_ws("\x1f", scope, F.lit("long"), F.get(p, i), F.get(p, j), F.get(p, h))).alias("key"),
-                F.lit("s").alias("side")))))))
+            later(k, j), lambda h: F.concat_ws(" ", F.get(p, i), F.get(p, j), F.get(p, h)))))))
 
-    return F.when(n >= math.ceil(t * (EXACT + 1) - 1e-9), let(prefix, triples))
+    none = F.array().cast("array<struct<key:string,side:string>>")
+    middle = (n >= math.ceil(t * (EXACT + 1) - 1e-9)) & (n <= MIDDLE)
+    longest = n >= math.ceil(t * (MIDDLE + 1) - 1e-9)
+    return F.concat(F.when(middle, keys("six", let(prefix(6), lambda p: _subsets(p, spare)))).otherwise(none),
+                    F.when(longest, keys("three", let(prefix(3), triples))).otherwise(none))
 
 
 def similarity_claims(df: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
