@@ -15,6 +15,7 @@ from ..functions import vocab as V
 from ..functions.dates import as_date, day, parse_claimed_date
 from ..functions.text import containment, distinctive_tokens, source_family, source_trust, strip, text, title_key
 from ..functions.urls import canonical_url, path_depth, primary_url, url_domain
+from .joins import lookup
 
 FINDING = "struct<code:string,severity:string,detail:string,fix_field:string,fix_value:string>"
 _LINKS = ("application_link", "url", "website", "link")
@@ -49,7 +50,7 @@ def corroboration_index(*groups: DataFrame) -> DataFrame:
 
 def corroborate(df: DataFrame, index: DataFrame) -> DataFrame:
     """Add ``corroboration``, at least 1."""
-    return (df.withColumn("_key", title_key("name")).join(index.withColumnRenamed("key", "_key"), "_key", "left")
+    return (lookup(df.withColumn("_key", title_key("name")), index.withColumnRenamed("key", "_key"), ["_key"])
             .withColumn("corroboration", F.greatest(F.lit(1), F.coalesce("families", F.lit(1))).cast("bigint")).drop("_key", "families"))
 
 
@@ -58,7 +59,7 @@ def attach_evidence(df: DataFrame, evidence: DataFrame) -> DataFrame:
     df = df.withColumn("_url", primary_url(*[_has(df, c) for c in _LINKS]))
     df = df.withColumn("_key", F.when(F.col("_url") != "", canonical_url("_url")))
     side = evidence.select(F.col("key").alias("_key"), F.struct(*[c for c in evidence.columns if c != "key"]).alias("ev"))
-    out = df.join(side, "_key", "left")
+    out = lookup(df, side, ["_key"])
     error = (F.when(F.col("_url") == "", "no_url").when(F.col("ev").isNull(), "not_captured").otherwise(F.col("ev.error")))
     return out.withColumn("ev_ok", F.coalesce("ev.ok", F.lit(False))).withColumn("ev_error", error).drop("_key", "_url")
 

@@ -31,6 +31,7 @@ from ..functions import vocab as V
 from ..functions.text import collapse, jaccard, let, normalize_name, similarity_tokens, normalize_title, text
 from ..functions.urls import merge_link
 from ..session import materialize
+from .joins import lookup
 
 EXACT = 17            # longest title whose keys decide without verification
 MIDDLE = 23           # longest title whose suggestive keys leave out three words at most
@@ -287,7 +288,7 @@ def title_matches(existing: DataFrame | None, incoming: DataFrame, threshold: fl
     verdict = materialize(sets.where(F.col("item").isNotNull()).join(partner, "item", "left"), "title-verdicts")
     # a set without partner was kept through its first eligible row
     earliest = F.coalesce("kept", "rank")
-    return (rows.where(~F.col("short")).select("seq", "scope", "words").join(verdict, ["scope", "words"])
+    return (lookup(rows.where(~F.col("short")).select("seq", "scope", "words"), verdict, ["scope", "words"], how="inner")
             .select("seq", earliest.alias("kept")).where(F.col("kept") < F.col("seq")))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import vocab as V
 from ..functions.text import text
 from ..functions.urls import fingerprint
+from .joins import lookup
 
 _OPTIONAL = {"evidence": "string", "evidence_hash": "string", "trust": "double", "corroboration": "bigint",
              "corrections": "map<string,string>", "permanent": "boolean", "reasons": "array<string>",
@@ -79,21 +80,21 @@ def ledger_prune(ledger: DataFrame, now: str, days: int = V.RETENTION_DAYS) -> D
 def ledger_lookup(df: DataFrame, ledger: DataFrame) -> DataFrame:
     """Add decision and number of attempts known for each record."""
     side = ledger.select("fp", F.col("decision").alias("known_decision"), F.col("attempts").alias("known_attempts"))
-    return (with_fingerprint(df).join(side, "fp", "left")
+    return (lookup(with_fingerprint(df), side, ["fp"])
             .withColumn("known_attempts", F.coalesce("known_attempts", F.lit(0)).cast("bigint")))
 
 
 def suppress_retired(df: DataFrame, ledger: DataFrame) -> DataFrame:
     """Leave out records that were rejected for good."""
     retired = ledger.where((F.col("decision") == "reject") & F.col("permanent")).select("fp")
-    return with_fingerprint(df).join(retired, "fp", "left_anti")
+    return lookup(with_fingerprint(df), retired, ["fp"], how="left_anti")
 
 
 def recheck_due(df: DataFrame, ledger: DataFrame, now: str, hours: int = V.RECHECK_HOURS) -> DataFrame:
     """Add ``due``: false while an acceptance is younger than ``hours``."""
     side = ledger.where(F.col("decision") == "accept").select("fp", "last_checked")
     fresh = F.col("last_checked") > now_col(now) - timedelta(hours=hours)
-    return (with_fingerprint(df).join(side, "fp", "left").withColumn("due", ~F.coalesce(fresh, F.lit(False))).drop("last_checked"))
+    return (lookup(with_fingerprint(df), side, ["fp"]).withColumn("due", ~F.coalesce(fresh, F.lit(False))).drop("last_checked"))
 
 
 def ledger_stats(ledger: DataFrame) -> DataFrame:

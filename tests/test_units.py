@@ -116,3 +116,28 @@ def test_upcoming_days(spark):
     rows = [("open", "2026-09-08"), ("open", "2026-09-04"), ("open", "2026-09-02"), ("open", "2026-09-03"), ("closed", "2026-09-02"), ("open", "check 2026-09-02")]
     df = spark.createDataFrame(rows, "status string, deadline string")
     assert sorted(r["days_left"] for r in reminders.upcoming_deadlines(df, AS_OF).collect()) == [1, 3, 7]
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
+def test_lookup_with_hot_and_missing_keys(spark, monkeypatch, how):
+    from gleaner.operators import joins
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    left = spark.range(60).select(F.col("id").alias("seq"), F.when(F.col("id") < 30, "hot").when(F.col("id") < 40, F.concat(F.lit("k"), "id")).alias("key"))
+    right = spark.createDataFrame([("hot", 1), ("k31", 2), ("unused", 3)], "key string, v int")
+    want = sorted(map(str, left.join(right, "key", how).select("seq", *([] if how == "left_anti" else ["v"])).collect()))
+    got = joins.lookup(left, right, ["key"], how=how)
+    assert sorted(map(str, got.select("seq", *([] if how == "left_anti" else ["v"])).collect())) == want
+
+
+def test_routing_by_catalogue(spark):
+    """Parsers by catalogue entry, disabled entries skipped, duplicates dropped."""
+    from gleaner.sources.registry import route
+    feed = "<rss><item><title>Harbour hackathon opens</title><link>https://f.io/1</link></item><item><title>Plain company news</title><link>https://f.io/2</link></item></rss>"
+    table = "| Name | Link |\n|---|---|\n| Alpha Program | https://a.io/1 |\n| Alpha  program | https://a.io/2 |\n"
+    caps = spark.createDataFrame([(1, "t", table), (2, "l", "- [Beta Fellows](https://b.io/1) - paid\n"), (3, "f", feed), (4, "x", table)],
+                                 "capture_id bigint, url string, body string")
+    cat = spark.createDataFrame([("T", "t", "markdown_table", "open-source-programs", None, None, True), ("L", "l", "markdown_list", "fellowships", None, None, True),
+                                 ("F", "f", "feed", "hackathons", 30, "keywords", True), ("X", "x", "markdown_table", "jobs", None, None, False)],
+                                "name string, url string, parser string, category string, limit int, filter string, enabled boolean")
+    assert {(r["origin"], r["category"], r["name"]) for r in route(caps, cat).collect()} == {
+        ("T", "open-source-programs", "Alpha Program"), ("L", "fellowships", "Beta Fellows"), ("F", "hackathons", "Harbour hackathon opens")}
