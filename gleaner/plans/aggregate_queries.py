@@ -17,11 +17,11 @@ def _(t):
     return t.opp.rollup("category").agg(F.count("*").alias("n")).withColumn("category", F.coalesce("category", F.lit("(all)")))
 
 
-@query("union_append", "select seq, name, 'incoming' as part from opp where seq % 3 <> 0 union all select seq, name, 'existing' from opp where seq % 3 = 0")
+@query("union_append", "select seq, name, 'incoming' as part from opp where batch <> 0 union all select seq, name, 'existing' from opp where batch = 0")
 def _(t):
     opp = t.opp
-    return (opp.where("seq % 3 = 0").select("seq", "name", F.lit("existing").alias("part"))
-            .unionByName(opp.where("seq % 3 <> 0").select("seq", "name", F.lit("incoming").alias("part"))))
+    return (opp.where("batch = 0").select("seq", "name", F.lit("existing").alias("part"))
+            .unionByName(opp.where("batch <> 0").select("seq", "name", F.lit("incoming").alias("part"))))
 
 
 @query("source_counts", f"select {D.family('source')} as family, category, count(*) as n from opp group by all")
@@ -33,7 +33,7 @@ def _(t):
 def _run(t):
     from .run import batch_run, empty_ledger, empty_queue
     pages = t.opp_pages
-    return batch_run(pages.where("seq % 7 = 0"), pages.where("seq % 7 <> 0"), t.captures_all,
+    return batch_run(pages.where("batch = 0"), pages.where("batch <> 0"), t.captures_all,
                      empty_ledger(t.spark), empty_queue(t.spark), AS_OF, NOW)
 
 

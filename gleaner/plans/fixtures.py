@@ -1,7 +1,9 @@
 """Record views derived from the given tables.
 
 Every text runs unchanged in Spark SQL and in DuckDB, so a query and its check
-start from the same rows.  The fixed date of all of them is AS_OF.
+start from the same rows.  The fixed date of all of them is AS_OF.  A column
+``batch`` names the delivery of a record: some deliveries make up the existing
+snapshot and the others arrive, so that both together are the whole table.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 VIEWS: dict[str, str] = {}
 
 VIEWS["opp"] = """
-select doc_id as seq,
+select doc_id as seq, cast(doc_id % 3 as int) as batch,
   case when doc_id % 2 = 0 then 'id-' || cast(doc_id as string) else '' end as id,
   case when doc_id % 11 = 5 then 'open-source-programs' when doc_id % 11 = 6 then 'fellowships'
     else case doc_id % 4 when 0 then 'hackathons' when 1 then 'internships' when 2 then 'jobs' else 'competitions' end end as category,
@@ -76,7 +78,7 @@ select doc_id as seq, lang as category, regexp_extract(replace(text, chr(10), '
 """
 
 VIEWS["opp_pages"] = """
-select page_id as seq,
+select page_id as seq, cast(page_id % 7 as int) as batch,
   case when page_id % 5 = 0 then 'Unrelated distinctive listing ' || cast(page_id as string)
        else trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) end as name,
   case page_id % 4 when 0 then 'hackathons' when 1 then 'internships' when 2 then 'jobs' else 'competitions' end as category,

@@ -11,7 +11,7 @@ from .registry import query
 
 # The sequential rule, row by row: kept names and links travel with the recursion.
 MERGE = f"""recursive
-keyed as (select *, seq % 3 = 0 as known, {D.norm_name('name')} as nk, rtrim(trim(application_link), '/') as lk from opp),
+keyed as (select *, batch = 0 as known, {D.norm_name('name')} as nk, rtrim(trim(application_link), '/') as lk from opp),
 inc as (select *, row_number() over (order by seq) as rn from keyed where not known),
 old as (select category, list(category || '|' || nk) as ns, list(category || '|' || lk) as ls from keyed where known group by category),
 start as (select flatten(list(ns)) as ns, flatten(list(ls)) as ls from old),
@@ -26,7 +26,7 @@ walk(rn, ns, ls, seq, kept) as (
 
 def _split(df):
     """Existing snapshot and incoming batch; together they are the whole table."""
-    return df.where("seq % 3 = 0"), df.where("seq % 3 <> 0")
+    return df.where("batch = 0"), df.where("batch <> 0")
 
 
 @query("merge_dedup", f"with {MERGE} select seq from walk where kept and seq >= 0")
@@ -107,7 +107,7 @@ scored as (select *, {_SCHEMA} as s_schema, {_DATE} as s_date, {_SPAM} as s_spam
   case when s_url < 0.5 or application_link not like 'http%' or name = '' then 0.5 when probe_rank is null or probe_rank >= 20 then 0.7 when len(cw) < 2 then 0.6
     when st is null or st >= 400 then 0.5 when len(list_filter(cw, lambda w: contains(lower(body), w))) > 0 then 1.0 else 0.3 end::double as s_content from urled)"""
 L1 = _best("opp_pages") + _L1_REST
-L1_BATCH = "batch as (select * from opp_pages where seq % 7 <> 0),\n" + _best("batch") + _L1_REST
+L1_BATCH = "batch as (select * from opp_pages where batch <> 0),\n" + _best("batch") + _L1_REST
 
 
 @query("l1_schema", f"select seq, round({_SCHEMA}, 6) as score from opp")
@@ -150,7 +150,7 @@ def _total(f):
 
 
 VERIFY = f"""recursive {L1_BATCH},
-old as (select category, list_sort({D.sim_tokens('name')}) as ws from opp_pages where seq % 7 = 0),
+old as (select category, list_sort({D.sim_tokens('name')}) as ws from opp_pages where batch = 0),
 toks as (select *, list_sort({D.sim_tokens('name')}) as ws, length({D.norm_title('name')}) as len from scored),
 alone as (select *, case when len < 5 then 0.5::double else 1.0::double end as f1 from toks),
 inc as (select *, {_total('f1')} >= 0.3 as eligible, row_number() over (order by seq) as rn from alone),
@@ -169,7 +169,7 @@ verified as (select *, case when total < 0.3 then 'reject' when total < 0.6 then
 
 def _verified(t):
     df = t.opp_pages
-    return P.verify(df.where("seq % 7 <> 0"), df.where("seq % 7 = 0"), t.captures_all, AS_OF)
+    return P.verify(df.where("batch <> 0"), df.where("batch = 0"), t.captures_all, AS_OF)
 
 
 @query("l1_verify", f"with {VERIFY} select seq, category, round(total, 6) as total, outcome, s_fuzzy from verified")

@@ -86,7 +86,7 @@ def _(t):
     return S.ledger_stats(_ledger(t))
 
 
-# A ledger over records: what earlier runs decided about every tenth name.
+# A ledger over records: what earlier runs decided outside one category.
 RECORDS = f"""book as (select {D.fingerprint()} as fp, arg_max(case status when 'closed' then 'reject' when 'open' then 'accept' else 'quarantine' end, seq) as decision,
   arg_max(timestamp '2024-01-28' + to_hours(cast(seq % 120 as int)), seq) as last_checked, count(*) as attempts from opp where category <> 'jobs' group by 1)"""
 
@@ -202,8 +202,8 @@ def _(t):
 
 # Three proposed snapshots, one per kind of category:
 #   jobs lose a fifth, hackathons lose their links, the others grow.
-AFTER = """before_t as (select *, false as is_new from opp where seq % 3 <> 2),
-added_t as (select *, true as is_new from opp where seq % 3 = 2 and category <> 'jobs'),
+AFTER = """before_t as (select *, false as is_new from opp where batch <> 2),
+added_t as (select *, true as is_new from opp where batch = 2 and category <> 'jobs'),
 after_t as (select * replace (case when category = 'hackathons' and seq % 2 = 0 then '' else application_link end as application_link, case when category = 'hackathons' then '' else website end as website,
   case when category = 'hackathons' then '' else url end as url, case when category = 'hackathons' then '' else link end as link)
   from (select * from before_t where category <> 'jobs' or seq % 5 <> 0 union all select * from added_t))"""
@@ -211,8 +211,8 @@ after_t as (select * replace (case when category = 'hackathons' and seq % 2 = 0
 
 def _snapshots(t):
     opp = t.opp
-    before = opp.where("seq % 3 <> 2")
-    added = opp.where("seq % 3 = 2 and category <> 'jobs'")
+    before = opp.where("batch <> 2")
+    added = opp.where("batch = 2 and category <> 'jobs'")
     after = before.where("category <> 'jobs' or seq % 5 <> 0").unionByName(added)
     hack = F.col("category") == "hackathons"
     after = after.withColumns({"application_link": F.when(hack & (F.col("seq") % 2 == 0), "").otherwise(F.col("application_link")),
