@@ -119,10 +119,10 @@ def structured_facts(captures: DataFrame, as_of: str) -> DataFrame:
         return F.coalesce(value, F.lit("")) if blank else value
 
     df = with_nodes(captures).withColumn("_facts", F.transform("nodes", read))
-    return (df.withColumn("jsonld_name", first("name", True)).withColumn("start_date", first("start", False))
-            .withColumn("end_date", first("end", False)).withColumn("valid_through", first("through", False))
-            .withColumn("ld_organizer", first("organizer", True)).withColumn("prize_text", first("prize", True))
-            .withColumn("called_off", text(first("called_off", False))).drop("_facts", "nodes"))
+    return df.withColumns({
+        "jsonld_name": first("name", True), "start_date": first("start", False), "end_date": first("end", False),
+        "valid_through": first("through", False), "ld_organizer": first("organizer", True), "prize_text": first("prize", True),
+        "called_off": text(first("called_off", False))}).drop("_facts", "nodes")
 
 
 # ---- page facts ----------------------------------------------------------
@@ -130,7 +130,7 @@ def structured_facts(captures: DataFrame, as_of: str) -> DataFrame:
 def page_facts(captures: DataFrame) -> DataFrame:
     """Add title, og_title, meta_description, site_name and the visible text."""
     body = text("body")
-    df = captures.withColumn("_meta", html.meta_pairs(body)).withColumn("visible", html.visible_text(body))
+    df = captures.withColumns({"_meta": html.meta_pairs(body), "visible": html.visible_text(body)})
     meta = F.col("_meta")
 
     def pick(*keys: str) -> Column:
@@ -138,10 +138,9 @@ def page_facts(captures: DataFrame) -> DataFrame:
 
     title = html.clean_text(html.element_text(body, "title"))
     heading = html.clean_text(F.regexp_replace(html.element_text(body, "h1"), r"<[^>]+>", " "))
-    return (df.withColumn("title", F.when(title != "", title).otherwise(heading))
-            .withColumn("og_title", pick("og:title", "twitter:title"))
-            .withColumn("meta_description", pick("og:description", "twitter:description", "description"))
-            .withColumn("site_name", pick("og:site_name")).drop("_meta"))
+    return df.withColumns({
+        "title": F.coalesce(F.nullif(title, F.lit("")), heading), "og_title": pick("og:title", "twitter:title"),
+        "meta_description": pick("og:description", "twitter:description", "description"), "site_name": pick("og:site_name")}).drop("_meta")
 
 
 def challenge_signals(facts: DataFrame) -> DataFrame:
@@ -154,8 +153,8 @@ def challenge_signals(facts: DataFrame) -> DataFrame:
 
 def page_signals(facts: DataFrame) -> DataFrame:
     """Add closure phrases of the visible text and dead-page phrases of the title."""
-    return (facts.withColumn("closed_signals", F.slice(found_terms(F.lower("visible"), V.CLOSED_PHRASES), 1, 4))
-            .withColumn("rot_signals", F.slice(found_terms(F.lower("title"), V.ROT_PHRASES), 1, 3)))
+    return facts.withColumns({"closed_signals": F.slice(found_terms(F.lower("visible"), V.CLOSED_PHRASES), 1, 4),
+                              "rot_signals": F.slice(found_terms(F.lower("title"), V.ROT_PHRASES), 1, 3)})
 
 
 def capture_error(status: Column, error: Column) -> Column:

@@ -91,6 +91,16 @@ def _(t):
     return T.markdown_programs(t.markdown_docs, "doc_id").select("doc_id", "name", "stipend", "deadline", "mode", "application_link")
 
 
+@query("src_markdown_positional", """select p_partkey as doc_id, '**[' || p_name || '](https://ex.example.org/p/' || p_partkey || ')**' as name, '$' || p_size || '00' as description, '2026-10-01' as eligibility, 'Remote' as deadline,
+  'https://ex.example.org/p/' || p_partkey as application_link from part
+union all select p_partkey, p_brand, '', 'Rolling', 'Check program page', 'Check program page' from part
+union all select p_partkey, '⭐ ' || p_type || ' days', '<https://ev.example.org/' || p_size || '>', 'Check program page', 'Check program page', 'Check program page' from part
+union all select p_partkey, '![badge](https://img.shields.io/x)', 'y', 'Check program page', 'Check program page', 'https://img.shields.io/x' from part""")
+def _(t):
+    return (T.positional_programs(t.markdown_docs, "doc_id")
+            .select("doc_id", "name", "description", "eligibility", "deadline", "application_link"))
+
+
 @query("src_markdown_list", """select p_partkey as doc_id, p_type as name, 'grant ' || p_brand as description, 'https://ex.example.org/t/' || p_partkey as application_link from part
 union all select p_partkey, p_name, 'note', 'https://ex.example.org/n' from part""")
 def _(t):

@@ -98,6 +98,29 @@ def markdown_programs(docs: DataFrame, *keys: str) -> DataFrame:
                        link.alias("application_link"), link.alias("website"), F.lit("open").alias("status"))
 
 
+def positional_programs(docs: DataFrame, *keys: str) -> DataFrame:
+    """Program records by column position: name, description, eligibility, deadline.
+
+    The first row of a table is its header unless a separator comes first.
+    """
+    blocks = docs.select(*keys, F.posexplode(_all(text("body"), _BLOCK)).alias("table", "block"))
+    lines = F.filter(F.split("block", "\n"), lambda x: strip(x) != "")
+    parsed = F.filter(F.transform(lines, lambda x: F.transform(
+        F.slice(F.split(strip(x), r"\|"), 2, F.greatest(F.size(F.split(strip(x), r"\|")) - 2, F.lit(0))), lambda c: strip(c))), lambda r: F.size(r) >= 2)
+    ruled = lambda r: F.forall(r, lambda c: c.rlike(r"\A[-:]*\z"))
+    data = F.filter(F.col("_rows"), lambda r, i: ~ruled(r) & ((i > 0) | ruled(F.get("_rows", F.lit(0)))))
+    rows = blocks.withColumn("_rows", parsed).select(*keys, "table", F.posexplode(data).alias("pos", "c"))
+    cell = lambda i, default: F.coalesce(F.get("c", F.lit(i)), F.lit(default))
+    linked = F.regexp_extract(cell(0, ""), r"\A\[([^\]]+)\]", 1)
+    rows = rows.withColumn("name", first_nonblank(linked, cell(0, ""))).where(F.length("name") >= 3)
+    link = F.regexp_extract(cell(0, ""), r"\]\(([^)]+)\)", 1)
+    check = "Check program page"
+    return rows.select(*keys, "table", "pos", "name", F.lit("Open Source Community").alias("organizer"), cell(1, "").alias("description"),
+                       cell(2, check).alias("eligibility"), F.lit("Remote / Online").alias("mode"), F.lit("Free").alias("fee"), cell(3, check).alias("deadline"),
+                       first_nonblank(link, F.lit(check)).alias("application_link"), link.alias("website"), _tags("open-source").alias("tags"),
+                       F.lit("open").alias("status"), F.lit("every-os-programs-github").alias("source"))
+
+
 _ITEM = r"(?md)^((?:[*-]|\d+\.)\s+\[[^\]]+\]\((?:https?://[^)]*|)\)\s*(?:[-–—:]\s*.*)?)"
 _ITEM_PARTS = r"(?md)^(?:[*-]|\d+\.)\s+\[([^\]]+)\]\((https?://[^)]*|)\)\s*(?:[-–—:]\s*(.*))?"
 
