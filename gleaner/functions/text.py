@@ -40,7 +40,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def first_nonblank(*cs: Column | str) -> Column:
     """First value that is neither null nor empty, else ''."""
-    return F.coalesce(*[F.when(col(c) != "", col(c)) for c in cs], F.lit(""))
+    return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit(""))
 
 
 def strip(c: Column) -> Column:
@@ -70,9 +70,13 @@ def contains_any(c: Column, terms: Iterable[str]) -> Column:
 
 
 def has_word(c: Column, terms: Iterable[str]) -> Column:
-    """Any of the terms with no word character on either side."""
+    """Any of the terms with no word character on either side.
+
+    The cheap substring test decides most rows before the expression runs.
+    """
+    terms = list(terms)
     body = "|".join(re.escape(t) for t in terms)
-    return c.rlike(rf"(?<![{WORD}])(?:{body})(?![{WORD}])")
+    return contains_any(c, terms) & c.rlike(rf"(?<![{WORD}])(?:{body})(?![{WORD}])")
 
 
 def found_terms(c: Column, terms: list[str]) -> Column:
