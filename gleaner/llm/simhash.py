@@ -27,6 +27,7 @@ from .common import slices
 from .components import connected
 
 BLOCK = 2048  # rows of one side of a comparison task
+ROWS = 1 << 13  # rows compared in one go, units being whole
 SEED = 42
 BUCKET = 2048.0  # wanted rows of a random bucket; decides how many pieces are used, not what is found
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -166,7 +167,7 @@ def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, step: int = 1 << 14) -> np.ndarray:
+def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, step: int = 1 << 12) -> np.ndarray:
     """For each row the smallest row that its unit's links connect it with.
 
     Rows are sorted by (unit, side).  A unit with one side compares all its
@@ -229,7 +230,7 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows < 1 << 15:
+            if rows < ROWS:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             unit = t.column("unit").to_numpy()
