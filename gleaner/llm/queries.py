@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, sharding, simhash, tokens
 from .common import table
 
 
@@ -15,5 +15,21 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash,)}
+SHARD_BYTES = 32 << 20
+
+
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(table(spark, folder, "documents"), SHARD_BYTES, columns=["doc_id"])
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"), "word_bpe_49k.json").withColumnRenamed("id", "doc_id")
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return (mixing.mix(table(spark, folder, "documents")).drop("row")
+            .withColumnRenamed("id", "doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op8_token_counts, op10_mixing)}
 SQL: dict[str, str] = {}
