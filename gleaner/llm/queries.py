@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, tokens
+from . import decontaminate, html_text, mixing, sharding, simhash, tokens
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"), keep=("url",)).withColumnRenamed("id", "page_id")
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), "word_bpe_49k.json").withColumnRenamed("id", "doc_id")
 
@@ -35,5 +39,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
             .withColumnRenamed("id", "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op4_decontamination, op8_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op8_token_counts, op10_mixing)}
 SQL: dict[str, str] = {}
