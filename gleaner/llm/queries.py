@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, sharding, simhash, tokens
+from . import decontaminate, html_text, licences, mixing, sharding, simhash, tokens
 from .common import table
 
 
@@ -34,10 +34,14 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), "word_bpe_49k.json").withColumnRenamed("id", "doc_id")
 
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return (mixing.mix(table(spark, folder, "documents")).drop("row")
             .withColumnRenamed("id", "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op8_token_counts, op10_mixing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op8_token_counts, op9_licences, op10_mixing)}
+SQL: dict[str, str] = {"op9_licences": licences.oracle()}
