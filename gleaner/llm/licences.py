@@ -42,11 +42,11 @@ SENTENCES = [
     ("gpl2", r"gnu general public license (as published by the free software foundation )?(either )?(version|v) ?2"),
     ("gpl_later", r"at your option any later version"),
     ("gpl", r"gnu general public license"),
-    ("apache2", r"apache license (version|v) ?2( 0)?\b"),
+    ("apache2", r"apache license (version |v ?)?2( 0)?\b"),
     ("apache_copy", r"you may obtain a copy of the license at"),
     ("apache_except", r"you may not use this file except in compliance with the license"),
     ("apache_asis", r"software distributed under the license is distributed on an as is basis"),
-    ("mpl2", r"mozilla public license (version|v) ?2 0"),
+    ("mpl2", r"mozilla public license (version |v ?)?2 0"),
     ("epl2", r"eclipse public license (version |v ?)?2 0"),
     ("epl1", r"eclipse public license (version |v ?)?1 0"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
