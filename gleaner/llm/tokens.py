@@ -57,7 +57,7 @@ class Lengths:
         pieces = text.replace("\n", " ").replace("\t", " ").split(" ")
         if len(self._whole) > REMEMBERED or len(self._part) > REMEMBERED:
             self._whole, self._part = {}, {}
-        unseen = set(pieces) - self._whole.keys()
+        unseen = {p for p in set(pieces) if p not in self._whole}
         if unseen:
             self._learn(unseen)
         return sum(map(self._whole.__getitem__, pieces))
