@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, mixing, sharding, simhash, tokens
+from . import decontaminate, html_text, licences, mixing, neighbours, sharding, simhash, tokens, toxicity
 from .common import table
 
 
@@ -30,6 +30,15 @@ def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(table(spark, folder, "pages"), keep=("url",)).withColumnRenamed("id", "page_id")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), "word_bpe_49k.json").withColumnRenamed("id", "doc_id")
 
@@ -43,5 +52,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
             .withColumnRenamed("id", "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op8_token_counts, op9_licences, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op6_toxicity, op7_neighbours, op8_token_counts, op9_licences, op10_mixing)}
 SQL: dict[str, str] = {"op9_licences": licences.oracle()}
