@@ -25,8 +25,8 @@ SHARD = 8192  # vectors of a shard, about
 BLOCK = 96  # queries of a block, about
 TURNS = 1  # random rotations; each gives as many directions as the vectors have components
 WIDTH = 1.0  # half a window at radius 1, in standard deviations of a projected difference
-THRESHOLD = 0.56  # share of the arrays in which a vector must collide
-FIRST, GROWTH, LAST = 0.05, 1.15, 2.0  # radii of the levels on the unit sphere; beyond the last all vectors are verified
+THRESHOLD = 0.62  # share of the arrays in which a vector must collide
+FIRST, GROWTH, LAST = 0.1, 1.35, 2.0  # radii of the levels on the unit sphere; beyond the last all vectors are verified
 SEED = 23
 
 

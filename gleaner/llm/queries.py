@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, mixing, neighbours, sharding, simhash, tokens, toxicity
+from . import decontaminate, html_text, licences, mixing, neighbours, sharding, simhash, tokens, toxicity, url_templates
 from .common import table
 
 
+def op1_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.judge(table(spark, folder, "pages"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"),
@@ -52,5 +56,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
             .withColumnRenamed("id", "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op6_toxicity, op7_neighbours, op8_token_counts, op9_licences, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_templates, op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op6_toxicity, op7_neighbours, op8_token_counts, op9_licences, op10_mixing)}
 SQL: dict[str, str] = {"op9_licences": licences.oracle()}
