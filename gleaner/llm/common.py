@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BLANK = r"\x20\x09-\x0D"
 WORD = f"[^{BLANK}]+"
+BROADCAST_ROWS = 100_000  # of one id or hash: below 2 MB
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +28,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is not in the one column of ``gone``; rows with a null there stay.
+
+    ``gone`` is a written table of distinct values.  Up to BROADCAST_ROWS of
+    them are broadcast, so that the rows are not shuffled.
+    """
+    few = gone.count() <= BROADCAST_ROWS
+    named = gone.toDF("__gone")
+    return rows.join(F.broadcast(named) if few else named, rows[column] == named["__gone"], "left_anti")
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each hold about ``limit`` bytes (one row at least)."""
     for batch in batches:

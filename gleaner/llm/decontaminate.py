@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices
+from .common import BROADCAST_ROWS, slices, without
 from .simhash import _mixed
 
 SPAN = 12
@@ -28,7 +28,6 @@ LEAST = 5  # shorter items are too common to be searched
 OVERLAP = 12  # tokens of a verified overlap, or the whole item if it is shorter
 IDENTITY = 0.8
 BLOOM_BITS = 22  # 512 KB, whatever the benchmark's size
-BROADCAST_ROWS = 100_000
 _CHUNK = 1 << 20
 
 _WORD = np.zeros(256, np.int8)
@@ -234,9 +233,6 @@ def report(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """The documents without a verified overlap, columns unchanged."""
-    found = overlaps(docs, benchmark, **columns).select("key").distinct()
-    found = materialize(found, "contaminated")
+    found = materialize(overlaps(docs, benchmark, **columns).select("key").distinct(), "contaminated")
     key = F.xxhash64(columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
-    few = found.count() <= BROADCAST_ROWS
-    found = found.withColumnRenamed("key", "__key")
-    return docs.join(F.broadcast(found) if few else found, key == F.col("__key"), "left_anti")
+    return without(docs.withColumn("__key", key), found, "__key").drop("__key")

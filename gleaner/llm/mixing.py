@@ -142,9 +142,10 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """(row, id, source, size, source_size, target, taken) per document.
+    """(row, key, id, source, size, source_size, target, taken) per document.
 
-    ``row`` numbers the input's rows and tells repeated ids apart; ``taken`` counts the words that the
+    ``row`` numbers the input's rows and tells repeated ids apart, ``key`` is
+    ``xxhash64(id, text, source)``; ``taken`` counts the words that the
     schedule draws from the document, repeats included, and is at most ``most``
     times its size.  A null or blank text has size 0 and is never drawn; the
     null source is a source.  The shuffle hashes the content, so reruns agree.
@@ -167,4 +168,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     t = plan.select(F.col("source").alias("p"), "source_size", "target")
     out = base.join(taken, "row", "left")
     out = out.join(t, out.source.eqNullSafe(t.p), "left")
-    return out.select("row", "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("row", "key", "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents as often as the mix takes them, columns unchanged: 0 to ``most`` copies, each a row.
+
+    A document whose words are taken in part counts as taken if that is at
+    least half of them; blank documents, which hold no words, are left out.
+    Rows of equal id, text and source share their copies by a hash of their
+    place, so none has to gather them.
+    """
+    key = F.xxhash64(id_col, text_col, source_col)
+    taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
+    per = taken.groupBy("key").agg(F.sum(F.col("taken") / F.col("size")).alias("uses")).withColumnRenamed("key", "__key")
+    copies = docs.select(key.alias("__key")).groupBy("__key").agg(F.count("*").alias("__n"))
+    plan = materialize(per.join(copies, "__key").select("__key", (F.col("uses") / F.col("__n")).alias("__each"), "__n"), "uses")
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    times = F.when(F.col("__n") == 1, F.floor(F.col("__each") + 0.5)).otherwise(F.floor(F.col("__each") + F.col("__chance"))).cast("int")
+    rows = docs.withColumn("__chance", chance).withColumn("__key", key).join(plan, "__key")
+    return (rows.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

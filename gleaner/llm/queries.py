@@ -52,7 +52,7 @@ def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return (mixing.mix(table(spark, folder, "documents")).drop("row")
+    return (mixing.mix(table(spark, folder, "documents")).drop("row", "key")
             .withColumnRenamed("id", "doc_id"))
 
 

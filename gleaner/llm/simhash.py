@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices
+from .common import BROADCAST_ROWS, slices, without
 from .components import connected
 
 BLOCK = 2048  # rows of one side of a comparison task
@@ -167,11 +167,12 @@ def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, step: int = 1 << 12) -> np.ndarray:
-    """For each row the smallest row that its unit's links connect it with.
+def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, closest: bool = False, step: int = 1 << 12) -> np.ndarray:
+    """For each row the smallest row that its unit's links connect it with, or itself.
 
     Rows are sorted by (unit, side).  A unit with one side compares all its
     rows; one with two compares the rows of the first with those of the second.
+    With ``closest`` the row is the nearest of the earlier rows that link to it.
     """
     n = len(unit)
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -190,6 +191,8 @@ def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius:
     row_of = np.full(base[-1] * 64, -1, np.int64)
     row_of[lane] = np.arange(n)
     labels = np.arange(n)
+    best = np.full(n, np.iinfo(np.int64).max)
+    packed = np.packbits(bits, axis=1).view(np.uint64)
     todo = np.maximum(0, words[of] - begin // 64) * (begin < size[of])
     ends = np.cumsum(todo)
     at = 0
@@ -204,25 +207,33 @@ def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius:
             high = np.minimum(size[of[query]] - local * 64, 64).astype(np.uint64)
             valid = (_ALL << low) & (_ALL >> (np.uint64(64) - high))
             a, b = _pairs_within(planes, rows, query, base[of[query]] + local, ~valid, radius)
-            _forest(labels, a, row_of[b])
+            b = row_of[b]
+            if closest:
+                np.minimum.at(best, b, np.bitwise_count(packed[a] ^ packed[b]).sum(1, dtype=np.int64) << 32 | a)
+            else:
+                _forest(labels, a, b)
         at = to
-    return labels
+    return np.where(best < np.iinfo(np.int64).max, best & 0xFFFFFFFF, labels) if closest else labels
 
 
-def links(nodes: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
-    """(u, v): a spanning forest, per comparison task, of the links between distinct fingerprints."""
+def links(nodes: DataFrame, radius: int, tables: list[list[int]], closest: bool = False) -> DataFrame:
+    """(u, v): links between distinct fingerprints; at most one per fingerprint and comparison task.
+
+    They are a spanning forest of the task's links or, with ``closest``, each
+    fingerprint's nearest among those before it in the task's random order.
+    """
     keyed = _keyed(nodes, tables)
     buckets = (keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
                .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")))
     dealt = (keyed.join(buckets, "key")
              .withColumn("side", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("k")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-             .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "fp"))
+             .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "fp", F.xxhash64("fp", "key").alias("place")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(t: pa.Table) -> pa.RecordBatch:
             fps = t.column("fp").combine_chunks()
-            got = compare_units(t.column("unit").to_numpy(), t.column("side").to_numpy(), _bit_matrix(fps), radius)
+            got = compare_units(t.column("unit").to_numpy(), t.column("side").to_numpy(), _bit_matrix(fps), radius, closest)
             moved = np.flatnonzero(got != np.arange(len(got)))
             return pa.record_batch([fps.take(pa.array(moved)), fps.take(pa.array(got[moved]))], ["u", "v"])
 
@@ -242,26 +253,90 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
         if rows:
             yield solved(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "u binary, v binary")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "side", "place").mapInArrow(run, "u binary, v binary")
+
+
+def bits_apart(u: Column, v: Column, words: int) -> Column:
+    """Differing bits of two fingerprints."""
+    word = lambda c, j: F.conv(F.hex(F.substring(c, 8 * j + 1, 8)), 16, -10).cast("long")
+    return sum((F.bit_count(word(u, j).bitwiseXOR(word(v, j))) for j in range(words)), F.lit(0))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edges: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """The edges (u, v) whose documents share at least ``similarity`` of their distinct shingles (Jaccard)."""
+    ends = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
+    asked = materialize(nodes.join(ends, "fp").filter("least is not null").select("least").distinct(), "asked")
+    few = asked.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(F.broadcast(asked) if few else asked, "least")
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 2 << 20):
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in b.column("text")]
+            yield pa.record_batch([pa.array([fingerprint(h, words) for h in hashes], pa.binary()),
+                                   pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for x, y in zip(b.column("a"), b.column("b")):
+                x, y = (np.asarray(s.values) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= similarity * (len(x) + len(y) - both) > 0)
+            yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    sets = materialize(texts.select("text").mapInArrow(parsed, "fp binary, shingles array<long>").dropDuplicates(["fp"]), "shingles")
+    paired = (edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b"))
+    return paired.mapInArrow(verify, "u binary, v binary")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, radius: int = 4,
-           tables: list[list[int]] | None = None) -> DataFrame:
+           tables: list[list[int]] | None = None, similarity: float | None = None, sure: int = 0) -> DataFrame:
     """(id, fp, component): every document with its fingerprint and the smallest id of its group.
 
     Documents link if their fingerprints differ in at most ``radius`` bits.
     Equal texts are one node, so copies cost nothing.  Null ids are never a
     group's smallest; a group without any id has a null component.  Without
-    ``tables`` the search is exact for the radius.
+    ``tables`` the search is exact for the radius.  With ``similarity`` a link
+    of over ``sure`` bits counts only if the texts share that part of their
+    distinct shingles.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    stars = connected(links(nodes, radius, tables or exact_tables(radius, nodes.count(), 64 * words)))
+    edges = links(nodes, radius, tables or exact_tables(radius, nodes.count(), 64 * words), similarity is not None)
+    if similarity is not None:
+        edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+                            .withColumn("apart", bits_apart(F.col("u"), F.col("v"), words)), "links")
+        unsure = edges.filter(F.col("apart") > sure).select("u", "v")
+        edges = edges.filter(F.col("apart") <= sure).select("u", "v").unionByName(_similar(docs, id_col, text_col, nodes, unsure, shingle, words, similarity))
+    stars = connected(edges)
     named = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     label = materialize(named.join(smallest, "root").select("fp", "component"), "labels")
     return marked.join(label, "fp").select("id", "fp", "component")
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4,
+          radius: int = 52, sure: int = 26, tables: list[list[int]] | None = None) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id; columns unchanged.
+
+    The defaults mean a Jaccard similarity of 0.8 of the five-word shingles.
+    Such a pair has a cosine of 0.89, and its fingerprints differ in about 39
+    of 256 bits, with a deviation of 6: pairs up to ``radius`` are looked at,
+    those up to ``sure`` are links, the others are compared by their shingles.
+    The default tables are samples of the bits, of which a pair at 0.8 shares
+    one with a probability of 0.97.  Of rows with one id, one stays; rows
+    without an id all stay.
+    """
+    found = groups(docs, id_col, text_col, shingle, words, radius, tables or sampled_tables(24, 12, 64 * words), similarity, sure)
+    ids = materialize(found.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("component")), "members")
+    gone = materialize(ids.filter("id <> component").select("id"), "copies")
+    kept = without(docs, gone, id_col)
+    repeated = materialize(ids.filter("id = component and n > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, docs[id_col] == repeated["id"], "left_semi").dropDuplicates([id_col])
+    return without(kept, repeated, id_col).unionByName(once)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.hex(fp))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices
+from .common import slices, without
 
 SAMPLE = 12_000  # labelled rows that a model is fitted on, at most
 STEMS = range(3, 10)  # lengths of word beginnings that may enter the lexicon
@@ -218,6 +218,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold, columns unchanged; documents without an id stay."""
-    bad = score(docs, model, id_col, text_col, threshold).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    bad = materialize(bad.distinct(), "toxic")
-    return docs.join(bad, docs[id_col] == bad["__id"], "left_anti")
+    bad = score(docs, model, id_col, text_col, threshold).filter("predicted = 1 and doc_id is not null").select("doc_id")
+    return without(docs, materialize(bad.distinct(), "toxic"), id_col)

@@ -77,3 +77,22 @@ def test_schedule_spreads_the_sources(spark):
     assert slots.count("a") == 200 and slots.count("b") == 100
     for i in range(0, 270, 30):  # every stretch holds the sources by weight
         assert 18 <= slots[i:i + 30].count("a") <= 22
+
+
+def test_mixed_documents_repeat_as_taken(spark):
+    rows = corpus(200, 3)
+    df = spark.createDataFrame([(d, t, s, 1) for d, t, s in rows], "doc_id long, text string, source string, __x int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    found = out.collect()
+    takes = mixed(spark, rows)
+    for s in {r["source"] for r in takes}:
+        words = sum(len(re.findall(r"[^ \t-\r]+", r.text)) for r in found if r.source == s)
+        largest = max(r["size"] for r in takes if r["source"] == s)
+        copies = 80 if s == "a" else 0  # the repeated row's copies are shared at random
+        assert abs(words - sum(r["taken"] for r in takes if r["source"] == s)) <= largest + copies
+    counts = {}
+    for r in found:
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert max(n for d, n in counts.items() if d != 5) <= 3
+    assert mixing.mixed(df.limit(0)).collect() == []
