@@ -1,4 +1,4 @@
-"""Order-respecting deduplication.
+"""Order-respecting deduplication on exact keys.
 
 The rule is sequential: an item is dropped when it conflicts with a known item
 or with an EARLIER KEPT one; only kept items suppress later ones.  That is the
@@ -7,34 +7,19 @@ components.  It is computed in rounds (Blelloch, Fineman, Shun, SPAA 2012):
 every undecided item that has no earlier undecided opponent is kept, and the
 opponents of kept items are dropped.
 
-Conflicts are never listed as pairs.  An item makes *claims* on keys and two
-items conflict when they claim one key from opposing sides, so a round only
-needs the smallest order number per key and side.  Columns of a claim:
-
-  item, rank   the item and its unique place in the order
-  key, side    'a' conflicts with 'b'; 's' conflicts with every other claim
-  tokens       null, or the words to verify (keys that only suggest a conflict)
-
-Similar titles become equal keys.  Sets a and b have Jaccard >= t exactly when
-they share ceil(t/(1+t) * (|a|+|b|)) words, so each set claims its subsets of
-that size (it leaves out at most two words up to EXACT words).  Longer titles
-claim parts of their prefix words (prefix filter) and are verified.
+Conflicts are never listed as pairs.  An item makes *claims* (item, rank, key)
+and two items conflict when they claim one key, so a round only needs the
+smallest rank per key.  Similar titles are in :mod:`titles`.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import vocab as V
-from ..functions.text import collapse, jaccard, let, normalize_name, similarity_tokens, normalize_title, text
+from ..functions.text import collapse, normalize_name, text
 from ..functions.urls import merge_link
 from ..session import materialize
-from .joins import lookup
 
-EXACT = 17            # longest title whose keys decide without verification
-MIDDLE = 23           # longest title whose suggestive keys leave out three words at most
 HOT_ROWS = 100_000    # a key with more claims is spread over SALTS tasks
 MAX_HOT_KEYS = 10_000
 SALTS = 64
@@ -42,33 +27,12 @@ SALTS = 64
 
 # ---- the greedy rule -----------------------------------------------------
 
-def _by_side(claims: DataFrame) -> DataFrame:
-    """Smallest rank per key and side; pre-aggregated before the shuffle."""
-    return claims.groupBy("key").agg(
-        F.min(F.when(F.col("side") != "b", F.col("rank"))).alias("min_a"),
-        F.min(F.when(F.col("side") != "a", F.col("rank"))).alias("min_b"),
-        F.min_by("tokens", "rank").alias("min_tokens"), F.max("salts").alias("salts"))
-
-
-def _spread(per_key: DataFrame) -> DataFrame:
-    """Repeat the one row of a hot key once per salt."""
+def _least(claims: DataFrame) -> DataFrame:
+    """Smallest rank per key, once per salt of the key; pre-aggregated before the shuffle."""
+    per_key = claims.groupBy("key").agg(F.min("rank").alias("least"), F.max("salts").alias("salts"))
     return per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
-def _opponent() -> Column:
-    return (F.when(F.col("side") == "a", F.col("min_b")).when(F.col("side") == "b", F.col("min_a"))
-            .otherwise(F.least("min_a", "min_b")))
-
-
-def _before() -> Column:
-    """Whether an opponent comes earlier; no opponent counts as no."""
-    return F.coalesce(_opponent() < F.col("rank"), F.lit(False))
-
-
-def _verified(threshold: float) -> Column:
-    return F.col("tokens").isNull() | (jaccard(F.col("tokens"), F.col("min_tokens")) >= threshold)
-
-
 def _contested(claims: DataFrame) -> DataFrame:
     """Claims on keys that several items claim, with their salt.
 
@@ -85,62 +49,37 @@ def _contested(claims: DataFrame) -> DataFrame:
             .withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts").cast("bigint")).cast("int")))
 
 
-def _drop_known(claims: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Remove items that conflict with an earlier known item."""
-    known = known.withColumn("salts", F.lit(1))
-    exact = _by_side(known.where(F.col("tokens").isNull())).drop("salts", "min_tokens")
-    hit = claims.where(F.col("tokens").isNull()).join(exact, "key").where(_opponent() < F.col("rank")).select("item")
-    loose = known.where(F.col("tokens").isNotNull()).select("key", F.col("rank").alias("min_a"), F.col("tokens").alias("min_tokens"))
-    close = (claims.where(F.col("tokens").isNotNull()).join(loose, "key")
-             .where((F.col("min_a") < F.col("rank")) & _verified(threshold)).select("item"))
-    return claims.join(hit.unionByName(close).distinct(), "item", "left_anti")
-
-
-def greedy_dropped(claims: DataFrame, known: DataFrame | None = None, threshold: float = V.JACCARD, written: bool = False) -> DataFrame:
-    """Items that the sequential rule drops, one column ``item``.
-
-    ``written`` says that ``claims`` is read from a table already.
-    """
-    if not written:
-        claims = materialize(claims.select("item", "rank", "key", "side", "tokens"), "claims")
-    live = claims if known is None else materialize(_drop_known(claims, known, threshold), "unseeded")
-    lost = [claims.select("item").distinct().join(live.select("item").distinct(), "item", "left_anti")] if known is not None else []
+def greedy_dropped(claims: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Items that the sequential rule drops, one column ``item``; ``known`` keys are taken from the start."""
+    claims = materialize(claims, "claims")
+    lost, live = [], claims
+    if known is not None:
+        taken = materialize(claims.join(known.select("key").distinct(), "key", "left_semi").select("item").distinct(), "taken")
+        lost, live = [taken], claims.join(taken, "item", "left_anti")
     live = materialize(_contested(live), "contested")
     while not live.isEmpty():
-        waits = live.join(_spread(_by_side(live)), ["key", "salt"]).withColumn("wait", _before())
+        waits = live.join(_least(live), ["key", "salt"]).withColumn("wait", F.col("least") < F.col("rank"))
         free = waits.groupBy("item").agg(F.max("wait").alias("wait")).where(~F.col("wait")).select("item", F.lit(True).alias("free"))
         marked = materialize(live.join(free, "item", "left"), "marked")
         rest = marked.where(F.col("free").isNull()).drop("free")
-        kept = _spread(_by_side(marked.where("free")))
-        hits = rest.join(kept, ["key", "salt"]).where(_before() & _verified(threshold)).select("item", F.lit(True).alias("gone")).distinct()
+        kept = _least(marked.where("free")).select("key", "salt")
+        hits = rest.join(kept, ["key", "salt"], "left_semi").select("item", F.lit(True).alias("gone")).distinct()
         after = materialize(rest.join(hits, "item", "left"), "after")
         lost.append(after.where("gone").select("item").distinct())
         live = after.where(F.col("gone").isNull()).drop("gone")
-    if not lost:
-        return claims.select("item").limit(0)
-    out = lost[0]
-    for part in lost[1:]:
+    out = claims.select("item").limit(0)
+    for part in lost:
         out = out.unionByName(part)
     return out
 
 
-def earliest_kept(kept: DataFrame, asking: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
-    """For every asking item the earliest kept item it conflicts with, whatever its own rank."""
-    sided = _by_side(kept.where(F.col("tokens").isNull()).withColumn("salts", F.lit(1))).drop("salts", "min_tokens")
-    exact = asking.where(F.col("tokens").isNull()).join(sided, "key").select("item", _opponent().alias("kept"))
-    loose = kept.where(F.col("tokens").isNotNull()).select("key", F.col("rank").alias("kept"), F.col("tokens").alias("min_tokens"))
-    close = asking.where(F.col("tokens").isNotNull()).join(loose, "key").where(_verified(threshold)).select("item", "kept")
-    return exact.unionByName(close).where(F.col("kept").isNotNull()).groupBy("item").agg(F.min("kept").alias("kept"))
-
-
 # ---- exact keys ----------------------------------------------------------
 
 def _claims(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """One 's' claim per non-blank key, within the category."""
+    """One claim per non-blank key, within the category."""
     made = F.array_compact(F.array(*[
         F.when(value != "", F.md5(F.concat_ws("\x1f", F.lit(kind), text("category"), value))) for kind, value in keys.items()]))
-    return df.select(F.col("seq").alias("item"), F.col("seq").alias("rank"), F.explode(made).alias("key"),
-                     F.lit("s").alias("side"), F.lit(None).cast("array<string>").alias("tokens"))
+    return df.select(F.col("seq").alias("item"), F.col("seq").alias("rank"), F.explode(made).alias("key"))
 
 
 def _longer(c: Column, n: int) -> Column:
@@ -153,8 +92,7 @@ def merge_dedup(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     ``seq`` is the arrival order and must be unique over ``incoming``.
     """
     keys = {"name": _longer(normalize_name("name"), 4), "link": _longer(merge_link("application_link"), 10)}
-    known = _claims(existing, keys).withColumn("rank", F.lit(-1).cast("bigint"))
-    return incoming.join(greedy_dropped(_claims(incoming, keys), known).withColumnRenamed("item", "seq"), "seq", "left_anti")
+    return incoming.join(greedy_dropped(_claims(incoming, keys), _claims(existing, keys)).withColumnRenamed("item", "seq"), "seq", "left_anti")
 
 
 def feed_dedup(df: DataFrame) -> DataFrame:
@@ -162,141 +100,3 @@ def feed_dedup(df: DataFrame) -> DataFrame:
     keys = {"link": F.lower(F.regexp_replace(text("application_link"), r"/+\z", "")),
             "name": collapse(F.regexp_replace(F.lower(text("name")), r"[^\p{L}\p{N}_]+", " "))}
     return df.join(greedy_dropped(_claims(df, keys)).withColumnRenamed("item", "seq"), "seq", "left_anti")
-
-
-# ---- similar titles ------------------------------------------------------
-
-def _partner_sizes(n: int, t: float) -> list[tuple[int, int]]:
-    """(size of a similar set, words shared with it) for sets of n words."""
-    eps = 1e-9
-    sizes = range(max(1, math.ceil(t * n - eps)), math.floor(n / t + eps) + 1)
-    return [(m, math.ceil(t * (n + m) / (1 + t) - eps)) for m in sizes]
-
-
-def _subsets(words: Column, leave_out: Column) -> Column:
-    """The words without none, one, two or three of them, as joined strings."""
-    n = F.size(words)
-
-    def after(i: Column) -> Column:
-        return F.when(i + 1 < n, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def without(i: Column, j: Column, h: Column) -> Column:
-        return F.array_join(F.filter(words, lambda w, k: (k != i) & (k != j) & (k != h)), " ")
-
-    first = after(F.lit(-1))
-    two = F.flatten(F.transform(first, lambda i: F.transform(after(i), lambda j: without(i, j, j))))
-    three = F.flatten(F.transform(first, lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda h: without(i, j, h))))))
-    return (F.when(leave_out == 0, F.array(F.array_join(words, " ")))
-            .when(leave_out == 1, F.transform(first, lambda i: without(i, i, i))).when(leave_out == 2, two).otherwise(three))
-
-
-def _exact_keys(scope: Column, words: Column, t: float) -> Column:
-    """Array of (key, side) for sets of up to EXACT words."""
-    plans = []
-    for n in range(1, EXACT + 1):
-        rows = ", ".join(f"named_struct('m', {m}, 'd', {n - shared})" for m, shared in _partner_sizes(n, t) if m <= EXACT)
-        plans.append(f"array({rows})")
-    n = F.size(words)
-    plan = F.get(F.expr(f"array({', '.join(plans)})"), n - 1)
-
-    def keys(p: Column) -> Column:
-        side = F.when(p["m"] > n, "a").when(p["m"] < n, "b").otherwise("s")
-        sizes = F.concat_ws(":", F.least(p["m"], n), F.greatest(p["m"], n))
-        return F.transform(_subsets(words, p["d"]), lambda s: F.struct(
-            F.md5(F.concat_ws("\x1f", scope, sizes, s)).alias("key"), side.alias("side")))
-
-    return F.when((n >= 1) & (n <= EXACT), F.flatten(F.transform(plan, keys)))
-
-
-def _loose_keys(scope: Column, words: Column, t: float) -> Column:
-    """Suggestive keys of long titles from their prefix words, long words first.
-
-    Two similar sets share k of their first n - ceil(t n) + k words, whatever
-    the fixed word order.  Six shared words up to MIDDLE words keep unrelated
-    titles apart; longer titles use three.  Sizes near a border use both.
-    """
-    n = F.size(words)
-    spare = (n - F.ceil(n * t - 1e-9)).cast("int")
-
-    def prefix(k: int) -> Column:
-        ordered = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s["w"])
-        return F.slice(ordered, 1, F.greatest(F.least(n, spare + k), F.lit(1)))
-
-    def keys(kind: str, parts: Column) -> Column:
-        return F.transform(parts, lambda p: F.struct(F.md5(F.concat_ws("\x1f", scope, F.lit(kind), p)).alias("key"), F.lit("s").alias("side")))
-
-    def later(k: Column, i: Column) -> Column:
-        return F.when(i + 1 < k, F.sequence(i + 1, k - 1)).otherwise(F.array().cast("array<int>"))
-
-    def triples(p: Column) -> Column:
-        k = F.size(p)
-        return F.flatten(F.transform(later(k, F.lit(-1)), lambda i: F.flatten(F.transform(later(k, i), lambda j: F.transform(
-            later(k, j), lambda h: F.concat_ws(" ", F.get(p, i), F.get(p, j), F.get(p, h)))))))
-
-    none = F.array().cast("array<struct<key:string,side:string>>")
-    middle = (n >= math.ceil(t * (EXACT + 1) - 1e-9)) & (n <= MIDDLE)
-    longest = n >= math.ceil(t * (MIDDLE + 1) - 1e-9)
-    return F.concat(F.when(middle, keys("six", let(prefix(6), lambda p: _subsets(p, spare)))).otherwise(none),
-                    F.when(longest, keys("three", let(prefix(3), triples))).otherwise(none))
-
-
-def similarity_claims(df: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
-    """Claims of titles: input columns item, rank, scope and words (sorted, distinct)."""
-    exact = df.select("item", "rank", F.explode(_exact_keys(F.col("scope"), F.col("words"), threshold)).alias("k"),
-                      F.lit(None).cast("array<string>").alias("tokens"))
-    loose = df.select("item", "rank", F.explode(_loose_keys(F.col("scope"), F.col("words"), threshold)).alias("k"),
-                      F.col("words").alias("tokens"))
-    return exact.unionByName(loose).select("item", "rank", "k.key", "k.side", "tokens")
-
-
-def _titles(df: DataFrame) -> DataFrame:
-    return df.withColumn("words", F.array_sort(similarity_tokens("name"))).withColumn("scope", text("category"))
-
-
-def title_matches(existing: DataFrame | None, incoming: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
-    """For every title that repeats an earlier accepted one: seq and kept.
-
-    ``kept`` is the seq of the earliest accepted incoming title, or -1 when an
-    existing record is similar.  Titles under five letters are never dropped.
-    A boolean column ``eligible`` may mark rows that are refused anyway: they
-    are looked up but suppress nothing.  Copies of one word set take part
-    once, through their first row.
-    """
-    if "eligible" not in incoming.columns:
-        incoming = incoming.withColumn("eligible", F.lit(True))
-    rows = _titles(incoming).withColumn("short", F.length(normalize_title("name")) < 5).where(F.size("words") > 0)
-
-    def first(cond: Column) -> Column:
-        return F.min(F.when(cond, F.col("seq")))
-
-    sets = rows.groupBy("scope", "words").agg(
-        first(~F.col("short")).alias("item"), first(~F.col("short") & F.col("eligible")).alias("rank"),
-        first(F.col("short") & F.col("eligible")).alias("short_rank"))
-    sets = materialize(sets, "title-sets")
-    known = sets.where(F.col("short_rank").isNotNull()).select(F.col("short_rank").alias("item"), F.col("short_rank").alias("rank"), "scope", "words")
-    if existing is not None:
-        old = _titles(existing).where(F.size("words") > 0).select("scope", "words").distinct()
-        before = F.lit(-1).cast("bigint")
-        known = known.unionByName(old.select(before.alias("item"), before.alias("rank"), "scope", "words"))
-    claims = materialize(similarity_claims(sets.where(F.col("item").isNotNull()).select("item", "rank", "scope", "words"), threshold), "title-claims")
-    known = materialize(similarity_claims(known, threshold), "known-claims")
-    playing = claims.where(F.col("rank").isNotNull())
-    dropped = materialize(greedy_dropped(playing, known, threshold, written=True).distinct(), "dropped-sets")
-    kept = playing.join(dropped, "item", "left_anti").unionByName(known)
-    asking = claims.where(F.col("rank").isNull()).unionByName(claims.join(dropped, "item", "left_semi"))
-    partner = earliest_kept(kept, asking, threshold)
-    verdict = materialize(sets.where(F.col("item").isNotNull()).join(partner, "item", "left"), "title-verdicts")
-    # a set without partner was kept through its first eligible row
-    earliest = F.coalesce("kept", "rank")
-    return (lookup(rows.where(~F.col("short")).select("seq", "scope", "words"), verdict, ["scope", "words"], how="inner")
-            .select("seq", earliest.alias("kept")).where(F.col("kept") < F.col("seq")))
-
-
-def fuzzy_pairs(existing: DataFrame | None, incoming: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
-    """Every dropped title beside the earliest accepted title that it repeats."""
-    return title_matches(existing, incoming, threshold)
-
-
-def fuzzy_dedup(existing: DataFrame | None, incoming: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
-    """Incoming records whose title is not a near copy of an accepted one."""
-    return incoming.join(title_matches(existing, incoming, threshold).select("seq"), "seq", "left_anti")

@@ -14,7 +14,7 @@ from ..functions import vocab as V
 from ..functions.dates import RANGE, as_date, lenient_date, latest_year, range_end
 from ..functions.text import WORD, contains_any, first_nonblank, let, lits, normalize_title, strip, text
 from ..functions.urls import canonical_url
-from .dedup import title_matches
+from .titles import title_matches
 
 _LINK = ("application_link", "url", "website")
 

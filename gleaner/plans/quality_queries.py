@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..operators import dedup
+from ..operators import dedup, titles
 from . import duck as D
 from .registry import query
 
@@ -63,12 +63,12 @@ walk(rn, kept, seq, hits, n) as (
 
 @query("fuzzy_dedup", f"with {FUZZY} select seq from walk where seq >= 0 and len(hits) = 0")
 def _(t):
-    return dedup.fuzzy_dedup(t.titles.where("known"), t.titles.where("not known")).select("seq")
+    return titles.fuzzy_dedup(t.titles.where("known"), t.titles.where("not known")).select("seq")
 
 
 @query("fuzzy_pairs", f"with {FUZZY} select seq, list_min(hits) as kept from walk where len(hits) > 0")
 def _(t):
-    return dedup.fuzzy_pairs(t.titles.where("known"), t.titles.where("not known"))
+    return titles.fuzzy_pairs(t.titles.where("known"), t.titles.where("not known"))
 
 
 # ---- plausibility --------------------------------------------------------

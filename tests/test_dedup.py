@@ -3,7 +3,7 @@
 import random
 
 from gleaner.functions.vocab import STOP_WORDS
-from gleaner.operators import dedup
+from gleaner.operators import dedup, titles
 
 SCHEMA = "seq bigint, category string, name string, application_link string, known boolean"
 
@@ -65,7 +65,7 @@ def random_titles(rng, groups=160):
 
 def check_titles(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["seq"]: r["kept"] for r in dedup.title_matches(df.where("known"), df.where("not known")).collect()}
+    got = {r["seq"]: r["kept"] for r in titles.title_matches(df.where("known"), df.where("not known")).collect()}
     assert got == fold_titles(rows)
 
 
@@ -87,6 +87,47 @@ def test_template_titles_in_one_group(spark):
     check_titles(spark, rows)
 
 
+def test_long_titles_equal_sequential_fold(spark):
+    """Titles of up to 150 words, some of them near the threshold."""
+    rng, rows = random.Random(21), []
+    for g in range(12):
+        base = [f"t{g}w{i}" for i in range(rng.choice([18, 24, 40, 90, 150]))]
+        for _ in range(10):
+            title = list(base)
+            for _ in range(rng.randint(0, max(2, len(base) // 9))):
+                title[rng.randrange(len(title))] = f"z{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), "c", " ".join(title), "", rng.random() < 0.1))
+    check_titles(spark, rows)
+
+
+def test_small_groups_take_several_rounds(spark, monkeypatch):
+    """The paths for large keys, with the sizes turned down."""
+    monkeypatch.setattr(titles, "GROUP", 3)
+    monkeypatch.setattr(titles, "WORDS", 2)
+    check_titles(spark, random_titles(random.Random(5), 25))
+
+
+def test_template_that_is_not_similar_needs_few_rounds(spark, monkeypatch):
+    """10,000 titles share 20 words and have 6 of their own: none waits for another."""
+    rounds, decide = [], titles._decide
+    monkeypatch.setattr(titles, "_decide", lambda *a: rounds.append(1) or decide(*a))
+    shared = " ".join(f"shared{i}" for i in range(20))
+    rows = [(i, "c", shared + "".join(f" own{i}x{k}" for k in range(6)), "", False) for i in range(10_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert titles.title_matches(None, df).count() == 0
+    assert len(rounds) <= 10
+
+
+def test_large_group_of_near_copies_needs_few_rounds(spark, monkeypatch):
+    rounds, decide = [], titles._decide
+    monkeypatch.setattr(titles, "_decide", lambda *a: rounds.append(1) or decide(*a))
+    shared = " ".join(f"shared{i}" for i in range(30))
+    rows = [(i, "c", shared + f" own{i}", "", False) for i in range(3000)]
+    got = {r.seq: r.kept for r in titles.title_matches(None, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: 0 for i in range(1, 3000)}
+    assert len(rounds) <= 3
+
+
 def test_keys_equal_sequential_fold(spark, monkeypatch):
     """Names and links, with the hot-key path forced on."""
     monkeypatch.setattr(dedup, "HOT_ROWS", 3)
