@@ -224,7 +224,8 @@ def build_evidence(captures: DataFrame, as_of: str) -> DataFrame:
     """One row per canonical URL.
 
     A fallback capture replaces the direct one when that was refused, failed
-    or had no facts, and the fallback has some.  Dead links stand.
+    or had no facts, and the fallback has some; status and final URL stay those
+    of the direct one.  Dead links stand.
     """
     ev = capture_evidence(captures, as_of)
     titled = (F.col("title") != "") | (F.col("og_title") != "") | (F.col("jsonld_name") != "")
@@ -236,8 +237,13 @@ def build_evidence(captures: DataFrame, as_of: str) -> DataFrame:
     direct = F.col("tier") == 0
     usable = F.col("ok") & ((F.col("kind") != "none") | titled)
     quality = F.when(direct & ~retry, 0).when(~direct & usable, 1).when(direct, 2).otherwise(3)
-    best = F.min_by(F.struct(*EVIDENCE_COLUMNS[1:]), F.struct(quality, F.col("tier"), F.col("capture_id"), F.col("url")))
-    one = ev.groupBy("key").agg(best.alias("e")).select("key", "e.*")
+    place = F.struct(quality.alias("quality"), "tier", "capture_id", "url")
+    best = F.min_by(F.struct(*EVIDENCE_COLUMNS[1:]), place)
+    first = F.min_by(F.struct("status", "final_url"), F.when(direct, place))
+    one = ev.groupBy("key").agg(best.alias("e"), first.alias("first")).select("key", "first", "e.*")
+    rescued = (F.col("via") != "direct") & F.col("first").isNotNull()
+    one = one.withColumns({"status": F.when(rescued, F.col("first.status")).otherwise(F.col("status")),
+                           "final_url": F.when(rescued, F.col("first.final_url")).otherwise(F.col("final_url"))}).drop("first")
     down = network_down(captures).select("network_down").scalar()
     hard = F.col("error").startswith("network:") | F.col("error").startswith("unexpected:")
     return one.withColumn("error", F.when(hard & down, "network_down").otherwise(F.col("error")))

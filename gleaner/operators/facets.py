@@ -174,7 +174,7 @@ def _category_rank() -> Column:
 
 def application_packet(selected: DataFrame) -> DataFrame:
     """The numbered list of an application packet, one row per record."""
-    rows = numbered(selected, "number", _category_rank())
+    rows = numbered(selected, "number", _category_rank(), "seq")
     title = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), text("name"), F.lit(" ("), first_nonblank("organizer", F.lit("Company")), F.lit(")"))
     return rows.select("seq", "number", title.alias("title"), first_nonblank("application_link", "website", F.lit("N/A")).alias("target"),
                        first_nonblank("deadline", F.lit("Check listing")).alias("due"))

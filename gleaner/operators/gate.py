@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import vocab as V
 from ..functions.text import normalize_title, strip, text
 from ..functions.urls import gate_link
+from ..session import materialize
 
 G = V.GATE
 
@@ -24,14 +25,19 @@ def _linked(df: DataFrame) -> Column:
 
 def dup_counts(df: DataFrame) -> DataFrame:
     """Surplus rows per category that share a name (over 4 letters) or a link (over 10)."""
-    def surplus(key: Column, least: int, name: str) -> DataFrame:
-        keys = df.select("category", key.alias("k")).where(F.length("k") > least)
-        return (keys.groupBy("category", "k").agg((F.count("*") - 1).alias("n"))
-                .groupBy("category").agg(F.sum("n").cast("bigint").alias(name)))
+    name, link = normalize_title("name"), gate_link("application_link")
+    keys = F.array(F.struct(F.lit("name").alias("kind"), F.when(F.length(name) > 4, name).alias("k")),
+                   F.struct(F.lit("link").alias("kind"), F.when(F.length(link) > 10, link).alias("k")))
+    each = df.select("category", F.explode(keys).alias("x")).select("category", "x.*").where(F.col("k").isNotNull())
+    surplus = each.groupBy("category", "kind", "k").agg((F.count("*") - 1).alias("n"))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).cast("bigint")
+    return surplus.groupBy("category").agg(total("name").alias("dup_names"), total("link").alias("dup_links"))
 
-    names, links = surplus(normalize_title("name"), 4, "dup_names"), surplus(gate_link("application_link"), 10, "dup_links")
-    return names.join(links, "category", "full_outer").select(
-        "category", F.coalesce("dup_names", F.lit(0)).alias("dup_names"), F.coalesce("dup_links", F.lit(0)).alias("dup_links"))
+
+def _unserializable(df: DataFrame) -> Column:
+    """A number that JSON cannot hold: NaN or infinite."""
+    numbers = [f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")]
+    return reduce(lambda a, b: a | b, [F.isnan(c) | (F.abs(c) == float("inf")) for c in numbers], F.lit(False))
 
 
 def unknown_statuses(df: DataFrame, n: int = 5) -> DataFrame:
@@ -51,16 +57,22 @@ def public_columns(df: DataFrame) -> DataFrame:
 
 def gate_metrics(before: DataFrame, after: DataFrame, added: DataFrame) -> DataFrame:
     """One row per category with every number the checks need."""
-    leaks = [F.count_if(F.col(c).isNotNull()) for c in leaked_columns(after)]
-    a = after.groupBy("category").agg(
-        F.count("*").alias("after"), F.count_if(strip(text("name")) == "").alias("blank_names"),
-        F.count_if(~_linked(after)).alias("no_link"), F.count_if(~text("status").isin(V.VALID_STATUSES)).alias("bad_status"),
-        F.count_if(F.to_json(F.struct(*after.columns)).isNull()).alias("unserializable"),
-        reduce(lambda x, y: x + y, leaks, F.lit(0).cast("bigint")).alias("leaked"))
-    b = before.groupBy("category").agg(F.count("*").alias("before"), F.count_if(_linked(before)).alias("before_linked"))
-    n = added.groupBy("category").agg(F.count("*").alias("added"))
-    out = (b.join(a, "category", "full_outer").join(n, "category", "full_outer").join(dup_counts(after), "category", "left"))
-    out = out.fillna(0)
+    leaks = reduce(lambda x, y: x + y, [F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in leaked_columns(after)], F.lit(0))
+
+    def tagged(df: DataFrame, side: str, **flags: Column) -> DataFrame:
+        names = ("linked", "blank", "bad_status", "unserializable")
+        return df.select("category", F.lit(side).alias("side"), *[F.coalesce(flags.get(n, F.lit(False)), F.lit(False)).alias(n) for n in names],
+                         flags.get("leaked", F.lit(0)).alias("leaked"))
+
+    rows = (tagged(before, "b", linked=_linked(before)).unionByName(tagged(added, "n")).unionByName(
+        tagged(after, "a", linked=_linked(after), blank=strip(text("name")) == "", bad_status=~text("status").isin(V.VALID_STATUSES),
+               unserializable=_unserializable(after), leaked=leaks)))
+    on = lambda side, cond="true": F.count_if((F.col("side") == side) & F.expr(cond))
+    counts = rows.groupBy("category").agg(
+        on("a").alias("after"), on("a", "blank").alias("blank_names"), on("a", "not linked").alias("no_link"), on("a", "bad_status").alias("bad_status"),
+        on("a", "unserializable").alias("unserializable"), F.sum("leaked").cast("bigint").alias("leaked"),
+        on("b").alias("before"), on("b", "linked").alias("before_linked"), on("n").alias("added"))
+    out = counts.join(F.broadcast(dup_counts(after)), "category", "left").fillna(0)   # one row per category
     return (out.withColumn("delta", F.col("after") - F.col("before")).withColumn("bootstrap", F.col("before") < G["bootstrap"])
             .withColumn("after_linked", F.col("after") - F.col("no_link")))
 
@@ -102,15 +114,16 @@ def gate_violations(metrics: DataFrame) -> DataFrame:
 
 
 def gate_decide(metrics: DataFrame) -> DataFrame:
-    """Whether each category may be published, with its blockers and warnings."""
+    """Whether each category may be published, with its blockers and warnings; written once, a row per category."""
+    metrics = materialize(metrics, "gate-metrics")
     v = gate_violations(metrics).groupBy("category").agg(F.count_if(F.col("severity") == "block").alias("blockers"),
                                                          F.count_if(F.col("severity") == "warn").alias("warnings"))
-    out = metrics.join(v, "category", "left").fillna(0, ["blockers", "warnings"])
-    return out.withColumn("allowed", F.col("blockers") == 0)
+    out = metrics.join(F.broadcast(v), "category", "left").fillna(0, ["blockers", "warnings"])
+    return materialize(out.withColumn("allowed", F.col("blockers") == 0), "gate-decision")
 
 
 def gated_snapshot(before: DataFrame, after: DataFrame, decision: DataFrame) -> DataFrame:
     """New rows of allowed categories and old rows of blocked ones."""
-    blocked = decision.where(~F.col("allowed")).select("category")   # one row per category
+    blocked = F.broadcast(decision.where(~F.col("allowed")).select("category"))   # one row per category
     return (public_columns(after).join(blocked, "category", "left_anti")
             .unionByName(public_columns(before).join(blocked, "category", "left_semi"), allowMissingColumns=True))

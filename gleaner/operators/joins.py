@@ -1,26 +1,15 @@
-"""Many-to-one joins that stay even when one key owns much of the left side."""
+"""Many-to-one joins."""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, functions as F
 
-HOT_ROWS = 1_000_000   # a key with more rows on the left is spread
-SALTS = 64
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join ``right``, which has one row per key, to ``left``.
 
-
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], row_id: str = "seq", how: str = "left") -> DataFrame:
-    """Join ``right`` (one row per key) to ``left`` with hot keys salted.
-
-    Hot keys are counted first; there are at most |left| / HOT_ROWS of them,
-    which bounds what is broadcast.  Rows of a hot key go to SALTS tasks and
-    the one right row is repeated for each.  Rows without a key are spread too.
+    Both inputs are read once.  A key that owns much of the left side, or a
+    missing one, makes a large partition of the left side only, which adaptive
+    execution splits; nothing has to be counted or repeated for it.
     """
-    hot = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(*keys, F.lit(SALTS).alias("_salts"))
-    hot = F.broadcast(hot)
-    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = F.pmod(F.xxhash64(row_id), F.when(missing, SALTS).otherwise(F.coalesce("_salts", F.lit(1)))).cast("int")
-    salted = left.join(hot, keys, "left").withColumn("_salt", spread).drop("_salts")
-    copies = (right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right, keys, how)

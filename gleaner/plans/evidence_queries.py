@@ -73,8 +73,10 @@ rated as (select *, case when tier = 0 and not (len(rot_signals) = 0 and case wh
     else regexp_matches(error, '^(blocked_|http_5|network:|unexpected:)') end) then 0
   when tier > 0 and ok and (kind <> 'none' or title <> '' or og_title <> '' or jsonld_name <> '') then 1 when tier = 0 then 2 else 3 end as quality from single),
 health as (select count(*) as attempts, count(*) filter (code like 'network:%' or code like 'unexpected:%') as hard_failures from coded where tier = 0),
-evidence as (select r.* replace (case when (r.error like 'network:%' or r.error like 'unexpected:%') and h.attempts >= 6 and h.hard_failures / h.attempts >= 0.75 then 'network_down' else r.error end as error)
-  from (select *, row_number() over (partition by key order by quality, tier, capture_id, url) as rn from rated) r, health h where rn = 1)"""
+ranked as (select *, row_number() over (partition by key, tier = 0 order by quality, tier, capture_id, url) as nth, row_number() over (partition by key order by quality, tier, capture_id, url) as rn from rated),
+evidence as (select r.* replace (case when (r.error like 'network:%' or r.error like 'unexpected:%') and h.attempts >= 6 and h.hard_failures / h.attempts >= 0.75 then 'network_down' else r.error end as error,
+    case when r.tier > 0 and d.key is not null then d.status else r.status end as status, case when r.tier > 0 and d.key is not null then d.final_url else r.final_url end as final_url)
+  from ranked r left join (select * from ranked where tier = 0 and nth = 1) d on d.key = r.key, health h where r.rn = 1)"""
 
 
 @query("page_facts", f"with {FACTS} select capture_id, title, og_title, meta_description, site_name from paged")

@@ -69,11 +69,11 @@ select doc_id as seq, cast(doc_id % 3 as int) as batch,
   case doc_id % 5 when 0 then '' when 1 then 'remote' when 2 then 'remote_geo' when 3 then 'onsite' else 'hybrid' end as location_mode,
   case when doc_id % 5 = 0 then '' else case doc_id % 7 when 0 then 'IN' when 1 then 'US' when 2 then 'CA' when 3 then 'GB' when 4 then 'SG' else '' end end as country,
   case doc_id % 10 when 0 then 'Online' when 5 then 'In-person, Berlin' else '' end as location_label
-from (select *, regexp_extract(replace(text, chr(10), ' '), '^([^ ]+ ){0,5}[^ ]+', 0) as words from documents) d
+from (select *, replace(text, chr(10), ' ') as words from documents) d
 """
 
 VIEWS["titles"] = """
-select doc_id as seq, lang as category, regexp_extract(replace(text, chr(10), ' '), '^([^ ]+ ){0,15}[^ ]+', 0) as name,
+select doc_id as seq, lang as category, replace(text, chr(10), ' ') as name,
   doc_id % 3 = 0 as known from documents
 """
 
@@ -107,6 +107,9 @@ select page_id, url, case when page_id % 17 = 0 then 'https://other.example.net/
        when page_id % 7 = 5 then replace(html, '<title>', '<title>Page not found: ')
        else html end as body
 from pages
+union all
+select page_id + 2000000000 as page_id, replace(url, '://', '://whole.') as url, replace(url, '://', '://whole.') as final_url, 200 as status, '' as error, html as body
+from pages where page_id % 11 in (0, 1, 2) or page_id % 31 = 0 or page_id % 7 = 0
 """
 
 VIEWS["captures_all"] = """
@@ -136,7 +139,7 @@ from customer
 
 VIEWS["posts"] = """
 select conv_id * 1000 + turn as post_id, case conv_id % 3 when 0 then 'hackathons' when 1 then 'developersIndia' else 'csMajors' end as channel,
-  regexp_extract(replace(text, chr(10), ' '), '^([^ ]+ ){0,7}[^ ]+', 0) as title,
+  replace(text, chr(10), ' ') as title,
   text || case turn % 6 when 0 then ' Hackathon deadline: 2026-09-30 see https://devfolio.co/h/x).' when 1 then ' Paid internship, apply by: September 30, 2026 stipend: $500 per month.'
     when 2 then ' Win $5,000 cash' when 3 then ' New fellowship grant, last date: Oct 3rd, 2026; ₹50,000 each' when 4 then ' GSoC mentorship program prize: big swag. https://x.example.org/apply/now;' else '' end as body,
   case turn % 3 when 0 then 'https://www.reddit.com/r/x/' || cast(conv_id as string) when 1 then '' else 'https://site.example.org/' || cast(conv_id as string) end as url,
@@ -156,13 +159,13 @@ from part
 """
 
 VIEWS["contest_docs"] = """
-select c_custkey as doc_id, c_custkey % 4 as kind, case c_custkey % 4
+select c_custkey as doc_id, kind, case kind
   when 0 then '{"status":"' || case when c_custkey % 20 = 0 then 'FAILED' else 'OK' end || '","result":[{"id":' || cast(c_custkey as string) || ',"name":"Round ' || cast(c_custkey as string) || '","type":"ICPC_LIKE","phase":"BEFORE","startTimeSeconds":'
     || cast(1704067200 + c_custkey * 977 as string) || ',"durationSeconds":9000},{"id":7,"name":"Old","type":"CF","phase":"FINISHED","startTimeSeconds":1,"durationSeconds":7200},{"id":8,"type":"CF","phase":"BEFORE"}]}'
   when 1 then '{"data":{"allContests":[{"title":"Weekly ' || cast(c_custkey as string) || '","titleSlug":"weekly-' || cast(c_custkey as string) || '","startTime":' || cast(1704067200 + c_custkey * 9770 as string) || ',"duration":5400},{"title":"Later","titleSlug":"","startTime":1900000000,"duration":0},{"title":"Sooner","titleSlug":"s","startTime":1800000000,"duration":60}]}}'
   when 2 then '{"future_contests":[{"contest_name":"Starters ' || cast(c_custkey as string) || '","contest_code":"S' || cast(c_custkey as string) || '","contest_start_date":"2026-09-10","contest_end_date":"' || case when c_custkey % 8 = 2 then '' else '2026-09-12' end || '"}],"present_contests":[{"contest_name":"Now","contest_code":"N"}]}'
   else '[{"id":"abc' || cast(c_custkey as string) || '","title":"Beginner ' || cast(c_custkey as string) || '","start_epoch_second":' || cast(1704067200 + c_custkey * 9770 as string) || '},{"id":"z","title":"Old","start_epoch_second":5}]' end as body
-from customer
+from customer cross join (values (0), (1), (2), (3)) as k(kind)
 """
 
 VIEWS["hack_docs"] = """
@@ -209,9 +212,9 @@ select s_suppkey as doc_id, case when s_suppkey % 2 = 0 then '{"data":[{"title":
 """
 
 VIEWS["landed_cards"] = """
-select c_custkey as card_id, case c_custkey % 6 when 0 then 'devfolio' when 1 then 'unstop' when 2 then 'hackerearth' when 3 then 'internshala' when 4 then 'mlh' else 'linkedin' end as site,
+select c_custkey as card_id, case c_custkey % 7 when 0 then 'devfolio' when 1 then 'unstop' when 2 then 'hackerearth' when 3 then 'internshala' when 4 then 'mlh' when 5 then 'unstop-competitions' else 'linkedin' end as site,
   case c_nationkey % 7 when 0 then 'ab' when 1 then 'abc' when 2 then 'Events' when 3 then 'Code Hack Day' else c_name || case when c_custkey % 4 = 1 then ' Intern' else '' end end as name,
-  case c_nationkey % 3 when 0 then '' when 1 then '/x/' || cast(c_custkey as string) else 'https://abs.example.com/' || cast(c_custkey as string) end as link,
+  case c_nationkey % 3 when 0 then '' when 1 then '/x/' || cast(c_custkey as string) else 'https://abs.example.com/' || cast(c_custkey as string) || case when c_nationkey % 2 = 0 then '?ref=card' else '' end end as link,
   case c_nationkey % 5 when 0 then '' else 'Host ' || c_mktsegment end as organizer, case c_nationkey % 4 when 0 then '' when 1 then 'Work from home' else 'Pune' end as location,
   case c_nationkey % 2 when 0 then '' else '$' || cast(c_nationkey as string) end as prize
 from customer

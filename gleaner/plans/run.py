@@ -79,7 +79,7 @@ def batch_run(existing: DataFrame, incoming: DataFrame, captures: DataFrame, led
     new_ledger = state.ledger_prune(state.ledger_upsert(ledger, decisions, now), now)
 
     added = conform(accepted)
-    proposed = reminders.expire_status(existing.unionByName(added), as_of)
+    proposed = materialize(reminders.expire_status(existing.unionByName(added), as_of), "proposed")
     verdicts = gate.gate_decide(gate.gate_metrics(existing, proposed.drop("expired"), added))
     snapshot = gate.gated_snapshot(existing, proposed.drop("expired"), verdicts)
 

@@ -209,10 +209,12 @@ def _(t):
 def _card_sql():
     cols = lambda c: "case site " + " ".join(f"when '{s}' then {D.q(str(d.get(c) or ''))}" for s, d in cards.SITES.items()) + " end"
     link = "case when link like '/%' and root <> '' then root || link when link like 'http%' then link else '' end"
-    return f"""with d as (select *, {cols('root')} as root, {cols('home')} as home, {cols('least')}::int as least, {cols('organizer')} as dorg, {cols('prize')} as dprize, {cols('deadline')} as ddl, {cols('mode')} as dmode, {cols('category')} as dcat from landed_cards)
+    return f"""with d as (select *, {cols('root')} as root, {cols('home')} as home, {cols('least')}::int as least, {cols('organizer')} as dorg, {cols('prize')} as dprize, {cols('deadline')} as ddl, {cols('mode')} as dmode, {cols('category')} as dcat,
+  {cols('tags')} || case when site <> 'hackerearth' then '' when regexp_matches(lower(name), 'hack|buildathon') then ',hackathon' else ',competition' end as tags from landed_cards)
 select card_id, case when site = 'linkedin' then case when organizer <> '' then organizer else dorg end || ': ' || name else name end as name, case when organizer <> '' then organizer else dorg end as organizer,
   case when site = 'linkedin' and contains(lower(name), 'intern') then 'internships' else dcat end as category, case when prize <> '' then prize else dprize end as prize, ddl as deadline,
-  case when {link} <> '' then {link} else home end as application_link,
+  case when site <> 'linkedin' then case when {link} <> '' then {link} else home end end as application_link, case when site = 'linkedin' then split_part(link, '?', 1) end as url,
+  case when site <> 'linkedin' then 'open' end as status, tags,
   case when site = 'internshala' and contains(lower(location), 'work from home') then 'Remote / Work From Home' when site = 'internshala' and location <> '' then location else dmode end as mode
 from d where length(name) >= least and not (site = 'mlh' and lower(name) in ('mlh', 'major league hacking', 'menu', 'events'))"""
 
@@ -220,7 +222,7 @@ from d where length(name) >= least and not (site = 'mlh' and lower(name) in ('ml
 @query("src_defaults", _card_sql())
 def _(t):
     return (cards.apply_source_defaults(t.landed_cards, cards.defaults_table(t.spark))
-            .select("card_id", "name", "organizer", "category", "prize", "deadline", "application_link", "mode"))
+            .select("card_id", "name", "organizer", "category", "prize", "deadline", "application_link", "url", "status", F.array_join("tags", ",").alias("tags"), "mode"))
 
 
 # ---- catalogue and union -------------------------------------------------

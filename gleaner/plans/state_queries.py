@@ -43,6 +43,11 @@ def _ledger(t):
     return S.fold_decisions(d, NOW)
 
 
+def _whole(t):
+    """The ledger built from all decisions."""
+    return S.fold_decisions(_decisions(t), NOW)
+
+
 def _text(df, *extra):
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return df.select("fp", "name", "category", "source", "link", fmt("first_seen"), fmt("last_checked"), "attempts", "decision", "layer",
@@ -58,41 +63,42 @@ def _(t):
     return _text(S.ledger_upsert(_ledger(t), d.where(f"not ({_CUT})"), NOW))
 
 
-@query("scan_ledger", f"with {SEED} select {_LCOLS} from seed")
+@query("scan_ledger", f"with {ALL} select {_LCOLS} from whole")
 def _(t):
     from ..schema import LEDGER
     from ..sources.tables import publish, read_state
     root = _scratch(t, "ledger")
-    publish(_ledger(t), root, "seed")
+    publish(_whole(t), root, "seed")
     return _text(read_state(t.spark, root, LEDGER))
 
 
-@query("sink_ledger", f"with {SEED} select count(*) as record_count, 2 as version, '{NOW}' as updated_at from seed where last_checked >= timestamp '{NOW}' - interval 180 day")
+@query("sink_ledger", f"with {ALL} select count(*) as record_count, 2 as version, '{NOW}' as updated_at from whole where last_checked >= timestamp '{NOW}' - interval 180 day")
 def _(t):
     from ..schema import LEDGER
     from ..sources.tables import publish, read_state, state_meta
     root = _scratch(t, "ledger")
-    publish(S.ledger_prune(_ledger(t), NOW), root, "1")
+    publish(S.ledger_prune(_whole(t), NOW), root, "1")
     return state_meta(read_state(t.spark, root, LEDGER), NOW)
 
 
-@query("ledger_prune", f"with {SEED} select {_LCOLS} from seed where last_checked >= timestamp '{NOW}' - interval 20 day")
+@query("ledger_prune", f"with {ALL} select {_LCOLS} from whole where last_checked >= timestamp '{NOW}' - interval 20 day")
 def _(t):
-    return _text(S.ledger_prune(_ledger(t), NOW, days=20))
+    return _text(S.ledger_prune(_whole(t), NOW, days=20))
 
 
-@query("ledger_stats", f"with {SEED} select decision, count(*) as n, count(*) filter (permanent) as retired from seed group by decision")
+@query("ledger_stats", f"with {ALL} select decision, count(*) as n, count(*) filter (permanent) as retired from whole group by decision")
 def _(t):
-    return S.ledger_stats(_ledger(t))
+    return S.ledger_stats(_whole(t))
 
 
-# A ledger over records: what earlier runs decided outside one category.
-RECORDS = f"""book as (select {D.fingerprint()} as fp, arg_max(case status when 'closed' then 'reject' when 'open' then 'accept' else 'quarantine' end, seq) as decision,
-  arg_max(timestamp '2024-01-28' + to_hours(cast(seq % 120 as int)), seq) as last_checked, count(*) as attempts from opp where category <> 'jobs' group by 1)"""
+# A ledger over records: what earlier runs decided; they knew the jobs under other names.
+_OLD_NAME = "case when category = 'jobs' then name || ' elsewhere' else name end"
+RECORDS = f"""book as (select {D.fingerprint(_OLD_NAME)} as fp, arg_max(case status when 'closed' then 'reject' when 'open' then 'accept' else 'quarantine' end, seq) as decision,
+  arg_max(timestamp '2024-01-28' + to_hours(cast(seq % 120 as int)), seq) as last_checked, count(*) as attempts from opp group by 1)"""
 
 
 def _book(t):
-    rows = S.with_fingerprint(t.opp.where("category <> 'jobs'")).selectExpr(
+    rows = S.with_fingerprint(t.opp.withColumn("name", F.expr(_OLD_NAME))).selectExpr(
         "seq", "fp", "case status when 'closed' then 'reject' when 'open' then 'accept' else 'quarantine' end as decision", "'L2' as layer",
         "timestamp_ntz'2024-01-28 00:00:00' + make_dt_interval(0, cast(seq % 120 as int), 0, 0) as checked_at", "name", "category", "source", "application_link as link")
     return S.fold_decisions(rows, NOW)
@@ -293,9 +299,14 @@ def _(t):
     return G.gate_metrics(before, leaky, added).select("category", "leaked")
 
 
-@query("gate_serializable", f"with {METRICS} select category, 0::bigint as unserializable from metrics")
+@query("gate_serializable", f"""with {METRICS} select m.category, count(*) filter (a.seq % 10 = 3) as unserializable, m.after > 0 and count(*) filter (a.seq % 10 = 3) > 0 as blocked
+from metrics m left join after_t a on a.category = m.category group by m.category, m.after""")
 def _(t):
-    return G.gate_metrics(*_snapshots(t)).select("category", "unserializable")
+    before, after, added = _snapshots(t)
+    scored = after.withColumn("score", F.when(F.col("seq") % 20 == 3, float("nan")).when(F.col("seq") % 20 == 13, float("inf")).otherwise(F.col("seq") / 2))
+    metrics = G.gate_metrics(before, scored, added)
+    rule = G.gate_violations(metrics).where("code = 'not_serializable' and severity = 'block'").select("category", F.lit(True).alias("b"))
+    return metrics.join(rule, "category", "left").select("category", "unserializable", F.coalesce("b", F.lit(False)).alias("blocked"))
 
 
 @query("strip_internal", "select seq, name, status from opp")

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_run: list[str] = []   # folders of the runs that are open, innermost last
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of one run, removed at its end.
+
+    Results read those tables, so write them inside the ``with`` block.
+    """
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _run.append(folder)
+    try:
+        yield folder
+    finally:
+        _run.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: a short plan with exact statistics."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_run[-1] if _run else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

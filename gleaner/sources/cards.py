@@ -18,6 +18,9 @@ SITES: dict[str, dict[str, str | int]] = {
     "unstop": {"least": 3, "root": "https://unstop.com", "home": "https://unstop.com/hackathons", "category": "hackathons", "organizer": "Via Unstop", "description": "Hackathons on Unstop",
                "eligibility": "Check listing page for details", "mode": "Check listing page", "fee": "Check listing page", "prize": "Check listing page",
                "deadline": "Check listing page", "source": "unstop-scraper", "tags": "unstop,hackathons"},
+    "unstop-competitions": {"least": 3, "root": "https://unstop.com", "home": "https://unstop.com/competitions", "category": "competitions", "organizer": "Via Unstop",
+                            "description": "Competitions on Unstop", "eligibility": "Check listing page for details", "mode": "Check listing page", "fee": "Check listing page",
+                            "prize": "Check listing page", "deadline": "Check listing page", "source": "unstop-scraper", "tags": "unstop,competitions"},
     "hackerearth": {"least": 3, "root": "https://www.hackerearth.com", "home": "https://www.hackerearth.com/challenges/", "category": "hackathons", "organizer": "Via HackerEarth",
                     "description": "Challenge on HackerEarth", "eligibility": "Open — check listing page", "mode": "Online", "fee": "Free", "prize": "Check listing page",
                     "deadline": "Check page", "source": "hackerearth-scraper", "tags": "hackerearth"},
@@ -48,7 +51,7 @@ def apply_source_defaults(landed: DataFrame, defaults: DataFrame) -> DataFrame:
     """
     has = lambda c: text(c) if c in landed.columns else F.lit("")
     d = lambda c: text(f"d.{c}")
-    rows = landed.alias("l").join(F.broadcast(defaults.alias("d")), F.col("l.site") == F.col("d.site"))   # six sites
+    rows = landed.alias("l").join(F.broadcast(defaults.alias("d")), F.col("l.site") == F.col("d.site"))   # seven sites
     name = strip(text("l.name"))
     rows = rows.where((F.length(name) >= F.col("d.least")) & ~((F.col("l.site") == "mlh") & F.lower(name).isin(MLH_HEADINGS)))
     link = text("l.link")
@@ -57,6 +60,7 @@ def apply_source_defaults(landed: DataFrame, defaults: DataFrame) -> DataFrame:
     fill = lambda c: first_nonblank(has(c) if c not in defaults.columns else text(f"l.{c}") if c in landed.columns else F.lit(""), d(c))
     place = F.lower(text("l.location")) if "location" in landed.columns else F.lit("")
     site, low = F.col("l.site"), F.lower(name)
+    linkedin = site == "linkedin"   # its cards say nothing but the page's address
     mode = (F.when((site == "internshala") & contains_any(place, ["work from home", "remote"]), "Remote / Work From Home")
             .when((site == "internshala") & (place != ""), F.col("l.location") if "location" in landed.columns else F.lit("")).otherwise(d("mode")))
     kind = F.when(contains_any(low, ["hackathon", "hack", "buildathon"]), "hackathon").otherwise("competition")
@@ -67,5 +71,5 @@ def apply_source_defaults(landed: DataFrame, defaults: DataFrame) -> DataFrame:
         *keep, site.alias("site"), F.when(site == "linkedin", F.concat(fill("organizer"), F.lit(": "), name)).otherwise(name).alias("name"), category.alias("category"),
         *[fill(c).alias(c) for c in ("organizer", "description", "prize", "stipend", "duration", "deadline")],
         F.when(site == "linkedin", fill("location")).otherwise("").alias("location"), d("eligibility").alias("eligibility"), mode.alias("mode"), d("fee").alias("fee"),
-        full.alias("application_link"), full.alias("website"), F.when(site == "hackerearth", F.concat(tags, F.array(kind))).otherwise(tags).alias("tags"),
-        F.lit("open").alias("status"), d("source").alias("source"))
+        F.when(~linkedin, full).alias("application_link"), F.when(~linkedin, full).alias("website"), F.when(linkedin, F.substring_index(link, "?", 1)).alias("url"), F.when(site == "hackerearth", F.concat(tags, F.array(kind))).otherwise(tags).alias("tags"),
+        F.when(~linkedin, "open").alias("status"), d("source").alias("source"))

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import text
 from ..operators.dedup import feed_dedup
+from ..operators.ranking import numbered
 from ..schema import OPPORTUNITY, conform
+from ..session import materialize
 from . import documents
 
 # Order of the reliability tiers (fixed values); later sources rank lower.
 ORDER = ["github", "codeforces", "leetcode", "gsoc", "company", "jobspy", "kontests", "reach", "devfolio",
          "unstop-hackathons", "unstop-competitions", "mlh", "devpost", "hackerearth", "internshala", "social"]
 _SOURCES: dict[str, tuple[str | None, Callable[[DataFrame], DataFrame]]] = {}
-_STRIDE = 1 << 48
 
 
 def register_source(name: str, fn: Callable[[DataFrame], DataFrame], category: str | None = None) -> None:
@@ -30,8 +32,9 @@ def registered() -> dict[str, tuple[str | None, Callable[[DataFrame], DataFrame]
 def union_sources(captures: DataFrame, sources: dict[str, tuple[str | None, Callable[[DataFrame], DataFrame]]] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """All records in registry order, and (source, error) of sources that failed to plan.
 
-    A source's fixed category overrides what a record says.  ``seq`` becomes
-    the rank of the source followed by the order inside it.
+    A source's fixed category overrides what a record says.  ``seq`` orders the
+    records of a source and must be unique there; ``seq`` of the result numbers
+    all records 1..n, source by source.
     """
     parts, errors = [], []
     for rank, (name, (category, fn)) in enumerate((sources or registered()).items()):
@@ -39,18 +42,17 @@ def union_sources(captures: DataFrame, sources: dict[str, tuple[str | None, Call
             rows = fn(captures)
             if "seq" not in rows.columns:
                 raise ValueError("a source must give its records an order (seq)")
-            rows = rows.withColumn("seq", F.col("seq").cast("bigint") + rank * _STRIDE)
             if category:
                 rows = rows.withColumn("category", F.lit(category))
-            parts.append(conform(rows).withColumn("origin", F.lit(name)))
+            rows = conform(rows).withColumn("origin", F.lit(name)).withColumn("_rank", F.lit(rank))
+            # each source is written on its own, so one that fails while it runs does not stop the others either
+            parts.append(materialize(rows, f"source-{name}"))
         except Exception as e:  # one broken source must not stop the others
             errors.append((name, str(e)))
     if not parts:
         return conform(captures.limit(0)).withColumn("origin", F.lit("")), errors
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, errors
+    out = reduce(DataFrame.unionByName, parts)
+    return numbered(out.withColumnRenamed("seq", "_seq"), "seq", "_rank", "_seq").drop("_rank", "_seq").select(*OPPORTUNITY.names, "origin"), errors
 
 
 def source_report(records: DataFrame, errors: list[tuple[str, str]] = ()) -> DataFrame:
@@ -74,7 +76,8 @@ def route(captures: DataFrame, catalogue: DataFrame) -> DataFrame:
     Catalogue columns: name, url, parser, category, limit, filter, enabled.
     Disabled entries are skipped.  Results are deduplicated within a category.
     """
-    live = captures.join(catalogue.where("enabled").withColumnsRenamed({"category": "cat", "name": "origin"}), "url")
+    live = captures.join(F.broadcast(catalogue.where("enabled").withColumnsRenamed({"category": "cat", "name": "origin"})), "url")   # a row per source
+    live = materialize(live, "routed", "parser")   # each parser reads its own captures
     keys = ("capture_id", "origin", "cat")
     parts = []
     for parser, fn in PARSERS.items():
@@ -90,16 +93,15 @@ def route(captures: DataFrame, catalogue: DataFrame) -> DataFrame:
     pages = live.where(F.col("parser") == "listing").withColumn("source", F.col("origin"))
     parts.append(documents.listing_links(pages, *keys).withColumn("category", F.col("cat")))
 
-    def order(df: DataFrame) -> DataFrame:
-        """Arrival number: capture, then section, table and row inside it."""
-        table = F.col("table").cast("bigint") if "table" in df.columns else F.lit(0).cast("bigint")
+    def placed(df: DataFrame) -> DataFrame:
+        """The opportunity columns with the arrival order: capture, then section, table and row inside it."""
         section = F.when(F.col("category") == "competitions", 1).when(F.col("category") == "fellowships", 2).otherwise(0) if "_section" in df.columns else F.lit(0)
-        return df.withColumn("seq", F.col("capture_id").cast("bigint") * (1 << 32) + section.cast("bigint") * (1 << 30) + table * (1 << 20) + F.col("pos"))
-
-    wide = [order(p) for p in parts]
-    cols = ["origin", *OPPORTUNITY.names]
-    out = None
-    for p in wide:
-        shaped = p.select(*[(F.col(c) if c in p.columns else F.lit(None).cast(OPPORTUNITY[c].dataType)).alias(c) for c in cols])
-        out = shaped if out is None else out.unionByName(shaped)
-    return feed_dedup(out.where(text("name") != ""))
+        table = F.col("table") if "table" in df.columns else F.lit(0)
+        columns = [(F.col(c) if c in df.columns else F.lit(None).cast(OPPORTUNITY[c].dataType)).alias(c) for c in ("origin", *OPPORTUNITY.names) if c not in ("seq", "origin")]
+        return df.select("origin", *columns, F.col("capture_id").cast("bigint").alias("_capture"), section.cast("bigint").alias("_section"),
+                         table.cast("bigint").alias("_table"), F.col("pos").cast("bigint").alias("_pos"))
+
+    out = reduce(DataFrame.unionByName, [placed(p) for p in parts])
+    order = ["_capture", "origin", "_section", "_table", "_pos"]
+    out = numbered(out.where(text("name") != ""), "seq", *order).select("origin", *OPPORTUNITY.names)
+    return feed_dedup(out)

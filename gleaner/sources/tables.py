@@ -29,8 +29,7 @@ def read_category(spark: SparkSession, path: str, category: str | None = None) -
         return spark.createDataFrame([], OPPORTUNITY)
     raw = (spark.read.schema(_json_schema().add("_corrupt", "string")).option("multiLine", path.endswith(".json"))
            .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    rows = raw.where(F.col("_corrupt").isNull()) if not path.endswith(".json") else raw
-    out = rows.select([F.col(JSON_NAMES.get(f.name, f.name)).alias(f.name) for f in OPPORTUNITY.fields])
+    out = raw.where(F.col("_corrupt").isNull()).select([F.col(JSON_NAMES.get(f.name, f.name)).alias(f.name) for f in OPPORTUNITY.fields])
     return out.withColumn("category", F.lit(category)) if category else out
 
 
@@ -60,10 +59,13 @@ def _point(spark: SparkSession, root: str, version: str) -> None:
     out = fs.create(draft, True)
     out.write(bytearray(version.encode()))
     out.close()
-    final = path(f"{root}/_CURRENT")
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(draft, final)
+    # one rename that overwrites: readers see the old pointer or the new one, never none
+    jvm = spark._jvm
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(option, 1)
+    overwrite[0] = option.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(draft), context.makeQualified(path(f"{root}/_CURRENT")), overwrite)
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.state import ledger_upsert
 from ..plans.run import batch_run
 from ..schema import LEDGER, OPPORTUNITY, QUARANTINE
+from ..session import scratch
 from ..sources.tables import current_version, publish, read_state
 
 
@@ -66,12 +67,13 @@ def run_incremental(spark: SparkSession, landing: str, captures: Callable[[Spark
         version = current_version(session, roots["snapshot"])
         ledger = _at(session, roots["ledger"], version, LEDGER)
         queue = _at(session, roots["queue"], version, QUARANTINE)
-        out = batch_run(before, batch, captures(session), ledger, queue, as_of, now)
         name = _version(batch_id)
-        publish(out.ledger, roots["ledger"], name)
-        publish(out.queue, roots["queue"], name)
-        publish(out.metrics, roots["metrics"], name)
-        publish(out.snapshot, roots["snapshot"], name)
+        with scratch(session):   # intermediate tables go once all versions are written
+            out = batch_run(before, batch, captures(session), ledger, queue, as_of, now)
+            publish(out.ledger, roots["ledger"], name)
+            publish(out.queue, roots["queue"], name)
+            publish(out.metrics, roots["metrics"], name)
+            publish(out.snapshot, roots["snapshot"], name)
 
     _drain(spark, landing, _ddl(), f"{root}/progress", step, files)
     return read_state(spark, roots["snapshot"], OPPORTUNITY)

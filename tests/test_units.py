@@ -83,7 +83,7 @@ def test_sort_uses_locale_order(spark):
 def test_numbering_over_stretches(spark):
     from gleaner.operators.ranking import numbered
     df = spark.range(0, 50).select((F.col("id") * 7 % 50).alias("seq"), (F.col("id") % 3).alias("g"))
-    rows = numbered(df, "n", F.col("g"), width=8).orderBy("n").collect()
+    rows = numbered(df, "n", "g", "seq").orderBy("n").collect()
     assert [r["n"] for r in rows] == list(range(1, 51))
     assert [(r["g"], r["seq"]) for r in rows] == sorted((r["g"], r["seq"]) for r in rows)
 
@@ -119,9 +119,8 @@ def test_upcoming_days(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
-def test_lookup_with_hot_and_missing_keys(spark, monkeypatch, how):
+def test_lookup_with_hot_and_missing_keys(spark, how):
     from gleaner.operators import joins
-    monkeypatch.setattr(joins, "HOT_ROWS", 5)
     left = spark.range(60).select(F.col("id").alias("seq"), F.when(F.col("id") < 30, "hot").when(F.col("id") < 40, F.concat(F.lit("k"), "id")).alias("key"))
     right = spark.createDataFrame([("hot", 1), ("k31", 2), ("unused", 3)], "key string, v int")
     want = sorted(map(str, left.join(right, "key", how).select("seq", *([] if how == "left_anti" else ["v"])).collect()))
