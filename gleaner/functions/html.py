@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
-from . import vocab as V
-from .text import collapse, let, quoted, strip, text
+from .text import collapse, let, strip, text
 
 
-def unescape(c: Column) -> Column:
-    """Decode character references: numeric ones and the listed names."""
-    def decode(ref: Column) -> Column:
-        hexed = F.when(F.lower(ref).startswith("x"), F.substring(ref, 2, 8)).otherwise(F.conv(ref, 10, 16))
-        return F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+# Standard tables of the language; the frequent names first, as a literal map is searched in order.
+_FREQUENT = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "ndash", "mdash", "hellip", "rsquo", "lsquo", "ldquo", "rdquo", "bull", "reg", "trade"]
+_NAMES = {n[:-1]: v for n, v in html5.items() if n.endswith(";")}
+_ORDERED = {**{n: _NAMES[n] for n in _FREQUENT}, **_NAMES}
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)   # names that need no semicolon
+_WINDOWS = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}   # what such numbers stand for
+
 
-    def numeric(s: Column) -> Column:
-        refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
-        return F.aggregate(refs, s, lambda acc, r: F.replace(acc, F.concat(F.lit("&#"), r, F.lit(";")), decode(r)))
+def _constant_map(pairs: dict[str, str]) -> Column:
+    """A map from one text literal; it is folded when the query is planned."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
 
-    def named(s: Column) -> Column:
-        pairs = [(f"&{n};", ch) for n, ch in [*V.HTML_ENTITIES.items(), ("amp", "&")]]
-        table = F.expr("array(" + ", ".join(f"named_struct('n', {quoted([n])}, 'c', {quoted([ch])})" for n, ch in pairs) + ")")
-        return F.aggregate(table, s, lambda acc, e: F.replace(acc, e["n"], e["c"]))
 
-    def both(s: Column) -> Column:
-        plain = F.when(F.contains(s, F.lit("&#")), numeric(s)).otherwise(s)
-        return F.when(F.contains(s, F.lit("&")), named(plain)).otherwise(s)
+def _character(code: Column) -> Column:
+    """The character that a number (as text) stands for, '' for control characters."""
+    def of(n: Column) -> Column:
+        control = (n < 9) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | ((n % 65536) >= 65534)
+        return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(n == 13, "\r")
+                .when(n.between(0x80, 0x9F), _constant_map(_WINDOWS)[n.cast("string")]).when(control, "")
+                .otherwise(F.decode(F.unhex(F.lpad(F.conv(n.cast("string"), 10, 16), 8, "0")), "UTF-32")))
 
-    return let(c, both)
+    return let(code.cast("decimal(38,0)"), of)
+
+
+def unescape(c: Column) -> Column:
+    """Decode character references in one pass, by the full standard table; decoded text is not decoded again."""
+    table, bare = _constant_map(_ORDERED), _constant_map({n: html5[n] for n in _BARE})
+
+    def decode(piece: Column) -> Column:
+        """A piece that followed an ampersand."""
+        number = F.regexp_extract(piece, r"\A#(?:(\d+)|[xX]([0-9a-fA-F]+))(;?)", 0)
+        digits = F.regexp_replace(number, ";", "")
+        code = F.when(F.lower(digits).startswith("#x"), F.conv(F.substring(digits, 3, 40), 16, 10)).otherwise(F.substring(digits, 2, 40))
+        name = F.regexp_extract(piece, r"\A([A-Za-z][A-Za-z0-9]*);", 1)
+        short = F.regexp_extract(piece, r"\A(" + "|".join(_BARE) + ")", 1)
+        after = lambda n: F.substring(piece, n + 1, F.length(piece))
+        # a name that is not in the table may begin with one that needs no semicolon
+        return F.when(number != "", F.concat(_character(code), after(F.length(number)))).otherwise(
+            F.coalesce(F.concat(table[name], after(F.length(name) + 1)), F.concat(bare[short], after(F.length(short))), F.concat(F.lit("&"), piece)))
+
+    def pieces(s: Column) -> Column:
+        parts = F.split(s, "&")
+        decoded = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decode)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(decoded, ""))
+
+    return let(c, lambda s: F.when(F.contains(s, F.lit("&")), pieces(s)).otherwise(s))
 
 
 def drop_hidden(c: Column) -> Column:

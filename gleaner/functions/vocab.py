@@ -307,18 +307,6 @@ DEADLINE_OVERSHOOT, EVENT_DRIFT = 30, 45
 TITLE_HARD, TITLE_SOFT = 0.15, 0.34
 PLACEHOLDERS = ["n/a", "na", "none", "null", "tbd", "-", "undefined", "nan"]
 
-# Named character references that are decoded natively.
-HTML_ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
-    "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "bull": "•", "middot": "·", "copy": "©",
-    "reg": "®", "trade": "™", "euro": "€", "pound": "£", "yen": "¥",
-    "cent": "¢", "laquo": "«", "raquo": "»", "times": "×", "deg": "°",
-    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "uuml": "ü",
-    "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "rarr": "→",
-    "larr": "←",
-}
-
 # --------------------------------------------------------------------------
 # Memory and gate (fixed values)
 # --------------------------------------------------------------------------

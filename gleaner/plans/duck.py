@@ -163,10 +163,12 @@ def iso(c):
 
 
 def unescape(c):
-    out = c
-    for name, char in V.HTML_ENTITIES.items():
-        out = f"replace({out}, {q(f'&{name};')}, {q(char)})"
-    return f"replace({out}, '&amp;', '&')"
+    """The references that the given tables hold: amp, quot, copy, middot, lt, gt, nbsp and numbers, in one pass."""
+    names = {"amp": "&", "quot": '"', "copy": "©", "middot": "·", "lt": "<", "gt": ">", "nbsp": "\u00a0"}
+    bare = " ".join(f"when starts_with(x, {q(n)}) then {q(v)} || substring(x, {len(n) + 1} + case when substring(x, {len(n) + 1}, 1) = ';' then 1 else 0 end)" for n, v in names.items())
+    number = "when regexp_matches(x, '^#[0-9]+;') then chr(cast(regexp_extract(x, '^#([0-9]+);', 1) as int)) || regexp_replace(x, '^#[0-9]+;', '')"
+    pieces = f"list_transform(string_split({c}, '&')[2:], lambda x: case {bare} {number} else '&' || x end)"
+    return f"(string_split({c}, '&')[1] || array_to_string({pieces}, ''))"
 
 
 def visible(c):

@@ -74,6 +74,67 @@ def test_html(spark):
     assert one(spark, html.strip_html("s"), s="<p>one</p><div>two</div>") == "one\n two"
 
 
+def test_references_decode_once_by_the_whole_table(spark):
+    import html as standard
+    import random
+    from html.entities import html5
+    rng = random.Random(2)
+    texts = [f"x&{n}y&{n}" for n in html5] + [f"&#{n};" for n in (0, 9, 13, 65, 127, 128, 150, 159, 233, 8364, 55296, 64976, 65534, 128512, 1114111, 1114112, 10 ** 12)]
+    texts += ["&#x20AC;&#xe9&#233", "&am", "&amp", "&ampx;", "&notit;", "&", "&&", "&;", "& b", "&#;", "&#x;", "&unknown;", "&AMP", "a&b;c&lt", "&iacute; &Eacute;"]
+    texts += ["".join(rng.choices(["&", "amp", "lt", ";", "#", "38", "x", " ", "copy", "not", "in"], k=8)) for _ in range(500)]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", html.unescape(F.col("s")).alias("v")).collect()
+    assert [r for r in got if r.v != standard.unescape(r.s)] == []
+    assert one(spark, html.visible_text("s"), s="&#38;lt;b&#38;gt; &amp;amp;") == "&lt;b&gt; &amp;"
+
+
+def test_corrupt_json_array_gives_no_rows(spark, tmp_path):
+    from gleaner.sources.tables import read_category
+    (tmp_path / "a.json").write_text('[{"name": "x", broken')
+    (tmp_path / "b.json").write_text('[{"name": "x"}, {"name": "y"}]')
+    assert read_category(spark, str(tmp_path / "a.json")).collect() == []
+    assert sorted(r["name"] for r in read_category(spark, str(tmp_path / "b.json"), "jobs").collect()) == ["x", "y"]
+
+
+def test_rescued_page_keeps_the_direct_answer(spark):
+    from gleaner.operators.evidence import build_evidence
+    page = "<html><head><title>Harbour Hackathon</title></head><body>text</body></html>"
+    rows = [(1, 0, "https://a.io/x", "https://other.io/", 403, "", ""), (2, 1, "https://a.io/x", "https://a.io/x", 200, "", page)]
+    caps = spark.createDataFrame(rows, "capture_id bigint, tier int, url string, final_url string, status int, error string, body string")
+    row = build_evidence(caps, AS_OF).first()
+    assert (row["status"], row["final_url"], row["via"], row["ok"], row["title"]) == (403, "https://other.io/", "reach", True, "Harbour Hackathon")
+
+
+def test_linkedin_card_sets_only_its_url(spark):
+    from gleaner.sources import cards
+    landed = spark.createDataFrame([("linkedin", "Data Intern", "https://l.io/1?x=2"), ("unstop-competitions", "Case Cup", "/c/1")], "site string, name string, link string")
+    rows = {r["site"]: r for r in cards.apply_source_defaults(landed, cards.defaults_table(spark)).collect()}
+    card = rows["linkedin"]
+    assert (card["url"], card["application_link"], card["website"], card["status"], card["category"]) == ("https://l.io/1", None, None, None, "internships")
+    cup = rows["unstop-competitions"]
+    assert (cup["category"], cup["application_link"], cup["description"], cup["tags"]) == ("competitions", "https://unstop.com/c/1", "Competitions on Unstop", ["unstop", "competitions"])
+
+
+def test_pointer_moves_in_one_step(spark, tmp_path):
+    from gleaner.sources.tables import current_version, publish
+    root = str(tmp_path / "t")
+    for v in ("1", "2", "3"):
+        publish(spark.range(int(v)), root, v)
+        assert current_version(spark, root) == v
+    assert [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith(".pointer")] == []
+
+
+def test_numbers_of_sources_never_collide(spark):
+    """Captures 70,000 and 3e9 of one source before any record of the next."""
+    from gleaner.sources.registry import route, union_sources
+    table = "| Name | Link |\n|---|---|\n" + "".join(f"| Program {{0}} {i} | https://{{0}}.io/{i} |\n" for i in range(5))
+    caps = spark.createDataFrame([(c, "t", table.replace("{0}", f"c{c}")) for c in (1, 70_000, 3_000_000_000)], "capture_id bigint, url string, body string")
+    cat = spark.createDataFrame([("T", "t", "markdown_table", "jobs", None, None, True)], "name string, url string, parser string, category string, limit int, filter string, enabled boolean")
+    later = lambda c: spark.createDataFrame([(0, "Later one"), (1, "Later two")], "seq bigint, name string")
+    rows = union_sources(caps, {"first": (None, lambda c: route(c, cat)), "second": ("jobs", later)})[0].orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(1, 18))
+    assert [r["name"] for r in rows] == [f"Program c{c} {i}" for c in (1, 70_000, 3_000_000_000) for i in range(5)] + ["Later one", "Later two"]
+
+
 def test_sort_uses_locale_order(spark):
     df = spark.createDataFrame([(1, "banana", "open"), (2, "Apple", "closed"), (3, "éclair", "open"), (4, "zoo", "open")], "seq bigint, name string, status string")
     assert [r["name"] for r in facets.order_by(df, "company-asc").collect()] == ["Apple", "banana", "éclair", "zoo"]
