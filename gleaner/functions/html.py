@@ -77,7 +77,7 @@ def strip_html(c: Column | str) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    return F.substring(collapse(unescape(text(c))), 1, 300)
+    return collapse(unescape(text(c)))
 
 
 def element_text(c: Column, tag: str) -> Column:

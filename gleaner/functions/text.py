@@ -38,6 +38,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def head(items: Column, n: Column | int | None) -> Column:
+    """The first ``n`` items, or all."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def first_nonblank(*cs: Column | str) -> Column:
     """First value that is neither null nor empty, else ''."""
     return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit(""))
@@ -169,7 +174,7 @@ def extract_url(c: Column | str) -> Column:
 def clean_title(c: Column | str) -> Column:
     s = collapse(text(c))
     s = F.regexp_replace(s, r"\A[#*\-•\d.\s]+", "")
-    return F.substring(F.trim(F.regexp_replace(s, r"[|·–—]\s*\z", "")), 1, 180)
+    return F.trim(F.regexp_replace(s, r"[|·–—]\s*\z", ""))
 
 
 def plausible_title(c: Column | str) -> Column:

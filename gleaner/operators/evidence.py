@@ -78,14 +78,14 @@ def json_ld_nodes(captures: DataFrame, *keys: str) -> DataFrame:
 
 def _entity(value: Column) -> Column:
     one = _first_text(value)
-    return F.substring(F.trim(text(F.when(one.startswith("{"), _get(one, "name")).otherwise(one))), 1, 160)
+    return F.trim(text(F.when(one.startswith("{"), _get(one, "name")).otherwise(one)))
 
 
 def _offer(value: Column) -> Column:
     one = _first_text(value)
     price = F.coalesce(F.nullif(_get(one, "price"), F.lit("")), _get(one, "highPrice"))
     return F.when(one.startswith("{") & (text(price) != ""),
-                  F.substring(F.trim(F.concat_ws(" ", text(_get(one, "priceCurrency")), price)), 1, 120)).otherwise("")
+                  F.trim(F.concat_ws(" ", text(_get(one, "priceCurrency")), price))).otherwise("")
 
 
 def structured_facts(captures: DataFrame, as_of: str) -> DataFrame:
@@ -153,8 +153,8 @@ def challenge_signals(facts: DataFrame) -> DataFrame:
 
 def page_signals(facts: DataFrame) -> DataFrame:
     """Add closure phrases of the visible text and dead-page phrases of the title."""
-    return facts.withColumns({"closed_signals": F.slice(found_terms(F.lower("visible"), V.CLOSED_PHRASES), 1, 4),
-                              "rot_signals": F.slice(found_terms(F.lower("title"), V.ROT_PHRASES), 1, 3)})
+    return facts.withColumns({"closed_signals": found_terms(F.lower("visible"), V.CLOSED_PHRASES),
+                              "rot_signals": found_terms(F.lower("title"), V.ROT_PHRASES)})
 
 
 def capture_error(status: Column, error: Column) -> Column:

@@ -1,7 +1,7 @@
 """Layer 1: weighted plausibility of a record, with vetoes.
 
-Probing is limited to the first rows of a category in arrival order, as the
-operator defines it; page texts are searched whole.
+Pages are captures that have landed, so all records are probed and page texts
+are searched whole; a cap per category is an argument.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..functions import vocab as V
 from ..functions.dates import RANGE, as_date, lenient_date, latest_year, range_end
 from ..functions.text import WORD, contains_any, first_nonblank, let, lits, normalize_title, strip, text
 from ..functions.urls import canonical_url
+from .joins import lookup
 from .titles import title_matches
 
 _LINK = ("application_link", "url", "website")
@@ -39,27 +40,28 @@ def _probe_url(df: DataFrame) -> Column:
     return first_nonblank(*[_field(df, n) for n in _LINK])
 
 
-def probe_cap(df: DataFrame, n: int = V.PROBE_CAP) -> DataFrame:
-    """Add ``probe_rank``: 1..n for the first n rows with a URL per category, else null.
+def probe_cap(df: DataFrame, n: int | None = V.PROBE_CAP) -> DataFrame:
+    """Add ``probe_rank``: 1..n for the first n rows with a URL per category, else null; without n, 1 for all with a URL.
 
-    The ranking keeps n rows per category before it shuffles, so a large
-    category costs no more than a small one.
+    The first rows are taken per salt before they meet, so a large category is many tasks.
     """
-    urls = df.where(_probe_url(df).startswith("http")).select("category", "seq")
-    w = Window.partitionBy("category").orderBy("seq")
-    first = urls.withColumn("probe_rank", F.row_number().over(w)).where(F.col("probe_rank") <= n)
+    has_url = _probe_url(df).startswith("http")
+    if n is None:
+        return df.withColumn("probe_rank", F.when(has_url, 1))
+    first = df.where(has_url).select("category", "seq", F.pmod(F.xxhash64("seq"), F.lit(64)).alias("salt"))
+    for part in (["category", "salt"], ["category"]):
+        first = first.withColumn("probe_rank", F.row_number().over(Window.partitionBy(*part).orderBy("seq"))).where(F.col("probe_rank") <= n)
     return df.join(F.broadcast(first.select("seq", "probe_rank")), "seq", "left")  # at most n rows per category
 
 
 def probe_pages(df: DataFrame, captures: DataFrame) -> DataFrame:
-    """Status and body for the probed rows (columns seq, p_status, p_again, p_body)."""
-    asked = df.where(F.col("probe_rank").isNotNull()).select("seq", canonical_url(_probe_url(df)).alias("key"))
+    """Add p_status, p_again, p_n and p_body of the landed page to the probed rows."""
     tier = F.col("tier") if "tier" in captures.columns else F.lit(0)
-    landed = captures.select(canonical_url("url").alias("key"), tier.alias("tier"), "status", "body")
-    pages = F.broadcast(asked).join(landed, "key")   # at most n rows per category are asked for
-    return pages.groupBy("seq").agg(
+    pages = captures.select(canonical_url("url").alias("_key"), tier.alias("tier"), "status", "body").groupBy("_key").agg(
         F.min_by("status", "tier").alias("p_status"), F.max_by("status", "tier").alias("p_again"),
         F.count("*").alias("p_n"), F.min_by("body", F.struct("tier", "status")).alias("p_body"))
+    asked = df.withColumn("_key", F.when(F.col("probe_rank").isNotNull(), canonical_url(_probe_url(df))))
+    return lookup(asked, pages, ["_key"]).drop("_key")
 
 
 def url_score(df: DataFrame) -> tuple[Column, Column]:
@@ -101,11 +103,11 @@ def content_words(name: Column) -> Column:
     return F.array_except(found, lits(V.CONTENT_GENERIC))
 
 
-def content_score(df: DataFrame, url_points: Column) -> tuple[Column, Column]:
-    """Whether the target page mentions a word of the title."""
+def content_score(df: DataFrame, url_points: Column, cap: int | None = None) -> tuple[Column, Column]:
+    """Whether the target page mentions a word of the title; rows from the cap on are not read."""
     url, name = first_nonblank(_field(df, "application_link"), _field(df, "url")), _field(df, "name")
     words = content_words(name)
-    capped = F.col("probe_rank").isNull() | (F.col("probe_rank") >= V.PROBE_CAP)
+    capped = F.col("probe_rank").isNull() | (F.col("probe_rank") >= cap if cap is not None else F.lit(False))
     read = F.col("p_status") < 400
     hit = let(F.lower(F.col("p_body")), lambda page: F.exists(words, lambda w: F.contains(page, w)))
     code = (F.when(url_points < 0.5, "neutral").when(~url.startswith("http") | (name == ""), "neutral").when(capped, "capped")
@@ -134,17 +136,19 @@ def _composite(fuzzy: Column) -> Column:
     return F.when(F.col("s_date") == 0, F.least(total, F.lit(0.20))).otherwise(total)
 
 
-def record_scores(df: DataFrame, captures: DataFrame, as_of: str) -> DataFrame:
-    """All scores that need no other record: s_schema, s_url, s_date, s_content, s_spam and reasons r_*."""
-    capped = probe_cap(df)
-    wide = capped.join(F.broadcast(probe_pages(capped, captures)), "seq", "left")  # probed rows only
+def record_scores(df: DataFrame, captures: DataFrame, as_of: str, cap: int | None = None) -> DataFrame:
+    """All scores that need no other record: s_schema, s_url, s_date, s_content, s_spam and reasons r_*.
+
+    Captures have landed already, so every record is looked up unless ``cap`` limits the probes per category.
+    """
+    wide = probe_pages(probe_cap(df, cap), captures)
     url, url_why = url_score(wide)
     date, date_why = date_score(_field(wide, "deadline"), as_of)
     spam, spam_why = spam_score(wide)
     wide = wide.withColumns({
         "s_schema": schema_score(wide), "r_schema": F.when(F.length(strip(_field(wide, "name"))) < 3, "missing required fields: ['name']"),
         "s_url": url, "r_url": url_why, "s_date": date, "r_date": date_why, "s_spam": spam, "r_spam": spam_why})
-    content, content_why = content_score(wide, F.col("s_url"))
+    content, content_why = content_score(wide, F.col("s_url"), cap)
     return (wide.withColumns({"s_content": content, "r_content": content_why})
             .drop("p_status", "p_again", "p_n", "p_body", "probe_rank"))
 

@@ -46,12 +46,12 @@ def fold_decisions(decisions: DataFrame, now: str) -> DataFrame:
         df = df.withColumn("checked_at", now_col(now))
     df = df.withColumn("permanent", _permanent())
     last = lambda c, cond=None: F.max_by(c, F.when(cond, F.col("seq")) if cond is not None else F.col("seq")).alias(c)
-    first = lambda c, n: F.substring(text(F.min_by(c, "seq")), 1, n).alias(c)
+    first = lambda c: text(F.min_by(c, "seq")).alias(c)
     return df.groupBy("fp").agg(
-        first("name", 120), F.min_by("category", "seq").alias("category"), first("source", 60), first("link", 300),
+        first("name"), F.min_by("category", "seq").alias("category"), first("source"), first("link"),
         F.min_by("checked_at", "seq").alias("first_seen"), F.max_by("checked_at", "seq").alias("last_checked"),
         F.count("*").alias("attempts"), last("decision"), last("layer"),
-        F.slice(F.coalesce(F.max_by("reasons", "seq"), F.array().cast("array<string>")), 1, 5).alias("reasons"),
+        F.coalesce(F.max_by("reasons", "seq"), F.array().cast("array<string>")).alias("reasons"),
         last("evidence", text("evidence") != ""), last("evidence_hash", text("evidence_hash") != ""),
         F.round(F.max_by("trust", F.when(F.col("trust").isNotNull(), F.col("seq"))), 2).alias("trust"),
         last("corroboration", F.col("corroboration").isNotNull()), last("corrections", F.size("corrections") > 0), last("permanent"))
@@ -112,7 +112,7 @@ def quarantine_hold(queue: DataFrame, items: DataFrame, now: str) -> tuple[DataF
     """
     cycle = V.MAX_ATTEMPTS + 1
     held = items.groupBy("category", "fp").agg(
-        F.count("*").alias("k"), F.slice(F.coalesce(F.max_by("reasons", "seq"), F.array().cast("array<string>")), 1, 3).alias("reasons"),
+        F.count("*").alias("k"), F.coalesce(F.max_by("reasons", "seq"), F.array().cast("array<string>")).alias("reasons"),
         F.max_by("item", "seq").alias("item"))
     q, h = queue.alias("q"), held.alias("h")
     both = q.join(h, (F.col("q.category") == F.col("h.category")) & (F.col("q.fp") == F.col("h.fp")), "full_outer")
@@ -140,9 +140,12 @@ def quarantine_release(queue: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def quarantine_cap(queue: DataFrame, n: int = V.QUARANTINE_CAP) -> DataFrame:
-    """The n newest entries per category; each task forwards n rows at most."""
-    w = Window.partitionBy("category").orderBy(F.desc("last_seen"), "fp")
-    return queue.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    """The n newest entries per category, taken first per salt, so that a category is many tasks."""
+    out = queue.withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(64)))
+    for part in (["category", "_salt"], ["category"]):
+        w = Window.partitionBy(*part).orderBy(F.desc("last_seen"), "fp")
+        out = out.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+    return out.drop("_rank", "_salt")
 
 
 def quarantine_stats(queue: DataFrame) -> DataFrame:

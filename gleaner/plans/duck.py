@@ -180,7 +180,7 @@ def visible(c):
 
 
 def clean(c):
-    return f"left({collapse(unescape(c))}, 300)"
+    return collapse(unescape(c))
 
 
 def cascade(c, rules, default):

@@ -45,7 +45,7 @@ paged as (select *, {_title()} as title, {_meta('og:title', 'twitter:title')} as
   {_meta('og:site_name')} as site_name, {D.visible('body')} as visible from coded),
 signalled as (select *, list_concat(list_filter({D.lst(V.CHALLENGE_TITLES)}, lambda p: contains(lower(title), p) or contains(lower(og_title), p)),
     case when length(trim(visible)) < 2000 then {_phrases('lower(visible)', V.CHALLENGE_BODIES)} else [] end) as challenge,
-  {_phrases('lower(visible)', V.CLOSED_PHRASES, 4)} as closed_raw, {_phrases('lower(title)', V.ROT_PHRASES, 3)} as rot_raw from paged),
+  {_phrases('lower(visible)', V.CLOSED_PHRASES)} as closed_raw, {_phrases('lower(title)', V.ROT_PHRASES)} as rot_raw from paged),
 blocks as (select capture_id, unnest(regexp_extract_all(body, '(?is)<script[^>]+type\\s*=\\s*["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1)) as b from raw),
 nodes as (select capture_id, unnest(case when json_contains(b::json, '{{}}') and (b::json->'$."@graph"') is not null then list_prepend(b::json, from_json(b::json->'$."@graph"', '["JSON"]')) else [b::json] end) as j,
   generate_subscripts(case when (b::json->'$."@graph"') is not null then list_prepend(b::json, from_json(b::json->'$."@graph"', '["JSON"]')) else [b::json] end, 1) as pos from blocks where json_valid(b)),

@@ -89,12 +89,13 @@ _SPAM = (f"case when {D.any_in(_HAY, V.HARD_SPAM)} then 0.0::double else greates
          f"- case when name = upper(name) and length(name) > 10 then 0.2::double else 0::double end - case when name <> '' and length(trim(name)) < 5 then 0.3::double else 0::double end)) end")
 
 
-def _best(view):
-    """First URL field with text, and the first 20 of them per category."""
+def _best(view, cap=None):
+    """First URL field with text; the rows that are probed, all or the first of each category."""
     pick = "case when coalesce(application_link, '') <> '' then application_link when coalesce(url, '') <> '' then url else coalesce(website, '') end"
+    rank = "row_number() over (partition by category order by seq)" if cap else "1"
     return f"""picked as (select *, {pick} as purl from {view}),
-ranked as (select seq as rseq, row_number() over (partition by category order by seq) as probe_rank from picked where purl like 'http%'),
-capped as (select p.*, r.probe_rank from picked p left join ranked r on p.seq = r.rseq and r.probe_rank <= 20)"""
+ranked as (select seq as rseq, {rank} as probe_rank from picked where purl like 'http%'),
+capped as (select p.*, r.probe_rank from picked p left join ranked r on p.seq = r.rseq and r.probe_rank <= {cap or 1})"""
 
 
 _CONTENT_WORDS = f"list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(name), '[^a-z]*[^{D.W}]+[^a-z]*|^[^a-z]+|[^a-z]+$', ' ', 'g'), '[a-z]+')), lambda w: true)"
@@ -104,7 +105,7 @@ probed as (select c.*, l.st, l.body from capped c left join landed l on c.probe_
 urled as (select *, case when purl not like 'http%' then 0.3 when probe_rank is null then 0.7 when st < 400 then 1.0 when st in (401, 403) then 0.7 else 0.2 end::double as s_url,
   list_filter(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^{D.W}]+'), lambda w: regexp_matches(w, '^[a-z]{{4,}}$'))), lambda w: not list_contains({D.lst(V.CONTENT_GENERIC)}, w)) as cw from probed),
 scored as (select *, {_SCHEMA} as s_schema, {_DATE} as s_date, {_SPAM} as s_spam,
-  case when s_url < 0.5 or application_link not like 'http%' or name = '' then 0.5 when probe_rank is null or probe_rank >= 20 then 0.7 when len(cw) < 2 then 0.6
+  case when s_url < 0.5 or application_link not like 'http%' or name = '' then 0.5 when probe_rank is null then 0.7 when len(cw) < 2 then 0.6
     when st is null or st >= 400 then 0.5 when len(list_filter(cw, lambda w: contains(lower(body), w))) > 0 then 1.0 else 0.3 end::double as s_content from urled)"""
 L1 = _best("opp_pages") + _L1_REST
 L1_BATCH = "batch as (select * from opp_pages where batch <> 0),\n" + _best("batch") + _L1_REST
@@ -127,7 +128,7 @@ def _(t):
     return df.select("seq", F.round(P.spam_score(df)[0], 6).alias("score"))
 
 
-@query("probe_cap", f"with {_best('opp')} select seq, probe_rank from capped")
+@query("probe_cap", f"with {_best('opp', 20)} select seq, probe_rank from capped")
 def _(t):
     return P.probe_cap(t.opp).select("seq", "probe_rank")
 

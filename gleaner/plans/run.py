@@ -34,7 +34,7 @@ def _count(df: DataFrame, stage: str) -> DataFrame:
 
 
 def batch_run(existing: DataFrame, incoming: DataFrame, captures: DataFrame, ledger: DataFrame, queue: DataFrame,
-              as_of: str, now: str, policy: dict[str, str] | None = None) -> RunResult:
+              as_of: str, now: str, policy: dict[str, str] | None = None, queue_cap: int | None = None) -> RunResult:
     """Dedup, location policy, suppression, layer 1, layer 2, memory, expiry, gate.
 
     ``seq`` is the arrival number of a record and never repeats over runs.
@@ -58,7 +58,9 @@ def batch_run(existing: DataFrame, incoming: DataFrame, captures: DataFrame, led
     items = unproven.select("seq", "category", "fp", F.col("l2_reasons").alias("reasons"),
                             F.struct(*[F.col(c) for c in OPPORTUNITY.names]).alias("item"))
     kept_queue, retired = state.quarantine_hold(queue, items, now)
-    new_queue = state.quarantine_cap(state.quarantine_release(kept_queue, accepted))
+    new_queue = state.quarantine_release(kept_queue, accepted)
+    if queue_cap is not None:
+        new_queue = state.quarantine_cap(new_queue, queue_cap)
 
     common = ["seq", "fp", "name", "category", "source", F.col("application_link").alias("link")]
     none = F.lit(None)

@@ -30,7 +30,7 @@ r as (select *, row_number() over (partition by doc_id order by (j->>'$.startTim
 select doc_id, n - 1 as pos, j->>'$.title' as name, {_MIN.format("(j->>'$.startTime')::bigint")} as event_date, case when (j->>'$.duration')::bigint = 0 then '' else ((j->>'$.duration')::bigint // 60) || ' minutes' end as took,
   'https://leetcode.com/contest/' || case when (j->>'$.titleSlug') <> '' then (j->>'$.titleSlug') || '/' else '' end as application_link from r where n <= 10""")
 def _(t):
-    return (apis.query_contests(t.contest_docs.where("kind = 1"), _NOW, "doc_id")
+    return (apis.query_contests(t.contest_docs.where("kind = 1"), _NOW, "doc_id", limit=10)
             .select("doc_id", "pos", "name", "event_date", F.regexp_extract("description", "Duration: (.*)$", 1).alias("took"), "application_link"))
 
 
@@ -50,7 +50,7 @@ def _(t):
 
 @query("src_hackathon_api", """select p_partkey as doc_id, p_name || ' Hack ' || p_partkey as name, case p_size % 3 when 0 then 'In-Person' when 1 then 'Online' else 'Berlin' end as mode,
   '$' || p_size || ',000' as prize, case when p_size % 4 = 0 then 'Check event page' else 'Aug 01 - Sep 30, 2026' end as deadline, case p_size % 3 when 0 then 'open' when 1 then 'coming-soon' else 'closed' end as status,
-  'devpost,hackathon,' || lower(p_type) || ',ai,health' as tags, 'Live Hackathon on Devpost. Themes: ' || p_type || ', AI, Health, Fun.' as description,
+  'devpost,hackathon,' || lower(p_type) || ',ai,health,fun' as tags, 'Live Hackathon on Devpost. Themes: ' || p_type || ', AI, Health, Fun.' as description,
   case when p_size % 5 = 0 then 'https://devpost.com/hackathons' else 'https://h' || p_partkey || '.example.com/' end as website from part""")
 def _(t):
     return apis.hackathons(t.hack_docs, "doc_id").select("doc_id", "name", "mode", "prize", "deadline", "status", F.array_join("tags", ",").alias("tags"), "description", "website")
@@ -148,7 +148,7 @@ def _(t):
     return T.listing_links(t.listing_docs, "doc_id").select("doc_id", "name", "application_link")
 
 
-@query("src_search_hits", f"""with h as (select post_id, left(trim(regexp_replace(regexp_replace(title || ' challenge', '[{D.S}]+', ' ', 'g'), '^[#*\\-•\\d.\\s]+', '')), 180) as name, left(body, 600) as description from posts)
+@query("src_search_hits", f"""with h as (select post_id, trim(regexp_replace(regexp_replace(title || ' challenge', '[{D.S}]+', ' ', 'g'), '^[#*\\-•\\d.\\s]+', '')) as name, body as description from posts)
 select post_id, name, description from h where length(name) >= 8 and regexp_matches(name, '[A-Za-z]{{3}}') and {D.any_in('lower(name)', V.LISTING_HINTS)} and not regexp_matches(lower(name), '^(http|www\\.|data:)')""")
 def _(t):
     hits = t.posts.selectExpr("post_id", "title || ' challenge' as title", "permalink as url", "body as snippet")
@@ -192,12 +192,12 @@ def _(t):
 
 _FULL = f"({D.strip('title')} || ' ' || {D.strip('body')})"
 _REWARD = "coalesce(" + ", ".join(f"case when regexp_matches({_FULL}, {D.q(p)}) and length({D.strip(f'regexp_extract({_FULL}, {D.q(p)}, 1)')}) < 40 then {D.strip(f'regexp_extract({_FULL}, {D.q(p)}, 1)')} end" for p in V.REWARD_PATTERNS) + ")"
-_DESC = f"case when length({D.strip('body')}) > 250 then left({D.strip('body')}, 250) || '...' when {D.strip('body')} <> '' then {D.strip('body')} else {D.strip('title')} end"
+_DESC = f"case when {D.strip('body')} <> '' then {D.strip('body')} else {D.strip('title')} end"
 
 
-@query("src_posts_records", f"""with p as (select *, {D.cascade(f'lower({_FULL})', V.POST_CATEGORY, 'competitions')} as topic, left({D.strip('title')}, 90) as name, {_DESC} as description, {_REWARD} as reward from posts
+@query("src_posts_records", f"""with p as (select *, {D.cascade(f'lower({_FULL})', V.POST_CATEGORY, 'competitions')} as topic, {D.strip('title')} as name, {_DESC} as description, {_REWARD} as reward from posts
   where {D.any_in('lower(title || chr(32) || body)', V.POST_KEYWORDS)})
-select post_id, 'reddit-' || channel || '-' || lower(regexp_replace(left({D.strip('title')}, 20), '[^a-zA-Z0-9]', '', 'g')) as id, name, topic, {D.cascade("lower(name || ' ' || description)", V.SOCIAL_CATEGORY, 'hackathons')} as category, description,
+select post_id, 'reddit-' || channel || '-' || lower(regexp_replace({D.strip('title')}, '[^a-zA-Z0-9]', '', 'g')) as id, name, topic, {D.cascade("lower(name || ' ' || description)", V.SOCIAL_CATEGORY, 'hackathons')} as category, description,
   coalesce({D.first_match(_FULL, V.DEADLINE_PATTERNS)}, 'Check community post') as deadline, case topic when 'hackathons' then coalesce(reward, 'Community Hackathon') when 'competitions' then coalesce(reward, 'Prizes & Recognition') end as prize,
   case topic when 'internships' then coalesce(reward, 'Competitive / Check listing') when 'open-source-programs' then coalesce(reward, 'Stipend / Mentorship') end as stipend,
   coalesce(case when url <> '' and not (contains(url, 'reddit.com') or contains(url, 'redd.it')) then url else regexp_replace({D.first_match('body', V.POST_URL_PATTERNS, 0)}, '[).,;]+$', '') end, permalink) as application_link from p""")

@@ -187,12 +187,11 @@ def _(t):
     return S.quarantine_stats(_queue(t)[0])
 
 
-@query("sink_quarantine", f"""with {HELD}, r as (select *, row_number() over (partition by category order by fp) as rk from queue where attempts > 0)
-select count(*) as record_count, 2 as version, '{NOW}' as updated_at from r where rk <= 500""")
+@query("sink_quarantine", f"with {HELD} select count(*) as record_count, 2 as version, '{NOW}' as updated_at from queue where attempts > 0")
 def _(t):
     from ..sources.tables import publish, read_state, state_meta
     root = _scratch(t, "quarantine")
-    publish(S.quarantine_cap(_queue(t)[0]), root, "1")
+    publish(_queue(t)[0], root, "1")
     return state_meta(read_state(t.spark, root, _empty_queue(t).schema), NOW)
 
 

@@ -73,7 +73,7 @@ scalar("url_in_text", "posts", "post_id", lambda: text.url_in_post("url", "body"
        "case when url <> '' and not (contains(url, 'reddit.com') or contains(url, 'redd.it')) then url else "
        f"regexp_replace({D.first_match('body', V.POST_URL_PATTERNS, 0)}, '[).,;]+$', '') end")
 scalar("clean_title", "documents", "doc_id", lambda: text.clean_title(F.concat(F.lit("# 1. "), "text", F.lit(" —"))),
-       f"left(trim(regexp_replace(regexp_replace({D.collapse(chr(39) + '# 1. ' + chr(39) + ' || text || ' + chr(39) + ' —' + chr(39))}, '^[#*\\-•\\d.\\s]+', ''), '[|·–—]\\s*$', '')), 180)")
+       f"trim(regexp_replace(regexp_replace({D.collapse(chr(39) + '# 1. ' + chr(39) + ' || text || ' + chr(39) + ' —' + chr(39))}, '^[#*\\-•\\d.\\s]+', ''), '[|·–—]\\s*$', ''))")
 scalar("filter_plausible_title", "opp", "seq", lambda: text.plausible_title("name"),
        f"length(name) >= 8 and not list_contains({D.lst(V.NAV_WORDS)}, lower(name)) and regexp_matches(name, '[A-Za-z]{{3}}') "
        "and not regexp_matches(lower(name), '^(http|www\\.|data:)')")

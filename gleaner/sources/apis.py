@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, first_nonblank, strip, text
+from ..functions.text import contains_any, first_nonblank, head, strip, text
 from ..schema import conform
 
 
@@ -42,11 +42,11 @@ def _shape(rows: DataFrame, keys: list[str], cols: dict[str, Column]) -> DataFra
 _MINUTE = "yyyy-MM-dd HH:mm 'UTC'"
 
 
-def epoch_contests(raw: DataFrame, *keys: str) -> DataFrame:
-    """Contests that have not started, the first 15 in answer order."""
+def epoch_contests(raw: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:
+    """Contests that have not started, all or the first ``limit`` in answer order."""
     schema = "status string, result array<struct<id:bigint,name:string,type:string,phase:string,startTimeSeconds:bigint,durationSeconds:bigint>>"
     doc = F.from_json("body", schema)
-    items = F.slice(F.filter(F.when(doc["status"] == "OK", doc["result"]), lambda c: c["phase"] == "BEFORE"), 1, 15)
+    items = head(F.filter(F.when(doc["status"] == "OK", doc["result"]), lambda c: c["phase"] == "BEFORE"), limit)
     rows, x = _rows(raw, list(keys), items), (lambda f: F.col(f"x.{f}"))
     secs = x("durationSeconds")
     took = F.when(F.coalesce(secs, F.lit(0)) != 0, F.concat(F.floor(secs / 3600).cast("string"), F.lit("h "), F.floor(secs % 3600 / 60).cast("string"), F.lit("m"))).otherwise("")
@@ -58,17 +58,17 @@ def epoch_contests(raw: DataFrame, *keys: str) -> DataFrame:
                     application_link=link, website=link, tags=_tags("codeforces", "competitive-programming", "contest"), source=F.lit("codeforces-api"))
 
 
-def _next(items: Column, start: str, now: int, n: int) -> Column:
-    """The next n items by start time; the sort is stable in answer order."""
+def _next(items: Column, start: str, now: int, n: int | None) -> Column:
+    """The next items by start time, all or n; the sort is stable in answer order."""
     ahead = F.filter(items, lambda c: c[start] > now)
     keyed = F.transform(ahead, lambda c, i: F.struct(c[start].alias("t"), i.alias("i"), c.alias("c")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda k: k["c"])
+    return F.transform(head(F.array_sort(keyed), n), lambda k: k["c"])
 
 
-def query_contests(raw: DataFrame, now: int, *keys: str) -> DataFrame:
-    """The next 10 contests of an answer with title slugs."""
+def query_contests(raw: DataFrame, now: int, *keys: str, limit: int | None = None) -> DataFrame:
+    """The contests to come of an answer with title slugs, by start; all or the next ``limit``."""
     doc = F.from_json("body", "data struct<allContests:array<struct<title:string,titleSlug:string,startTime:bigint,duration:bigint>>>")
-    rows, x = _rows(raw, list(keys), _next(doc["data"]["allContests"], "startTime", now, 10)), (lambda f: F.col(f"x.{f}"))
+    rows, x = _rows(raw, list(keys), _next(doc["data"]["allContests"], "startTime", now, limit)), (lambda f: F.col(f"x.{f}"))
     took = F.when(F.coalesce(x("duration"), F.lit(0)) != 0, F.concat(F.floor(x("duration") / 60).cast("string"), F.lit(" minutes"))).otherwise("")
     slug = text(x("titleSlug"))
     link = F.concat(F.lit("https://leetcode.com/contest/"), F.when(slug != "", F.concat(slug, F.lit("/"))).otherwise(""))
@@ -94,10 +94,10 @@ def list_contests(raw: DataFrame, *keys: str) -> DataFrame:
                  tags=_tags("CodeChef", "Competitive Programming", "Kontests"), source=F.lit("CodeChef (Kontests)"))
 
 
-def archive_contests(raw: DataFrame, now: int, *keys: str) -> DataFrame:
+def archive_contests(raw: DataFrame, now: int, *keys: str, limit: int | None = None) -> DataFrame:
     """The next 10 contests of a plain list."""
     doc = F.from_json("body", "array<struct<id:string,title:string,start_epoch_second:bigint>>")
-    rows, x = _rows(raw, list(keys), _next(doc, "start_epoch_second", now, 10)), (lambda f: F.col(f"x.{f}"))
+    rows, x = _rows(raw, list(keys), _next(doc, "start_epoch_second", now, limit)), (lambda f: F.col(f"x.{f}"))
     return _bare(rows, list(keys), name=F.concat(F.lit("AtCoder: "), F.coalesce(x("title"), F.lit("AtCoder Contest"))),
                  url=F.concat(F.lit("https://atcoder.jp/contests/"), text(x("id"))), prize=F.lit("Rating Points"),
                  deadline=_utc(x("start_epoch_second"), _MINUTE, "TBA"), tags=_tags("AtCoder", "Competitive Programming", "Kontests"), source=F.lit("AtCoder (Kontests)"))
@@ -121,7 +121,7 @@ def hackathons(raw: DataFrame, *keys: str) -> DataFrame:
         "description": F.concat(F.lit("Live Hackathon on Devpost. Themes: "), F.when(F.size(themes) > 0, F.array_join(themes, ", ")).otherwise("General"), F.lit(".")),
         "eligibility": F.lit("Open to all developers & students (check listing)"), "mode": mode, "fee": F.lit("Free"),
         "prize": first_nonblank(prize, F.lit("Check listing page")), "deadline": first_nonblank(dates, F.lit("Check event page")), "event_date": dates,
-        "application_link": link, "website": link, "tags": F.concat(_tags("devpost", "hackathon"), F.slice(F.transform(themes, F.lower), 1, 3)),
+        "application_link": link, "website": link, "tags": F.concat(_tags("devpost", "hackathon"), F.transform(themes, F.lower)),
         "status": F.when(state == "open", "open").when(state == "upcoming", "coming-soon").otherwise("closed"), "source": F.lit("devpost-live-api")})
 
 

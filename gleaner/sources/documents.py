@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocab as V
 from ..functions.html import strip_html, unescape
-from ..functions.text import (clean_title, collapse, contains_any, extract_url, first_nonblank, news_announcement,
+from ..functions.text import (clean_title, collapse, contains_any, extract_url, first_nonblank, head, news_announcement,
                               plausible_title, strip, strip_markdown, text)
 from ..functions.urls import path_depth, resolve
 from ..operators.location import classify_text, clean_location
@@ -182,16 +182,16 @@ def _child(item: Column, *names: str) -> Column:
     return strip(unescape(F.regexp_replace(body, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")))
 
 
-def feed_entries(docs: DataFrame, *keys: str, limit: Column | int = 40) -> DataFrame:
-    """RSS items and Atom entries with a title, the first ``limit`` per feed."""
+def feed_entries(docs: DataFrame, *keys: str, limit: Column | int | None = None) -> DataFrame:
+    """RSS items and Atom entries with a title, all or the first ``limit`` per feed."""
     items = _all(text("body"), r"(?is)(<(?:item|entry)\b.*?</(?:item|entry)\s*>)")
     alternate = lambda i: F.coalesce(F.get(F.filter(_all(i, r"(?is)(<link\b[^>]*>)"), lambda g: g.contains("href") & (~g.contains("rel=") | g.rlike(r"""rel\s*=\s*["']alternate["']"""))), F.lit(0)), F.lit(""))
     parsed = F.transform(items, lambda i: F.struct(
         _child(i, "title").alias("title"),
         first_nonblank(_child(i, "link"), strip(F.regexp_extract(alternate(i), r"""(?is)href\s*=\s*["']([^"']*)["']""", 1))).alias("link"),
         _child(i, "pubdate", "published", "updated", "date").alias("published"),
-        F.substring(strip_html(_child(i, "description", "summary", "content")), 1, 1200).alias("summary")))
-    kept = F.slice(F.filter(parsed, lambda e: e["title"] != ""), 1, limit)
+        strip_html(_child(i, "description", "summary", "content")).alias("summary")))
+    kept = head(F.filter(parsed, lambda e: e["title"] != ""), limit)
     return docs.select(*keys, F.posexplode(kept).alias("pos", "e")).select(*keys, "pos", "e.*")
 
 
@@ -206,32 +206,32 @@ def feed_records(entries: DataFrame, *keys: str) -> DataFrame:
     """Records from entries that carry ``source`` and ``filter`` of their feed."""
     rows = entries.withColumn("_name", clean_title("title")).where(F.col("link").startswith("http"))
     rows = rows.where(plausible_title("_name") & ((text("filter") != "keywords") | news_announcement(F.col("_name"), F.col("summary"))))
-    return _reader_record(rows, [*keys, "pos"], F.col("_name"), F.col("link"), F.col("source"), F.substring(strip(text("summary")), 1, 600))
+    return _reader_record(rows, [*keys, "pos"], F.col("_name"), F.col("link"), F.col("source"), strip(text("summary")))
 
 
-def listing_links(docs: DataFrame, *keys: str, limit: int = 40) -> DataFrame:
-    """Links of a listing page that look like detail pages, the first ``limit`` distinct ones.
+def listing_links(docs: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:
+    """Distinct links of a listing page that look like detail pages, all or the first ``limit``.
 
     Input columns: url (of the page), body (markdown), source.
     """
-    found = _all(text("body"), r"(\[[^\]\n]{3,200}\]\([^)\s]+\))")
+    found = _all(text("body"), r"(\[[^\]\n]{3,}\]\([^)\s]+\))")
     rows = docs.select(*keys, "url", "source", F.posexplode(found).alias("pos", "l"))
-    rows = rows.select(*keys, "url", "source", "pos", clean_title(F.regexp_extract("l", r"\[([^\]\n]{3,200})\]", 1)).alias("name"),
+    rows = rows.select(*keys, "url", "source", "pos", clean_title(F.regexp_extract("l", r"\[([^\]\n]{3,})\]", 1)).alias("name"),
                        resolve(F.col("url"), F.regexp_extract("l", r"\]\(([^)\s]+)\)", 1)).alias("target"))
     host = lambda c: F.lower(F.regexp_extract(c, r"\Ahttps?://([^/?#]+)", 1))
     rows = rows.where(plausible_title("name") & contains_any(F.lower("name"), V.LISTING_HINTS) & F.col("target").startswith("http")
                       & (host(F.col("target")) == host(F.col("url"))) & (path_depth("target") >= 2))
     first = rows.groupBy(*keys, "url", F.regexp_replace("target", r"/+\z", "").alias("_key")).agg(F.min_by(F.struct("name", "target", "source"), "pos").alias("r"), F.min("pos").alias("pos"))
     w = Window.partitionBy(*keys, "url").orderBy("pos")
-    top = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+    top = first if limit is None else first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
     return _reader_record(top, [*keys, "pos"], F.col("r.name"), F.col("r.target"), F.col("r.source"), F.lit(""))
 
 
 def search_records(hits: DataFrame, *keys: str) -> DataFrame:
     """Search hits (title, url, snippet) with a plausible title and a hint word."""
-    rows = hits.where(text("url") != "").withColumn("_name", clean_title(F.substring(text("title"), 1, 300)))
+    rows = hits.where(text("url") != "").withColumn("_name", clean_title("title"))
     rows = rows.where(plausible_title("_name") & contains_any(F.lower("_name"), V.LISTING_HINTS))
-    return _reader_record(rows, list(keys), F.col("_name"), F.col("url"), F.lit("reach:search:exa"), F.substring(text("snippet"), 1, 600))
+    return _reader_record(rows, list(keys), F.col("_name"), F.col("url"), F.lit("reach:search:exa"), text("snippet"))
 
 
 def reader_payload(docs: DataFrame, *keys: str) -> DataFrame:

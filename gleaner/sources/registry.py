@@ -88,7 +88,7 @@ def route(captures: DataFrame, catalogue: DataFrame) -> DataFrame:
             rows = rows.withColumn("category", F.col("cat")).withColumn("source", F.concat(F.lit("github-"), F.col("origin")))
         parts.append(rows)
     feeds = live.where(F.col("parser") == "feed").withColumnRenamed("limit", "take")
-    entries = documents.feed_entries(feeds, *keys, "filter", "take", limit=F.coalesce("take", F.lit(40)))
+    entries = documents.feed_entries(feeds, *keys, "filter", "take", limit=F.coalesce("take", F.lit(2 ** 31 - 1)))
     parts.append(documents.feed_records(entries.withColumn("source", F.col("origin")), *keys).withColumn("category", F.col("cat")))
     pages = live.where(F.col("parser") == "listing").withColumn("source", F.col("origin"))
     parts.append(documents.listing_links(pages, *keys).withColumn("category", F.col("cat")))

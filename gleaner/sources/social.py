@@ -21,10 +21,10 @@ def post_records(posts: DataFrame, *keys: str) -> DataFrame:
     p = posts.withColumn("_title", strip(text("title"))).withColumn("_body", strip(text("body")))
     p = p.withColumn("_full", F.concat_ws(" ", "_title", "_body"))
     p = p.withColumns({"topic": cascade(F.lower("_full"), V.POST_CATEGORY, "competitions"), "_reward": reward_in_text("_full"),
-                       "_link": F.coalesce(url_in_post("url", "body"), text("permalink")), "name": F.substring("_title", 1, 90),
-                       "description": F.when(F.length("_body") > 250, F.concat(F.substring("_body", 1, 250), F.lit("..."))).otherwise(first_nonblank("_body", "_title"))})
+                       "_link": F.coalesce(url_in_post("url", "body"), text("permalink")), "name": F.col("_title"),
+                       "description": first_nonblank("_body", "_title")})
     topic, reward = F.col("topic"), F.col("_reward")
-    slug = F.lower(F.regexp_replace(F.substring("_title", 1, 20), "[^a-zA-Z0-9]", ""))
+    slug = F.lower(F.regexp_replace(F.col("_title"), "[^a-zA-Z0-9]", ""))
     prize = F.when(topic == "hackathons", F.coalesce(reward, F.lit("Community Hackathon"))).when(topic == "competitions", F.coalesce(reward, F.lit("Prizes & Recognition")))
     stipend = F.when(topic == "internships", F.coalesce(reward, F.lit("Competitive / Check listing"))).when(topic == "open-source-programs", F.coalesce(reward, F.lit("Stipend / Mentorship")))
     return p.select(
@@ -41,7 +41,7 @@ def post_records(posts: DataFrame, *keys: str) -> DataFrame:
 def tweet_records(tweets: DataFrame, *keys: str) -> DataFrame:
     """Short posts (text, url, author, channel) of at least 20 characters, flagged for review."""
     check = F.lit("Check source for details")
-    rows = tweets.where(F.length(text("text")) >= 20).withColumn("name", strip(F.substring("text", 1, 80)))
+    rows = tweets.where(F.length(text("text")) >= 20).withColumn("name", strip(F.col("text")))
     return rows.select(
         *keys, "name", F.col("text").alias("description"), cascade(F.lower(F.concat_ws(" ", "name", "text")), V.SOCIAL_CATEGORY, "hackathons").alias("category"),
         first_nonblank("author", F.concat(F.lit("Found via "), F.col("channel"))).alias("organizer"), *[check.alias(c) for c in ("eligibility", "mode", "fee", "deadline")],
