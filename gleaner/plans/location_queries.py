@@ -166,3 +166,9 @@ def _(t):
 from people p join upcoming u on list_contains(string_split(p.categories, ','), u.category) group by p.email, whatsapp, p.audience""")
 def _(t):
     return R.digest(R.upcoming_deadlines(t.opp, AS_OF), t.subscribers)
+
+
+@query("digest_items", f"""with {UPCOMING} select p.email, case when whatsapp <> '' and whatsapp not like '+%' then '+91' || whatsapp else whatsapp end as phone,
+  p.audience, u.seq, u.category, u.name, u.deadline, u.days_left, u.application_link from people p join upcoming u on list_contains(string_split(p.categories, ','), u.category)""")
+def _(t):
+    return R.digest_items(R.upcoming_deadlines(t.opp, AS_OF), t.subscribers)

@@ -280,10 +280,19 @@ def _(t):
     return source_report(*union_sources(t.contest_docs, _sources()))
 
 
-@query("src_static_seed", """select o.category, count(*) as n, count(*) filter (o.status in ('open', 'coming-soon')) as n_active,
-  5::bigint as seeded from opp o where o.category = 'hackathons' group by o.category""")
+# typed by hand: what the seed adds to the hackathons
+_SEEDED = """(values
+ ('razorpay-ai-buildathon-2026', 'Razorpay', '2026-09-05', 'https://razorpay.com/buildathon/', 9, 'Students & Early-Career Developers (B.Tech / M.Tech / BCA / MCA / Self-taught)', 'Build-to-Hire AI Hackathon by Razorpay. '),
+ ('flipkart-grid-software-challenge', 'Flipkart', 'Rolling / Annual (Check Portal)', 'https://unstop.com/competitions/flipkart-grid-60-software-development-track-flipkart-995200', 7, 'B.Tech/B.E./M.Tech students (Batches 2025, 2026, 2027, 2028)', 'Flipkart''s flagship campus engineering c'),
+ ('amazon-wow-india', 'Amazon', 'Rolling (Annual Registration)', 'https://amazon.jobs/en/landing_pages/wow-india', 7, 'Female engineering students (B.E./B.Tech/M.E./M.Tech/MCA/MS)', 'Amazon''s diversity hiring and coding pro'),
+ ('google-solution-challenge-2026', 'Google Developer Student Clubs', '2026-03-31', 'https://developers.google.com/community/gdsc-solution-challenge', 7, 'University students globally (GDSC members or individual students)', 'Annual global student hackathon where un'),
+ ('microsoft-imagine-cup-2026', 'Microsoft', '2026-01-25', 'https://imaginecup.microsoft.com/', 7, 'Students aged 16+ enrolled in high school or university (global)', 'Global student technology competition by')
+) v(id, organizer, deadline, application_link, n_tags, eligibility, opening)"""
+
+
+@query("src_static_seed", f"""select category, id, organizer, deadline, application_link, len(tags)::int as n_tags, eligibility, left(description, 40) as opening, 0 as seeded from opp
+union all select 'hackathons', id, organizer, deadline, application_link, n_tags, eligibility, opening, 1 from {_SEEDED}""")
 def _(t):
     from ..sources.seed import seed_records
-    both = t.opp.select("category", "status", F.lit(0).alias("s")).unionByName(seed_records(t.spark).select("category", "status", F.lit(1).alias("s")))
-    return both.where("category = 'hackathons'").groupBy("category").agg(
-        F.count_if(F.expr("s = 0")).alias("n"), F.count_if(F.expr("s = 0 and status in ('open', 'coming-soon')")).alias("n_active"), F.sum("s").cast("bigint").alias("seeded"))
+    cols = ["category", "id", "organizer", "deadline", "application_link", F.size("tags").alias("n_tags"), "eligibility", F.substring("description", 1, 40).alias("opening")]
+    return t.opp.select(*cols, F.lit(0).alias("seeded")).unionByName(seed_records(t.spark).select(*cols, F.lit(1).alias("seeded")))

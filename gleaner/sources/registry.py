@@ -32,19 +32,25 @@ def registered() -> dict[str, tuple[str | None, Callable[[DataFrame], DataFrame]
 def union_sources(captures: DataFrame, sources: dict[str, tuple[str | None, Callable[[DataFrame], DataFrame]]] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """All records in registry order, and (source, error) of sources that failed to plan.
 
-    A source's fixed category overrides what a record says.  ``seq`` orders the
-    records of a source and must be unique there; ``seq`` of the result numbers
-    all records 1..n, source by source.
+    A source's fixed category overrides what a record says.  ``seq``, or
+    ``capture_id`` and ``pos``, order the records of a source; ``seq`` of the
+    result numbers all records 1..n, source by source.
     """
     parts, errors = [], []
     for rank, (name, (category, fn)) in enumerate((sources or registered()).items()):
         try:
             rows = fn(captures)
-            if "seq" not in rows.columns:
-                raise ValueError("a source must give its records an order (seq)")
+            if "seq" in rows.columns:
+                place = [F.lit(0).cast("bigint"), F.col("seq").cast("bigint")]
+            elif {"capture_id", "pos"} <= set(rows.columns):
+                place = [F.col("capture_id").cast("bigint"), F.col("pos").cast("bigint")]
+            else:
+                raise ValueError("a source must give its records an order (seq, or capture_id and pos)")
             if category:
                 rows = rows.withColumn("category", F.lit(category))
-            rows = conform(rows).withColumn("origin", F.lit(name)).withColumn("_rank", F.lit(rank))
+            rows = rows.select(*rows.columns, place[0].alias("_capture"), place[1].alias("_pos"))
+            shaped = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in OPPORTUNITY.fields if f.name != "seq"]
+            rows = rows.select(*shaped, F.lit(name).alias("origin"), F.lit(rank).alias("_rank"), "_capture", "_pos")
             # each source is written on its own, so one that fails while it runs does not stop the others either
             parts.append(materialize(rows, f"source-{name}"))
         except Exception as e:  # one broken source must not stop the others
@@ -52,7 +58,7 @@ def union_sources(captures: DataFrame, sources: dict[str, tuple[str | None, Call
     if not parts:
         return conform(captures.limit(0)).withColumn("origin", F.lit("")), errors
     out = reduce(DataFrame.unionByName, parts)
-    return numbered(out.withColumnRenamed("seq", "_seq"), "seq", "_rank", "_seq").drop("_rank", "_seq").select(*OPPORTUNITY.names, "origin"), errors
+    return numbered(out, "seq", "_rank", "_capture", "_pos", "name").select(*OPPORTUNITY.names, "origin"), errors
 
 
 def source_report(records: DataFrame, errors: list[tuple[str, str]] = ()) -> DataFrame:

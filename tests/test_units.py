@@ -201,3 +201,38 @@ def test_routing_by_catalogue(spark):
                                 "name string, url string, parser string, category string, limit int, filter string, enabled boolean")
     assert {(r["origin"], r["category"], r["name"]) for r in route(caps, cat).collect()} == {
         ("T", "open-source-programs", "Alpha Program"), ("L", "fellowships", "Beta Fellows"), ("F", "hackathons", "Harbour hackathon opens")}
+
+
+def test_all_builtin_sources_are_registered_and_run(spark):
+    import json
+    from gleaner.sources import builtin, registry
+    builtin.register_builtin(1_700_000_000)
+    assert list(registry.registered()) == registry.ORDER
+    card = json.dumps([{"name": "Campus Hack Night", "link": "/e/1", "organizer": "Org"}])
+    table = "<table><tbody><tr><td>Acme</td><td>Engineer</td><td>Pune</td><td><a href='https://a.io/1'>x</a></td></tr></tbody></table>"
+    bodies = [("codeforces", "c", json.dumps({"status": "OK", "result": [{"id": i, "name": f"Round {i}", "phase": "BEFORE"} for i in range(20)]})),
+              ("leetcode", "l", json.dumps({"data": {"allContests": [{"title": f"W{i}", "titleSlug": f"w{i}", "startTime": 1_800_000_000 + i, "duration": 60} for i in range(12)]}})),
+              ("gsoc", "g", "{}"), ("jobspy", "j", json.dumps({"jobs": [{"title": "Software Engineer Intern", "companyName": "A"}]})),
+              ("kontests", "k", json.dumps({"future_contests": [{"contest_name": "S", "contest_code": "S1"}]})),
+              ("github", builtin.CATALOGUE[0][1], table), ("devpost", "d", json.dumps({"hackathons": [{"title": "H", "url": "https://h.io"}]})),
+              *[(name, "u", card) for name in builtin.CARD_SITES]]
+    caps = spark.createDataFrame([(i, *b) for i, b in enumerate(bodies)], "capture_id bigint, source string, url string, body string")
+    out, errors = registry.union_sources(caps)
+    rows = out.orderBy("seq").collect()
+    assert errors == [] and [r["seq"] for r in rows] == list(range(1, len(rows) + 1))
+    counts = {r["origin"]: sum(x["origin"] == r["origin"] for x in rows) for r in rows}
+    assert counts == {"github": 1, "codeforces": 20, "leetcode": 12, "gsoc": 1, "company": 5, "jobspy": 1, "kontests": 1, "devpost": 1, **{n: 1 for n in builtin.CARD_SITES}}
+    ranks = [registry.ORDER.index(r["origin"]) for r in rows]
+    assert ranks == sorted(ranks)
+    registry._SOURCES.clear()
+
+
+def test_probe_answers(spark):
+    """405 asks a second capture; other answers are typed by hand."""
+    from gleaner.operators.plausibility import record_scores
+    records = spark.createDataFrame([(i, "jobs", "Harbour engineering role", f"https://a.io/{i}") for i in range(7)], "seq bigint, category string, name string, application_link string")
+    page = "<p>harbour engineering</p>"
+    answers = [(0, 0, 200), (1, 0, 403), (2, 0, 405), (2, 1, 200), (3, 0, 405), (4, 0, 405), (4, 1, 500), (5, 0, 404)]
+    caps = spark.createDataFrame([(f"https://a.io/{i}", tier, status, page) for i, tier, status in answers], "url string, tier int, status int, body string")
+    got = {r["seq"]: r["s_url"] for r in record_scores(records, caps, AS_OF).collect()}
+    assert got == {0: 1.0, 1: 0.7, 2: 1.0, 3: 0.4, 4: 0.2, 5: 0.2, 6: 0.2}
