@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices, without
+from .common import BROADCAST_ROWS, slices, without
 
 SAMPLE = 12_000  # labelled rows that a model is fitted on, at most
 STEMS = range(3, 10)  # lengths of word beginnings that may enter the lexicon
@@ -120,7 +120,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def _terms(rows: DataFrame) -> DataFrame:
-    """(term, whole, good, bad): texts of either label that hold a word or a word beginning.
+    """(term, whole, good, bad): texts of either label that hold a word or a word beginning, if SUPPORT toxic ones do.
 
     Near copies would lend their rare words too much weight, so of the texts
     that share their smallest pair of neighbouring words only one counts.
@@ -137,25 +137,31 @@ def _terms(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in slices(batches, "text"):
-            for t, label in zip(b.column("text"), b.column("label").to_pylist()):
+            for t in b.column("text"):
                 tokens = set(_WORDS.findall(t.as_py().lower()))
-                seen.update((w, True, label) for w in tokens)
-                seen.update({(w[:k], False, label) for w in tokens for k in STEMS if len(w) >= k})
-            if len(seen) > 1 << 18:
+                seen.update((w, True) for w in tokens)
+                seen.update({(w[:k], False) for w in tokens for k in STEMS if len(w) >= k})
+            if len(seen) > 1 << 17:
                 yield _counted(seen)
                 seen.clear()
         if seen:
             yield _counted(seen)
 
+    def counts(label: int) -> DataFrame:
+        return single.filter(F.col("label") == label).select("text").mapInArrow(count, "term string, whole boolean, n long")
+
     single = rows.mapInArrow(anchors, "text string, label int, anchor long").groupBy("anchor", "label").agg(F.min("text").alias("text"))
-    found = single.select("text", "label").mapInArrow(count, "term string, whole boolean, label int, n long")
-    return found.groupBy("term", "whole").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"),
-                                              F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"))
+    single = materialize(single, "single")
+    # terms of clean texts matter only if toxic ones hold them often enough
+    bad = materialize(counts(1).groupBy("term", "whole").agg(F.sum("n").alias("bad")).filter(F.col("bad") >= SUPPORT), "bad-terms")
+    few = bad.count() <= BROADCAST_ROWS
+    good = counts(0).join(F.broadcast(bad.select("term", "whole")) if few else bad.select("term", "whole"), ["term", "whole"], "left_semi")
+    good = good.groupBy("term", "whole").agg(F.sum("n").alias("good"))
+    return bad.join(good, ["term", "whole"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array([k[2] for k in seen], pa.int32()),
-                            pa.array(list(seen.values()), pa.int64())], ["term", "whole", "label", "n"])
+    return pa.record_batch([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], ["term", "whole", "n"])
 
 
 def lexicon(rows: DataFrame) -> Lexicon:
@@ -163,7 +169,7 @@ def lexicon(rows: DataFrame) -> Lexicon:
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     share = F.col("bad") / (F.col("bad") + F.col("good") + 0.5)
     odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
-    pure = _terms(rows).filter(F.col("bad") >= SUPPORT).select("term", "whole", "bad", share.alias("share"), odds.alias("odds")).filter(F.col("share") >= PURITY)
+    pure = _terms(rows).select("term", "whole", "bad", share.alias("share"), odds.alias("odds")).filter(F.col("share") >= PURITY)
     pure = materialize(pure, "lexicon")
     words, stems = ({r.term: (r.share, r.odds) for r in pure.filter(F.col("whole") == whole).orderBy(F.desc("bad"), "term").limit(ENTRIES).collect()}
                     for whole in (True, False))
