@@ -23,8 +23,8 @@ _OPEN, _CLOSE = r"(?:^|[(\[|,\-–—/]\s*|\s)", r"(?=$|[)\]|,\-–—/]|\s|" +
 
 def clean_location(c: Column | str) -> Column:
     """Separators to spaces; runs such as 'FranciscoNew' are split."""
-    s = F.regexp_replace(text(c), r"[–—→↳>|/\\]+", " ")
-    return collapse(F.regexp_replace(s, r"(?<=[a-z])(?=[A-Z])", " "))
+    s = F.regexp_replace(text(c), r"(?<=[a-z])([A-Z])", " $1")
+    return F.trim(F.regexp_replace(s, rf"[{SPACE}–—→↳>|/\\]+", " "))
 
 
 def word_runs(c: Column) -> Column:
