@@ -11,16 +11,16 @@ from .registry import query
 
 # The sequential rule, row by row: kept names and links travel with the recursion.
 MERGE = f"""recursive
-keyed as (select *, batch = 0 as known, {D.norm_name('name')} as nk, rtrim(trim(application_link), '/') as lk from opp),
-inc as (select *, row_number() over (order by seq) as rn from keyed where not known),
+keyed as materialized (select seq, category, batch = 0 as known, md5({D.norm_name('name')}) as nk, length({D.norm_name('name')}) as nl, rtrim(trim(application_link), '/') as lk from opp),
+inc as materialized (select *, row_number() over (order by seq) as rn from keyed where not known),
 old as (select category, list(category || '|' || nk) as ns, list(category || '|' || lk) as ls from keyed where known group by category),
 start as (select flatten(list(ns)) as ns, flatten(list(ls)) as ls from old),
 walk(rn, ns, ls, seq, kept) as (
   select 0::bigint, ns, ls, -1::bigint, true from start
   union all
   select i.rn, case when i.ok then list_append(i.ns, i.category || '|' || i.nk) else i.ns end, case when i.ok then list_append(i.ls, i.category || '|' || i.lk) else i.ls end, i.seq, i.ok
-  from (select x.rn, w.ns, w.ls, x.seq, x.category, x.nk, x.lk,
-    not ((length(x.nk) > 4 and list_contains(w.ns, x.category || '|' || x.nk)) or (length(x.lk) > 10 and list_contains(w.ls, x.category || '|' || x.lk))) as ok
+  from (select x.rn, w.ns, w.ls, x.seq, x.category, x.nk, x.nl, x.lk,
+    not ((x.nl > 4 and list_contains(w.ns, x.category || '|' || x.nk)) or (length(x.lk) > 10 and list_contains(w.ls, x.category || '|' || x.lk))) as ok
     from walk w join inc x on x.rn = w.rn + 1) i)"""
 
 
@@ -35,7 +35,7 @@ def _(t):
 
 
 @query("feed_dedup", f"""with recursive
-keyed as (select seq, category || '|' || trim(regexp_replace(lower(name), '[^{D.W}]+', ' ', 'g')) as nk, category || '|' || lower(rtrim(application_link, '/')) as lk,
+keyed as materialized (select seq, category || '|' || md5( trim(regexp_replace(lower(name), '[^{D.W}]+', ' ', 'g'))) as nk, category || '|' || lower(rtrim(application_link, '/')) as lk,
   trim(regexp_replace(lower(name), '[^{D.W}]+', ' ', 'g')) <> '' as hn, application_link <> '' as hl, row_number() over (order by seq) as rn from opp),
 walk(rn, ns, ls, seq, kept) as (
   select 0::bigint, []::varchar[], []::varchar[], -1::bigint, true
@@ -47,26 +47,13 @@ def _(t):
     return dedup.feed_dedup(t.opp).select("seq")
 
 
-FUZZY = f"""recursive
-toks as (select *, list_sort({D.sim_tokens('name')}) as ws, length({D.norm_title('name')}) as len from titles),
-inc as (select *, row_number() over (order by seq) as rn from toks where not known),
-start as (select list({{'c': category, 'w': ws, 's': -1::bigint}}) as kept from toks where known and len(ws) > 0),
-walk(rn, kept, seq, hits, n) as (
-  select 0::bigint, kept, -1::bigint, []::bigint[], 0 from start
-  union all
-  select i.rn, case when len(i.hits) = 0 and i.n > 0 then list_append(i.kept, {{'c': i.category, 'w': i.ws, 's': i.seq}}) else i.kept end, i.seq, i.hits, i.n
-  from (select x.rn, x.seq, x.category, x.ws, w.kept, len(x.ws) as n,
-    case when x.len < 5 then [] else list_transform(list_filter(w.kept, lambda k: k.c = x.category and len(k.w) * 0.84 <= len(x.ws) and len(x.ws) * 0.84 <= len(k.w)
-      and len(list_intersect(k.w, x.ws)) / (len(k.w) + len(x.ws) - len(list_intersect(k.w, x.ws))) >= 0.85), lambda k: k.s) end as hits
-    from walk w join inc x on x.rn = w.rn + 1) i)"""
-
-
-@query("fuzzy_dedup", f"with {FUZZY} select seq from walk where seq >= 0 and len(hits) = 0")
+# SQL is too slow for similar titles over whole texts: tests/test_dedup.py compares with a plain sequential fold.
+@query("fuzzy_dedup")
 def _(t):
     return titles.fuzzy_dedup(t.titles.where("known"), t.titles.where("not known")).select("seq")
 
 
-@query("fuzzy_pairs", f"with {FUZZY} select seq, list_min(hits) as kept from walk where len(hits) > 0")
+@query("fuzzy_pairs")
 def _(t):
     return titles.fuzzy_pairs(t.titles.where("known"), t.titles.where("not known"))
 
