@@ -107,7 +107,7 @@ def _bit_matrix(fps: pa.Array) -> np.ndarray:
 
 
 def _keyed(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
-    """(key, fp): a row per node and table; the key is a hash of the table number and its bits."""
+    """(key, fp, label): a row per node and table; the key is a hash of the table number and its bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -118,9 +118,9 @@ def _keyed(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
                 value = np.zeros(b.num_rows, np.uint64)
                 for col in packed.T:  # keys may be longer than a word: fold byte by byte
                     value = _mixed(value ^ col.astype(np.uint64), t + 1)
-                yield pa.record_batch([pa.array(value.view(np.int64)), b.column("fp")], ["key", "fp"])
+                yield pa.record_batch([pa.array(value.view(np.int64)), b.column("fp"), b.column("label")], ["key", "fp", "label"])
 
-    return nodes.select("fp").mapInArrow(run, "key long, fp binary")
+    return nodes.select("fp", "label").mapInArrow(run, "key long, fp binary, label long")
 
 
 def _pairs_within(planes: np.ndarray, rows: np.ndarray, query: np.ndarray, word: np.ndarray, dead: np.ndarray,
@@ -167,12 +167,11 @@ def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, closest: bool = False, step: int = 1 << 12) -> np.ndarray:
-    """For each row the smallest row that its unit's links connect it with, or itself.
+def unit_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, step: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(earlier row, later row) of all pairs within the radius, in parts; a part has all pairs of its earlier rows.
 
     Rows are sorted by (unit, side).  A unit with one side compares all its
     rows; one with two compares the rows of the first with those of the second.
-    With ``closest`` the row is the nearest of the earlier rows that link to it.
     """
     n = len(unit)
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -190,9 +189,6 @@ def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius:
     rows = np.where(bits.T == 1, _ALL, np.uint64(0))
     row_of = np.full(base[-1] * 64, -1, np.int64)
     row_of[lane] = np.arange(n)
-    labels = np.arange(n)
-    best = np.full(n, np.iinfo(np.int64).max)
-    packed = np.packbits(bits, axis=1).view(np.uint64)
     todo = np.maximum(0, words[of] - begin // 64) * (begin < size[of])
     ends = np.cumsum(todo)
     at = 0
@@ -207,59 +203,92 @@ def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius:
             high = np.minimum(size[of[query]] - local * 64, 64).astype(np.uint64)
             valid = (_ALL << low) & (_ALL >> (np.uint64(64) - high))
             a, b = _pairs_within(planes, rows, query, base[of[query]] + local, ~valid, radius)
-            b = row_of[b]
-            if closest:
-                np.minimum.at(best, b, np.bitwise_count(packed[a] ^ packed[b]).sum(1, dtype=np.int64) << 32 | a)
-            else:
-                _forest(labels, a, b)
+            yield a, row_of[b]
         at = to
-    return np.where(best < np.iinfo(np.int64).max, best & 0xFFFFFFFF, labels) if closest else labels
 
 
-def links(nodes: DataFrame, radius: int, tables: list[list[int]], closest: bool = False) -> DataFrame:
-    """(u, v): links between distinct fingerprints; at most one per fingerprint and comparison task.
+def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, step: int = 1 << 12) -> np.ndarray:
+    """For each row the smallest row that its unit's links connect it with, or itself; rows as in :func:`unit_pairs`."""
+    labels = np.arange(len(unit))
+    for a, b in unit_pairs(unit, side, bits, radius, step):
+        _forest(labels, a, b)
+    return labels
 
-    They are a spanning forest of the task's links or, with ``closest``, each
-    fingerprint's nearest among those before it in the task's random order.
-    """
+
+def _dealt(nodes: DataFrame, tables: list[list[int]], only: DataFrame | None = None) -> DataFrame:
+    """The rows of the comparison tasks, sorted by (unit, side); with ``only``, of the buckets whose key is there."""
     keyed = _keyed(nodes, tables)
+    if only is not None:
+        keyed = keyed.join(F.broadcast(only) if only.count() <= BROADCAST_ROWS else only, "key", "left_semi")
     buckets = (keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
                .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")))
     dealt = (keyed.join(buckets, "key")
              .withColumn("side", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("k")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-             .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "fp", F.xxhash64("fp", "key").alias("place")))
-
+             .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "key", "fp", "label",
+                     F.xxhash64("fp", "key").alias("place")))
+    return dealt.repartition("unit").sortWithinPartitions("unit", "side", "place")
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about ROWS rows or more that hold whole units."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < ROWS:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        unit = t.column("unit").to_numpy()
+        cut = int(np.searchsorted(unit, unit[-1], "left"))  # the last unit may go on
+        if cut:
+            yield t.slice(0, cut)
+            t = t.slice(cut)
+        held, rows = t.to_batches(), t.num_rows
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def links(nodes: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
+    """(u, v): links between distinct fingerprints, of each comparison task a spanning forest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(t: pa.Table) -> pa.RecordBatch:
+        for t in _whole_units(batches):
             fps = t.column("fp").combine_chunks()
-            got = compare_units(t.column("unit").to_numpy(), t.column("side").to_numpy(), _bit_matrix(fps), radius, closest)
+            got = compare_units(t.column("unit").to_numpy(), t.column("side").to_numpy(), _bit_matrix(fps), radius)
             moved = np.flatnonzero(got != np.arange(len(got)))
-            return pa.record_batch([fps.take(pa.array(moved)), fps.take(pa.array(got[moved]))], ["u", "v"])
+            yield pa.record_batch([fps.take(pa.array(moved)), fps.take(pa.array(got[moved]))], ["u", "v"])
 
-        held, rows = [], 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows < ROWS:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            unit = t.column("unit").to_numpy()
-            cut = int(np.searchsorted(unit, unit[-1], "left"))  # the last unit may go on
-            if cut:
-                yield solved(t.slice(0, cut))
-                t = t.slice(cut)
-            held, rows = t.to_batches(), t.num_rows
-        if rows:
-            yield solved(pa.Table.from_batches(held).combine_chunks())
+    return _dealt(nodes.select("fp", F.lit(0).cast("long").alias("label")), tables).drop("key", "label").mapInArrow(run, "u binary, v binary")
 
-    return dealt.repartition("unit").sortWithinPartitions("unit", "side", "place").mapInArrow(run, "u binary, v binary")
 
+def candidates(nodes: DataFrame, radius: int, tables: list[list[int]], most: int, only: DataFrame | None = None) -> DataFrame:
+    """(key, u, v, apart): pairs of unlike labels within the radius, of each fingerprint and task the ``most`` nearest.
 
-def bits_apart(u: Column, v: Column, words: int) -> Column:
-    """Differing bits of two fingerprints."""
-    word = lambda c, j: F.conv(F.hex(F.substring(c, 8 * j + 1, 8)), 16, -10).cast("long")
-    return sum((F.bit_count(word(u, j).bitwiseXOR(word(v, j))) for j in range(words)), F.lit(0))
+    A task that has more of them adds a row with nothing but its bucket's key.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_units(batches):
+            fps = t.column("fp").combine_chunks()
+            key, label, bits = t.column("key").to_numpy(), t.column("label").to_numpy(), _bit_matrix(fps)
+            packed = np.packbits(bits, axis=1).view(np.uint64)
+            for a, b in unit_pairs(t.column("unit").to_numpy(), t.column("side").to_numpy(), bits, radius):
+                unlike = label[a] != label[b]
+                a, b = a[unlike], b[unlike]
+                if not len(a):
+                    continue
+                apart = np.bitwise_count(packed[a] ^ packed[b]).sum(1, dtype=np.int64)
+                order = np.lexsort((b, apart, a))
+                a, b, apart = a[order], b[order], apart[order]
+                new = np.r_[True, a[1:] != a[:-1]]
+                taken = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] < most
+                yield pa.record_batch([pa.array(key[a[taken]]), fps.take(pa.array(a[taken])), fps.take(pa.array(b[taken])), pa.array(apart[taken])],
+                                      ["key", "u", "v", "apart"])
+                more = np.unique(key[a[~taken]])
+                if len(more):
+                    none = pa.nulls(len(more), pa.binary())
+                    yield pa.record_batch([pa.array(more), none, none, pa.nulls(len(more), pa.int64())], ["key", "u", "v", "apart"])
+
+    return _dealt(nodes, tables, only).mapInArrow(run, "key long, u binary, v binary, apart long")
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edges: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
@@ -289,6 +318,43 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edge
     return paired.mapInArrow(verify, "u binary, v binary")
 
 
+def _verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, radius: int, tables: list[list[int]], shingle: int, words: int,
+              similarity: float, sure: int) -> DataFrame:
+    """Components, as of :func:`connected`, of all pairs that the tables bring together and the shingles confirm.
+
+    A round tests the nearest partners of each fingerprint, then the others
+    that it brought; what is connected by then needs no test.  Buckets with
+    untested pairs come again with eight times as many partners until none has.
+    """
+    stars, tested, only, most = None, None, None, 1
+    while True:
+        label = F.xxhash64("fp").alias("label")
+        labelled = nodes.select("fp", label) if stars is None else (
+            nodes.select("fp").join(stars.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")))
+        found = materialize(candidates(labelled, radius, tables, most, only), "candidates")
+        pairs = found.filter("u is not null").select("u", "v", "apart").distinct()
+        nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v", "x.apart")
+        for part in (nearest, pairs):
+            part = part.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "apart").distinct()
+            if tested is not None:
+                part = part.join(tested, ["u", "v"], "left_anti")
+            if stars is not None:
+                part = (part.join(stars.toDF("u", "x"), "u", "left").join(stars.toDF("v", "y"), "v", "left")
+                        .filter(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v", "apart"))
+            part = materialize(part, "pairs")
+            if part.isEmpty():
+                continue
+            close = part.filter(F.col("apart") <= sure).select("u", "v")
+            good = close.unionByName(_similar(docs, id_col, text_col, nodes, part.filter(F.col("apart") > sure).select("u", "v"), shingle, words, similarity))
+            part = part.select("u", "v")
+            tested = part if tested is None else tested.unionByName(part)
+            stars = connected(good if stars is None else stars.unionByName(good))
+        only = materialize(found.filter("u is null").select("key").distinct(), "open")
+        if only.isEmpty():
+            return connected(pairs.select("u", "v").limit(0)) if stars is None else stars
+        most *= 8
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, radius: int = 4,
            tables: list[list[int]] | None = None, similarity: float | None = None, sure: int = 0) -> DataFrame:
     """(id, fp, component): every document with its fingerprint and the smallest id of its group.
@@ -302,13 +368,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    edges = links(nodes, radius, tables or exact_tables(radius, nodes.count(), 64 * words), similarity is not None)
-    if similarity is not None:
-        edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-                            .withColumn("apart", bits_apart(F.col("u"), F.col("v"), words)), "links")
-        unsure = edges.filter(F.col("apart") > sure).select("u", "v")
-        edges = edges.filter(F.col("apart") <= sure).select("u", "v").unionByName(_similar(docs, id_col, text_col, nodes, unsure, shingle, words, similarity))
-    stars = connected(edges)
+    tables = tables or exact_tables(radius, nodes.count(), 64 * words)
+    if similarity is None:
+        stars = connected(links(nodes, radius, tables))
+    else:
+        stars = _verified(docs, id_col, text_col, nodes, radius, tables, shingle, words, similarity, sure)
     named = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     label = materialize(named.join(smallest, "root").select("fp", "component"), "labels")
