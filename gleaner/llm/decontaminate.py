@@ -4,7 +4,7 @@ Texts become 64-bit token hashes.  A seed reads a window of ``SPAN`` tokens
 through a fixed mask and ignores the masked-out ones, so a window still hits
 when ignored tokens were substituted.  A Bloom filter of fixed size, made from
 the benchmark's seed hashes, thins the training windows before the join; the
-join on the hash decides.  Each hit gives an alignment, along which the best
+join on the hash decides.  Each hit gives an alignment, along which the longest
 run with at least ``IDENTITY`` equal tokens is measured on whole texts.
 """
 
@@ -172,6 +172,20 @@ def best_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     return end - start, int(same[start:end].sum())
 
 
+def longest_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int]:
+    """(tokens, equal tokens) of the longest run along an alignment with at least IDENTITY equal tokens, ties to more equal ones."""
+    low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    if low >= high:
+        return 0, 0
+    equal = np.r_[0, np.cumsum(doc[low + diagonal:high + diagonal] == item[low:high])]
+    # in whole numbers: a run from i to j counts if total[i] <= total[j]
+    total = 100 * equal - round(100 * IDENTITY) * np.arange(len(equal))
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    tokens = np.arange(len(equal)) - start
+    ends = np.flatnonzero(tokens == tokens.max())
+    return int(tokens.max()), int((equal[ends] - equal[start[ends]]).max())
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id",
              item_text: str = "text") -> DataFrame:
     """(key, item, overlap, equal): verified overlaps of documents with benchmark items.
@@ -201,7 +215,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
             runs = []
             for doc, item, diagonals in zip(b.column("doc"), b.column("tokens"), b.column("diagonals").to_pylist()):
                 d, t = doc.values.to_numpy(zero_copy_only=False), item.values.to_numpy(zero_copy_only=False)
-                runs.append(max(best_run(d, t, x) for x in diagonals))
+                runs.append(max(longest_run(d, t, x) for x in diagonals))
             need = [min(OVERLAP, len(t.values)) for t in b.column("tokens")]
             kept = [n <= r[0] for n, r in zip(need, runs)]
             out = pa.record_batch([b.column("key"), b.column("item"), pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64())],

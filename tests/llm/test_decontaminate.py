@@ -85,3 +85,28 @@ def test_best_run_by_brute_force():
         best = max((sum(0.2 if doc[a] == item[b] else -0.8 for a, b in pairs[i:j]) for i in range(len(pairs)) for j in range(i, len(pairs) + 1)), default=0)
         n, equal = dc.best_run(doc, item, x)
         assert abs(0.2 * equal - 0.8 * (n - equal) - best) < 1e-9
+
+
+def test_longest_run_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        item, doc = rng.integers(0, 2, 14), rng.integers(0, 2, 20)
+        x = int(rng.integers(-13, 19))
+        same = [int(doc[i + x] == item[i]) for i in range(14) if 0 <= i + x < 20]
+        runs = [(j - i, sum(same[i:j])) for i in range(len(same)) for j in range(i, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)]
+        assert dc.longest_run(doc, item, x) == max(runs, default=(0, 0))
+
+
+def test_substitutions_at_all_positions(spark):
+    rng = random.Random(8)
+    items = [(1, " ".join(words(rng, 14))), (2, " ".join(words(rng, 50)))]
+    docs = []
+    for i in range(14):
+        text = items[0][1].split()
+        text[i] = "zzz"
+        docs.append((i, " ".join(["before", *text, "after"])))
+    docs += [(100 + i, " ".join("zzz" if k % 5 == i else w for k, w in enumerate(items[1][1].split()))) for i in range(5)]
+    d, b = frames(spark, docs, items)
+    rows = dc.report(d, b).collect()
+    assert all(r.contaminated and r.identity >= dc.IDENTITY for r in rows)
+    assert {(r.doc_id, r.overlap) for r in rows if r.doc_id >= 100} == {(100 + i, 50) for i in range(5)}
