@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts become 64-bit token hashes.  A seed reads a window of ``SPAN`` tokens
-through a fixed mask and ignores the masked-out ones, so a window still hits
-when ignored tokens were substituted.  A Bloom filter of fixed size, made from
+Texts become 64-bit token hashes.  A seed reads a window of tokens through a
+mask and ignores the masked-out ones, so a window still hits when ignored
+tokens were substituted.  The masks together hit every run that counts.  A Bloom filter of fixed size, made from
 the benchmark's seed hashes, thins the training windows before the join; the
 join on the hash decides.  Each hit gives an alignment, along which the longest
 run with at least ``IDENTITY`` equal tokens is measured on whole texts.
@@ -11,6 +11,7 @@ run with at least ``IDENTITY`` equal tokens is measured on whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from ..session import materialize
 from .common import BROADCAST_ROWS, slices, without
 from .simhash import _mixed
 
-SPAN = 12
-# fixed masks: the token positions that are read, 8 of 12 each
-MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 2, 3, 5, 6, 9, 10, 11), (0, 1, 4, 5, 6, 8, 9, 11), (0, 1, 2, 3, 8, 9, 10, 11))
+# fixed masks: the token positions that are read.  They hit every run of 12 tokens with 2 substitutions, of 15 with 3 and of 20 with 4
+# wherever these are; any longer run with a fifth substituted holds one of these.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11), (0, 1, 2, 4, 5, 8))
 LEAST = 5  # shorter items are too common to be searched
 OVERLAP = 12  # tokens of a verified overlap, or the whole item if it is shorter
 IDENTITY = 0.8
@@ -84,10 +85,18 @@ def seeds(hashes: np.ndarray, text_of: np.ndarray, masks: list[tuple[int, ...]],
         yield first, _mixed(key, 2)
 
 
-def _windows(hashes: np.ndarray, text_of: np.ndarray, short: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    yield from seeds(hashes, text_of, list(MASKS), SPAN)
-    for span in short:  # items shorter than the seeds are looked up whole
-        yield from seeds(hashes, text_of, [tuple(range(span))], span)
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item of n < OVERLAP tokens; one of them leaves out any positions that may be substituted."""
+    spare = n - -(-n * round(100 * IDENTITY) // 100)
+    parts = np.array_split(np.arange(n), spare + 2)
+    return [tuple(np.concatenate(kept).tolist()) for kept in combinations(parts, 2)]
+
+
+def _windows(hashes: np.ndarray, text_of: np.ndarray, short: list[int], long: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for m in MASKS if long else ():
+        yield from seeds(hashes, text_of, [m], m[-1] + 1)
+    for span in short:  # items shorter than an overlap are looked up whole
+        yield from seeds(hashes, text_of, short_masks(span), span)
 
 
 def _slot(keys: np.ndarray, probe: int) -> np.ndarray:
@@ -106,29 +115,29 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item, tokens): distinct token sequences of at least LEAST tokens, named by their smallest id."""
+    """(no, item, tokens): distinct token sequences of at least LEAST tokens, their smallest id (null if none has one) and own number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             hashes, _, first = _texts(b)
             lists = [x.view(np.int64) for x in np.split(hashes, first[1:])]
             yield pa.record_batch([b.column("item"), pa.array(lists, pa.list_(pa.int64()))], ["item", "tokens"])
 
-    found = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null")
+    found = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
     found = found.mapInArrow(run, "item long, tokens array<long>").filter(F.size("tokens") >= LEAST)
-    return found.groupBy("tokens").agg(F.min("item").alias("item")).select("item", "tokens")
+    return found.groupBy("tokens").agg(F.min("item").alias("item")).select(F.xxhash64("tokens").alias("no"), "item", "tokens")
 
 
 def _item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
-    """(seed, item, at): where an item first has a seed hash."""
+    """(seed, no, at): where an item has a seed hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for item, tokens in zip(b.column("item").to_pylist(), b.column("tokens")):
+            for no, tokens in zip(b.column("no").to_pylist(), b.column("tokens")):
                 hashes = np.asarray(tokens.values.to_numpy(zero_copy_only=False)).view(np.uint64)
                 alone = [len(hashes)] if len(hashes) in short else []
-                for first, keys in _windows(hashes, np.zeros(len(hashes), np.int64), alone):
-                    yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), item)), pa.array(first)], ["seed", "item", "at"])
+                for first, keys in _windows(hashes, np.zeros(len(hashes), np.int64), alone, not alone):
+                    yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), no)), pa.array(first)], ["seed", "no", "at"])
 
-    return items.mapInArrow(run, "seed long, item long, at long").groupBy("seed", "item").agg(F.min("at").alias("at"))
+    return items.select("no", "tokens").mapInArrow(run, "seed long, no long, at long").distinct()
 
 
 def _bloom(seeds_of_items: DataFrame) -> np.ndarray:
@@ -191,15 +200,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     """(key, item, overlap, equal): verified overlaps of documents with benchmark items.
 
     ``key`` is ``xxhash64(id, text)`` of the document.  Items of equal tokens
-    count as one with the smallest id; items without an id or with fewer than
-    LEAST tokens are not searched.
+    count as one with the smallest id, null if none has one; items with fewer
+    than LEAST tokens are not searched.
     """
     items = materialize(_items(benchmark, item_col, item_text), "items")
-    short = sorted(r[0] for r in items.filter(F.size("tokens") < SPAN).select(F.size("tokens")).distinct().collect())  # below SPAN
+    short = sorted(r[0] for r in items.filter(F.size("tokens") < OVERLAP).select(F.size("tokens")).distinct().collect())  # below OVERLAP
     planted = materialize(_item_seeds(items, short), "seeds")
     texts = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text")).filter("text is not null")
     hits = materialize(_hits(texts, _bloom(planted), short), "hits")
-    lines = materialize(hits.join(planted, "seed").select("key", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct(), "alignments")
+    lines = materialize(hits.join(planted, "seed").select("key", "no", (F.col("pos") - F.col("at")).alias("diagonal")).distinct(), "alignments")
     wanted = lines.select("key").distinct()
     few = wanted.count() <= BROADCAST_ROWS
     chosen = texts.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
@@ -223,8 +232,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
             yield out.filter(pa.array(kept, pa.bool_()))
 
     parsed = chosen.dropDuplicates(["key"]).mapInArrow(tokens, "key long, doc array<long>")
-    lines = lines.groupBy("key", "item").agg(F.collect_set("diagonal").alias("diagonals"))
-    paired = lines.join(items, "item").join(parsed, "key").select("key", "item", "tokens", "doc", "diagonals")
+    lines = lines.groupBy("key", "no").agg(F.collect_set("diagonal").alias("diagonals"))
+    paired = lines.join(items, "no").join(parsed, "key").select("key", "item", "tokens", "doc", "diagonals")
     return paired.mapInArrow(verify, "key long, item long, overlap long, equal long")
 
 
@@ -232,7 +241,8 @@ def report(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """(doc_id, contaminated, n_items, item_id, overlap, identity), one row per document.
 
     ``item_id`` is the item of the longest overlap, ties to more equal tokens,
-    then to the smaller id; null, 0 and null for clean documents.  Null and
+    then to the smaller id; null, 0 and null for clean documents.  An item
+    without an id counts, and is named by null.  Null and
     blank texts are clean; an empty benchmark leaves all documents clean.
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")

@@ -1,6 +1,7 @@
 """Spaced-seed decontamination against planted passages and brute force."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -110,3 +111,31 @@ def test_substitutions_at_all_positions(spark):
     rows = dc.report(d, b).collect()
     assert all(r.contaminated and r.identity >= dc.IDENTITY for r in rows)
     assert {(r.doc_id, r.overlap) for r in rows if r.doc_id >= 100} == {(100 + i, 50) for i in range(5)}
+
+
+def test_masks_hit_every_run_that_counts():
+    for n, spare in ((12, 2), (15, 3), (20, 4)):
+        for gone in map(set, combinations(range(n), spare)):
+            assert any(not gone & {at + p for p in m} for m in dc.MASKS for at in range(n - m[-1]))
+    for n in range(dc.LEAST, dc.OVERLAP):
+        assert all(any(not set(gone) & set(m) for m in dc.short_masks(n)) for gone in combinations(range(n), n // 5))
+
+
+def test_short_items_null_ids_and_repeats(spark):
+    rng = random.Random(9)
+    items = [(n, " ".join(words(rng, n))) for n in range(5, 13)] + [(None, " ".join(words(rng, 20)))]
+    twice = words(rng, 6)
+    items.append((50, " ".join(twice + words(rng, 9) + twice + words(rng, 9))))
+    docs, want = [], {}
+    for n, text in items[:8]:
+        for gone in combinations(range(n), n // 5):
+            docs.append((len(docs), " ".join(["a", *("zzz" if k in gone else w for k, w in enumerate(text.split())), "b"])))
+            want[len(docs) - 1] = (True, n)
+    docs.append((len(docs), items[8][1]))
+    want[len(docs) - 1] = (True, None)
+    tail = items[9][1].split()[15:]
+    docs.append((len(docs), " ".join(w if k < 6 or k % 5 else "zzz" for k, w in enumerate(tail))))  # after the repeat every fifth word changed
+    want[len(docs) - 1] = (True, 50)
+    d, b = frames(spark, docs, items)
+    assert {r.doc_id: (r.contaminated, r.item_id) for r in dc.report(d, b).collect()} == want
+    assert dc.clean(d, b).count() == 0
