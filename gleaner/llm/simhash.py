@@ -66,13 +66,19 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """(id, fp): one row per document; a null or blank text has the fingerprint zero."""
+def content(hashes: np.ndarray, words: int) -> bytes:
+    """The fingerprint of the distinct shingles, then 128 bits that stand for the set of them."""
+    distinct = np.unique(hashes)
+    return fingerprint(distinct, words) + xxhash.xxh3_128_digest(distinct.tobytes())
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, of=fingerprint) -> DataFrame:
+    """(id, fp): one row per document; a null or blank text has the fingerprint zero.  ``of`` is :func:`fingerprint` or :func:`content`."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            fps = [fingerprint(shingle_hashes(t.as_py(), shingle), words) for t in b.column("text")]
+            fps = [of(shingle_hashes(t.as_py(), shingle), words) for t in b.column("text")]
             yield pa.record_batch([b.column("id"), pa.array(fps, pa.binary())], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp binary")
@@ -261,7 +267,7 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
     return _dealt(nodes.select("fp", F.lit(0).cast("long").alias("label")), tables).drop("key", "label").mapInArrow(run, "u binary, v binary")
 
 
-def candidates(nodes: DataFrame, radius: int, tables: list[list[int]], most: int, only: DataFrame | None = None) -> DataFrame:
+def candidates(nodes: DataFrame, radius: int, tables: list[list[int]], words: int, most: int, only: DataFrame | None = None) -> DataFrame:
     """(key, u, v, apart): pairs of unlike labels within the radius, of each fingerprint and task the ``most`` nearest.
 
     A task that has more of them adds a row with nothing but its bucket's key.
@@ -269,7 +275,7 @@ def candidates(nodes: DataFrame, radius: int, tables: list[list[int]], most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_units(batches):
             fps = t.column("fp").combine_chunks()
-            key, label, bits = t.column("key").to_numpy(), t.column("label").to_numpy(), _bit_matrix(fps)
+            key, label, bits = t.column("key").to_numpy(), t.column("label").to_numpy(), _bit_matrix(fps)[:, :64 * words]
             packed = np.packbits(bits, axis=1).view(np.uint64)
             for a, b in unit_pairs(t.column("unit").to_numpy(), t.column("side").to_numpy(), bits, radius):
                 unlike = label[a] != label[b]
@@ -294,14 +300,17 @@ def candidates(nodes: DataFrame, radius: int, tables: list[list[int]], most: int
 def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edges: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
     """The edges (u, v) whose documents share at least ``similarity`` of their distinct shingles (Jaccard)."""
     ends = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
-    asked = materialize(nodes.join(ends, "fp").filter("least is not null").select("least").distinct(), "asked")
+    asked = materialize(nodes.join(ends, "fp").select("least").distinct(), "asked")
     few = asked.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text")).join(F.broadcast(asked) if few else asked, "least")
+    named = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
+    texts = named.join(F.broadcast(asked) if few else asked, "least")
+    if not asked.filter("least is null").isEmpty():
+        texts = texts.unionByName(named.filter("least is null"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             hashes = [shingle_hashes(t.as_py(), shingle) for t in b.column("text")]
-            yield pa.record_batch([pa.array([fingerprint(h, words) for h in hashes], pa.binary()),
+            yield pa.record_batch([pa.array([content(h, words) for h in hashes], pa.binary()),
                                    pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["fp", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +328,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edge
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, radius: int, tables: list[list[int]], shingle: int, words: int,
-              similarity: float, sure: int) -> DataFrame:
+              similarity: float) -> DataFrame:
     """Components, as of :func:`connected`, of all pairs that the tables bring together and the shingles confirm.
 
     A round tests the nearest partners of each fingerprint, then the others
@@ -331,22 +340,20 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, rad
         label = F.xxhash64("fp").alias("label")
         labelled = nodes.select("fp", label) if stars is None else (
             nodes.select("fp").join(stars.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")))
-        found = materialize(candidates(labelled, radius, tables, most, only), "candidates")
+        found = materialize(candidates(labelled, radius, tables, words, most, only), "candidates")
         pairs = found.filter("u is not null").select("u", "v", "apart").distinct()
-        nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v", "x.apart")
+        nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v")
         for part in (nearest, pairs):
-            part = part.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "apart").distinct()
+            part = part.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
             if tested is not None:
                 part = part.join(tested, ["u", "v"], "left_anti")
             if stars is not None:
                 part = (part.join(stars.toDF("u", "x"), "u", "left").join(stars.toDF("v", "y"), "v", "left")
-                        .filter(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v", "apart"))
+                        .filter(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v"))
             part = materialize(part, "pairs")
             if part.isEmpty():
                 continue
-            close = part.filter(F.col("apart") <= sure).select("u", "v")
-            good = close.unionByName(_similar(docs, id_col, text_col, nodes, part.filter(F.col("apart") > sure).select("u", "v"), shingle, words, similarity))
-            part = part.select("u", "v")
+            good = _similar(docs, id_col, text_col, nodes, part, shingle, words, similarity)
             tested = part if tested is None else tested.unionByName(part)
             stars = connected(good if stars is None else stars.unionByName(good))
         only = materialize(found.filter("u is null").select("key").distinct(), "open")
@@ -356,42 +363,42 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, rad
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, radius: int = 4,
-           tables: list[list[int]] | None = None, similarity: float | None = None, sure: int = 0) -> DataFrame:
+           tables: list[list[int]] | None = None, similarity: float | None = None) -> DataFrame:
     """(id, fp, component): every document with its fingerprint and the smallest id of its group.
 
     Documents link if their fingerprints differ in at most ``radius`` bits.
     Equal texts are one node, so copies cost nothing.  Null ids are never a
     group's smallest; a group without any id has a null component.  Without
-    ``tables`` the search is exact for the radius.  With ``similarity`` a link
-    of over ``sure`` bits counts only if the texts share that part of their
-    distinct shingles.
+    ``tables`` the search is exact for the radius.  With ``similarity`` the
+    fingerprints are of distinct shingles, texts with the same ones are one
+    node, and a link counts only if the texts share that part of them.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle, words, fingerprint if similarity is None else content), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     tables = tables or exact_tables(radius, nodes.count(), 64 * words)
     if similarity is None:
         stars = connected(links(nodes, radius, tables))
     else:
-        stars = _verified(docs, id_col, text_col, nodes, radius, tables, shingle, words, similarity, sure)
+        stars = _verified(docs, id_col, text_col, nodes, radius, tables, shingle, words, similarity)
     named = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     label = materialize(named.join(smallest, "root").select("fp", "component"), "labels")
-    return marked.join(label, "fp").select("id", "fp", "component")
+    return marked.join(label, "fp").select("id", F.substring("fp", 1, 8 * words).alias("fp"), "component")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4,
-          radius: int = 52, sure: int = 26, tables: list[list[int]] | None = None) -> DataFrame:
+          radius: int = 52, tables: list[list[int]] | None = None) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; columns unchanged.
 
     The defaults mean a Jaccard similarity of 0.8 of the five-word shingles.
     Such a pair has a cosine of 0.89, and its fingerprints differ in about 39
-    of 256 bits, with a deviation of 6: pairs up to ``radius`` are looked at,
-    those up to ``sure`` are links, the others are compared by their shingles.
+    of 256 bits, with a deviation of 6: pairs up to ``radius`` are compared by
+    their shingles.
     The default tables are samples of the bits, of which a pair at 0.8 shares
     one with a probability of 0.97.  Of rows with one id, one stays; rows
     without an id all stay.
     """
-    found = groups(docs, id_col, text_col, shingle, words, radius, tables or sampled_tables(24, 12, 64 * words), similarity, sure)
+    found = groups(docs, id_col, text_col, shingle, words, radius, tables or sampled_tables(24, 12, 64 * words), similarity)
     ids = materialize(found.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("component")), "members")
     gone = materialize(ids.filter("id <> component").select("id"), "copies")
     kept = without(docs, gone, id_col)
