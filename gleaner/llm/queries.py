@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, mixing, neighbours, sharding, simhash, tokens, toxicity, url_templates
+from . import (decontaminate, html_text, language_id, licences, mixing, neighbours, phrases, sharding, simhash, tokens, toxicity,
+               url_templates, whitening)
 from .common import table
 
 
@@ -56,5 +57,19 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
             .withColumnRenamed("id", "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_templates, op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op6_toxicity, op7_neighbours, op8_token_counts, op9_licences, op10_mixing)}
-SQL: dict[str, str] = {"op9_licences": licences.oracle()}
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.report(table(spark, folder, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_templates, op2_simhash, op3_sharding, op4_decontamination, op5_html_text, op6_toxicity, op7_neighbours, op8_token_counts, op9_licences, op10_mixing,
+                                   op11_whitening, op12_language_id, op13_collocations)}
+SQL: dict[str, str] = {"op9_licences": licences.oracle(), "op13_collocations": phrases.oracle()}
