@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import BROADCAST_ROWS, slices, without
+from .common import slices
 from .components import connected
 
 BLOCK = 2048  # rows of one side of a comparison task
@@ -66,19 +66,13 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return out
 
 
-def content(hashes: np.ndarray, words: int) -> bytes:
-    """The fingerprint of the distinct shingles, then 128 bits that stand for the set of them."""
-    distinct = np.unique(hashes)
-    return fingerprint(distinct, words) + xxhash.xxh3_128_digest(distinct.tobytes())
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, of=fingerprint) -> DataFrame:
-    """(id, fp): one row per document; a null or blank text has the fingerprint zero.  ``of`` is :func:`fingerprint` or :func:`content`."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """(id, fp): one row per document; a null or blank text has the fingerprint zero."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            fps = [of(shingle_hashes(t.as_py(), shingle), words) for t in b.column("text")]
+            fps = [fingerprint(shingle_hashes(t.as_py(), shingle), words) for t in b.column("text")]
             yield pa.record_batch([b.column("id"), pa.array(fps, pa.binary())], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp binary")
@@ -98,14 +92,6 @@ def exact_tables(radius: int, rows: int, bits: int = 64) -> list[list[int]]:
     return [[b for k in kept for b in range(cuts[k], cuts[k + 1])] for kept in combinations(range(pieces), pieces - radius)]
 
 
-def sampled_tables(count: int, width: int, bits: int, seed: int = 7) -> list[list[int]]:
-    """``count`` bit lists of ``width`` positions, drawn without repeats as long as the bits last."""
-    rng, drawn = np.random.default_rng(seed), []
-    while len(drawn) < count * width:
-        drawn.extend(rng.permutation(bits).tolist())
-    return [drawn[i * width:(i + 1) * width] for i in range(count)]
-
-
 def _bit_matrix(fps: pa.Array) -> np.ndarray:
     """Rows of 0/1 bytes, first bit of the first byte first."""
     flat = np.frombuffer(b"".join(fps.to_pylist()), np.uint8)
@@ -113,7 +99,7 @@ def _bit_matrix(fps: pa.Array) -> np.ndarray:
 
 
 def _keyed(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
-    """(key, fp, label): a row per node and table; the key is a hash of the table number and its bits."""
+    """(key, fp): a row per node and table; the key is a hash of the table number and its bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -124,9 +110,9 @@ def _keyed(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
                 value = np.zeros(b.num_rows, np.uint64)
                 for col in packed.T:  # keys may be longer than a word: fold byte by byte
                     value = _mixed(value ^ col.astype(np.uint64), t + 1)
-                yield pa.record_batch([pa.array(value.view(np.int64)), b.column("fp"), b.column("label")], ["key", "fp", "label"])
+                yield pa.record_batch([pa.array(value.view(np.int64)), b.column("fp")], ["key", "fp"])
 
-    return nodes.select("fp", "label").mapInArrow(run, "key long, fp binary, label long")
+    return nodes.select("fp").mapInArrow(run, "key long, fp binary")
 
 
 def _pairs_within(planes: np.ndarray, rows: np.ndarray, query: np.ndarray, word: np.ndarray, dead: np.ndarray,
@@ -173,29 +159,30 @@ def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def unit_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, step: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def unit_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int, step: int = 1 << 12,
+               label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(earlier row, later row) of all pairs within the radius, in parts; a part has all pairs of its earlier rows.
 
     Rows are sorted by (unit, side).  A unit with one side compares all its
     rows; one with two compares the rows of the first with those of the second.
+    With ``label``, blocks of lanes that all have a row's own label are passed over.
     """
     n = len(unit)
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     size = np.diff(np.r_[first, n])
     of = np.repeat(np.arange(len(first)), size)
     place = np.arange(n) - first[of]
-    words = -(-size // 64)
-    base = np.r_[0, np.cumsum(words)]
-    lane = base[of] * 64 + place
     head = np.add.reduceat((side == side[first][of]).astype(np.int64), first)  # rows of the first side
-    begin = np.where(head[of] == size[of], place + 1, np.where(place < head[of], head[of], size[of]))
-    padded = np.zeros((bits.shape[1], base[-1] * 64), np.uint8)
-    padded[:, lane] = bits.T
-    planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
+    begin = first[of] + np.where(head[of] == size[of], place + 1, np.where(place < head[of], head[of], size[of]))
+    end = first[of] + size[of]
+    words = -(-n // 64)
+    planes = np.zeros((bits.shape[1], words * 64), np.uint8)
+    planes[:, :n] = bits.T
+    planes = np.packbits(planes, axis=1, bitorder="little").view(np.uint64)
     rows = np.where(bits.T == 1, _ALL, np.uint64(0))
-    row_of = np.full(base[-1] * 64, -1, np.int64)
-    row_of[lane] = np.arange(n)
-    todo = np.maximum(0, words[of] - begin // 64) * (begin < size[of])
+    if label is not None:
+        least, most = (f(label, np.arange(0, n, 64)) for f in (np.minimum.reduceat, np.maximum.reduceat))
+    todo = np.where(begin < end, (end - 1) // 64 - begin // 64 + 1, 0)
     ends = np.cumsum(todo)
     at = 0
     while at < n:  # about ``step`` (row, word) pairs at a time
@@ -204,12 +191,14 @@ def unit_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius: int
         query = np.repeat(some, todo[some])
         if len(query):
             nth = np.arange(len(query)) - np.repeat(np.cumsum(todo[some]) - todo[some], todo[some])
-            local = begin[query] // 64 + nth
-            low = np.clip(begin[query] - local * 64, 0, 63).astype(np.uint64)
-            high = np.minimum(size[of[query]] - local * 64, 64).astype(np.uint64)
+            word = begin[query] // 64 + nth
+            if label is not None:
+                other = (least[word] != label[query]) | (most[word] != label[query])
+                query, word = query[other], word[other]
+            low = np.clip(begin[query] - word * 64, 0, 63).astype(np.uint64)
+            high = np.minimum(end[query] - word * 64, 64).astype(np.uint64)
             valid = (_ALL << low) & (_ALL >> (np.uint64(64) - high))
-            a, b = _pairs_within(planes, rows, query, base[of[query]] + local, ~valid, radius)
-            yield a, row_of[b]
+            yield _pairs_within(planes, rows, query, word, ~valid, radius)
         at = to
 
 
@@ -221,17 +210,15 @@ def compare_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, radius:
     return labels
 
 
-def _dealt(nodes: DataFrame, tables: list[list[int]], only: DataFrame | None = None) -> DataFrame:
-    """The rows of the comparison tasks, sorted by (unit, side); with ``only``, of the buckets whose key is there."""
+def _dealt(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """The rows of the comparison tasks, sorted by (unit, side)."""
     keyed = _keyed(nodes, tables)
-    if only is not None:
-        keyed = keyed.join(F.broadcast(only) if only.count() <= BROADCAST_ROWS else only, "key", "left_semi")
     buckets = (keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
                .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")))
     dealt = (keyed.join(buckets, "key")
              .withColumn("side", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("k")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-             .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "key", "fp", "label",
+             .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "fp",
                      F.xxhash64("fp", "key").alias("place")))
     return dealt.repartition("unit").sortWithinPartitions("unit", "side", "place")
 
@@ -264,149 +251,24 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
             moved = np.flatnonzero(got != np.arange(len(got)))
             yield pa.record_batch([fps.take(pa.array(moved)), fps.take(pa.array(got[moved]))], ["u", "v"])
 
-    return _dealt(nodes.select("fp", F.lit(0).cast("long").alias("label")), tables).drop("key", "label").mapInArrow(run, "u binary, v binary")
-
-
-def candidates(nodes: DataFrame, radius: int, tables: list[list[int]], words: int, most: int, only: DataFrame | None = None) -> DataFrame:
-    """(key, u, v, apart): pairs of unlike labels within the radius, of each fingerprint and task the ``most`` nearest.
-
-    A task that has more of them adds a row with nothing but its bucket's key.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_units(batches):
-            fps = t.column("fp").combine_chunks()
-            key, label, bits = t.column("key").to_numpy(), t.column("label").to_numpy(), _bit_matrix(fps)[:, :64 * words]
-            packed = np.packbits(bits, axis=1).view(np.uint64)
-            for a, b in unit_pairs(t.column("unit").to_numpy(), t.column("side").to_numpy(), bits, radius):
-                unlike = label[a] != label[b]
-                a, b = a[unlike], b[unlike]
-                if not len(a):
-                    continue
-                apart = np.bitwise_count(packed[a] ^ packed[b]).sum(1, dtype=np.int64)
-                order = np.lexsort((b, apart, a))
-                a, b, apart = a[order], b[order], apart[order]
-                new = np.r_[True, a[1:] != a[:-1]]
-                taken = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] < most
-                yield pa.record_batch([pa.array(key[a[taken]]), fps.take(pa.array(a[taken])), fps.take(pa.array(b[taken])), pa.array(apart[taken])],
-                                      ["key", "u", "v", "apart"])
-                more = np.unique(key[a[~taken]])
-                if len(more):
-                    none = pa.nulls(len(more), pa.binary())
-                    yield pa.record_batch([pa.array(more), none, none, pa.nulls(len(more), pa.int64())], ["key", "u", "v", "apart"])
-
-    return _dealt(nodes, tables, only).mapInArrow(run, "key long, u binary, v binary, apart long")
-
-
-def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edges: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
-    """The edges (u, v) whose documents share at least ``similarity`` of their distinct shingles (Jaccard)."""
-    ends = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
-    asked = materialize(nodes.join(ends, "fp").select("least").distinct(), "asked")
-    few = asked.count() <= BROADCAST_ROWS
-    named = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
-    texts = named.join(F.broadcast(asked) if few else asked, "least")
-    if not asked.filter("least is null").isEmpty():
-        texts = texts.unionByName(named.filter("least is null"))
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
-            hashes = [shingle_hashes(t.as_py(), shingle) for t in b.column("text")]
-            yield pa.record_batch([pa.array([content(h, words) for h in hashes], pa.binary()),
-                                   pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = []
-            for x, y in zip(b.column("a"), b.column("b")):
-                x, y = (np.asarray(s.values) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= similarity * (len(x) + len(y) - both) > 0)
-            yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
-
-    sets = materialize(texts.select("text").mapInArrow(parsed, "fp binary, shingles array<long>").dropDuplicates(["fp"]), "shingles")
-    paired = (edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b"))
-    return paired.mapInArrow(verify, "u binary, v binary")
-
+    return _dealt(nodes, tables).mapInArrow(run, "u binary, v binary")
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, radius: int, tables: list[list[int]], shingle: int, words: int,
-              similarity: float) -> DataFrame:
-    """Components, as of :func:`connected`, of all pairs that the tables bring together and the shingles confirm.
-
-    A round tests the nearest partners of each fingerprint, then the others
-    that it brought; what is connected by then needs no test.  Buckets with
-    untested pairs come again with eight times as many partners until none has.
-    """
-    stars, tested, only, most = None, None, None, 1
-    while True:
-        label = F.xxhash64("fp").alias("label")
-        labelled = nodes.select("fp", label) if stars is None else (
-            nodes.select("fp").join(stars.toDF("fp", "root"), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")))
-        found = materialize(candidates(labelled, radius, tables, words, most, only), "candidates")
-        pairs = found.filter("u is not null").select("u", "v", "apart").distinct()
-        nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v")
-        for part in (nearest, pairs):
-            part = part.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            if tested is not None:
-                part = part.join(tested, ["u", "v"], "left_anti")
-            if stars is not None:
-                part = (part.join(stars.toDF("u", "x"), "u", "left").join(stars.toDF("v", "y"), "v", "left")
-                        .filter(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v"))
-            part = materialize(part, "pairs")
-            if part.isEmpty():
-                continue
-            good = _similar(docs, id_col, text_col, nodes, part, shingle, words, similarity)
-            tested = part if tested is None else tested.unionByName(part)
-            stars = connected(good if stars is None else stars.unionByName(good))
-        only = materialize(found.filter("u is null").select("key").distinct(), "open")
-        if only.isEmpty():
-            return connected(pairs.select("u", "v").limit(0)) if stars is None else stars
-        most *= 8
 
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, radius: int = 4,
-           tables: list[list[int]] | None = None, similarity: float | None = None) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, radius: int = 4) -> DataFrame:
     """(id, fp, component): every document with its fingerprint and the smallest id of its group.
 
-    Documents link if their fingerprints differ in at most ``radius`` bits.
-    Equal texts are one node, so copies cost nothing.  Null ids are never a
-    group's smallest; a group without any id has a null component.  Without
-    ``tables`` the search is exact for the radius.  With ``similarity`` the
-    fingerprints are of distinct shingles, texts with the same ones are one
-    node, and a link counts only if the texts share that part of them.
+    Documents link if their fingerprints differ in at most ``radius`` bits; the
+    search is exact.  Equal fingerprints are one node, so copies cost nothing.
+    Null ids are never a group's smallest; a group without any id has a null
+    component.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col, shingle, words, fingerprint if similarity is None else content), "fingerprints")
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    tables = tables or exact_tables(radius, nodes.count(), 64 * words)
-    if similarity is None:
-        stars = connected(links(nodes, radius, tables))
-    else:
-        stars = _verified(docs, id_col, text_col, nodes, radius, tables, shingle, words, similarity)
+    stars = connected(links(nodes, radius, exact_tables(radius, nodes.count(), 64 * words)))
     named = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     label = materialize(named.join(smallest, "root").select("fp", "component"), "labels")
-    return marked.join(label, "fp").select("id", F.substring("fp", 1, 8 * words).alias("fp"), "component")
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4,
-          radius: int = 52, tables: list[list[int]] | None = None) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; columns unchanged.
-
-    The defaults mean a Jaccard similarity of 0.8 of the five-word shingles.
-    Such a pair has a cosine of 0.89, and its fingerprints differ in about 39
-    of 256 bits, with a deviation of 6: pairs up to ``radius`` are compared by
-    their shingles.
-    The default tables are samples of the bits, of which a pair at 0.8 shares
-    one with a probability of 0.97.  Of rows with one id, one stays; rows
-    without an id all stay.
-    """
-    found = groups(docs, id_col, text_col, shingle, words, radius, tables or sampled_tables(24, 12, 64 * words), similarity)
-    ids = materialize(found.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("component")), "members")
-    gone = materialize(ids.filter("id <> component").select("id"), "copies")
-    kept = without(docs, gone, id_col)
-    repeated = materialize(ids.filter("id = component and n > 1").select("id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = docs.join(repeated, docs[id_col] == repeated["id"], "left_semi").dropDuplicates([id_col])
-    return without(kept, repeated, id_col).unionByName(once)
+    return marked.join(label, "fp").select("id", "fp", "component")
 
 
 def hex_digits(fp: Column) -> Column:
