@@ -33,6 +33,7 @@ PART = 1 << 19     # counters of a summary that are aimed at; more windows make
 BUFFER = 1 << 20   # windows that a task holds before it sums them
 CHUNK = 1 << 20    # bytes of a text that are cut into words at a time
 VOCABULARY = 1 << 19  # words that a task remembers
+HELD = 1 << 18     # phrases whose counts a task holds
 ROW = 256          # counters in a row on the way to their summary, so that batches of rows stay small
 SALTS = 32
 
@@ -264,12 +265,22 @@ def exact_counts(docs: DataFrame, longest: int, frequent: Bloom, pairs: Bloom, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, linked, kept = shared.value
+        total: dict[tuple[str, int], Counter] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, size), count in total.items():
+                yield pa.record_batch([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.string()), pa.array([size] * len(count), pa.int32()),
+                                       pa.array(list(count.values()), pa.int64())], ["lang", "phrase", "size", "n"])
+            total.clear()
+
         for lang, ids, vocabulary in _numbered(batches, known):
             for size, starts, hashes in windows(ids, np.array(vocabulary.keys, np.uint64), longest, linked):
                 count = counted(ids, size, *(x[kept.holds(hashes)] for x in (starts, hashes)))
-                phrases = [b" ".join(vocabulary.words[i] for i in w).decode("utf-8", "replace") for w in count]
-                yield pa.record_batch([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array([size] * len(phrases), pa.int32()),
-                                       pa.array(list(count.values()), pa.int64())], ["lang", "phrase", "size", "n"])
+                words = vocabulary.words
+                total.setdefault((lang, size), Counter()).update({b" ".join([words[i] for i in w]).decode("utf-8", "replace"): n for w, n in count.items()})
+            if sum(map(len, total.values())) > HELD:
+                yield from rows()
+        yield from rows()
 
     found = docs.mapInArrow(run, "lang string, phrase string, size int, n long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
