@@ -34,7 +34,7 @@ BUFFER = 1 << 20   # windows that a task holds before it sums them
 CHUNK = 1 << 20    # bytes of a text that are cut into words at a time
 VOCABULARY = 1 << 19  # words that a task remembers
 HELD = 1 << 18     # phrases whose counts a task holds
-ROW = 256          # counters in a row on the way to their summary, so that batches of rows stay small
+ROW = 256          # counters in a row on the way to their partition, so that batches of rows stay small
 SALTS = 32
 
 # bytes of a text: A-Z lower-cased, a tab is a blank, a mark becomes 0xFF, which UTF-8 never holds
@@ -259,31 +259,51 @@ def survivors(docs: DataFrame, sizes: range, frequent: Bloom, pairs: Bloom | Non
     return dealt.mapInArrow(merge, "key long")
 
 
-def exact_counts(docs: DataFrame, longest: int, frequent: Bloom, pairs: Bloom, chosen: Bloom, least: int) -> DataFrame:
-    """(lang, phrase, size, n) of the phrases of chosen windows that occur ``least`` times; counted by their words, not their hash."""
+def exact_counts(docs: DataFrame, longest: int, frequent: Bloom, pairs: Bloom, chosen: Bloom, parts: int, least: int) -> DataFrame:
+    """(lang, phrase, size, n) of the phrases of chosen windows that occur ``least`` times; counted by their words, not their hash.
+
+    Tasks deal their counts to hash partitions in rows of ROW phrases, like the summaries, and a partition adds them up.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((frequent, pairs, chosen))
+    names = ["part", "lang", "size", "phrases", "counts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, linked, kept = shared.value
         total: dict[tuple[str, int], Counter] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, size), count in total.items():
-                yield pa.record_batch([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.string()), pa.array([size] * len(count), pa.int32()),
-                                       pa.array(list(count.values()), pa.int64())], ["lang", "phrase", "size", "n"])
+            for (lang, size), counts in total.items():
+                dealt: dict[int, list[bytes]] = {}
+                for phrase in counts:
+                    dealt.setdefault(xxhash.xxh32_intdigest(phrase) % parts, []).append(phrase)
+                groups = [(part, some[at:at + ROW]) for part, some in dealt.items() for at in range(0, len(some), ROW)]
+                yield pa.record_batch([pa.array([p for p, _ in groups], pa.int32()), pa.array([lang] * len(groups), pa.string()), pa.array([size] * len(groups), pa.int32()),
+                                       pa.array([g for _, g in groups], pa.list_(pa.binary())), pa.array([[counts[x] for x in g] for _, g in groups], pa.list_(pa.int64()))], names)
             total.clear()
 
         for lang, ids, vocabulary in _numbered(batches, known):
+            words = vocabulary.words
             for size, starts, hashes in windows(ids, np.array(vocabulary.keys, np.uint64), longest, linked):
-                count = counted(ids, size, *(x[kept.holds(hashes)] for x in (starts, hashes)))
-                words = vocabulary.words
-                total.setdefault((lang, size), Counter()).update({b" ".join([words[i] for i in w]).decode("utf-8", "replace"): n for w, n in count.items()})
+                found = counted(ids, size, *(x[kept.holds(hashes)] for x in (starts, hashes)))
+                total.setdefault((lang, size), Counter()).update({b" ".join([words[i] for i in w]): n for w, n in found.items()})
             if sum(map(len, total.values())) > HELD:
                 yield from rows()
         yield from rows()
 
-    found = docs.mapInArrow(run, "lang string, phrase string, size int, n long")
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], Counter] = {}
+        for b in batches:
+            for lang, size, phrases, counts in zip(*(b.column(c).to_pylist() for c in names[1:])):
+                counter = total.setdefault((lang, size), Counter())
+                for phrase, n in zip(phrases, counts):
+                    counter[phrase] += n
+        for (lang, size), counter in total.items():
+            enough = [(phrase.decode("utf-8", "replace"), n) for phrase, n in counter.items() if n >= least]
+            yield pa.record_batch([pa.array([lang] * len(enough), pa.string()), pa.array([p for p, _ in enough], pa.string()),
+                                   pa.array([size] * len(enough), pa.int32()), pa.array([n for _, n in enough], pa.int64())], ["lang", "phrase", "size", "n"])
+
+    dealt = docs.mapInArrow(count, "part int, lang string, size int, phrases array<binary>, counts array<long>").repartition(parts, "part")
+    return dealt.mapInArrow(add, "lang string, phrase string, size int, n long")
 
 
 def counted(ids: np.ndarray, size: int, starts: np.ndarray, hashes: np.ndarray) -> dict[tuple[int, ...], int]:
@@ -312,8 +332,9 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     if longest > 2:
         longer = survivors(picked, range(3, longest + 1), frequent, pairs, mass * (longest - 2), least)
         pair_keys = materialize(pair_keys.unionByName(longer), "windows")
-    chosen = build(pair_keys, pair_keys.count())
-    phrases = exact_counts(picked, longest, frequent, pairs, chosen, least)
+    number = pair_keys.count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(number / PART))
+    phrases = exact_counts(picked, longest, frequent, pairs, build(pair_keys, number), parts, least)
     singles = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
     return materialize(singles.unionByName(phrases), "phrases"), totals
 
