@@ -55,11 +55,15 @@ def probe_cap(df: DataFrame, n: int | None = V.PROBE_CAP) -> DataFrame:
 
 
 def probe_pages(df: DataFrame, captures: DataFrame) -> DataFrame:
-    """Add p_status, p_again, p_n and p_body of the landed page to the probed rows."""
-    tier = F.col("tier") if "tier" in captures.columns else F.lit(0)
-    pages = captures.select(canonical_url("url").alias("_key"), tier.alias("tier"), "status", "body").groupBy("_key").agg(
-        F.min_by("status", "tier").alias("p_status"), F.max_by("status", "tier").alias("p_again"),
-        F.count("*").alias("p_n"), F.min_by("body", F.struct("tier", "status")).alias("p_body"))
+    """Add p_status, p_again, p_n and p_body of the landed page to the probed rows.
+
+    Of several captures of an address the first by tier and capture_id gives
+    status and body, the last one the second answer.
+    """
+    order = F.struct(*[c for c in ("tier", "capture_id") if c in captures.columns], "url", "status", F.xxhash64("body").alias("b"))
+    pages = captures.select(canonical_url("url").alias("_key"), order.alias("o"), "status", "body").groupBy("_key").agg(
+        F.min_by(F.struct("status", "body"), "o").alias("first"), F.max_by(F.struct("status"), "o").alias("last"), F.count("*").alias("p_n"))
+    pages = pages.select("_key", F.col("first.status").alias("p_status"), F.col("last.status").alias("p_again"), "p_n", F.col("first.body").alias("p_body"))
     asked = df.withColumn("_key", F.when(F.col("probe_rank").isNotNull(), canonical_url(_probe_url(df))))
     return lookup(asked, pages, ["_key"]).drop("_key")
 

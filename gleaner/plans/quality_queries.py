@@ -87,7 +87,7 @@ capped as (select p.*, r.probe_rank from picked p left join ranked r on p.seq =
 
 _CONTENT_WORDS = f"list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(name), '[^a-z]*[^{D.W}]+[^a-z]*|^[^a-z]+|[^a-z]+$', ' ', 'g'), '[a-z]+')), lambda w: true)"
 _L1_REST = f""",
-landed as (select {D.canonical('url')} as key, arg_min(status, tier) as st, arg_min(body, (tier, status)) as body from captures_all group by 1),
+landed as (select key, x.st as st, x.body as body from (select {D.canonical('url')} as key, arg_min({{'st': status, 'body': body}}, (tier, capture_id)) as x from captures_all group by 1)),
 probed as (select c.*, l.st, l.body from capped c left join landed l on c.probe_rank is not null and l.key = {D.canonical('c.purl')}),
 urled as (select *, case when purl not like 'http%' then 0.3 when probe_rank is null then 0.7 when st < 400 then 1.0 when st in (401, 403) then 0.7 else 0.2 end::double as s_url,
   list_filter(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^{D.W}]+'), lambda w: regexp_matches(w, '^[a-z]{{4,}}$'))), lambda w: not list_contains({D.lst(V.CONTENT_GENERIC)}, w)) as cw from probed),
