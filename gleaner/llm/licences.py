@@ -1,8 +1,8 @@
 """Licence scans by sentence rules.
 
-A text falls into sentences; a normalised sentence that says something known
-about a licence becomes an identifier; the ordered identifiers of a text are
-matched against ordered rules.  Longer rules come first and use up what they
+A text falls into sentences; what a normalised sentence says about licences
+becomes identifiers, in the order of its words; the ordered identifiers of a
+text are matched against ordered rules.  Longer rules come first and use up what they
 match, so a part never counts as another licence.  All steps are row-local
 SQL expressions over whole texts.
 """
@@ -13,22 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # sentences end at a mark before white space, or at a blank line
-SPLIT = r"[.!?:;]+[ \t\r\n]+|\n[ \t\r]*\n"
+SPLIT = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 # only sentences with one of these words are looked at
-HINT = "licen[cs]|copyright|permission|warrant|redistribut|liab|spdx|public domain|merchantab|endorse|later version|creative commons|cc0|cc by|cc-by"
+HINT = "licen[cs]|copyright|permission|warrant|redistribut|liab|spdx|public domain|merchantab|endorse|later version|creative commons|cc0|cc by|cc-by|gpl"
 
-# What a normalised sentence (lower case, words of a-z and 0-9 with single spaces) must hold to be known.
-# The first that fits counts.
+# What a normalised sentence (lower case, words of a-z and 0-9 with single spaces) says about a licence.
+# A sentence is read from the left; where several fit at one place, the first of this list counts.
 SENTENCES = [
-    ("spdx_apache2", r"spdx license identifier apache 2 0"),
+    ("spdx_apache2", r"spdx license identifier apache"),
     ("spdx_mit", r"spdx license identifier mit\b"),
-    ("spdx_bsd3", r"spdx license identifier bsd 3 clause"),
-    ("spdx_bsd2", r"spdx license identifier bsd 2 clause"),
-    ("spdx_gpl3", r"spdx license identifier gpl 3 0"),
-    ("spdx_gpl2", r"spdx license identifier gpl 2 0"),
+    ("spdx_bsd3", r"spdx license identifier bsd 3"),
+    ("spdx_bsd2", r"spdx license identifier bsd 2"),
+    ("spdx_gpl3_later", r"spdx license identifier gpl 3 0 or later"),
+    ("spdx_gpl2_later", r"spdx license identifier gpl 2 0 or later"),
+    ("spdx_gpl3", r"spdx license identifier gpl 3"),
+    ("spdx_gpl2", r"spdx license identifier gpl 2"),
     ("spdx_lgpl", r"spdx license identifier lgpl"),
     ("spdx_agpl", r"spdx license identifier agpl"),
-    ("spdx_mpl2", r"spdx license identifier mpl 2 0"),
+    ("spdx_mpl2", r"spdx license identifier mpl"),
+    ("spdx_isc", r"spdx license identifier isc\b"),
+    ("spdx_mit", r"(clause|only|or later|\b0) (or|and) mit\b"),
+    ("spdx_apache2", r"\b(or|and) apache 2 0\b"),
+    ("spdx_bsd3", r"\b(or|and) bsd 3 clause"),
+    ("spdx_bsd2", r"\b(or|and) bsd 2 clause"),
     ("cc_by_nc_nd", r"\b(cc by nc nd|creative commons attribution noncommercial noderiv)"),
     ("cc_by_nc_sa", r"\b(cc by nc sa|creative commons attribution noncommercial sharealike)"),
     ("cc_by_nc", r"\b(cc by nc|creative commons attribution noncommercial)"),
@@ -36,12 +43,16 @@ SENTENCES = [
     ("cc_by_sa", r"\b(cc by sa|creative commons attribution share ?alike)"),
     ("cc0", r"\b(cc0|creative commons zero)\b"),
     ("cc_by", r"\b(cc by|creative commons attribution)\b"),
-    ("agpl", r"gnu affero general public license"),
-    ("lgpl", r"gnu (lesser|library) general public license"),
+    ("agpl", r"(version 3 of the )?gnu affero general public license"),
+    ("lgpl", r"(version (2 1|2|3) of the )?gnu (lesser|library) general public license"),
     ("gpl3", r"gnu general public license (as published by the free software foundation )?(either )?(version|v) ?3"),
     ("gpl2", r"gnu general public license (as published by the free software foundation )?(either )?(version|v) ?2"),
-    ("gpl_later", r"at your option any later version"),
+    ("gpl3", r"version 3 of the gnu general public license"),
+    ("gpl2", r"version 2 of the gnu general public license"),
+    ("gpl_later", r"(at your option )?any later version"),
     ("gpl", r"gnu general public license"),
+    ("gpl3", r"\b(gnu )?gpl (version |v )?3|\bgplv3"),
+    ("gpl2", r"\b(gnu )?gpl (version |v )?2|\bgplv2"),
     ("apache2", r"apache license (version |v ?)?2( 0)?\b"),
     ("apache_copy", r"you may obtain a copy of the license at"),
     ("apache_except", r"you may not use this file except in compliance with the license"),
@@ -53,7 +64,7 @@ SENTENCES = [
     ("mit_notice", r"above copyright notice and this permission notice shall be included"),
     ("mit_warranty", r"software is provided as is without warranty of any kind"),
     ("mit_liability", r"in no event shall the authors or copyright holders be liable"),
-    ("mit", r"(under|the) (the )?(terms of the )?mit license"),
+    ("mit", r"\b(under|the|or) (the )?(terms of the )?mit license"),
     ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose"),
     ("isc", r"\bisc license"),
     ("bsd_redist", r"redistribution and use in source and binary forms"),
@@ -68,6 +79,7 @@ SENTENCES = [
     ("public_domain", r"\bpublic domain\b"),
     ("all_rights", r"\ball rights reserved\b"),
 ]
+ANY = "|".join(f"(?:{p})" for _, p in SENTENCES)
 
 # Ordered identifiers and the licence they make, longest first.
 RULES = [
@@ -79,6 +91,8 @@ RULES = [
     ("ISC", ["isc", "isc_grant"]),
     ("GPL-3.0-or-later", ["gpl3", "gpl_later"]),
     ("GPL-2.0-or-later", ["gpl2", "gpl_later"]),
+    ("LGPL", ["lgpl", "gpl_later"]),
+    ("AGPL-3.0", ["agpl", "gpl_later"]),
     ("BSD-3-Clause", ["bsd_redist", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("BSD-2-Clause", ["bsd_redist", "bsd_source", "bsd_binary"]),
     ("MIT", ["mit_grant", "mit_notice"]),
@@ -86,6 +100,9 @@ RULES = [
     ("MIT", ["spdx_mit"]),
     ("BSD-3-Clause", ["spdx_bsd3"]),
     ("BSD-2-Clause", ["spdx_bsd2"]),
+    ("ISC", ["spdx_isc"]),
+    ("GPL-3.0-or-later", ["spdx_gpl3_later"]),
+    ("GPL-2.0-or-later", ["spdx_gpl2_later"]),
     ("GPL-3.0", ["spdx_gpl3"]),
     ("GPL-2.0", ["spdx_gpl2"]),
     ("LGPL", ["spdx_lgpl"]),
@@ -118,20 +135,21 @@ RULES = [
 ]
 
 
-def _identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, or null."""
+def _identifier(said: Column) -> Column:
+    """The identifier of what :data:`ANY` found."""
     found = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
-        found = F.when(sentence.rlike(pattern), name).otherwise(found)
+        found = F.when(said.rlike(f"^(?:{pattern})$"), name).otherwise(found)
     return found
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of a text's licence sentences in order; null gives none."""
+    """What the text's sentences say about licences, in order; null says nothing."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT)
     likely = F.filter(parts, lambda s: s.rlike(HINT))
     normal = F.transform(likely, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normal, _identifier), lambda i: i.isNotNull())
+    said = F.flatten(F.transform(normal, lambda s: F.regexp_extract_all(s, F.lit(ANY), F.lit(0))))
+    return F.transform(said, _identifier)
 
 
 def matched(ids: Column) -> Column:
@@ -150,7 +168,8 @@ def matched(ids: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, identifiers, licences) per row.
 
-    ``identifiers`` joins the known sentences in order, ``licences`` the
+    ``n_sentences`` is the number of known statements, ``identifiers`` joins
+    them in order, ``licences`` the
     distinct licences in alphabetical order, both by a comma.  Null and empty
     texts have none; repeated rows stay; an empty table gives an empty table.
     """
@@ -162,11 +181,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def oracle() -> str:
     """DuckDB SQL with the rows of :func:`scan` over ``documents``."""
-    cases = " ".join(f"when regexp_matches(n, '{p}') then '{name}'" for name, p in SENTENCES)
+    cases = " ".join(f"when regexp_matches(n, '^(?:{p})$') then '{name}'" for name, p in SENTENCES)
     sql = (f"with s as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SPLIT}'), "
            f"lambda x: regexp_matches(x, '{HINT}')) as parts from documents), "
-           f"i as (select r, doc_id, list_filter(list_transform(list_transform(parts, lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), "
-           f"lambda n: case {cases} end), lambda x: x is not null) as ids from s), "
+           f"i as (select r, doc_id, list_transform(flatten(list_transform(list_transform(parts, lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), "
+           f"lambda x: regexp_extract_all(x, '{ANY}'))), lambda n: case {cases} end) as ids from s), "
            "t0 as (select r, doc_id, ids, '|' || array_to_string(ids, '||') || '|' as left_, [] :: varchar[] as names from i)")
     for k, (name, seq) in enumerate(RULES):
         wanted = "|" + "||".join(seq) + "|"

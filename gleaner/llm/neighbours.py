@@ -44,8 +44,20 @@ def radii() -> list[float]:
     return levels
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with a largest component from 0.5 to 1: exact, as the factor is a power of two."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def exact_cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; equal vectors get equal values."""
+    """Cosines in double precision; equal vectors get equal values, and extreme components neither vanish nor overflow."""
+    query, vectors = scaled(query[None, :])[0], scaled(vectors)
     dots = (vectors * query).sum(1)
     return dots / (math.sqrt(float((query * query).sum())) * np.sqrt((vectors * vectors).sum(1)))
 
@@ -56,7 +68,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
+        self.unit = unit(self.vectors)
         self.axes = directions(vectors.shape[1])
         projected = (self.unit @ self.axes).T
         self.order = np.argsort(projected, axis=1)
@@ -65,8 +77,8 @@ class Shard:
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query position, ids, cosines) of the k best verified vectors, best first, the query's own row left out."""
         n, half = len(self.ids), WIDTH / math.sqrt(self.vectors.shape[1])
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        centre = (unit @ self.axes).T
+        asked = unit(queries)
+        centre = (asked @ self.axes).T
         windows = [[np.array([np.searchsorted(s, c + sign * half * r) for s, c in zip(self.sorted, centre)]) for sign in (-1, 1)] for r in radii()]
         starts = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
         need = math.ceil(THRESHOLD * len(self.axes.T))
@@ -84,12 +96,12 @@ class Shard:
                 if len(fresh):
                     checked[fresh] = True
                     fresh = fresh[self.ids[fresh] != own[q]]
-                    found, near = np.r_[found, fresh], np.r_[near, self.unit[fresh] @ unit[q]]
+                    found, near = np.r_[found, fresh], np.r_[near, self.unit[fresh] @ asked[q]]
                 if len(near) >= k and 2 - 2 * np.partition(near, len(near) - k)[len(near) - k] <= r * r:
                     break
             else:
                 found = np.flatnonzero(self.ids != own[q])
-                near = self.unit[found] @ unit[q]
+                near = self.unit[found] @ asked[q]
             if not len(found):
                 continue
             if len(near) > k:  # rounding must not decide ties: all that come close to the k-th are compared exactly

@@ -9,8 +9,9 @@ lengths are kept, and a worker remembers them in a table of bounded size.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,14 +25,19 @@ REMEMBERED = 1 << 19  # pieces a worker keeps; then it starts over
 
 
 class Lengths:
-    """Token counts of texts, for an encoder ``list of pieces -> list of counts``."""
+    """Token counts of texts, for an encoder ``list of pieces -> list of counts`` and its special strings."""
 
-    def __init__(self, encode: Callable[[list[str]], list[int]]):
+    def __init__(self, encode: Callable[[list[str]], list[int]], special: Iterable[str] = ()):
         self._encode, self._whole, self._part = encode, {}, {}
+        self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
 
-    @staticmethod
-    def _parts(piece: str) -> tuple[str, str]:
-        """The piece as letters and trailing marks; a piece whose cut is not certain stays whole."""
+    def _parts(self, piece: str) -> tuple[str, str]:
+        """The piece as letters and trailing marks; a piece whose cut is not certain stays whole.
+
+        So does one with a special string in any case of letters: the tokenizer takes those as they are written.
+        """
+        if self._special.search(piece):
+            return piece, ""
         letters = piece.rstrip(MARKS)
         marks = piece[len(letters):]
         if letters.isascii():
@@ -78,7 +84,8 @@ def lengths(name: str) -> Lengths:
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
-            _loaded[name] = Lengths(lambda pieces: [len(e.ids) for e in model.encode_batch_fast(pieces, add_special_tokens=False)])
+            special = [t.content for t in model.get_added_tokens_decoder().values()]
+            _loaded[name] = Lengths(lambda pieces: [len(e.ids) for e in model.encode_batch_fast(pieces, add_special_tokens=False)], special)
         else:
             raise ValueError(f"no counter for {name}: its pieces depend on the white space around them")
     return _loaded[name]

@@ -22,7 +22,24 @@ CASES = [
     ("GNU General Public License version 2; at your option any later version of the license.", "GPL-2.0-or-later"),
     ("Under the MIT license. word " * 3 + MIT + " Licensed under CC BY-SA 4.0. Apache License 2.0!", "Apache-2.0,CC-BY-SA,MIT"),
     ("No licence here. A public affair.", ""),
-    ("x " * 100000 + ". SPDX-License-Identifier: MIT", ""),
+    ("x " * 100000 + ". SPDX-License-Identifier: MIT", "MIT"),
+    ("// SPDX-License-Identifier: Apache-2.0\n#include <x.h>\n", "Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"),
+    ("# SPDX-License-Identifier: GPL-3.0-only\n", "GPL-3.0"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+    ("Dual licensed under the MIT License or the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+    ("Licensed under either of the Apache License, Version 2.0 or the MIT license at your option.", "Apache-2.0,MIT"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\n"
+     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License\nas published by "
+     "the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.", "GPL-2.0-or-later"),
+    ("This library is free software; it is under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+     "either version 2.1 of the License, or (at your option) any later version.", "LGPL"),
+    ("Under version 2 of the GNU General Public License. Plugins: GPLv3.", "GPL-2.0,GPL-3.0"),
+    ("Redistribution and use in source and binary forms are permitted provided that the following conditions are met: * Redistributions of source code "
+     "must retain the notice; * Redistributions in binary form must reproduce it.", "BSD-2-Clause"),
     ("x " * 100000 + "\n\nSPDX-License-Identifier MIT", "MIT"),
     ("", ""),
     (None, ""),

@@ -63,3 +63,13 @@ def test_few_candidates_repeated_ids_and_empty_table(spark):
     assert got(spark, rows) == {0: [(2, pytest.approx(0.5 ** 0.5)), (1, 0.0)]}
     assert got(spark, []) == {}
     assert got(spark, [(50, [1.0])]) == {}
+
+
+def test_extreme_components(spark):
+    """A common factor of a vector, however large or small, changes nothing."""
+    rng = np.random.default_rng(6)
+    plain = [(i, rng.standard_normal(8)) for i in range(150)]
+    wild = [(i, v * 2.0 ** float(rng.choice([-900, -600, 0, 600, 900]))) for i, v in plain]
+    df = [spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>") for rows in (plain, wild)]
+    a, b = (sorted(map(tuple, nb.nearest(d).collect())) for d in df)
+    assert a == b and len(a) == 15
