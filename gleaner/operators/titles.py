@@ -8,6 +8,14 @@ first.  A set of n words shares at least ceil(t n) words with any similar set,
 so the first k words that two similar sets share lie in the first
 n - ceil(t n) + k words of both: they meet on that combination.
 
+Length and position narrow large keys.  Sets of n and m words share at least
+a(n, m) = ceil(t (n + m) / (1 + t)) words, which is more than ceil(t n) unless m
+is the smallest possible, so against sets of m words a prefix of
+n - a(n, m) + k words is enough.  The claims of a large key are parted by the
+lengths of both sides, in groups of nearly equal ones, and those beyond the
+shorter prefix go: titles that fill one long template with rare words of their
+own no longer meet on the words of the template.
+
 Candidates are verified before anything waits.  A round compares every set with
 the GROUP earliest sets of each of its keys, so work is linear in the claims
 even where a third of all titles are near copies of each other: those fall to
@@ -18,6 +26,7 @@ words.  Waiting follows verified conflicts only.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -27,6 +36,7 @@ from ..functions.text import jaccard, normalize_title, similarity_tokens, text
 from ..session import materialize
 from .joins import lookup
 
+RATIO = 1.02      # between the shortest lengths of neighbouring groups
 GROUP = 64        # sets of a key that are compared in a round; what is left of larger keys is extended
 WORDS = 8         # words a key may be extended to
 COMMON = 10_000   # most frequent words that stand at the end of the order; placement only
@@ -47,18 +57,49 @@ def _ordered(sets: DataFrame) -> DataFrame:
     return sets.drop("words").join(order.select("node", F.transform("o", lambda s: s["w"]).alias("words")), "node")
 
 
+def _length_group(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(RATIO)).cast("int")
+
+
 def _root(sets: DataFrame, threshold: float) -> DataFrame:
-    """Claims of no word, to be extended."""
+    """Claims of no word, to be extended; ``part`` tells claims that lengths have parted."""
     n = F.size("words")
-    return sets.select("node", "rank", n.alias("n"), (n - _shared(n, threshold)).alias("spare"), F.xxhash64("scope").alias("key"), F.lit(0).alias("at"))
+    return sets.select("node", "rank", n.alias("n"), (n - _shared(n, threshold)).alias("spare"), F.xxhash64("scope").alias("key"), F.lit(0).alias("at"), F.lit(False).alias("part"))
 
 
 def _extended(claims: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """Claims on ``level`` words: each is extended by a word that comes later in the order, within the prefix for that level."""
     reach = F.least(F.col("n"), F.col("spare") + level)
     grown = claims.join(sets.select("node", "words"), "node").select(
-        "node", "rank", "n", "spare", "key", "at", F.posexplode(F.slice("words", F.col("at") + 1, F.greatest(reach - F.col("at"), F.lit(0)))).alias("i", "w"))
-    return grown.select("node", "rank", "n", "spare", F.xxhash64("key", "w").alias("key"), (F.col("at") + F.col("i") + 1).cast("int").alias("at"))
+        "node", "rank", "n", "spare", "key", "at", "part", F.posexplode(F.slice("words", F.col("at") + 1, F.greatest(reach - F.col("at"), F.lit(0)))).alias("i", "w"))
+    return grown.select("node", "rank", "n", "spare", F.xxhash64("key", "w").alias("key"), (F.col("at") + F.col("i") + 1).cast("int").alias("at"), "part")
+
+
+def _contested(claims: DataFrame) -> DataFrame:
+    """The claims whose key several sets claim."""
+    keys = claims.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("key")
+    return claims.join(keys, "key", "left_semi")
+
+
+def _by_length(claims: DataFrame, level: int, threshold: float, lengths: list[int]) -> DataFrame:
+    """Contested claims, those of large keys parted by the length groups of both sides; ``lengths`` are the groups there are."""
+    claims = materialize(_contested(claims), "title-claims")
+    large = materialize(claims.where(~F.col("part")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key"), "large-keys")
+    if large.isEmpty():
+        return claims
+    wide = claims.where(~F.col("part")).join(large, "key", "left_semi")
+    rest = claims.join(large, "key", "left_anti").unionByName(claims.where("part").join(large, "key", "left_semi"))
+    n, own = F.col("n"), _length_group(F.col("n"))
+    least = _shared(n, threshold)
+    most = F.floor((level + n - F.col("at")) * ((1 + threshold) / threshold) - n + 1e-6)   # longest set that the words after this claim allow
+    most = F.least(most, F.floor(n / threshold + 1e-6))
+    groups = F.when(most >= least, F.array_intersect(F.sequence(_length_group(least), _length_group(F.greatest(most, least))), F.array(*map(F.lit, lengths)))).otherwise(F.array().cast("array<int>"))
+    parted = wide.withColumn("other", F.explode(groups)).withColumn("own", own)
+    shortest = F.greatest(F.floor(F.pow(F.lit(RATIO), F.col("other")) + 1e-9).cast("int"), least)
+    spare = n - F.ceil((n + shortest) * (threshold / (1 + threshold)) - 1e-9).cast("int")
+    parted = (parted.withColumn("spare", spare).where(F.col("at") <= F.col("spare") + level)
+              .select("node", "rank", "n", "spare", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "at", F.lit(True).alias("part")))
+    return materialize(rest.select(parted.columns).unionByName(_contested(parted)), "parted-claims")
 
 
 def _earliest(claims: DataFrame, count: int) -> DataFrame:
@@ -110,11 +151,10 @@ def first_kept(sets: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
     ranked = sets.where(F.col("rank").isNotNull())
     kept = sets.where("fixed").select("node")
     open_ = ranked.where(~F.col("fixed")).select("node")
+    lengths = sorted(r[0] for r in sets.select(_length_group(F.size("words"))).distinct().collect())  # grows with the logarithm of a title's length
     alive, edges, level = _root(ranked, threshold), None, 1
     while True:
-        alive = _extended(alive, sets, level) if level <= WORDS else alive
-        contested = alive.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("key")
-        alive = materialize(alive.join(contested, "key", "left_semi"), "title-claims")
+        alive = _by_length(_extended(alive, sets, level), level, threshold, lengths) if level <= WORDS else materialize(_contested(alive), "title-claims")
         first = materialize(_earliest(alive, GROUP), "earliest")
         more = materialize(first.groupBy("key").agg(F.count("*").alias("c"), F.max("rank").alias("upto")).where(F.col("c") >= GROUP), "large-keys")
         asking = alive.join(open_, "node", "left_semi")
@@ -129,23 +169,26 @@ def first_kept(sets: DataFrame, threshold: float = V.JACCARD) -> DataFrame:
         alive = (alive.join(more, "key", "left_semi").join(first.select("key", "node"), ["key", "node"], "left_anti")
                  .join(open_.unionByName(kept), "node", "left_semi"))
         level += 1
-    return _partners(sets, materialize(kept, "kept-sets"), threshold)
+    return _partners(sets, materialize(kept, "kept-sets"), threshold, lengths)
 
 
-def _partners(sets: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
+def _partners(sets: DataFrame, kept: DataFrame, threshold: float, lengths: list[int]) -> DataFrame:
     """(node, kept): the smallest rank among the kept sets that are similar and, if the set has a rank, earlier."""
-    claims, found = _root(sets, threshold).join(kept.withColumn("kept", F.lit(True)), "node", "left").withColumn("kept", F.col("kept").isNotNull()), []
+    marks = materialize(sets.select("node").join(kept.withColumn("kept", F.lit(True)), "node", "left").withColumn("kept", F.col("kept").isNotNull()), "marks")
+    if marks.where(~F.col("kept")).isEmpty():
+        return sets.select("node", F.col("rank").alias("kept")).limit(0)
+    claims, found = _root(sets, threshold), []
     for level in range(1, WORDS + 1):
-        marks = claims.select("node", "kept").distinct()
-        claims = materialize(_extended(claims, sets, level).join(marks, "node"), "title-claims")
-        large = claims.groupBy("key").agg(F.count_if(F.col("kept")).alias("c")).where(F.col("c") > GROUP).select("key")
-        large = materialize(large, "large-keys")
-        ready = claims.join(large, "key", "left_anti") if level < WORDS else claims
+        claims = _by_length(_extended(claims, sets, level), level, threshold, lengths)
+        marked = claims.join(marks, "node")
+        sizes = marked.groupBy("key").agg(F.count_if(F.col("kept")).alias("c"), F.count_if(~F.col("kept")).alias("asking"))
+        both = materialize(marked.join(sizes.where("c > 0 and asking > 0"), "key"), "both-sides")
+        ready = both.where(F.col("c") <= GROUP) if level < WORDS else both
         pairs = _candidates(ready.where(~F.col("kept")), ready.where("kept"), threshold)
-        found.append(pairs.where(F.col("rank").isNull() | (F.col("rank_b") < F.col("rank"))))
-        if large.isEmpty():
+        found.append(materialize(pairs.where(F.col("rank").isNull() | (F.col("rank_b") < F.col("rank"))), "partners"))
+        claims = both.where(F.col("c") > GROUP).select(claims.columns)
+        if level == WORDS or claims.isEmpty():
             break
-        claims = claims.join(large, "key", "left_semi")
     similar = _verified(reduce(DataFrame.unionByName, found), sets, threshold)
     return similar.groupBy(F.col("a").alias("node")).agg(F.min("rank_b").alias("kept"))
 

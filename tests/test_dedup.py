@@ -118,6 +118,33 @@ def test_template_that_is_not_similar_needs_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 10
 
 
+def test_long_template_needs_few_claims(spark, monkeypatch):
+    """10,000 titles share 200 words and have 20 rare ones of their own: they don't meet on the template."""
+    rounds, claims, decide, part = [], [], titles._decide, titles._by_length
+
+    def counted(*a):
+        out = part(*a)
+        claims.append(out.count())
+        return out
+
+    monkeypatch.setattr(titles, "_decide", lambda *a: rounds.append(1) or decide(*a))
+    monkeypatch.setattr(titles, "_by_length", counted)
+    shared = " ".join(f"template{i}" for i in range(200))
+    rows = [(i, "one", f"{shared} " + " ".join(f"own{i}x{j}" for j in range(20)), "", False) for i in range(10_000)]
+    assert titles.title_matches(None, spark.createDataFrame(rows, SCHEMA)).count() == 0
+    assert len(rounds) <= 2 and sum(claims) <= 1000
+
+
+def test_template_with_frequent_own_words_equals_the_fold(spark, monkeypatch):
+    monkeypatch.setattr(titles, "GROUP", 6)
+    rng, rows = random.Random(11), []
+    shared = [f"t{i}" for i in range(40)]
+    for i in range(150):
+        n = rng.choice([4, 7, 8, 9, 12])
+        rows.append((i, "one", " ".join(shared[:rng.choice([38, 39, 40])] + rng.sample([f"own{j}" for j in range(60)], n)), "", i % 9 == 0))
+    check_titles(spark, rows)
+
+
 def test_large_group_of_near_copies_needs_few_rounds(spark, monkeypatch):
     rounds, decide = [], titles._decide
     monkeypatch.setattr(titles, "_decide", lambda *a: rounds.append(1) or decide(*a))
