@@ -35,7 +35,7 @@ LONGEST = 5         # longest n-gram; a word's ends count as a character
 UNKNOWN = "und"
 SEEN = 1 << 18      # counters a task holds
 CHUNK = 1 << 20     # characters of a text that are looked at in one go
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 48 << 20
 SALTS = 32
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -65,7 +65,7 @@ def grams(word: str, size: int) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order; for each known word or n-gram its languages' numbers and log frequencies."""
+    """Languages in order; for each known word or n-gram its languages' numbers and scores: log frequencies less the penalty."""
     languages: tuple[str, ...]
     prior: tuple[float, ...]
     penalty: float
@@ -85,21 +85,25 @@ class Scorer:
         self.place: dict[str, int] = {}
         self.table = np.empty((1 << 10, self.count))
 
-    def _vector(self, entries: tuple[tuple[int, float], ...]) -> np.ndarray:
-        out = np.full(self.count, self.model.penalty)
-        for lang, value in entries:
-            out[lang] = value
-        return out
-
-    def of(self, word: str) -> np.ndarray:
-        """Log frequencies by language; NaN if not even a character is known."""
-        if word in self.model.words:
-            return self._vector(self.model.words[word])
+    def of(self, word: str) -> list[float] | None:
+        """Scores by language; None if not even a character is known."""
+        entries = self.model.words.get(word)
+        out = [0.0] * self.count
+        if entries is not None:
+            for lang, value in entries:
+                out[lang] = value
+            return out
+        known = self.model.grams
         for size in range(LONGEST, 0, -1):
-            known = [self.model.grams[g] for g in grams(word, size) if g in self.model.grams]
-            if known:
-                return reduce(np.add, map(self._vector, known)) / len(known)
-        return np.full(self.count, np.nan)
+            n = 0
+            for g in grams(word, size):
+                if g in known:
+                    n += 1
+                    for lang, value in known[g]:
+                        out[lang] += value
+            if n:
+                return [x / n for x in out]
+        return None
 
     def _rows(self, some: list[str]) -> np.ndarray:
         for w in some:
@@ -107,7 +111,8 @@ class Scorer:
                 n = len(self.place)
                 if n == len(self.table):
                     self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                self.table[n] = self.of(w)
+                found = self.of(w)
+                self.table[n] = np.nan if found is None else found
                 self.place[w] = n
         return self.table[[self.place[w] for w in some]]
 
@@ -198,15 +203,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = {(r.lang, r.size_): r.n for r in parts.groupBy("lang", F.col("size").alias("size_")).agg(F.sum("n").alias("n")).collect()}
     kept_parts = materialize(_most_frequent(parts, ["lang", "size"], max(1, most_grams // (len(languages) * LONGEST))), "known-n-grams")
 
+    penalty = -math.log(2 * max([*totals.values(), *sizes.values()]))  # of a language without a word or n-gram; less than any it has
+
     def entries(rows: DataFrame, mass) -> dict[str, tuple[tuple[int, float], ...]]:
         grouped = rows.groupBy("term").agg(F.collect_list(F.struct("lang", "n")).alias("of")).toArrow()  # bounded by the quotas
         out = {}
         for term, of in zip(grouped.column("term").to_pylist(), grouped.column("of").to_pylist()):
-            out[term] = tuple((number[x["lang"]], math.log(x["n"] / mass(x["lang"], len(term)))) for x in of)
+            out[term] = tuple((number[x["lang"]], math.log(x["n"] / mass(x["lang"], len(term))) - penalty) for x in of)
         return out
 
     everything = sum(totals.values())
-    return Model(languages, tuple(totals[x] / everything for x in languages), -math.log(2 * max([*totals.values(), *sizes.values()])),
+    return Model(languages, tuple(totals[x] / everything for x in languages), penalty,
                  entries(kept, lambda lang, _: totals[lang]), entries(kept_parts, lambda lang, size: sizes[lang, size]))
 
 
