@@ -1,8 +1,9 @@
 """Incremental runs: new files arrive, verdict state carries over.
 
 A file stream hands over one micro-batch at a time; the batch functions do the
-work.  State is written as a new version named after the batch, and a batch
-whose version exists is skipped, so a replay after a crash changes nothing.
+work.  State lives in keyed tables: a batch writes the rows it changed as a new
+version that carries the batch's number, and a batch whose number is there is
+skipped, so a replay after a crash changes nothing.
 """
 
 from __future__ import annotations
@@ -15,16 +16,27 @@ from ..operators.state import ledger_upsert
 from ..plans.run import batch_run
 from ..schema import LEDGER, OPPORTUNITY, QUARANTINE
 from ..session import scratch
-from ..sources.tables import current_version, publish, read_state
+from ..sources.keyed import KeyedTable, changes
+from ..sources.tables import publish
 
 
-def _version(batch: int) -> str:
+STREAM = "stream"   # the writer's name in the tables
+
+
+def _label(batch: int) -> str:
     return f"{batch:012d}"
 
 
-def _done(spark: SparkSession, root: str, batch: int) -> bool:
-    current = current_version(spark, root)
-    return current is not None and current >= _version(batch)
+def ledger_table(spark: SparkSession, root: str) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/ledger", LEDGER, ["fp"])
+
+
+def queue_table(spark: SparkSession, root: str) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/queue", QUARANTINE, ["category", "fp"])
+
+
+def snapshot_table(spark: SparkSession, root: str) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/snapshot", _ddl(), ["seq"])
 
 
 def _drain(spark: SparkSession, landing: str, schema: str, checkpoint: str, step: Callable[[DataFrame, int], None], files: int | None) -> None:
@@ -39,51 +51,43 @@ def _drain(spark: SparkSession, landing: str, schema: str, checkpoint: str, step
 
 def run_verdicts(spark: SparkSession, landing: str, root: str, now: str, schema: str, files: int | None = None) -> DataFrame:
     """Fold arriving decisions into the ledger; returns the ledger."""
-    ledger_root = f"{root}/ledger"
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        if not _done(session, ledger_root, batch_id):
-            publish(ledger_upsert(read_state(session, ledger_root, LEDGER), batch, now), ledger_root, _version(batch_id))
+        table = ledger_table(batch.sparkSession, root)
+        table.update(batch.select("fp"), lambda known: ledger_upsert(known, batch, now), STREAM, _label(batch_id))
+        table.expire()
 
     _drain(spark, landing, schema, f"{root}/progress", step, files)
-    return read_state(spark, ledger_root, LEDGER)
+    return ledger_table(spark, root).read()
 
 
 def run_incremental(spark: SparkSession, landing: str, captures: Callable[[SparkSession], DataFrame], root: str,
                     as_of: str, now: str, files: int | None = None) -> DataFrame:
     """Run the whole batch plan on arriving records; returns the published snapshot.
 
-    The snapshot is published last: its version marks a finished batch.
+    The snapshot is committed last: its label marks a finished batch.
     """
-    roots = {n: f"{root}/{n}" for n in ("snapshot", "ledger", "queue", "metrics")}
-
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if _done(session, roots["snapshot"], batch_id):
+        tables = [f(session, root) for f in (ledger_table, queue_table, snapshot_table)]
+        newest, label = tables[2].manifest(), _label(batch_id)
+        finished = newest.done.get(STREAM)
+        if finished is not None and finished >= label:
             return
-        before = read_state(session, roots["snapshot"], OPPORTUNITY)
-        # a crash between the writes leaves newer ledger or queue versions; go back to the snapshot's
-        version = current_version(session, roots["snapshot"])
-        ledger = _at(session, roots["ledger"], version, LEDGER)
-        queue = _at(session, roots["queue"], version, QUARANTINE)
-        name = _version(batch_id)
+        # a crash between the commits leaves newer ledger or queue versions; go back to the snapshot's
+        bases = [t.at_label(STREAM, finished) for t in tables[:2]] + [newest]
+        ledger, queue, before = (t.read(m) for t, m in zip(tables, bases))
         with scratch(session):   # intermediate tables go once all versions are written
             out = batch_run(before, batch, captures(session), ledger, queue, as_of, now)
-            publish(out.ledger, roots["ledger"], name)
-            publish(out.queue, roots["queue"], name)
-            publish(out.metrics, roots["metrics"], name)
-            publish(out.snapshot, roots["snapshot"], name)
+            publish(out.metrics, f"{root}/metrics", label)
+            for table, base, old, new in zip(tables, bases, (ledger, queue, before), (out.ledger, out.queue, out.snapshot)):
+                changed, gone = changes(old, new, table.keys)
+                table.fold(table.commit(changed, gone, base, STREAM, label))
+        for table in tables:
+            table.expire()
 
     _drain(spark, landing, _ddl(), f"{root}/progress", step, files)
-    return read_state(spark, roots["snapshot"], OPPORTUNITY)
+    return snapshot_table(spark, root).read()
 
 
 def _ddl() -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OPPORTUNITY.fields)
-
-
-def _at(spark: SparkSession, root: str, version: str | None, schema) -> DataFrame:
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{root}/v-{version}")

@@ -45,7 +45,7 @@ def records(spark, rows):
 
 
 def test_incremental_run_and_replay(spark):
-    from gleaner.streaming.incremental import run_incremental
+    from gleaner.streaming.incremental import ledger_table, run_incremental
     root = folder(spark, "inc")
     good = "<html><head><title>Aurora Robotics Sprint Challenge</title></head><body>Aurora robotics sprint</body></html>"
     pages = [("https://a.io/events/aurora", 200, good), ("https://b.io/gone/x", 404, "")]
@@ -60,7 +60,7 @@ def test_incremental_run_and_replay(spark):
     assert [r["name"] for r in out.collect()] == ["Aurora Robotics Sprint"]
     # nothing new: the snapshot stays as it is
     assert run_incremental(spark, f"{root}/landing", captures, root, AS_OF, NOW).count() == 1
-    ledger = read_state(spark, f"{root}/ledger", "fp string")
+    ledger = ledger_table(spark, root).read()
     assert {r["decision"]: r["permanent"] for r in ledger.collect()} == {"accept": False, "reject": True, "quarantine": False}
     # a second, independent source for the held title releases it; the dead one stays suppressed
     records(spark, [(11, "hackathons", "Cygnus Chess Gathering", "https://c.io/second/copy", "hackerearth", "2026-10-01", "open"),
