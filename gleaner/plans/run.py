@@ -34,16 +34,17 @@ def _count(df: DataFrame, stage: str) -> DataFrame:
 
 
 def batch_run(existing: DataFrame, incoming: DataFrame, captures: DataFrame, ledger: DataFrame, queue: DataFrame,
-              as_of: str, now: str, policy: dict[str, str] | None = None, queue_cap: int | None = None) -> RunResult:
+              as_of: str, now: str, policy: dict[str, str] | None = None, queue_cap: int | None = None, index: dedup.KeyIndex | None = None) -> RunResult:
     """Dedup, location policy, suppression, layer 1, layer 2, memory, expiry, gate.
 
     ``seq`` is the arrival number of a record and never repeats over runs.
-    ``queue.item`` has the opportunity columns.
+    ``queue.item`` has the opportunity columns.  With an ``index`` of the keys of
+    ``existing``, the first dedup does not read those records.
     """
     existing, incoming = conform(existing), conform(incoming)
     held = conform(state.quarantine_pending(queue))
     held = held.withColumn("seq", F.pmod("seq", F.lit(_HELD)) + _HELD)
-    fresh = dedup.merge_dedup(existing, incoming.unionByName(held))
+    fresh = dedup.merge_dedup(existing, incoming.unionByName(held), index)
     located = materialize(state.with_fingerprint(location.geo_policy(location.annotate(fresh), policy)), "located")
     allowed = located.where("keep")
     live = state.suppress_retired(allowed, ledger)

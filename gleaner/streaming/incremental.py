@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.dedup import KeyIndex
 from ..operators.state import ledger_upsert
 from ..plans.run import batch_run
 from ..schema import LEDGER, OPPORTUNITY, QUARANTINE
@@ -76,13 +77,17 @@ def run_incremental(spark: SparkSession, landing: str, captures: Callable[[Spark
         # a crash between the commits leaves newer ledger or queue versions; go back to the snapshot's
         bases = [t.at_label(STREAM, finished) for t in tables[:2]] + [newest]
         ledger, queue, before = (t.read(m) for t, m in zip(tables, bases))
+        index = KeyIndex(session, f"{root}/keys")
+        keys = index.table.at_label(STREAM, finished)
         with scratch(session):   # intermediate tables go once all versions are written
-            out = batch_run(before, batch, captures(session), ledger, queue, as_of, now)
+            out = batch_run(before, batch, captures(session), ledger, queue, as_of, now, index=index.at(keys))
             publish(out.metrics, f"{root}/metrics", label)
             for table, base, old, new in zip(tables, bases, (ledger, queue, before), (out.ledger, out.queue, out.snapshot)):
                 changed, gone = changes(old, new, table.keys)
+                if table is tables[2]:   # before the snapshot, whose label ends the batch; records only join it
+                    index.add(new.join(old.select("seq"), "seq", "left_anti"), keys, STREAM, label)
                 table.fold(table.commit(changed, gone, base, STREAM, label))
-        for table in tables:
+        for table in (*tables, index.table):
             table.expire()
 
     _drain(spark, landing, _ddl(), f"{root}/progress", step, files)

@@ -180,3 +180,50 @@ def test_chain_keeps_first_and_third(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = [r["seq"] for r in dedup.merge_dedup(df.where("known"), df).orderBy("seq").collect()]
     assert got == [1, 3]
+
+
+def test_long_chain_needs_few_rounds(spark, monkeypatch):
+    """10,000 records, each sharing its name with one neighbour and its link with the other."""
+    rounds, one = [], dedup._round
+    monkeypatch.setattr(dedup, "_round", lambda live: rounds.append(1) or one(live))
+    rows = [(i, "c", f"name number {i // 2}", f"https://link.example.org/{(i + 1) // 2}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "seq bigint, category string, name string, application_link string")
+    got = sorted(r.seq for r in dedup.merge_dedup(df.limit(0), df).collect())
+    names, links, want = set(), set(), []
+    for i, _, n, u in rows:
+        if n not in names and u not in links:
+            names.add(n)
+            links.add(u)
+            want.append(i)
+    assert got == want and len(rounds) <= 10
+
+
+def test_large_components_go_on_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FOLD", 12)
+    rng = random.Random(8)
+    rows = [(i, "c", f"name number {rng.randrange(60)}", f"https://link.example.org/{rng.randrange(60)}") for i in range(150)]
+    rows += [(200 + i, "c", f"chain name {i // 2}", f"https://chain.example.org/{(i + 1) // 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "seq bigint, category string, name string, application_link string")
+    got = sorted(r.seq for r in dedup.merge_dedup(df.limit(0), df).collect())
+    names, links, want = set(), set(), []
+    for i, _, n, u in rows:
+        if n not in names and u not in links:
+            names.add(n)
+            links.add(u)
+            want.append(i)
+    assert got == want
+
+
+def test_key_index_stands_for_the_records(spark):
+    import uuid
+
+    from gleaner.session import shared_dir
+    rng = random.Random(4)
+    schema = "seq bigint, category string, name string, application_link string"
+    make = lambda k, n: spark.createDataFrame([(k + i, rng.choice("ab"), f"name number {rng.randrange(80)}", f"https://link.example.org/{rng.randrange(300)}") for i in range(n)], schema)
+    old, new = make(0, 60), make(1000, 120)
+    index = dedup.KeyIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=8)
+    index.add(old)
+    want = sorted(r.seq for r in dedup.merge_dedup(old, new).collect())
+    out = dedup.merge_dedup(None, new, index)
+    assert sorted(r.seq for r in out.collect()) == want and 0 < len(want) < 120
