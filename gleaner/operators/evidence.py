@@ -8,12 +8,15 @@ Input columns: url, final_url, status, error, body and optionally tier
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import html, urls
 from ..functions import vocab as V
 from ..functions.dates import parse_published_date
 from ..functions.text import found_terms, lits, strip, text
+from .ranking import numbered
+
+_STRETCH = 4096   # attempts whose running counts one window task makes
 
 _LD = r"""(?is)<script[^>]+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 _NODE = "array<struct<path:array<int>,depth:int,node:string>>"
@@ -209,15 +212,47 @@ def capture_evidence(captures: DataFrame, as_of: str) -> DataFrame:
         F.when(F.col("tier") > 0, "reach").otherwise("direct").alias("via"), "tier", "capture_id")
 
 
-def network_down(captures: DataFrame) -> DataFrame:
-    """One row: whether hard failures dominate the direct captures of the run."""
+def network_health(captures: DataFrame, least: int = V.BREAKER_MIN_ATTEMPTS, rate: float = V.BREAKER_RATE) -> DataFrame:
+    """One row (attempts, hard_failures, tripped_at, network_down): the first place of the run where hard failures dominate.
+
+    The direct captures are attempts in the order of ``capture_id``, nulls first;
+    of equal ids, failures come last.  The breaker trips at the first attempt, from the ``least``-th on, at which the
+    share of hard failures so far is ``rate`` or more; ``tripped_at`` is its
+    capture_id, null if it never trips, and the counts are those up to it, or
+    of the whole run.  No captures: zeros, null and false.
+
+    The running counts are a prefix scan on two levels: rows are numbered over
+    sorted ranges, the failures of a range are summed, and a window runs within
+    each range only.
+    """
     error = capture_error(F.col("status"), F.col("error"))
     hard = error.startswith("network:") | error.startswith("unexpected:")
     direct = captures.where(F.col("tier") == 0) if "tier" in captures.columns else captures
-    stats = direct.agg(F.count("*").alias("attempts"), F.count_if(hard).alias("hard_failures"))
-    down = ((F.col("attempts") >= V.BREAKER_MIN_ATTEMPTS)
-            & (F.col("hard_failures") / F.greatest(F.col("attempts"), F.lit(1)) >= V.BREAKER_RATE))
-    return stats.withColumn("network_down", down)
+    # a stretch is a run of numbers, so its running counts need no row of another one
+    rows = numbered(direct.select("capture_id", hard.cast("bigint").alias("hard")), "attempt", F.asc_nulls_first("capture_id"), "hard")
+    rows = rows.withColumn("stretch", F.floor((F.col("attempt") - 1) / _STRETCH))
+    sums = rows.groupBy("stretch").agg(F.sum("hard").alias("failures"))
+    earlier = _running(sums, "stretch", "failures").select("stretch", "before")
+    within = Window.partitionBy("stretch").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
+    counts = (rows.withColumn("here", F.sum("hard").over(within)).join(earlier, "stretch")
+              .select("capture_id", "attempt", (F.col("here") + F.col("before")).alias("failures")))
+    trips = (F.col("attempt") >= least) & (F.col("failures") >= F.lit(rate) * F.col("attempt"))
+    place = F.struct(F.col("attempt").alias("attempts"), F.col("failures").alias("hard_failures"), F.col("capture_id").alias("tripped_at"))
+    ends = counts.agg(F.min(F.when(trips, place)).alias("trip"), F.max(place).alias("last"))
+    return ends.select(*[F.coalesce(f"trip.{c}", f"last.{c}", F.lit(0)).cast("bigint").alias(c) for c in ("attempts", "hard_failures")],
+                       F.col("trip.tripped_at").alias("tripped_at"), F.col("trip").isNotNull().alias("network_down"))
+
+
+def _running(sums: DataFrame, place: str, value: str) -> DataFrame:
+    """Add ``before``: the sum of the values of all earlier places, by groups of _STRETCH places and once more over the groups."""
+    group = F.floor(F.col(place) / _STRETCH).alias("group")
+    sums = sums.withColumn("group", group)
+    tops = sums.groupBy("group").agg(F.sum(value).alias("top"))
+    over = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)   # a row for _STRETCH^2 rows of the run
+    tops = tops.select("group", F.coalesce(F.sum("top").over(over), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("group").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return (sums.withColumn("own", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(tops, "group")
+            .withColumn("before", F.col("own") + F.col("base")).drop("own", "base", "group"))
 
 
 def build_evidence(captures: DataFrame, as_of: str) -> DataFrame:
@@ -244,7 +279,8 @@ def build_evidence(captures: DataFrame, as_of: str) -> DataFrame:
     rescued = (F.col("via") != "direct") & F.col("first").isNotNull()
     one = one.withColumns({"status": F.when(rescued, F.col("first.status")).otherwise(F.col("status")),
                            "final_url": F.when(rescued, F.col("first.final_url")).otherwise(F.col("final_url"))}).drop("first")
-    down = network_down(captures).select("network_down").scalar()
+    down = network_health(captures if "capture_id" in captures.columns else captures.withColumn("capture_id", F.lit(0).cast("bigint"))).select(
+        "network_down").scalar()
     hard = F.col("error").startswith("network:") | F.col("error").startswith("unexpected:")
     return one.withColumn("error", F.when(hard & down, "network_down").otherwise(F.col("error")))
 

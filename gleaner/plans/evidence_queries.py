@@ -72,9 +72,14 @@ single as (select capture_id, tier, key, url, coalesce(final_url, url) as final_
 rated as (select *, case when tier = 0 and not (len(rot_signals) = 0 and case when ok then kind = 'none' or (title = '' and og_title = '' and jsonld_name = '' and coalesce(start_date, end_date, valid_through) is null)
     else regexp_matches(error, '^(blocked_|http_5|network:|unexpected:)') end) then 0
   when tier > 0 and ok and (kind <> 'none' or title <> '' or og_title <> '' or jsonld_name <> '') then 1 when tier = 0 then 2 else 3 end as quality from single),
-health as (select count(*) as attempts, count(*) filter (code like 'network:%' or code like 'unexpected:%') as hard_failures from coded where tier = 0),
+probes as (select capture_id, (code like 'network:%' or code like 'unexpected:%')::int as hard from coded where tier = 0),
+running as (select capture_id, row_number() over w as attempts, (sum(hard) over w)::bigint as hard_failures from probes
+  window w as (order by capture_id nulls first, hard rows between unbounded preceding and current row)),
+trips as (select *, attempts >= 6 and hard_failures >= 0.75 * attempts as trips from running),
+health as (select coalesce(min(attempts) filter (trips), max(attempts), 0) as attempts, coalesce(arg_min(hard_failures, attempts) filter (trips), arg_max(hard_failures, attempts), 0) as hard_failures,
+  arg_min(capture_id, attempts) filter (trips) as tripped_at, count(*) filter (trips) > 0 as network_down from trips),
 ranked as (select *, row_number() over (partition by key, tier = 0 order by quality, tier, capture_id, url) as nth, row_number() over (partition by key order by quality, tier, capture_id, url) as rn from rated),
-evidence as (select r.* replace (case when (r.error like 'network:%' or r.error like 'unexpected:%') and h.attempts >= 6 and h.hard_failures / h.attempts >= 0.75 then 'network_down' else r.error end as error,
+evidence as (select r.* replace (case when (r.error like 'network:%' or r.error like 'unexpected:%') and h.network_down then 'network_down' else r.error end as error,
     case when r.tier > 0 and d.key is not null then d.status else r.status end as status, case when r.tier > 0 and d.key is not null then d.final_url else r.final_url end as final_url)
   from ranked r left join (select * from ranked where tier = 0 and nth = 1) d on d.key = r.key, health h where r.rn = 1)"""
 
@@ -129,9 +134,9 @@ def _(t):
     return t.pages.groupBy(canonical_url("url").alias("key")).agg(F.min("url").alias("url"), F.count("*").alias("n"))
 
 
-@query("network_health", f"with {FACTS} select attempts, hard_failures, attempts >= 6 and hard_failures / attempts >= 0.75 as network_down from health")
+@query("network_health", f"with {FACTS} select attempts, hard_failures, tripped_at, network_down from health")
 def _(t):
-    return E.network_down(t.captures_all)
+    return E.network_health(t.captures_all)
 
 
 @query("prefer_capture", "select url, arg_min(capture_id, (tier, capture_id)) as capture_id from captures_all where trim(body) <> '' group by url")
