@@ -25,7 +25,7 @@ from .simhash import _mixed
 # fixed masks: the token positions that are read.  They hit every run of 12 tokens with 2 substitutions, of 15 with 3 and of 20 with 4
 # wherever these are; any longer run with a fifth substituted holds one of these.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11), (0, 1, 2, 4, 5, 8))
-LEAST = 5  # shorter items are too common to be searched
+LEAST = 1  # tokens of an item; those of fewer than 5 are searched without substitutions
 OVERLAP = 12  # tokens of a verified overlap, or the whole item if it is shorter
 IDENTITY = 0.8
 BLOOM_BITS = 22  # 512 KB, whatever the benchmark's size
@@ -92,11 +92,15 @@ def short_masks(n: int) -> list[tuple[int, ...]]:
     return [tuple(np.concatenate(kept).tolist()) for kept in combinations(parts, 2)]
 
 
-def _windows(hashes: np.ndarray, text_of: np.ndarray, short: list[int], long: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _windows(hashes: np.ndarray, text_of: np.ndarray, short: list[int], long: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(first token, seed hash, whether a hit is a whole item)."""
     for m in MASKS if long else ():
-        yield from seeds(hashes, text_of, [m], m[-1] + 1)
+        for first, keys in seeds(hashes, text_of, [m], m[-1] + 1):
+            yield first, keys, False
     for span in short:  # items shorter than an overlap are looked up whole
-        yield from seeds(hashes, text_of, short_masks(span), span)
+        masks = short_masks(span)
+        for first, keys in seeds(hashes, text_of, masks, span):
+            yield first, keys, masks == [tuple(range(span))]
 
 
 def _slot(keys: np.ndarray, probe: int) -> np.ndarray:
@@ -134,7 +138,7 @@ def _item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
             for no, tokens in zip(b.column("no").to_pylist(), b.column("tokens")):
                 hashes = np.asarray(tokens.values.to_numpy(zero_copy_only=False)).view(np.uint64)
                 alone = [len(hashes)] if len(hashes) in short else []
-                for first, keys in _windows(hashes, np.zeros(len(hashes), np.int64), alone, not alone):
+                for first, keys, _ in _windows(hashes, np.zeros(len(hashes), np.int64), alone, not alone):
                     yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), no)), pa.array(first)], ["seed", "no", "at"])
 
     return items.select("no", "tokens").mapInArrow(run, "seed long, no long, at long").distinct()
@@ -157,12 +161,16 @@ def _hits(docs: DataFrame, bloom: np.ndarray, short: list[int]) -> DataFrame:
         for b in slices(batches, "text", 2 << 20):
             ids = b.column("key").to_numpy()
             hashes, text_of, first_token = _texts(b)
-            for first, keys in _windows(hashes, text_of, short):
+            for first, keys, whole in _windows(hashes, text_of, short):
                 for probe in (0, 1):
                     slot = _slot(keys, probe)
                     kept = (bloom[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
                     first, keys = first[kept], keys[kept]
                 own = text_of[first]
+                if whole and len(first):  # one hit of a text tells all, however often it repeats the item
+                    order = np.lexsort((first, keys, own))
+                    order = order[np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(own[order]) != 0)]]
+                    first, keys, own = first[order], keys[order], own[order]
                 yield pa.record_batch([pa.array(ids[own]), pa.array(keys.view(np.int64)), pa.array(first - first_token[own])], ["key", "seed", "pos"])
 
     return docs.mapInArrow(run, "key long, seed long, pos long")
@@ -200,8 +208,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     """(key, item, overlap, equal): verified overlaps of documents with benchmark items.
 
     ``key`` is ``xxhash64(id, text)`` of the document.  Items of equal tokens
-    count as one with the smallest id, null if none has one; items with fewer
-    than LEAST tokens are not searched.
+    count as one with the smallest id, null if none has one.  Items with fewer
+    than 5 tokens count where they occur as they are; items without tokens never do.
     """
     items = materialize(_items(benchmark, item_col, item_text), "items")
     short = sorted(r[0] for r in items.filter(F.size("tokens") < OVERLAP).select(F.size("tokens")).distinct().collect())  # below OVERLAP
@@ -256,7 +264,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
-    """The documents without a verified overlap, columns unchanged."""
+    """The documents without a verified overlap; columns unchanged, whatever their names."""
     found = materialize(overlaps(docs, benchmark, **columns).select("key").distinct(), "contaminated")
     key = F.xxhash64(columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
-    return without(docs.withColumn("__key", key), found, "__key").drop("__key")
+    name = "key"
+    while name in docs.columns:
+        name += "_"
+    return without(docs.withColumn(name, key), found, name).drop(name)

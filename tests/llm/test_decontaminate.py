@@ -21,7 +21,7 @@ def words(rng, n):
 
 def corpus(seed=3):
     rng = random.Random(seed)
-    items = [(i, " ".join(words(rng, rng.randint(14, 50)))) for i in range(20)] + [(20, " ".join(words(rng, 7))), (21, "too short item"), (22, None), (None, "x " * 30)]
+    items = [(i, " ".join(words(rng, rng.randint(14, 50)))) for i in range(20)] + [(20, " ".join(words(rng, 7))), (21, "a short item"), (22, None), (None, "x " * 30)]
     items.append((99, items[4][1].upper()))  # the same tokens
     docs, dirty = [], set()
     for d in range(200):
@@ -43,17 +43,17 @@ def corpus(seed=3):
 
 def test_planted_passages_and_clean_documents(spark):
     docs, items, dirty = corpus()
-    docs += [(1000, None), (1001, ""), (1002, "too short item"), (None, items[0][1]), (1003, "w1 " * 50000 + items[1][1])]
+    docs += [(1000, None), (1001, ""), (1002, "holds: a SHORT item, a short item."), (1004, "a short, other item"), (None, items[0][1]), (1003, "w1 " * 50000 + items[1][1])]
     d, b = frames(spark, docs, items)
     rows = dc.report(d, b).collect()
     assert len(rows) == len(docs)
-    assert {r.doc_id for r in rows if r.contaminated} == dirty | {None, 1003}
+    assert {r.doc_id for r in rows if r.contaminated} == dirty | {None, 1002, 1003}
     for r in rows:
         assert (r.n_items > 0) == r.contaminated == (r.item_id is not None) == (r.overlap > 0)
         assert not r.contaminated or r.identity >= dc.IDENTITY
     kept = dc.clean(d, b)
     assert kept.columns == d.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - dirty - {None, 1003}
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - dirty - {None, 1002, 1003}
 
 
 def test_equal_items_count_once(spark):
@@ -139,3 +139,15 @@ def test_short_items_null_ids_and_repeats(spark):
     d, b = frames(spark, docs, items)
     assert {r.doc_id: (r.contaminated, r.item_id) for r in dc.report(d, b).collect()} == want
     assert dc.clean(d, b).count() == 0
+
+
+def test_items_under_five_tokens(spark):
+    items = [(1, "Zebra"), (2, "blue moon"), (3, "one two three four"), (4, "?!"), (5, "")]
+    docs = [(1, "zebra " * 3000), (2, "a zebra, once"), (3, "blue Moon"), (4, "blue the moon"), (5, "zero one two three four five"), (6, "one two three"), (7, "?!")]
+    d, b = frames(spark, docs, items)
+    got = {r.doc_id: (r.contaminated, r.item_id, r.overlap) for r in dc.report(d, b).collect()}
+    clean = (False, None, 0)
+    assert got == {1: (True, 1, 1), 2: (True, 1, 1), 3: (True, 2, 2), 4: clean, 5: (True, 3, 4), 6: clean, 7: clean}
+    named = d.toDF("doc_id", "text", "__key", "key")
+    kept = dc.clean(named, b)
+    assert kept.columns == named.columns and {r.doc_id for r in kept.collect()} == {4, 6, 7}
