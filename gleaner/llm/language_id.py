@@ -35,28 +35,49 @@ LONGEST = 5         # longest n-gram; a word's ends count as a character
 UNKNOWN = "und"
 SEEN = 1 << 18      # counters a task holds
 CHUNK = 1 << 20     # characters of a text that are looked at in one go
+LONG = 64           # characters of a piece that is remembered whole
 CACHE_BYTES = 48 << 20
 SALTS = 32
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> Counter:
-    """The words of a whole text: runs of letters, lower-cased."""
-    out: Counter = Counter()
-    if not text:
-        return out
+def runs(piece: str) -> list[str]:
+    """The runs of letters in a lower-cased piece."""
+    if piece.isalpha():
+        return [piece]
+    # some digits, such as fractions and roman numerals, are not digits to a pattern
+    return [r for run in _RUNS.findall(piece) for r in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+
+
+def pieces(text: str | None) -> Iterator[list[str]]:
+    """A whole text between white space, lower-cased, a list per stretch; long pieces come as their words."""
     at = 0
-    while at < len(text):
+    while text and at < len(text):
         to = len(text) if len(text) - at <= CHUNK else (text.find(" ", at + CHUNK) + 1 or len(text))
-        out.update(_RUNS.findall(text[at:to].lower()))
+        parts = text[at:to].lower().split()
+        if max(map(len, parts), default=0) > LONG:
+            parts = [q for p in parts for q in ([p] if len(p) <= LONG else runs(p))]
+        yield parts
         at = to
-    for odd in [w for w in out if not w.isalpha()]:  # digits in all but name, such as fractions and roman numerals
-        n = out.pop(odd)
-        for run in "".join(c if c.isalpha() else " " for c in odd).split():
-            out[run] += n
+
+
+def words_of(counted: Counter) -> Counter:
+    """The words of counted pieces."""
+    out: Counter = Counter()
+    for piece, n in counted.items():
+        for word in runs(piece):
+            out[word] += n
     return out
 
 
+def words(text: str | None) -> Counter:
+    """The words of a whole text: runs of letters, lower-cased."""
+    out: Counter = Counter()
+    for parts in pieces(text):
+        out.update(parts)
+    return words_of(out)
+
+
 def grams(word: str, size: int) -> list[str]:
     """The n-grams of a word with a blank at both ends; none of the blank alone."""
     padded = f" {word} "
@@ -74,16 +95,20 @@ class Model:
 
 
 class Scorer:
-    """Scores of words, remembered in a table of bounded size."""
+    """Scores of pieces between white space, remembered in a table of bounded size.
+
+    A row has the sums of its words' scores by language, the number of words
+    with a score and the number of words.
+    """
 
     def __init__(self, model: Model):
         self.model, self.count = model, len(model.languages)
-        self.most = max(1 << 10, CACHE_BYTES // (8 * self.count + 100))
+        self.most = max(1 << 10, CACHE_BYTES // (8 * self.count + 116))
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.empty((1 << 10, self.count))
+        self.table = np.zeros((1 << 10, self.count + 2))
 
     def of(self, word: str) -> list[float] | None:
         """Scores by language; None if not even a character is known."""
@@ -105,37 +130,48 @@ class Scorer:
                 return [x / n for x in out]
         return None
 
-    def _rows(self, some: list[str]) -> np.ndarray:
-        for w in some:
-            if w not in self.place:
-                n = len(self.place)
-                if n == len(self.table):
-                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                found = self.of(w)
-                self.table[n] = np.nan if found is None else found
-                self.place[w] = n
-        return self.table[[self.place[w] for w in some]]
+    def _learn(self, piece: str) -> None:
+        n = len(self.place)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        row = self.table[n]
+        for word in runs(piece):
+            found = self.of(word)
+            row[-1] += 1
+            if found is not None:
+                row[:-2] += found
+                row[-2] += 1
+        self.place[piece] = n
+
+    def _sums(self, some: dict[str, int]) -> np.ndarray:
+        """The weighted sum of the pieces' rows."""
+        if len(self.place) + len(some) > 2 * self.most:
+            self._forget()
+        for piece in some.keys() - self.place.keys():
+            self._learn(piece)
+        rows = np.fromiter(map(self.place.__getitem__, some), np.int64, len(some))
+        return np.fromiter(some.values(), np.float64, len(some)) @ self.table[rows]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is a tempered posterior of the language, from 0 to 1."""
         model = self.model
-        counts = words(text)
-        if not counts or not model.languages:
+        counts: Counter = Counter()
+        for parts in pieces(text):
+            counts.update(parts)
+        total = np.zeros(self.count + 2)
+        if len(counts) <= self.most:
+            total += self._sums(counts)
+        else:
+            items = list(counts.items())
+            for at in range(0, len(items), self.most):
+                total += self._sums(dict(items[at:at + self.most]))
+        n = total[-2]
+        if not total[-1] or not model.languages:
             return UNKNOWN, 0.0
-        total, n = np.zeros(self.count), 0
-        items = list(counts.items())
-        for at in range(0, len(items), self.most):
-            if len(self.place) + self.most > 2 * self.most:
-                self._forget()
-            some = items[at:at + self.most]
-            values, weight = self._rows([w for w, _ in some]), np.array([k for _, k in some], float)
-            known = ~np.isnan(values[:, 0])
-            total += weight[known] @ values[known]
-            n += int(weight[known].sum())
         if not n:
             best = max(range(self.count), key=lambda i: (model.prior[i], -i))
             return model.languages[best], model.prior[best]
-        mean = total / n
+        mean = total[:-2] / n
         best = int(mean.argmax())  # ties go to the language that comes first
         return model.languages[best], float(1.0 / np.exp((mean - mean[best]) * math.sqrt(n)).sum())
 
@@ -146,10 +182,13 @@ def _counts(learnable: DataFrame) -> DataFrame:
         seen: dict[str, Counter] = {}
         for b in slices(batches, "text"):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                seen.setdefault(lang, Counter()).update(words(text.as_py()))
+                count = seen.setdefault(lang, Counter())
+                for parts in pieces(text.as_py()):
+                    count.update(parts)
                 if sum(map(len, seen.values())) > SEEN:
-                    yield _batch(seen)
-        yield _batch(seen)
+                    yield _batch({k: words_of(c) for k, c in seen.items()})
+                    seen.clear()
+        yield _batch({k: words_of(c) for k, c in seen.items()})
 
     return learnable.mapInArrow(run, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 

@@ -25,6 +25,14 @@ def test_long_texts_are_read_whole(monkeypatch):
     assert language_id.words(text) == Counter({"alpha": 50, "beta": 50, "gamma": 50})
 
 
+def test_long_pieces_come_as_their_words(monkeypatch):
+    text = "one,two½three " + "漢字" * 9 + "-x"
+    whole = language_id.words(text)
+    monkeypatch.setattr(language_id, "LONG", 3)
+    assert list(language_id.pieces(text)) == [["one", "two", "three", "漢字" * 9, "x"]]
+    assert language_id.words(text) == whole == Counter({"one": 1, "two": 1, "three": 1, "漢字" * 9: 1, "x": 1})
+
+
 def test_grams():
     assert language_id.grams("ab", 1) == ["a", "b"]
     assert language_id.grams("ab", 3) == [" ab", "ab "]
