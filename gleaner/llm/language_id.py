@@ -131,24 +131,31 @@ class Scorer:
         return None
 
     def _learn(self, piece: str) -> None:
-        n = len(self.place)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        row = self.table[n]
+        """Remember the piece, and its words if it isn't one."""
+        row = np.zeros(self.count + 2)
         for word in runs(piece):
+            if word != piece:
+                if word not in self.place:
+                    self._learn(word)
+                row += self.table[self.place[word]]
+                continue
             found = self.of(word)
-            row[-1] += 1
+            row[-1] = 1
             if found is not None:
-                row[:-2] += found
-                row[-2] += 1
+                row[:-2], row[-2] = found, 1
+        n = len(self.place)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = row
         self.place[piece] = n
 
     def _sums(self, some: dict[str, int]) -> np.ndarray:
         """The weighted sum of the pieces' rows."""
         if len(self.place) + len(some) > 2 * self.most:
             self._forget()
-        for piece in some.keys() - self.place.keys():
-            self._learn(piece)
+        for piece in some:
+            if piece not in self.place:
+                self._learn(piece)
         rows = np.fromiter(map(self.place.__getitem__, some), np.int64, len(some))
         return np.fromiter(some.values(), np.float64, len(some)) @ self.table[rows]
 
