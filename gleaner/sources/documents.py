@@ -27,15 +27,27 @@ def _tags(*names) -> Column:
 # ---- HTML tables ---------------------------------------------------------
 
 def html_rows(docs: DataFrame, *keys: str) -> DataFrame:
-    """Table rows with at least three cells: arrays of cell text and links."""
-    pieces = F.split(text("body"), r"(?i)</tr\s*>")
-    inner = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_extract(p, r"(?is).*<tr\b[^>]*>(.*)\z", 1))
-    rows = docs.select(*keys, F.posexplode(inner).alias("pos", "row"))
-    cells = _all(F.col("row"), r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>")
-    split = F.transform(cells, lambda c: F.struct(
+    """Table rows with at least three cells: arrays of cell text and links.
+
+    A row holds the cells from its start tag to the next start tag of a row,
+    whichever table that is in; each end tag after the third cell gives the row
+    once.  So the cells that follow a table inside a cell count to the last
+    inner row.  Rows and cells without an end tag give nothing, and a cell
+    begins anew at a start tag inside it.  Comments are left out.  ``pos`` is
+    the number of the row's start tag.
+    """
+    plain = F.regexp_replace(text("body"), r"(?s)<!--.*?(?:-->|\z)", "")
+    rows = docs.select(*keys, F.posexplode(F.split(plain, r"(?i)<tr\b[^>]*>")).alias("at", "row"))
+    begun = F.slice(F.split("row", r"(?i)<t[dh]\b[^>]*>"), 2, F.length("row") + 1)
+    cells = F.transform(F.filter(begun, lambda p: p.rlike(r"(?i)</t[dh]\s*>")), lambda p: F.regexp_extract(p, r"(?is)\A(.*?)</t[dh]\s*>", 1))
+    rows = rows.withColumn("cells", cells).where(F.size("cells") >= 3)
+    after_third = F.regexp_replace("row", r"(?is)\A(?:(?>.*?<t[dh]\b[^>]*>)(?>.*?</t[dh]\s*>)){3}", "")
+    rows = rows.withColumn("ends", F.size(F.split(after_third, r"(?i)</tr\s*>")) - 1).where("ends > 0")
+    split = F.transform("cells", lambda c: F.struct(
         strip(unescape(F.regexp_replace(c, r"<[^>]*>", ""))).alias("text"),
         _all(c, r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'](http[^"']*)["']""").alias("links")))
-    return rows.select(*keys, "pos", split.alias("cells")).where(F.size("cells") >= 3)
+    rows = rows.select(*keys, F.col("at").alias("pos"), split.alias("cells"), "ends")
+    return rows.select(*keys, "pos", "cells", F.explode(F.sequence(F.lit(1), "ends"))).drop("col")
 
 
 def table_listings(docs: DataFrame, *keys: str) -> DataFrame:

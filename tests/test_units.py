@@ -236,3 +236,20 @@ def test_probe_answers(spark):
     caps = spark.createDataFrame([(f"https://a.io/{i}", tier, status, page) for i, tier, status in answers], "url string, tier int, status int, body string")
     got = {r["seq"]: r["s_url"] for r in record_scores(records, caps, AS_OF).collect()}
     assert got == {0: 1.0, 1: 0.7, 2: 1.0, 3: 0.4, 4: 0.2, 5: 0.2, 6: 0.2}
+
+
+@pytest.mark.parametrize("body,rows", [
+    ("<table><tr><td>a</td><td>b</td><th>c</th></tr><tr><td>d</td><td>e</td></tr></table>", ["a b c"]),
+    ("<tr><td>1</td><td>2</td><td>3</td><tr><td>4</td><td>5</td><td>6</td></tr><tr><td>7</td><td>8</td><td>9</td>", ["4 5 6"]),
+    ("<tr><td>A</td><td>in <table><tr><td>x</td><td>y</td><td>z</td></tr></table></td><td>B</td></tr>", ["x y z B", "x y z B"]),
+    ("<tr><td>A</td><td><table><tr><td>x</td></tr></table></td><td>B</td><td>C</td></tr>", ["x B C"]),
+    ("<tr><td>a<td>b</td><td>c</td><td>d &amp; e</td></tr>", ["b c d & e"]),
+    ("<tr><td>a</td><td>b</td><td>c</td></tr><!-- <tr><td>1</td><td>2</td><td>3</td></tr> --><tr><td>d</td><td>e</td><td>f</td></tr>", ["a b c", "d e f"]),
+    ("<tr><td>a</td><td>b</td><td>c</td></tr><!-- <tr><td>1</td><td>2</td><td>3</td></tr>", ["a b c"]),
+    ("<td>a</td><td>b</td><td>c</td></tr>", ["a b c"]),
+    ("<TR class='x'><TD>a</TD ><td>b</td><td>" + "long " * 40_000 + "</td></TR>", ["a b " + ("long " * 40_000).strip()]),
+    ("<tr>" * 3000 + "<td>a" * 3000, []), ("", []), (None, [])])
+def test_html_rows(spark, body, rows):
+    from gleaner.sources.documents import html_rows
+    got = html_rows(spark.createDataFrame([(1, body)], "doc_id int, body string"), "doc_id").orderBy("pos").collect()
+    assert [" ".join(c["text"] for c in r["cells"]) for r in got] == rows
