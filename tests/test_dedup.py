@@ -227,3 +227,29 @@ def test_key_index_stands_for_the_records(spark):
     want = sorted(r.seq for r in dedup.merge_dedup(old, new).collect())
     out = dedup.merge_dedup(None, new, index)
     assert sorted(r.seq for r in out.collect()) == want and 0 < len(want) < 120
+
+
+def test_unlike_titles_of_common_words_are_not_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = [f"word{i}" for i in range(300)]
+    rows = [(i, "c", " ".join(rng.sample(vocab, 60)), "", i % 3 == 0) for i in range(300)]
+    rows += [(300 + i, "c", rows[i][2] + " extra", "", False) for i in range(30)]
+    compared, verified = [], titles._verified
+    monkeypatch.setattr(titles, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.seq: r.kept for r in titles.fuzzy_pairs(df.where("known"), df.where("not known")).collect()}
+    assert got == fold_titles(rows)
+    assert sum(compared) < 3 * len(rows)
+
+
+def test_similar_sets_share_a_part():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 60), 85, 100, 340, 400, 1000]:
+        for _ in range(8):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            drop = int(rng.integers(0, n // 6 + 1))
+            add = int(rng.integers(0, n // 6 + 1))
+            b = np.r_[a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]
+            if (n - drop) / (n + add) >= 0.85:
+                assert np.intersect1d(titles.part_keys(a, 7, 0.85), titles.part_keys(b, 7, 0.85)).size
