@@ -31,8 +31,7 @@ from .simhash import BLOCK, _bit_matrix, _mixed, _whole_units, fingerprint, shin
 BANDS, PER_BAND = 13, 4  # a pair at 0.8 shares a key with a probability of 0.999
 WORDS = 4                # 64-bit words of a fingerprint
 RADIUS = 64              # a pair at 0.8 is 39 of 256 bits apart, with a deviation of 6
-HOT = 2048               # rows of a bucket outside its largest component, beyond which keys are made longer
-DEPTH = 3                # bands of the longest keys
+HOT = 2048               # rows of a bucket outside its largest component, beyond which it waits for what the others link
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -107,34 +106,11 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _comparable(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, n, main, most, node, fp, label): rows of the buckets to compare.
-
-    A bucket with more than HOT rows outside its largest component is parted by
-    longer keys: two nodes meet there if they share that many bands.  The rows
-    that the longest keys leave together are compared all the same.
-    """
+    """(key, n, main, most, node, fp, label): rows of the buckets that hold several components."""
     label = F.xxhash64("node") if labels is None else F.xxhash64(F.coalesce("root", "node"))
     rows = members if labels is None else members.join(labels.toDF("node", "root"), "node", "left")
-    rows = rows.select("key", F.array("key").alias("path"), "node", "fp", label.alias("label"))
-    out, bases = [], None
-    for depth in range(1, DEPTH + 1):
-        buckets = _mixed_buckets(rows)
-        rows = materialize(rows.join(buckets, "key"), "buckets")
-        hot = F.col("n") - F.col("most") > HOT
-        if depth == DEPTH or rows.filter(hot).isEmpty():
-            out.append(rows.drop("path"))
-            break
-        out.append(rows.filter(~hot).drop("path"))
-        rows = rows.filter(hot).select("path", "node", "fp", "label")
-        if bases is None:
-            bases = materialize(rows.groupBy("node").agg(F.collect_set(F.element_at("path", 1)).alias("bases")), "hot-keys")
-        longer = rows.join(bases, "node").select(
-            "node", "fp", "label", F.explode(F.transform(F.filter("bases", lambda b: b > F.element_at("path", -1)), lambda b: F.array_append("path", b))).alias("path"))
-        rows = longer.select(F.xxhash64("path").alias("key"), "path", "node", "fp", "label")
-    found = out[0]
-    for part in out[1:]:
-        found = found.unionByName(part)
-    return found
+    rows = rows.select("key", "node", "fp", label.alias("label"))
+    return rows.join(_mixed_buckets(rows), "key")
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -202,37 +178,38 @@ def components(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, sh
     After the smallest nodes of all buckets, a round tests the nearest partners
     of each node; what is connected by then needs no test.  Buckets with
     untested pairs come again with eight times as many partners until none has.
+    Hot buckets are compared last and as fully, when most of their links are
+    known from smaller ones; their blocks are tasks of their own.
     """
     members = materialize(_members(nodes), "members")
     if members.isEmpty():
         return None
-    stars, tested, most, only = None, None, 1, None
+    stars, tested, most, only, hot = None, None, 1, None, None
     part = materialize(_first_pairs(members, radius), "pairs")
     while True:
         if not part.isEmpty():
             good = _similar(docs, id_col, text_col, nodes, part, shingle, similarity)
             tested = part if tested is None else tested.unionByName(part)
             stars = connected(good if stars is None else stars.unionByName(good))
-        if only is None:  # later rounds take the buckets of the first one that are not done
-            rows = _comparable(members, stars)
-        else:
-            label = F.xxhash64(F.coalesce("root", "node"))
-            rows = only.select("key", "node", "fp") if stars is None else only.select("key", "node", "fp").join(stars.toDF("node", "root"), "node", "left")
-            rows = rows.select("key", "node", "fp", (F.xxhash64("node") if stars is None else label).alias("label"))
-            rows = rows.join(_mixed_buckets(rows), "key")
-        rows = materialize(rows, "compared")
-        if rows.isEmpty():
-            return stars
+        # later rounds take the buckets of an earlier one that are not done
+        rows = materialize(_comparable(members if only is None else only, stars), "compared")
+        if only is None:
+            large = F.col("n") - F.col("most") > HOT
+            hot = materialize(rows.filter(large).select("key", "node", "fp"), "hot-buckets")
+            rows = rows.filter(~large)
         found = materialize(_candidates(rows, radius, most), "candidates")
         part = found.filter("u is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if tested is not None:
             part = part.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
         part = materialize(part, "pairs")
         more = materialize(found.filter("u is null").select("key").distinct(), "open")
-        if part.isEmpty() and more.isEmpty():
+        if not part.isEmpty() or not more.isEmpty():
+            only = rows.join(more, "key", "left_semi").select("key", "node", "fp")
+            most *= 8
+        elif hot is not None and not hot.isEmpty():
+            only, hot, most = hot, None, 1
+        else:
             return stars
-        only = rows.join(more, "key", "left_semi")
-        most *= 8
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:

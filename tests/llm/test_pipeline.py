@@ -194,3 +194,23 @@ def test_dedup_keeps_texts_that_share_a_repeated_line(spark):
     rows += [(None, rows[0][1] + " more"), (6, rows[0][1] + " more words"), (7, rows[0][1] + " " + rows[0][1][:60])]
     got = sorted(r.doc_id for r in near_copies.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None)
     assert got == list(range(6))
+
+
+def test_hot_buckets_link_pairs_that_share_one_key(spark, monkeypatch):
+    """A link counts even if its only common bucket is a hot one."""
+    monkeypatch.setattr(near_copies, "HOT", 4)
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, " ".join(rng.choices(words, k=120))) for i in range(0, 40, 2)]
+    rows += [(i + 1, text + " end") for i, text in rows]
+    keys = near_copies.band_keys
+
+    def one_shared_key(hashes):
+        own = keys(hashes)
+        own[0] = 17
+        own[1:] = own[1:] * 1_000_003 + len(hashes)
+        return own
+
+    monkeypatch.setattr(near_copies, "band_keys", one_shared_key)
+    assert ids_kept(spark, rows) == list(range(0, 40, 2))
