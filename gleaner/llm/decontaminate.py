@@ -29,7 +29,7 @@ LEAST = 1  # tokens of an item; those of fewer than 5 are searched without subst
 OVERLAP = 12  # tokens of a verified overlap, or the whole item if it is shorter
 IDENTITY = 0.8
 BLOOM_BITS = 22  # 512 KB, whatever the benchmark's size
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 _WORD = np.zeros(256, np.int8)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
@@ -158,7 +158,7 @@ def _bloom(seeds_of_items: DataFrame) -> np.ndarray:
 def _hits(docs: DataFrame, bloom: np.ndarray, short: list[int]) -> DataFrame:
     """(key, seed, pos): training windows that may share a seed with the benchmark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", _CHUNK):
             ids = b.column("key").to_numpy()
             hashes, text_of, first_token = _texts(b)
             for first, keys, whole in _windows(hashes, text_of, short):
@@ -222,27 +222,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     chosen = texts.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _CHUNK):
             hashes, _, first = _texts(b)
             lists = [x.view(np.int64) for x in np.split(hashes, first[1:])]
             yield pa.record_batch([b.column("key"), pa.array(lists, pa.list_(pa.int64()))], ["key", "doc"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs = []
-            for doc, item, diagonals in zip(b.column("doc"), b.column("tokens"), b.column("diagonals").to_pylist()):
-                d, t = doc.values.to_numpy(zero_copy_only=False), item.values.to_numpy(zero_copy_only=False)
-                runs.append(max(longest_run(d, t, x) for x in diagonals))
+            runs = [longest_run(piece.values.to_numpy(zero_copy_only=False), item.values.to_numpy(zero_copy_only=False), at)
+                    for piece, item, at in zip(b.column("piece"), b.column("tokens"), b.column("at").to_pylist())]
             need = [min(OVERLAP, len(t.values)) for t in b.column("tokens")]
             kept = [n <= r[0] for n, r in zip(need, runs)]
-            out = pa.record_batch([b.column("key"), b.column("item"), pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64())],
-                                  ["key", "item", "overlap", "equal"])
+            out = pa.record_batch([b.column("key"), b.column("no"), b.column("item"), pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64())],
+                                  ["key", "no", "item", "overlap", "equal"])
             yield out.filter(pa.array(kept, pa.bool_()))
 
     parsed = chosen.dropDuplicates(["key"]).mapInArrow(tokens, "key long, doc array<long>")
-    lines = lines.groupBy("key", "no").agg(F.collect_set("diagonal").alias("diagonals"))
-    paired = lines.join(items, "no").join(parsed, "key").select("key", "item", "tokens", "doc", "diagonals")
-    return paired.mapInArrow(verify, "key long, item long, overlap long, equal long")
+    # of a document only what lies along the item, cut out row by row in the JVM
+    start = F.greatest("diagonal", F.lit(0)).cast("int")
+    paired = lines.join(items, "no").join(parsed, "key").select(
+        "key", "no", "item", "tokens", F.slice("doc", start + 1, F.size("tokens")).alias("piece"), (F.col("diagonal") - start).alias("at"))
+    found = paired.mapInArrow(verify, "key long, no long, item long, overlap long, equal long")
+    best = found.groupBy("key", "no").agg(F.any_value("item").alias("item"), F.max(F.struct("overlap", "equal")).alias("best"))
+    return best.select("key", "item", "best.overlap", "best.equal")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:

@@ -151,3 +151,18 @@ def test_items_under_five_tokens(spark):
     named = d.toDF("doc_id", "text", "__key", "key")
     kept = dc.clean(named, b)
     assert kept.columns == named.columns and {r.doc_id for r in kept.collect()} == {4, 6, 7}
+
+
+def test_only_the_aligned_piece_is_compared(spark, monkeypatch):
+    real = dc.longest_run
+
+    def bounded(doc, item, diagonal):
+        assert len(doc) <= len(item)
+        return real(doc, item, diagonal)
+
+    monkeypatch.setattr(dc, "longest_run", bounded)
+    item = " ".join(f"q{i}" for i in range(30))
+    filler = " ".join(f"w{i}" for i in range(5000))
+    docs = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, item[30:]), (3, filler)], "doc_id long, text string")
+    got = {r.doc_id: r.overlap for r in dc.report(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got[1] == 30 and got[2] >= 12 and got[3] == 0
