@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import vocab as V
 from ..functions.html import strip_html, unescape
 from ..functions.text import (clean_title, collapse, contains_any, extract_url, first_nonblank, head, news_announcement,
-                              plausible_title, strip, strip_markdown, text)
+                              once, plausible_title, strip, strip_markdown, text)
 from ..functions.urls import path_depth, resolve
 from ..operators.location import classify_text, clean_location
 
@@ -79,14 +79,15 @@ def markdown_rows(docs: DataFrame, *keys: str) -> DataFrame:
     header.
     """
     blocks = docs.select(*keys, F.posexplode(_all(text("body"), _BLOCK)).alias("table", "block"))
-    lines = F.transform(F.filter(F.split("block", "\n"), lambda x: strip(x) != ""), lambda x: strip(x))
-    parsed = F.transform(lines, lambda x: F.struct(x.alias("line"), F.transform(
-        F.slice(F.split(x, r"\|"), 2, F.greatest(F.size(F.split(x, r"\|")) - 2, F.lit(0))), lambda c: strip(c)).alias("cells")))
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: strip(x)), lambda x: x != "")
+    cut = F.transform(lines, lambda x: F.struct(x.alias("line"), F.split(x, r"\|").alias("parts")))
+    parsed = F.transform(cut, lambda r: F.struct(r["line"].alias("line"), F.transform(
+        F.slice(r["parts"], 2, F.greatest(F.size(r["parts"]) - 2, F.lit(0))), lambda c: strip(c)).alias("cells")))
     kept = F.filter(parsed, lambda r: (F.size(r["cells"]) > 0) & ~F.forall(r["cells"], lambda c: c.rlike(r"\A[-:\s]+\z")))
-    rows = blocks.withColumn("_rows", kept).withColumn("_head", F.transform(F.get("_rows", F.lit(0))["cells"], lambda c: F.lower(strip_markdown(c))))
+    rows = once(once(blocks, _rows=kept), _head=F.transform(F.get("_rows", F.lit(0))["cells"], lambda c: F.lower(strip_markdown(c))))
     rows = rows.select(*keys, "table", "_head", F.posexplode(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0)))).alias("pos", "r"))
     pairs = F.transform("_head", lambda h, i: F.struct(h.alias("h"), F.coalesce(F.get("r.cells", i), F.lit("")).alias("v")))
-    return rows.where(F.size("r.cells") >= 2).select(*keys, "table", "pos", pairs.alias("cells"), F.col("r.line").alias("line"))
+    return once(rows.where(F.size("r.cells") >= 2).select(*keys, "table", "pos", "_head", "r", F.col("r.line").alias("line")), cells=pairs).select(*keys, "table", "pos", "cells", "line")
 
 
 def _cell(*headers: str) -> Column:
@@ -97,10 +98,10 @@ def _cell(*headers: str) -> Column:
 
 def markdown_programs(docs: DataFrame, *keys: str) -> DataFrame:
     """Program records from pipe tables."""
-    rows = markdown_rows(docs, *keys).withColumn("_raw", _cell(*V.NAME_HEADERS)).withColumn("_plain", strip_markdown("_raw"))
+    rows = once(once(markdown_rows(docs, *keys), _raw=_cell(*V.NAME_HEADERS)), _plain=strip_markdown("_raw"))
     low = F.lower("_plain")
     rows = rows.where((F.length("_plain") >= 2) & ~F.col("_plain").startswith("!") & ~low.isin(V.TABLE_NAME_REJECT) & ~contains_any(low, ["badge", "shields.io", "img.shields"]))
-    rows = rows.withColumn("name", strip(F.regexp_replace("_plain", r"\A[⭐\s*]+", ""))).where(F.length("name") >= 2)
+    rows = once(rows, name=strip(F.regexp_replace("_plain", r"\A[⭐\s*]+", ""))).where(F.length("name") >= 2)
     link = first_nonblank(extract_url("_raw"), extract_url(_cell("application process")), extract_url(_cell("application")), extract_url(_cell("link")), extract_url("line"), F.lit("https://github.com"))
     plain = lambda default, *h: first_nonblank(strip_markdown(_cell(*h)), F.lit(default))
     return rows.select(*keys, "table", "pos", "name", F.concat(F.lit("Open source program / mentorship: "), F.col("name")).alias("description"),
@@ -116,15 +117,15 @@ def positional_programs(docs: DataFrame, *keys: str) -> DataFrame:
     The first row of a table is its header unless a separator comes first.
     """
     blocks = docs.select(*keys, F.posexplode(_all(text("body"), _BLOCK)).alias("table", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda x: strip(x) != "")
-    parsed = F.filter(F.transform(lines, lambda x: F.transform(
-        F.slice(F.split(strip(x), r"\|"), 2, F.greatest(F.size(F.split(strip(x), r"\|")) - 2, F.lit(0))), lambda c: strip(c))), lambda r: F.size(r) >= 2)
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: strip(x)), lambda x: x != "")
+    parsed = F.filter(F.transform(F.transform(lines, lambda x: F.split(x, r"\|")), lambda p: F.transform(
+        F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))), lambda c: strip(c))), lambda r: F.size(r) >= 2)
     ruled = lambda r: F.forall(r, lambda c: c.rlike(r"\A[-:]*\z"))
     data = F.filter(F.col("_rows"), lambda r, i: ~ruled(r) & ((i > 0) | ruled(F.get("_rows", F.lit(0)))))
-    rows = blocks.withColumn("_rows", parsed).select(*keys, "table", F.posexplode(data).alias("pos", "c"))
+    rows = once(blocks, _rows=parsed).select(*keys, "table", F.posexplode(data).alias("pos", "c"))
     cell = lambda i, default: F.coalesce(F.get("c", F.lit(i)), F.lit(default))
     linked = F.regexp_extract(cell(0, ""), r"\A\[([^\]]+)\]", 1)
-    rows = rows.withColumn("name", first_nonblank(linked, cell(0, ""))).where(F.length("name") >= 3)
+    rows = once(rows, name=first_nonblank(linked, cell(0, ""))).where(F.length("name") >= 3)
     link = F.regexp_extract(cell(0, ""), r"\]\(([^)]+)\)", 1)
     check = "Check program page"
     return rows.select(*keys, "table", "pos", "name", F.lit("Open Source Community").alias("organizer"), cell(1, "").alias("description"),

@@ -71,3 +71,10 @@ def test_incremental_run_and_replay(spark):
     metrics = {r["stage"]: r["n"] for r in read_state(spark, f"{root}/metrics", "n bigint").collect()}
     assert metrics["suppressed"] == 1 and metrics["requeued"] == 1
     assert set(out.columns) == set(OPPORTUNITY.names) and out.where(F.col("status") != "open").count() == 0
+
+
+def test_landed_documents_are_parsed_by_all_cores(spark):
+    from gleaner.plans.fixtures import SPREAD, Inputs
+    for name in sorted(SPREAD):
+        docs = getattr(Inputs(spark, "/root/testdata/sf0.001"), name)
+        assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
