@@ -23,8 +23,10 @@ _OPEN, _CLOSE = r"(?:^|[(\[|,\-–—/]\s*|\s)", r"(?=$|[)\]|,\-–—/]|\s|" +
 
 def clean_location(c: Column | str) -> Column:
     """Separators to spaces; runs such as 'FranciscoNew' are split."""
-    s = F.regexp_replace(text(c), r"(?<=[a-z])([A-Z])", " $1")
-    return F.trim(F.regexp_replace(s, rf"[{SPACE}–—→↳>|/\\]+", " "))
+    s = F.regexp_replace(text(c), r"([A-Z])(?<=[a-z][A-Z])", " $1")
+    # a plain space that stands alone is what it would become
+    sep = rf"{SPACE}–—→↳>|/\\"
+    return F.trim(F.regexp_replace(s, rf"[{sep}&&[^ ]][{sep}]*| [{sep}]+", " "))
 
 
 def word_runs(c: Column) -> Column:
@@ -175,12 +177,13 @@ def geo_policy(df: DataFrame, policy: dict[str, str] | None = None, home: str =
 
 def location_summary(df: DataFrame) -> DataFrame:
     """Counts by category and mode, and by category and country of dropped rows."""
-    modes = df.groupBy("category", F.lit("mode").alias("facet"), F.col("loc.mode").alias("value")).agg(
+    # one pass over the records; the facets are parted when a few hundred rows are left
+    both = df.groupBy("category", F.col("loc.mode").alias("mode"), F.col("loc.country").alias("country")).agg(
         F.count("*").alias("n"), F.count_if(~F.col("keep")).alias("dropped"))
-    countries = df.groupBy("category", F.lit("country").alias("facet"),
-                           F.when(F.col("loc.country") != "", F.col("loc.country")).otherwise("(unknown)").alias("value")).agg(
-        F.count("*").alias("n"), F.count_if(~F.col("keep")).alias("dropped"))
-    return modes.unionByName(countries)
+    facets = F.array(F.struct(F.lit("mode").alias("facet"), F.col("mode").alias("value")),
+                     F.struct(F.lit("country").alias("facet"), F.when(F.col("country") != "", F.col("country")).otherwise("(unknown)").alias("value")))
+    return (both.select("category", F.explode(facets).alias("f"), "n", "dropped").groupBy("category", "f.facet", "f.value")
+            .agg(F.sum("n").alias("n"), F.sum("dropped").alias("dropped")))
 
 
 def top_countries(summary: DataFrame, n: int = 5, by: str = "n") -> DataFrame:

@@ -253,3 +253,18 @@ def test_html_rows(spark, body, rows):
     from gleaner.sources.documents import html_rows
     got = html_rows(spark.createDataFrame([(1, body)], "doc_id int, body string"), "doc_id").orderBy("pos").collect()
     assert [" ".join(c["text"] for c in r["cells"]) for r in got] == rows
+
+
+def test_location_summary_reads_the_records_once(spark):
+    from gleaner.operators import location
+    from gleaner.plans.fixtures import Inputs
+    out = location.location_summary(location.geo_policy(location.classify_location(Inputs(spark, "/root/testdata/sf0.001").opp)))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+
+
+def test_clean_location_of_mixed_separators(spark):
+    import re
+    from gleaner.operators.location import clean_location
+    rows = [" a  b ", "a |b", "x\t\ty z", "San FranciscoNew York", "a  b", "p > q/r \\ s", "aB cD EF", "\n a\n", "x - y – z", "  ", "a →"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(clean_location("t")).collect()]
+    assert got == [re.sub(r"[\s–—→↳>|/\\]+", " ", re.sub(r"(?<=[a-z])([A-Z])", r" \1", r)).strip(" ") for r in rows]
