@@ -268,3 +268,13 @@ def test_clean_location_of_mixed_separators(spark):
     rows = [" a  b ", "a |b", "x\t\ty z", "San FranciscoNew York", "a  b", "p > q/r \\ s", "aB cD EF", "\n a\n", "x - y – z", "  ", "a →"]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(clean_location("t")).collect()]
     assert got == [re.sub(r"[\s–—→↳>|/\\]+", " ", re.sub(r"(?<=[a-z])([A-Z])", r" \1", r)).strip(" ") for r in rows]
+
+
+def test_token_shares_compute_each_side_once(spark):
+    df = spark.createDataFrame([("b a c", "a b x"), ("", "a"), (None, "a"), ("a", "a a")], "p string, q string")
+    sides = [F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")) for c in ("p", "q")]
+    out = df.select(text.jaccard(*sides).alias("j"), text.containment(*sides).alias("c"))
+    assert [tuple(r) for r in out.collect()] == [(0.5, 2 / 3), (0.0, 0.0), (0.0, 0.0), (1.0, 1.0)]
+    for share in (text.jaccard, text.containment):
+        plan = df.select(share(*sides).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_distinct(") == 2
