@@ -109,5 +109,6 @@ def route(captures: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     out = reduce(DataFrame.unionByName, [placed(p) for p in parts])
     order = ["_capture", "origin", "_section", "_table", "_pos"]
-    out = numbered(out.where(text("name") != ""), "seq", *order).select("origin", *OPPORTUNITY.names)
+    out = materialize(out.where(text("name") != ""), "parsed")   # sorting by range reads its input twice
+    out = numbered(out, "seq", *order).select("origin", *OPPORTUNITY.names)
     return feed_dedup(out)

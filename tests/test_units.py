@@ -278,3 +278,18 @@ def test_token_shares_compute_each_side_once(spark):
     for share in (text.jaccard, text.containment):
         plan = df.select(share(*sides).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("array_distinct(") == 2
+
+
+def test_route_parses_before_it_sorts(spark, monkeypatch):
+    from gleaner.sources import registry
+    plans, numbered = [], registry.numbered
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return numbered(df, *args)
+
+    monkeypatch.setattr(registry, "numbered", seen)
+    caps = spark.createDataFrame([(1, "u", "- [Name one](https://a.example.org/1) - note")], "capture_id bigint, url string, body string")
+    cat = spark.createDataFrame([("L", "u", "markdown_list", "fellowships", None, None, True)], "name string, url string, parser string, category string, limit int, filter string, enabled boolean")
+    assert [r["name"] for r in registry.route(caps, cat).collect()] == ["Name one"]
+    assert len(plans) == 1 and "Generate" not in plans[0]
