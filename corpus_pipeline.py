@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from gleaner.llm.common import table
-from gleaner.session import materialize
+from gleaner.session import materialize, small_batches
 
 SHARD_BYTES = 32 << 20
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones, does not reject."""
-    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    with small_batches(spark):
+        return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    return near_copies.dedup(docs)
+    with small_batches(spark):
+        return near_copies.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):
+        return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,3 +214,14 @@ def test_hot_buckets_link_pairs_that_share_one_key(spark, monkeypatch):
 
     monkeypatch.setattr(near_copies, "band_keys", one_shared_key)
     assert ids_kept(spark, rows) == list(range(0, 40, 2))
+
+
+def test_stages_hand_small_batches_to_python(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: None)
+    for module, name in ((corpus_pipeline.toxicity, "fit"), (corpus_pipeline.toxicity, "clean"), (corpus_pipeline.near_copies, "dedup"), (corpus_pipeline.decontaminate, "clean")):
+        monkeypatch.setattr(module, name, lambda *a: seen.append(int(spark.conf.get(key))))
+    for stage in (corpus_pipeline.reject_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_contaminated):
+        stage(spark, None, "")
+    assert seen == [1000] * 4 and spark.conf.get(key) == before
