@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import word_count
+from .common import WORD, word_count
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -61,6 +61,11 @@ def _nth_copy(rows: DataFrame) -> DataFrame:
     return local.join(offsets, ["key", "part"]).withColumn("nth", F.col("offset") + F.col("local")).drop("part", "offset", "local")
 
 
+def _place(key: str) -> Column:
+    """The place of a content in its source's shuffled stream; equal places follow by key."""
+    return F.xxhash64(key, F.lit(11))
+
+
 def _stream(rows: DataFrame) -> DataFrame:
     """Rows (row, key, source, size) with ``start``: words of the source's shuffled stream before the row.
 
@@ -68,7 +73,7 @@ def _stream(rows: DataFrame) -> DataFrame:
     """
     keys = rows.groupBy("key", "source").agg(F.sum("size").alias("words"), F.count("*").alias("copies"))
     per = keys.groupBy("source").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    spread = (keys.join(per, keys.source.eqNullSafe(per.source)).drop(per.source).withColumn("h", F.xxhash64("key", F.lit(11)))
+    spread = (keys.join(per, keys.source.eqNullSafe(per.source)).drop(per.source).withColumn("h", _place("key"))
               .withColumn("chunk", F.floor((F.col("h") / F.lit(2.0 ** 64) + 0.5) * F.col("chunks"))))
     sums = spread.groupBy("source", "chunk").agg(F.sum("words").alias("words"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,21 +176,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("row", "key", "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _uses(taken: DataFrame) -> DataFrame:
+    """(source, epochs, h, key, each, n): of every source how often the mix takes its documents.
+
+    The schedule reads a source's stream, which is ordered by (h, key), ``epochs``
+    times and then up to some place.  The row names the last content taken more
+    than ``epochs`` times, its rows and what each of them is taken; contents
+    before it are taken once more, those behind it not.
+    """
+    epochs = F.floor(F.round("target").cast("long") / F.col("source_size"))
+    per = (taken.filter("size > 0").groupBy("source", "key")
+           .agg(F.first(epochs).alias("epochs"), (F.sum(F.col("taken") / F.col("size")) / F.count("*")).alias("each"), F.count("*").alias("n")))
+    last = F.struct(_place("key").alias("h"), "key", "each", "n")
+    return (per.groupBy("source").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("each") > F.col("epochs"), last)).alias("last"))
+            .select("source", "epochs", "last.*"))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents as often as the mix takes them, columns unchanged: 0 to ``most`` copies, each a row.
 
     A document whose words are taken in part counts as taken if that is at
     least half of them; blank documents, which hold no words, are left out.
     Rows of equal id, text and source share their copies by a hash of their
-    place, so none has to gather them.
+    place, so none has to gather them.  What the mix takes is told by a row per
+    source, so the texts are not shuffled.
     """
+    plan = materialize(_uses(mix(docs, id_col, text_col, source_col, **options)), "uses").toDF("__s", "__epochs", "__h", "__key", "__each", "__n")
     key = F.xxhash64(id_col, text_col, source_col)
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
-    per = taken.groupBy("key").agg(F.sum(F.col("taken") / F.col("size")).alias("uses")).withColumnRenamed("key", "__key")
-    copies = docs.select(key.alias("__key")).groupBy("__key").agg(F.count("*").alias("__n"))
-    plan = materialize(per.join(copies, "__key").select("__key", (F.col("uses") / F.col("__n")).alias("__each"), "__n"), "uses")
     chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    times = F.when(F.col("__n") == 1, F.floor(F.col("__each") + 0.5)).otherwise(F.floor(F.col("__each") + F.col("__chance"))).cast("int")
-    rows = docs.withColumn("__chance", chance).withColumn("__key", key).join(plan, "__key")
+    rows = docs.withColumns({"__chance": chance, "__k": key, "__own": F.col(source_col).cast("string")}).filter(F.col(text_col).rlike(WORD))
+    rows = rows.join(plan, F.col("__own").eqNullSafe(F.col("__s")))
+    before = F.struct(_place("__k").alias("h"), F.col("__k").alias("key")) < F.struct(F.col("__h").alias("h"), F.col("__key").alias("key"))
+    part = F.when(F.col("__n") == 1, F.floor(F.col("__each") + 0.5)).otherwise(F.floor(F.col("__each") + F.col("__chance")))
+    times = F.when(F.col("__k") == F.col("__key"), part).otherwise(F.col("__epochs") + F.when(F.col("__key").isNotNull() & before, 1).otherwise(0)).cast("int")
     return (rows.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

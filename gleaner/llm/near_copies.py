@@ -6,11 +6,12 @@ two nodes share a key with a probability of their similarity to the power
 ``PER_BAND``, at any number of nodes and any length of text, while unlike texts
 share none.  So buckets grow with the groups of copies, not with the table.
 
-Every node is first held against the smallest one of its buckets; what the
-shingles confirm is one component from then on.  Only buckets that still hold
-several components are compared throughout, by bit planes
-(:func:`simhash.unit_pairs`), and pairs of one component are left out.  Every
-link counts only after the two texts' shingles were compared.
+Every node is first held against the smallest one of its buckets, then against
+the nearest of another component; what the shingles confirm is one component
+from then on.  Buckets with more pairs than that are compared throughout, by bit
+planes (:func:`simhash.unit_pairs`) and shingles in the same task, which returns
+a spanning forest: a large group just under the threshold makes no row per
+pair.  Every link counts only after the two texts' shingles were compared.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import BROADCAST_ROWS, slices, without
 from .components import connected
-from .simhash import BLOCK, _bit_matrix, _mixed, _whole_units, fingerprint, shingle_hashes, unit_pairs
+from .simhash import BLOCK, _bit_matrix, _forest, _mixed, _whole_units, fingerprint, shingle_hashes, unit_pairs
 
 BANDS, PER_BAND = 13, 4  # a pair at 0.8 shares a key with a probability of 0.999
 WORDS = 4                # 64-bit words of a fingerprint
 RADIUS = 64              # a pair at 0.8 is 39 of 256 bits apart, with a deviation of 6
 HOT = 2048               # rows of a bucket outside its largest component, beyond which it waits for what the others link
+LOAD = 1 << 21           # shingles of one side of a comparison task
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -60,25 +63,26 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, row, node, fp, keys) per row."""
+    """(id, row, node, fp, size, keys) per row; size is the number of distinct shingles."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column("text")]
             yield pa.record_batch([b.column("id"), b.column("row"), pa.array(map(node_of, sets), pa.binary()),
-                                   pa.array([fingerprint(s, WORDS) for s in sets], pa.binary()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))],
-                                  ["id", "row", "node", "fp", "keys"])
+                                   pa.array([fingerprint(s, WORDS) for s in sets], pa.binary()),
+                                   pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))],
+                                  ["id", "row", "node", "fp", "size", "keys"])
 
     picked = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, row binary, node binary, fp binary, keys array<long>")
+    return picked.mapInArrow(run, f"id {kind}, row binary, node binary, fp binary, size long, keys array<long>")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, fp) of the buckets that several nodes share."""
+    """(key, node, fp, size) of the buckets that several nodes share."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return keyed.join(shared, "key", "left_semi").join(nodes.select("node", "fp"), "node").select("key", "node", "fp")
+    return keyed.join(shared, "key", "left_semi").join(nodes.select("node", "fp", "size"), "node").select("key", "node", "fp", "size")
 
 
 def _first_pairs(members: DataFrame, radius: int) -> DataFrame:
@@ -99,28 +103,32 @@ def _packed(fps: pa.Array) -> np.ndarray:
 
 
 def _mixed_buckets(rows: DataFrame) -> DataFrame:
-    """(key, n, main, most): buckets with several components, the largest one's label and its rows."""
-    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    return per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select(
-        "key", "n", F.col("top.label").alias("main"), F.col("top.n").alias("most")).filter("n > most")
+    """(key, n, load, main, most, held): buckets with several components, their rows and shingles, the largest one's label, rows and shingles."""
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("load"))
+    return per.groupBy("key").agg(F.sum("n").alias("n"), F.sum("load").alias("load"), F.max(F.struct("n", "label", "load")).alias("top")).select(
+        "key", "n", "load", F.col("top.label").alias("main"), F.col("top.n").alias("most"), F.col("top.load").alias("held")).filter("n > most")
 
 
 def _comparable(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, n, main, most, node, fp, label): rows of the buckets that hold several components."""
+    """(key, n, load, main, most, held, node, fp, size, label): rows of the buckets that hold several components."""
     label = F.xxhash64("node") if labels is None else F.xxhash64(F.coalesce("root", "node"))
     rows = members if labels is None else members.join(labels.toDF("node", "root"), "node", "left")
-    rows = rows.select("key", "node", "fp", label.alias("label"))
+    rows = rows.select("key", "node", "fp", "size", label.alias("label"))
     return rows.join(_mixed_buckets(rows), "key")
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """Rows of the comparison tasks, sorted; blocks of the largest component meet the other blocks only."""
+def _units(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows of the comparison tasks, sorted, with the columns ``more``; blocks of the largest component meet the other blocks only.
+
+    A block has about BLOCK rows, or LOAD shingles if the tasks are given them.
+    """
     main = F.col("label") == F.col("main")
-    whole = F.col("n") <= BLOCK
-    rows = rows.withColumn("a", F.ceil(F.col("most") / BLOCK)).withColumn("b", F.ceil((F.col("n") - F.col("most")) / BLOCK))
+    blocks = lambda n, load: F.ceil(F.greatest(n / BLOCK, load / (LOAD if more else 1 << 62)))
+    whole = blocks(F.col("n"), F.col("load")) <= 1
+    rows = rows.withColumn("a", blocks(F.col("most"), F.col("held"))).withColumn("b", blocks(F.col("n") - F.col("most"), F.col("load") - F.col("held")))
     rows = rows.withColumn("side", F.when(whole, 0).when(main, F.pmod(F.xxhash64("node"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("node"), F.col("b"))).cast("long"))
     others = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.when(main, F.col("a")).otherwise(0).cast("long"), (F.col("a") + F.col("b") - 1).cast("long")))
-    dealt = rows.withColumn("other", F.explode(others)).select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "key", "node", "fp", "label")
+    dealt = rows.withColumn("other", F.explode(others)).select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "key", "node", "fp", "label", *more)
     return dealt.repartition("unit").sortWithinPartitions("unit", "side", "label", "node")
 
 
@@ -152,10 +160,71 @@ def _candidates(rows: DataFrame, radius: int, most: int) -> DataFrame:
     return _units(rows).mapInArrow(run, "key long, u binary, v binary")
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (u, v) whose texts share at least ``similarity`` of their distinct shingles (Jaccard)."""
-    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    asked = materialize(nodes.join(ends, "node").select(F.col("least.row").alias("row")), "asked")
+def _shared(values: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the sets a[i] and b[i] share; set r is values[starts[r]:starts[r + 1]], without repeats."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    row, column = row[times[column] > 1], (np.cumsum(times > 1) - 1)[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros(len(a), np.int64)
+    for low in range(0, int((times > 1).sum()), 1 << 13):  # a bit matrix of at most 1 KB a row at a time
+        i, j = np.searchsorted(column, [low, low + (1 << 13)])
+        bits = np.zeros((len(starts) - 1, -(-min(1 << 13, int(column[j - 1]) - low + 1) // 64) * 8), np.uint8)
+        np.bitwise_or.at(bits, (row[i:j], (column[i:j] - low) >> 3), np.uint8(1) << ((column[i:j] - low) & 7).astype(np.uint8))
+        bits = bits.view(np.uint64)
+        for at in range(0, len(a), 1 << 14):
+            some = slice(at, at + (1 << 14))
+            out[some] += np.bitwise_count(bits[a[some]] & bits[b[some]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _unit_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table per unit."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        unit = batch.column("unit").to_numpy()
+        cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                if held and held[0].column("unit")[0].as_py() != unit[i]:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _links(rows: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(u, v): of each comparison task a spanning forest of the labels that pairs within the radius and of that similarity connect."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _unit_tables(batches):
+            label, fps, shingles = t.column("label").to_numpy(), t.column("fp").combine_chunks(), t.column("shingles").combine_chunks()
+            if isinstance(shingles, pa.ChunkedArray):
+                shingles = shingles.chunk(0)
+            values, size = shingles.flatten().to_numpy(), pa.compute.list_value_length(shingles).to_numpy().astype(np.int64)
+            starts = np.r_[0, np.cumsum(size)]
+            _, first, of = np.unique(label, return_index=True, return_inverse=True)
+            known = first[of]
+            root = known.copy()
+            for a, b in unit_pairs(t.column("unit").to_numpy(), t.column("side").to_numpy(), _bit_matrix(fps), radius, step=1 << 14, label=label):
+                apart = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+                a, b = a[apart], b[apart]
+                if len(a):
+                    both = _shared(values, starts, a, b)
+                    good = (both > 0) & (both >= similarity * (size[a] + size[b] - both))
+                    _forest(root, a[good], b[good])
+            moved = np.flatnonzero((known == np.arange(len(known))) & (root != known))
+            if len(moved):
+                node = t.column("node").combine_chunks()
+                yield pa.record_batch([node.take(pa.array(moved)), node.take(pa.array(root[moved]))], ["u", "v"])
+
+    return _units(rows.join(sets, "node"), "shingles").mapInArrow(run, "u binary, v binary")
+
+
+def _shingles(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the distinct shingles of the nodes in the one column of ``wanted``."""
+    asked = materialize(nodes.join(wanted.toDF("node").distinct(), "node").select(F.col("least.row").alias("row")), "asked")
     keyed = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     texts = keyed.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "row", "left_semi")
 
@@ -164,7 +233,12 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edge
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column("text")]
             yield pa.record_batch([pa.array(map(node_of, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    sets = materialize(texts.select("text").mapInArrow(parsed, "node binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    return materialize(texts.select("text").mapInArrow(parsed, "node binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (u, v) whose texts share at least ``similarity`` of their distinct shingles (Jaccard)."""
+    sets = _shingles(docs, id_col, text_col, nodes, edges.select("u").unionByName(edges.select(F.col("v").alias("u"))), shingle)
     paired = edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     # row by row in the JVM, so that two long texts are all that is held at a time
     both = F.size(F.array_intersect("a", "b"))
@@ -175,41 +249,34 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, edge
 def components(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame | None:
     """Stars, as of :func:`connected`, of all pairs that share a bucket and whose shingles confirm them; None if there are none.
 
-    After the smallest nodes of all buckets, a round tests the nearest partners
+    The smallest nodes of all buckets are tested first, then the nearest partner
     of each node; what is connected by then needs no test.  Buckets with
-    untested pairs come again with eight times as many partners until none has.
-    Hot buckets are compared last and as fully, when most of their links are
-    known from smaller ones; their blocks are tasks of their own.
+    untested pairs, and hot ones, are compared as a whole at the end, when most
+    of their links are known; their blocks are tasks of their own.
     """
     members = materialize(_members(nodes), "members")
-    if members.isEmpty():
-        return None
-    stars, tested, most, only, hot = None, None, 1, None, None
-    part = materialize(_first_pairs(members, radius), "pairs")
-    while True:
+    stars = None
+
+    def tested(part: DataFrame) -> None:
+        nonlocal stars
         if not part.isEmpty():
             good = _similar(docs, id_col, text_col, nodes, part, shingle, similarity)
-            tested = part if tested is None else tested.unionByName(part)
             stars = connected(good if stars is None else stars.unionByName(good))
-        # later rounds take the buckets of an earlier one that are not done
-        rows = materialize(_comparable(members if only is None else only, stars), "compared")
-        if only is None:
-            large = F.col("n") - F.col("most") > HOT
-            hot = materialize(rows.filter(large).select("key", "node", "fp"), "hot-buckets")
-            rows = rows.filter(~large)
-        found = materialize(_candidates(rows, radius, most), "candidates")
-        part = found.filter("u is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tested is not None:
-            part = part.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-        part = materialize(part, "pairs")
-        more = materialize(found.filter("u is null").select("key").distinct(), "open")
-        if not part.isEmpty() or not more.isEmpty():
-            only = rows.join(more, "key", "left_semi").select("key", "node", "fp")
-            most *= 8
-        elif hot is not None and not hot.isEmpty():
-            only, hot, most = hot, None, 1
-        else:
-            return stars
+
+    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    early = materialize(_first_pairs(members, radius), "pairs")
+    tested(early)
+    rows = materialize(_comparable(members, stars), "compared")
+    large = F.col("n") - F.col("most") > HOT
+    found = materialize(_candidates(rows.filter(~large), radius, 1), "candidates")
+    tested(materialize(found.filter("u is not null").select(*ordered).distinct().join(early.select(*ordered), ["u", "v"], "left_anti"), "pairs"))
+    more = found.filter("u is null").select("key").unionByName(rows.filter(large).select("key")).distinct()
+    rest = materialize(_comparable(rows.join(more, "key", "left_semi").select("key", "node", "fp", "size"), stars), "compared")
+    if not rest.isEmpty():
+        links = materialize(_links(rest, _shingles(docs, id_col, text_col, nodes, rest.select("node"), shingle), radius, similarity), "links")
+        if not links.isEmpty():
+            stars = connected(links if stars is None else stars.unionByName(links))
+    return stars
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -225,7 +292,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     """
     rows = materialize(marked(docs, id_col, text_col, shingle), "marked")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
-    nodes = materialize(rows.groupBy("node").agg(least, F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(least, F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "nodes")
     stars = components(docs, id_col, text_col, nodes, shingle, similarity, radius)
     named = nodes.select("node", "least", F.col("node").alias("root"))
     if stars is not None:

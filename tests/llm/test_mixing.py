@@ -96,3 +96,22 @@ def test_mixed_documents_repeat_as_taken(spark):
         counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
     assert max(n for d, n in counts.items() if d != 5) <= 3
     assert mixing.mixed(df.limit(0)).collect() == []
+
+
+def test_texts_are_not_shuffled_to_be_repeated(spark):
+    """The number of times comes with a row per source, also if a row per document is too many to broadcast."""
+    rows = [(i, f"{i} " + "w " * (i % 90), "abcde"[i % 11 % 5]) for i in range(4000)] + [(9000 + i, " ", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "16k")
+    try:
+        out = mixing.mixed(df)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        counts = {}
+        for r in out.collect():
+            counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    finally:
+        spark.conf.set(key, before)
+    want = {r["id"]: int(r["taken"] / r["size"] + 0.5) for r in mixed(spark, rows) if r["size"]}
+    assert counts == {d: n for d, n in want.items() if n}
+    assert {0, 1, 2, 3} & set(want.values()) and len({want[i] for i in range(4000)}) > 1

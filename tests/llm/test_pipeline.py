@@ -216,6 +216,34 @@ def test_hot_buckets_link_pairs_that_share_one_key(spark, monkeypatch):
     assert ids_kept(spark, rows) == list(range(0, 40, 2))
 
 
+def test_texts_just_under_the_threshold_make_no_row_per_pair(spark, monkeypatch):
+    """A large group of which no two are similar, but for one pair that is not nearest: linear rows, and the pair is found."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(9000)]
+    base = rng.choices(words, k=240)
+    rows = [(i, " ".join(base[:200] + rng.choices(words, k=40))) for i in range(120)]
+    rows.append((120, rows[7][1] + " end"))
+    tested, similar = [], near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda *a: tested.append(a[4].count()) or similar(*a))
+    assert ids_kept(spark, rows) == [i for i, r in enumerate(roots(rows)) if r == i]
+    assert sum(tested) <= 14 * len(rows)
+
+
+def test_shared_counts_agree_with_sets(monkeypatch):
+    import numpy as np
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(-20_000, 20_000), rng.choice([0, 1, 50, 9000]))) for _ in range(30)]
+    starts = np.r_[0, np.cumsum([len(s) for s in sets])]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(30) for j in range(i)]))
+    got = near_copies._shared(np.array([v for s in sets for v in s], np.int64), starts, a, b)
+    assert got.tolist() == [len(set(sets[i]) & set(sets[j])) for i, j in zip(a, b)]
+
+
+def test_units_split_by_shingles_link_the_same(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "LOAD", 700)
+    test_dedup_looks_past_false_neighbours(spark)
+
+
 def test_stages_hand_small_batches_to_python(spark, monkeypatch):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before, seen = spark.conf.get(key), []
