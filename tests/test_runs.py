@@ -73,6 +73,18 @@ def test_incremental_run_and_replay(spark):
     assert set(out.columns) == set(OPPORTUNITY.names) and out.where(F.col("status") != "open").count() == 0
 
 
+def test_ledger_does_not_wait_for_publication(spark, monkeypatch):
+    from gleaner.plans import run
+    from gleaner.plans.fixtures import Inputs
+    made, write = [], run.materialize
+    monkeypatch.setattr(run, "materialize", lambda df, label: made.append(label) or write(df, label))
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    pages = t.opp_pages
+    out = run.batch_run(pages.where("batch = 0"), pages.where("batch <> 0"), t.captures_all, run.empty_ledger(spark), run.empty_queue(spark), AS_OF, NOW)
+    assert out.ledger.count() > 0 and "proposed" not in made
+    assert out.snapshot.count() > 0 and out.metrics.count() > 0 and out.gate.count() > 0 and made.count("proposed") == 1
+
+
 def test_landed_documents_are_parsed_by_all_cores(spark):
     from gleaner.plans.fixtures import SPREAD, Inputs
     for name in sorted(SPREAD):
