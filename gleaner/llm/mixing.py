@@ -22,6 +22,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 128  # words of a block
 STRETCH = 1 << 12  # slots whose ranks one window orders
 CHUNK = 1 << 12  # documents of a source that one window orders, about
+GRID = 16  # binary digits of the number of cells that the sources are looked up in, at most
 MOST = 3  # a source is used at most so many times
 
 
@@ -82,12 +83,27 @@ def _stream(rows: DataFrame) -> DataFrame:
     local = spread.withColumn("local", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     begin = (local.join(offsets, local.source.eqNullSafe(offsets.s) & (local.chunk == offsets.c))
              .select("key", "copies", (F.col("offset") + F.col("local")).alias("begin")))
+    begin = materialize(begin, "begins")
     single = rows.join(begin.filter("copies = 1"), "key").select("row", "source", "size", F.col("begin").alias("start"))
     copies = (_nth_copy(rows.join(begin.filter("copies > 1"), "key"))
               .select("row", "source", "size", (F.col("begin") + F.col("nth") * F.col("size")).alias("start")))
     return single.unionByName(copies)
 
 
+def _cells(rows: DataFrame, n: int, total: float) -> tuple[DataFrame, int]:
+    """Rows (source, target, ...) with their parts of the unit interval, low to high, one for each cell of a grid that they touch; and the grid's size.
+
+    The grid turns the search for a point's interval into an equality join.  The
+    cells are broadcast, so they are few for few sources.
+    """
+    # cumulative weights, in any fixed order of the sources
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    cumulative = rows.select("*", (F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("high"))
+    cumulative = cumulative.select("*", F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("low"), F.lead("high").over(order).alias("next"))
+    grid = 1 << min(GRID, 6 + n.bit_length())   # a power of two, so that floor() is exact
+    return cumulative.select("*", F.explode(F.sequence(F.floor(F.col("low") * grid), F.floor(F.least("high", F.lit(1 - 1e-12)) * grid))).alias("cell")), grid
+
+
 def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     """(slot, source, rank, epoch, block, words): the order in which blocks are read.
 
@@ -98,18 +114,12 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     spark = plan.sparkSession
     rows = plan.filter("target >= 0.5").select("source", "source_size", "target")
-    total = float(rows.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     if not total:
         return spark.createDataFrame([], "slot long, source string, rank long, epoch long, block long, words long")
     slots = math.ceil(total / block)
     slots += slots // 64 + 64
-    # cumulative weights, in any fixed order of the sources
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cumulative = rows.select("*", (F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("high"))
-    cumulative = cumulative.select("*", F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("low"), F.lead("high").over(order).alias("next"))
-    # a grid of cells turns the search for the interval into an equality join
-    grid = 1 << 16
-    cells = cumulative.select("*", F.explode(F.sequence(F.floor(F.col("low") * grid), F.floor(F.least("high", F.lit(1 - 1e-12)) * grid))).alias("cell"))
+    cells, grid = _cells(rows, n, total)
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * F.lit(GOLDEN) % 1).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * grid))
     drawn = points.join(cells, "cell").filter((F.col("point") >= F.col("low")) & ((F.col("point") < F.col("high")) | F.col("next").isNull()))
@@ -160,8 +170,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                        word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col, source_col).alias("key"))
     base = materialize(base, "sizes")
     plan = materialize(targets(base, weights, most), "targets")
-    drawn = (schedule(plan, block).groupBy("source", "block")
-             .agg(F.min("words").alias("short"), F.max("words").alias("long"), F.count("*").alias("times")))
+    drawn = materialize(schedule(plan, block).groupBy("source", "block")
+                        .agg(F.min("words").alias("short"), F.max("words").alias("long"), F.count("*").alias("times")), "drawn")
     parts = blocks(base, block)
     b = drawn.select(F.col("source").alias("s"), F.col("block").alias("b"), "long", "short", "times")
     used = parts.join(b, parts.source.eqNullSafe(b.s) & (parts.block == b.b))

@@ -115,3 +115,27 @@ def test_texts_are_not_shuffled_to_be_repeated(spark):
     want = {r["id"]: int(r["taken"] / r["size"] + 0.5) for r in mixed(spark, rows) if r["size"]}
     assert counts == {d: n for d, n in want.items() if n}
     assert {0, 1, 2, 3} & set(want.values()) and len({want[i] for i in range(4000)}) > 1
+
+
+@pytest.mark.parametrize("n", [1, 3, 300])
+def test_grid_of_cells_follows_the_sources(spark, n):
+    # the cells are broadcast: 65,536 of them for three sources took the driver's memory
+    weight = [1 + (i * 7919) % 97 for i in range(n)]
+    rows = spark.createDataFrame([(f"s{i:03}", 1000, float(w)) for i, w in enumerate(weight)], "source string, source_size long, target double")
+    cells, grid = mixing._cells(rows, n, float(sum(weight)))
+    found = cells.collect()
+    assert len(found) <= 130 * n
+    at = {}
+    for c in found:
+        at.setdefault(c.cell, []).append(c)
+    edges = [x for c in found for x in (c.low, c.high - 1e-9)]
+    for point in [i / 1009 for i in range(1009)] + [x for x in edges if 0 <= x < 1]:
+        hits = [c for c in at[int(point * grid)] if c.low <= point and (point < c.high or c.next is None)]
+        assert len(hits) == 1
+
+
+def test_plans_of_the_mix_stay_short(spark):
+    # every finished stage plans the rest of a query anew, so one plan of the whole mix filled the driver's heap
+    df = spark.createDataFrame([(d, t, s) for d, t, s in corpus(60)], "doc_id long, text string, source string")
+    plan = mixing.mix(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") < 10
