@@ -179,6 +179,21 @@ def test_upcoming_days(spark):
     assert sorted(r["days_left"] for r in reminders.upcoming_deadlines(df, AS_OF).collect()) == [1, 3, 7]
 
 
+def test_digest_lines_stand_together(spark):
+    # person by person, every row of a written digest repeats a whole name
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")   # as for many people
+    try:
+        upcoming = spark.createDataFrame([(i, "jobs", f"name {i}", "2026-09-02", 1, "") for i in range(20)], "seq long, category string, name string, deadline string, days_left int, application_link string")
+        people = spark.createDataFrame([(f"p{i}@x.org", "", "jobs") for i in range(50)], "email string, whatsapp string, categories string")
+        got = [(r.seq, r.email) for r in reminders.digest_items(upcoming, people).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(got) == sorted((i, f"p{j}@x.org") for i in range(20) for j in range(50))
+    assert sum(a[0] != b[0] for a, b in zip(got, got[1:])) < 20
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
 def test_lookup_with_hot_and_missing_keys(spark, how):
     from gleaner.operators import joins
