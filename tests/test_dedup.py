@@ -253,3 +253,31 @@ def test_similar_sets_share_a_part():
             b = np.r_[a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]
             if (n - drop) / (n + add) >= 0.85:
                 assert np.intersect1d(titles.part_keys(a, 7, 0.85), titles.part_keys(b, 7, 0.85)).size
+
+
+def test_one_set_of_several_kinds(spark):
+    """An existing title, a short one and longer spellings of one word set, far from all others."""
+    rows = [(5, "c", "AI", "", False), (7, "c", "ai the AI", "", False), (9, "c", "AI of ai", "", False),
+            (4, "d", "ML the ml", "", True), (6, "d", "ml of ML", "", False), (8, "c", "nothing like it", "", False)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = {r["seq"]: r["kept"] for r in titles.title_matches(df.where("known"), df.where("not known")).collect()}
+    assert got == {7: 5, 9: 5, 6: -1}
+
+
+def test_unlike_titles_become_no_rows(spark, monkeypatch):
+    """Of 400 long titles two are similar: only keys that several sets hold are rows."""
+    rng, claims, contested = random.Random(17), [], titles._contested
+    monkeypatch.setattr(titles, "_contested", lambda c: claims.append(c.count()) or contested(c))
+    rows = [(i, "c", " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(200)), "", False) for i in range(400)]
+    rows.append((400, "c", rows[3][2] + " more", "", False))
+    got = {r["seq"]: r["kept"] for r in titles.title_matches(None, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {400: 3}
+    assert claims[0] < 2000   # 29,000 keys
+
+
+def test_copies_in_many_tasks(spark):
+    """Rows of one set stand for it in every task."""
+    rows = [(i, "c", f"one title of group {i % 7} number {i % 7}", "", i % 50 == 49) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    got = {r["seq"]: r["kept"] for r in titles.title_matches(df.where("known"), df.where("not known")).collect()}
+    assert got == fold_titles(rows)
